@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import bpe, decontaminate, secrets
+from . import bpe, decontaminate, embed_dedup, secrets, token_files, warc
 from .common import table
 
 
@@ -17,9 +17,21 @@ def op2_decontaminate(spark, sf_dir):
     return decontaminate.digest(decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
+def op3_embed_dedup(spark, sf_dir):
+    return embed_dedup.embed_dedup(table(spark, sf_dir, "embeddings"))
+
+
 def op4_secrets(spark, sf_dir):
     return secrets.digest(secrets.scan_secrets(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_decontaminate, op4_secrets)}
+def op5_token_files(spark, sf_dir):
+    return token_files.digest(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op9_warc(spark, sf_dir):
+    return warc.digest(table(spark, sf_dir, "pages"))
+
+
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_decontaminate, op3_embed_dedup, op4_secrets, op5_token_files, op9_warc)}
 ORACLES: dict[str, str] = {}
