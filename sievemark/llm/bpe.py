@@ -80,13 +80,14 @@ def encode_texts(docs: DataFrame, rank_file: str, pattern: str, text: str = "tex
     """
     sent = _sent(docs.sparkSession, rank_file)
     kept = docs.drop(ids, n)
-    at = kept.columns.index(text)
+    names = kept.columns
+    at = names.index(text)
 
     def run(batches):
         enc = codec(sent.value, pattern)
         for batch in slices(batches):
             found = [encode(enc, x) for x in texts(batch.column(at))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, from_lists(found, pa.int32()), pa.array([len(x) for x in found], pa.int64())], names=[*kept.columns, ids, n])
+            yield pa.RecordBatch.from_arrays([*batch.columns, from_lists(found, pa.int32()), pa.array([len(x) for x in found], pa.int64())], names=[*names, ids, n])
 
     schema = T.StructType([*kept.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType())), T.StructField(n, T.LongType())])
     return kept.mapInArrow(run, schema)

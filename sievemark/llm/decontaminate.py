@@ -245,7 +245,8 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 def remove_spans(found: DataFrame, text: str = "text", least_words: int = WINDOW) -> DataFrame:
     """Cuts each hit span of at least `least_words` words out of the text (found: from find(carry=True))."""
-    at, sp = found.columns.index(text), found.columns.index("spans")
+    names = found.columns
+    at, sp = names.index(text), names.index("spans")
 
     def run(batches):
         for batch in slices(batches):
@@ -259,7 +260,7 @@ def remove_spans(found: DataFrame, text: str = "text", least_words: int = WINDOW
                             last = where[b - 1][1]
                     x = b"".join([*parts, x[last:]])
                 out.append(None if null else x.decode())
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()) if i == at else c for i, c in enumerate(batch.columns)], names=found.columns)
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()) if i == at else c for i, c in enumerate(batch.columns)], names=names)
 
     return found.mapInArrow(run, found.schema)
 
