@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import bpe, decontaminate, embed_dedup, secrets, token_files, warc
+from . import bpe, decontaminate, embed_dedup, ngram_join, secrets, token_files, warc
 from .common import table
 
 
@@ -29,9 +29,13 @@ def op5_token_files(spark, sf_dir):
     return token_files.digest(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op6_ngram_join(spark, sf_dir):
+    return ngram_join.ngram_components(table(spark, sf_dir, "documents"))
+
+
 def op9_warc(spark, sf_dir):
     return warc.digest(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_decontaminate, op3_embed_dedup, op4_secrets, op5_token_files, op9_warc)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_decontaminate, op3_embed_dedup, op4_secrets, op5_token_files, op6_ngram_join, op9_warc)}
 ORACLES: dict[str, str] = {}
