@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import bpe, decontaminate, embed_dedup, ngram_join, secrets, token_files, warc
+from . import bpe, decontaminate, embed_dedup, ngram_join, quality, secrets, token_files, warc
 from .common import table
 
 
@@ -33,9 +33,15 @@ def op6_ngram_join(spark, sf_dir):
     return ngram_join.ngram_components(table(spark, sf_dir, "documents"))
 
 
+def op7_quality(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    model = quality.fit(docs, table(spark, sf_dir, "labels"))
+    return quality.score(docs, model).select("doc_id", quality.held_out().alias("held_out"), "score", "predicted")
+
+
 def op9_warc(spark, sf_dir):
     return warc.digest(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_decontaminate, op3_embed_dedup, op4_secrets, op5_token_files, op6_ngram_join, op9_warc)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_decontaminate, op3_embed_dedup, op4_secrets, op5_token_files, op6_ngram_join, op7_quality, op9_warc)}
 ORACLES: dict[str, str] = {}
