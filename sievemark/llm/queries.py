@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import bpe, decontaminate, embed_dedup, ngram_join, quality, secrets, token_files, warc
+from . import bpe, decontaminate, embed_dedup, licenses, ngram_join, quality, secrets, substring_dedup, token_files, warc
 from .common import table
+from .license_texts import TEMPLATES
 
 
 def op1_bpe(spark, sf_dir):
@@ -39,9 +40,17 @@ def op7_quality(spark, sf_dir):
     return quality.score(docs, model).select("doc_id", quality.held_out().alias("held_out"), "score", "predicted")
 
 
+def op8_licenses(spark, sf_dir):
+    return licenses.digest(licenses.license_scan(table(spark, sf_dir, "documents"), TEMPLATES))
+
+
 def op9_warc(spark, sf_dir):
     return warc.digest(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_decontaminate, op3_embed_dedup, op4_secrets, op5_token_files, op6_ngram_join, op7_quality, op9_warc)}
+def op10_substring_dedup(spark, sf_dir):
+    return substring_dedup.substring_dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_sentences", "n_removed", "removed", "text")
+
+
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_decontaminate, op3_embed_dedup, op4_secrets, op5_token_files, op6_ngram_join, op7_quality, op8_licenses, op9_warc, op10_substring_dedup)}
 ORACLES: dict[str, str] = {}
