@@ -1,13 +1,85 @@
-"""The corpus pipeline: quality filter, near-duplicates, decontamination, secrets, token ids."""
+"""The corpus pipeline: quality filter, near-duplicates, decontamination, secrets, token ids.
+
+Each stage takes all that the one before it kept. All but the last return the columns of documents. Rows with a null
+doc_id or a null text take part like any others; what a stage does with them is said there.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+import pyarrow as pa
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from sievemark.llm import bpe, decontaminate, ngram_join, quality, secrets
+from sievemark.llm.common import slices, table
+
+
+def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the documents that the classifier, fitted on the labelled ones among them, scores at 0.7 or more."""
+    model = quality.fit(docs, table(spark, sf_dir, "labels"))
+    return quality.score(docs, model, carry=True).where("predicted = 1").select(*docs.columns)
+
+
+def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents that the n-gram join links, directly or by others, the one with the smallest doc_id stays.
+
+    Of rows with one doc_id, one stays. Rows with a null doc_id link with nothing and all stay.
+    """
+    stay = ngram_join.ngram_components(docs).where("doc_id = component_id").select("doc_id").distinct()
+    named = docs.where("doc_id is not null").join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return named.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+
+
+def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops the contaminated documents: those of whose words benchmark windows hit at least a twentieth."""
+    found = decontaminate.find(docs, table(spark, sf_dir, "benchmark"), carry=True)
+    return found.where(~F.col("contaminated")).select(*docs.columns)
+
+
+def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Overwrites every secret in the texts with a mark (of an assignment its value only) and counts n_chars anew.
+
+    Spans are found for each (doc_id, text), so that rows of one doc_id with different texts stay apart.
+    """
+    keyed = docs.withColumn("_key", F.struct(F.col("doc_id").alias("id"), F.xxhash64("text").alias("th")))
+    found = secrets.scan_secrets(keyed, key="_key").where(F.size("all") > 0).select(F.col("_key").alias("_found"), "all").dropDuplicates(["_found"])
+    both = keyed.join(found, F.col("_key").eqNullSafe(F.col("_found")), "left").select(*docs.columns, "all")
+    names = docs.columns
+    at, count = names.index("text"), names.index("n_chars")
+
+    def run(batches):
+        for batch in slices(batches):
+            text, n = batch.column(at).to_pylist(), batch.column(count).to_pylist()
+            for i, spans in enumerate(batch.column(len(names)).to_pylist()):
+                if spans:
+                    text[i] = secrets.redact(text[i], [secrets.value_span(text[i], x["s"], x["k"], x["e"]) for x in spans])
+                    n[i] = len(text[i])
+            new = {at: pa.array(text, pa.string()), count: pa.array(n, batch.column(count).type)}
+            yield pa.RecordBatch.from_arrays([new.get(i, batch.column(i)) for i in range(len(names))], names=names)
+
+    return both.mapInArrow(run, docs.schema)
+
+
+def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, lang, source, n_tokens and token_ids of every whole text."""
+    out = bpe.encode_texts(docs.select("doc_id", "lang", "source", "text"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return out.select("doc_id", "lang", "source", "n_tokens", "token_ids")
+
+
+STAGES = [
+    ("quality", quality_filter),
+    ("near_duplicates", one_of_each_group),
+    ("decontamination", without_benchmark),
+    ("secrets", without_secrets),
+    ("token_ids", token_ids),
+]
+#: No SQL can say what the classifier and the tokenizer do; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
     return docs

@@ -138,6 +138,12 @@ def digest(found: DataFrame, key: str = "doc_id") -> DataFrame:
     return found.select(key, "n_assign", "n_access", "n_hex", F.sha2(_listed("base"), 256).alias("base_sha256"), _listed("all").alias("spans"), "n_owned", "n_live", "n_example")
 
 
+def value_span(text: str, start: int, kind: int, end: int) -> tuple[int, int]:
+    """What to overwrite of a span: of an assignment the value, else all."""
+    found = _ASSIGN.match(text, start) if kind == 0 else None
+    return found.span(2) if found else (start, end)
+
+
 def redact(text: str, spans: list[tuple[int, int]], mark: str = "[SECRET]") -> str:
     """The text with each span (merged where they overlap) replaced by a mark."""
     parts, last = [], 0
