@@ -10,8 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows that a task turns into Python objects at once.
-SLICE_ROWS = 512
+#: Rows that a task turns into Python objects at once, and about how many bytes.
+SLICE_ROWS, SLICE_BYTES = 512, 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,10 +41,11 @@ def new_folder(spark: SparkSession, what: str) -> str:
 
 
 def slices(batches, rows: int = SLICE_ROWS):
-    """Arrow batches cut to a bounded number of rows."""
+    """Arrow batches cut to a bounded number of rows, fewer where rows are long."""
     for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
+        step = min(rows, max(1, SLICE_BYTES * batch.num_rows // max(1, batch.nbytes)))
+        for at in range(0, batch.num_rows, step):
+            yield batch.slice(at, step)
 
 
 def raw(column: pa.Array) -> list[bytes]:

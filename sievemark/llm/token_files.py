@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import uuid
 import zlib
 
@@ -16,8 +17,8 @@ from tokenizers import Tokenizer
 from .common import checkpointed, new_folder, slices, texts
 from .mph import Index
 
-#: Words whose ids a worker remembers.
-MOST_WORDS = 400_000
+#: Words whose ids a worker remembers, and how many new ones it encodes at once.
+MOST_WORDS, NEW_WORDS = 400_000, 4096
 MOST_MODEL_BYTES = 64 << 20
 
 
@@ -29,6 +30,7 @@ class WordEncoder:
     """
 
     def __init__(self, model: bytes, kind: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.tokenizer = Tokenizer.from_str(model.decode())
         self.kind, self.known = kind, {"": b""}
 
@@ -39,11 +41,24 @@ class WordEncoder:
             known[""] = b""
         split = [x.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for x in batch]
         new = list(set().union(*split).difference(known)) if split else []
-        for w, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False)):
-            known[w] = np.array(e.ids, self.kind).tobytes()
+        for at in range(0, len(new), NEW_WORDS):
+            part = new[at : at + NEW_WORDS]
+            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
+                known[w] = np.array(e.ids, self.kind).tobytes()
         return [b"".join(map(known.__getitem__, words)) for words in split]
 
 
+_ENCODERS: dict[tuple[int, str], WordEncoder] = {}
+
+
+def encoder(model: bytes, kind: str) -> WordEncoder:
+    """One encoder, with what it remembers, for each Python worker and tokenizer."""
+    key = (hash(model), kind)
+    if key not in _ENCODERS:
+        _ENCODERS[key] = WordEncoder(model, kind)
+    return _ENCODERS[key]
+
+
 def _model(path: str) -> tuple[bytes, str]:
     with open(path, "rb") as f:
         data = f.read(MOST_MODEL_BYTES + 1)
@@ -69,7 +84,7 @@ def write_ids(docs: DataFrame, tokenizer_file: str, folder: str, key: str = "doc
     ordered = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t")).withColumn("h", F.xxhash64("t")).repartitionByRange("k", "h").sortWithinPartitions("k", "h")
 
     def run(batches):
-        encoder, out = None, None
+        words, out = None, None
         keys, known, lengths = [], [], []
         end = np.array([end_id], kind).tobytes()
         width = len(end)
@@ -77,11 +92,11 @@ def write_ids(docs: DataFrame, tokenizer_file: str, folder: str, key: str = "doc
         path = f"{folder}/part-{part:06d}-{uuid.uuid4().hex[:12]}"
         for batch in slices(batches):
             if out is None:
-                encoder = WordEncoder(sent.value, kind)
+                words = encoder(sent.value, kind)
                 store, where = fs.FileSystem.from_uri(path)
                 store.create_dir(where.rpartition("/")[0], recursive=True)
                 out = store.open_output_stream(where + ".ids")
-            payload = [p + end for p in encoder.encode(texts(batch.column(1)))]
+            payload = [p + end for p in words.encode(texts(batch.column(1)))]
             out.write(b"".join(payload))
             k = batch.column(0)
             known.append(k.is_valid().to_numpy(zero_copy_only=False))
