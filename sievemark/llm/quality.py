@@ -63,18 +63,24 @@ class Model:
     bias: float
 
 
-def train(docs: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, dim: int = DIM, epochs: int = EPOCHS, batch: int = BATCH, rate: float = RATE, seed: int = 11) -> Model:
-    """Stochastic gradient descent on vectors and softmax. docs: (buckets, counts) of each; without docs all score 0.5."""
+def train(buckets: np.ndarray, counts: np.ndarray, sizes: np.ndarray, labels: np.ndarray, dim: int = DIM, epochs: int = EPOCHS, batch: int = BATCH, rate: float = RATE, seed: int = 11) -> Model:
+    """Stochastic gradient descent on vectors and softmax. Documents lie one after the other: `sizes` says how many
+    buckets each has, `counts` how often it has each. Without documents all score 0.5."""
     rng = np.random.default_rng(seed)
-    used, where = np.unique(np.concatenate([d[0] for d in docs]) if docs else np.zeros(0, np.int64), return_inverse=True)
+    used = np.flatnonzero(np.bincount(buckets, minlength=BUCKETS))
+    number = np.zeros(BUCKETS, np.int32)
+    number[used] = np.arange(len(used))
+    where = number[buckets]
     vec = rng.uniform(-1 / dim, 1 / dim, (len(used), dim)).astype(np.float32)
     out = rng.normal(0, 0.3, (dim, 2)).astype(np.float32)
     bias = np.zeros(2, np.float32)
-    starts = np.concatenate([[0], np.cumsum([len(d[0]) for d in docs])]).astype(np.int64)
-    share = np.concatenate([d[1] / max(1, d[1].sum()) for d in docs]).astype(np.float32) if docs else np.zeros(0, np.float32)
-    steps, step = max(1, epochs * -(-len(docs) // batch)), 0
-    for _ in range(epochs if docs else 0):
-        order = rng.permutation(len(docs))
+    n = len(sizes)
+    starts = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+    total = np.maximum(1, np.bincount(np.repeat(np.arange(n), sizes), counts, n)) if n else np.zeros(0)
+    share = (counts / np.repeat(total, sizes)).astype(np.float32)
+    steps, step = max(1, epochs * -(-n // batch)), 0
+    for _ in range(epochs if n else 0):
+        order = rng.permutation(n)
         for at in range(0, len(order), batch):
             pick = order[at : at + batch]
             lr = rate * (1 - step / steps)
@@ -153,8 +159,18 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
                 out.append((f.astype(np.int32).tobytes(), c.astype(np.int32).tobytes()))
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.string()), batch.column(2), pa.array([o[0] for o in out], pa.binary()), pa.array([o[1] for o in out], pa.binary())], names=["k", "y", "f", "c"])
 
-    rows = sorted({r.k: r for r in sorted(sample.mapInArrow(run, "k string, y int, f binary, c binary").collect(), key=lambda r: bytes(r.f))}.values(), key=lambda r: r.k)
-    return train([(np.frombuffer(r.f, np.int32).astype(np.int64), np.frombuffer(r.c, np.int32)) for r in rows], np.array([r.y for r in rows], np.int64))
+    got = sample.mapInArrow(run, "k string, y int, f binary, c binary").toArrow()
+    keys, first = got.column("k").to_pylist(), {}
+    for i in sorted(range(len(keys)), key=lambda i: (keys[i], got.column("f")[i].as_py())):
+        first.setdefault(keys[i], i)
+    at = pa.array(list(first.values()), pa.int64())
+
+    def flat(column: str) -> tuple[np.ndarray, np.ndarray]:
+        parts = [np.frombuffer(x.as_buffer(), np.int32) if x.as_buffer().size else np.zeros(0, np.int32) for x in got.column(column).take(at)]
+        return np.concatenate([np.zeros(0, np.int32), *parts]), np.array([len(p) for p in parts], np.int64)
+
+    buckets, sizes = flat("f")
+    return train(buckets, flat("c")[0], sizes, np.array(got.column("y").take(at).to_pylist(), np.int64))
 
 
 def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, carry: bool = False) -> DataFrame:
