@@ -41,7 +41,7 @@ def context_tokens(text: Column) -> Column:
 def qa_tokens(text: Column) -> Column:
     """Lower case, without ASCII punctuation and articles."""
     bare = F.regexp_replace(F.lower(text), r"[!-/:-@\[-`{-~]", "")
-    return F.filter(F.split(F.trim(F.regexp_replace(F.regexp_replace(bare, r"\b(a|an|the)\b", " "), r"\s+", " ")), " "), lambda t: t != "")
+    return F.filter(F.split(bare, r"\s+"), lambda t: (t != "") & ~t.isin("a", "an", "the"))
 
 
 def char_token_estimate(text: Column) -> Column:

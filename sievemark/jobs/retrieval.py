@@ -94,7 +94,7 @@ def vx05(spark, sf_dir):
     return near.select("qid", "vec_id", "score", F.row_number().over(w).cast("long").alias("vector_rank"))
 
 
-@query("vx06_rounding", "SELECT vec_id, md5(array_to_string(list_transform(embedding, x -> CAST(CAST(round(CAST(x AS DOUBLE) * 1e6) AS BIGINT) AS VARCHAR)), ',')) AS literal_md5 FROM embeddings")
+@query("vx06_rounding", "SELECT vec_id, md5(array_to_string(list_transform(embedding, lambda x: CAST(CAST(round(CAST(x AS DOUBLE) * 1e6) AS BIGINT) AS VARCHAR)), ',')) AS literal_md5 FROM embeddings")
 def vx06(spark, sf_dir):
     digits = F.transform("embedding", lambda x: F.round(x.cast("double") * 1e6).cast("long").cast("string"))
     return _vectors(spark, sf_dir).select("vec_id", F.md5(F.array_join(digits, ",")).alias("literal_md5"))
@@ -191,7 +191,7 @@ def fu10(spark, sf_dir):
 
 @query(
     "fu11_near_duplicates",
-    f"WITH t AS (SELECT doc_id, source, {TOK.format('text')} AS t FROM documents), e AS (SELECT doc_id, source, unnest(list_distinct(list_transform(range(1, len(t) - 3), i -> array_to_string(t[i:i+4], ' ')))) AS x FROM t WHERE len(t) >= 20), n AS (SELECT doc_id, count(*) AS n FROM e GROUP BY doc_id), "
+    f"WITH t AS (SELECT doc_id, source, {TOK.format('text')} AS t FROM documents), e AS (SELECT doc_id, source, unnest(list_distinct(list_transform(range(1, len(t) - 3), lambda i: array_to_string(t[i:i+4], ' ')))) AS x FROM t WHERE len(t) >= 20), n AS (SELECT doc_id, count(*) AS n FROM e GROUP BY doc_id), "
     "s AS (SELECT doc_id, source, md5(string_agg(x, '|' ORDER BY x)) AS h FROM e GROUP BY ALL), r AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY h, source) AS f FROM s), "
     "i AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM e a JOIN e b ON a.x = b.x AND a.source = b.source AND a.doc_id < b.doc_id WHERE a.doc_id IN (SELECT f FROM r) AND b.doc_id IN (SELECT f FROM r) GROUP BY ALL) "
     "SELECT a, b, round(i / (na.n + nb.n - i), 6) AS jaccard FROM i JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE i * 100 >= 82 * (na.n + nb.n - i) UNION ALL SELECT f, doc_id, 1.0 FROM r WHERE f <> doc_id",
@@ -233,7 +233,7 @@ def fu21(spark, sf_dir):
     return terms.groupBy("item_id").agg(F.countDistinct("i").alias("searches"), F.countDistinct("term").alias("terms"))
 
 
-@query("au07_retrieval_gate", rf"""{_SOURCED}, e AS (SELECT qid, string_agg(text, chr(10)) AS ev FROM s WHERE rank <= 8 GROUP BY qid), q AS (SELECT item_id AS qid, text, list_distinct({TOK.format('text')}) AS qt FROM benchmark), j AS (SELECT q.qid, ev, q.text, qt, len(list_intersect(qt, {TOK.format("coalesce(ev, '')")})) AS matched, regexp_matches(q.text, '(?i)(how many|how much|accuracy|f1|bleu|rouge|percent|percentage|number|count|score)') AS numq, regexp_matches(coalesce(ev, ''), '\d') AS nume FROM q LEFT JOIN e USING (qid)) SELECT qid, CASE WHEN len(qt) = 0 THEN 1e0 ELSE round(CAST(matched AS DOUBLE) / len(qt), 6) END AS coverage, CASE WHEN ev IS NULL OR (numq AND NOT nume) OR (len(qt) > 0 AND matched = 0) THEN 'REJECT' WHEN len(qt) > 0 AND CAST(matched AS DOUBLE) / len(qt) < 0.5 THEN 'CAUTION' ELSE 'PASS' END AS status FROM j""")
+@query("au07_retrieval_gate", rf"""{_SOURCED}, e AS (SELECT qid, string_agg(text, chr(10)) AS ev FROM s WHERE rank <= 8 GROUP BY qid), qq AS (SELECT item_id AS qid, text, list_distinct({TOK.format('text')}) AS qt FROM benchmark), j AS (SELECT qq.qid, ev, qq.text, qt, len(list_intersect(qt, {TOK.format("coalesce(ev, '')")})) AS matched, regexp_matches(qq.text, '(?i)(how many|how much|accuracy|f1|bleu|rouge|percent|percentage|number|count|score)') AS numq, regexp_matches(coalesce(ev, ''), '\d') AS nume FROM qq LEFT JOIN e USING (qid)) SELECT qid, CASE WHEN len(qt) = 0 THEN 1e0 ELSE round(CAST(matched AS DOUBLE) / len(qt), 6) END AS coverage, CASE WHEN ev IS NULL OR (numq AND NOT nume) OR (len(qt) > 0 AND matched = 0) THEN 'REJECT' WHEN len(qt) > 0 AND CAST(matched AS DOUBLE) / len(qt) < 0.5 THEN 'CAUTION' ELSE 'PASS' END AS status FROM j""")
 def au07(spark, sf_dir):
     from ..operators.audit import retrieval_gate
 
@@ -244,7 +244,7 @@ def au07(spark, sf_dir):
 
 @query("ev09_ranking_metrics", f"""WITH r AS (SELECT qid, rank, CASE WHEN g.label = c.label THEN 1 ELSE 0 END AS rel, g.label FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, vec_id) AS rank FROM (SELECT a.vec_id AS qid, b.vec_id, {_COS} AS score FROM embeddings a CROSS JOIN embeddings b WHERE a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id)) n JOIN embeddings g ON g.vec_id = qid JOIN embeddings c ON c.vec_id = n.vec_id WHERE rank <= 10),
 gold AS (SELECT a.vec_id AS qid, count(b.vec_id) AS gold FROM embeddings a LEFT JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0 GROUP BY ALL), ks AS (SELECT unnest([1, 3, 5, 10]) AS k), p AS (SELECT *, sum(rel) OVER (PARTITION BY qid ORDER BY rank) AS hits FROM r)
-SELECT qid, CAST(k AS INT) AS k, round(CASE WHEN gold > 0 THEN sum(rel) / CAST(gold AS DOUBLE) END, 6) AS recall, round(CASE WHEN gold > 0 THEN coalesce(max(CASE WHEN rel = 1 THEN 1e0 / rank END), 0) END, 6) AS mrr, round(CASE WHEN gold > 0 THEN sum(CASE WHEN rel = 1 THEN hits / CAST(rank AS DOUBLE) ELSE 0 END) / least(gold, k) END, 6) AS map, round(CASE WHEN gold > 0 THEN sum(rel / log2(rank + 1)) / (SELECT sum(1 / log2(i + 1)) FROM range(1, 11) t(i) WHERE i <= least(gold, k)) END, 6) AS ndcg FROM p JOIN gold USING (qid) JOIN ks ON rank <= k GROUP BY qid, k, gold""")
+SELECT qid, CAST(k AS INT) AS k, round(CASE WHEN gold > 0 THEN sum(rel) / CAST(gold AS DOUBLE) END, 6) AS recall, round(CASE WHEN gold > 0 THEN coalesce(max(CASE WHEN rel = 1 THEN 1e0 / rank END), 0) END, 6) AS mrr, round(CASE WHEN gold > 0 THEN sum(CASE WHEN rel = 1 THEN hits / CAST(rank AS DOUBLE) ELSE 0 END) / least(gold, k) END, 6) AS map, round(CASE WHEN gold > 0 THEN sum(rel / log2(rank + 1)) / list_sum(list_transform(range(1, least(gold, k) + 1), lambda i: 1 / log2(i + 1))) END, 6) AS ndcg FROM p JOIN gold USING (qid) JOIN ks ON rank <= k GROUP BY qid, k, gold""")
 def ev09(spark, sf_dir):
     from ..operators.evaluate import ranking_metrics
 

@@ -13,8 +13,8 @@ def _in(words: list[str]) -> str:
 
 
 #: The tokenizers in SQL, for use in other oracles: {0} is the text.
-TOK = "list_transform(list_filter(list_transform(regexp_extract_all(lower({0}), '" + X.SEARCH_PATTERN.replace("{", "{{").replace("}", "}}") + "'), t -> trim(t, '" + X.STRIPPED.replace("{", "{{").replace("}", "}}") + "')), t -> t <> '' AND NOT list_contains(" + _in(X.SEARCH_STOPWORDS) + ", t)), t -> replace(t, ',', ''))"
-PAPER_TOK = "list_filter(regexp_extract_all(lower({0}), '" + X.PAPER_PATTERN.replace("{", "{{").replace("}", "}}") + "'), t -> NOT list_contains(" + _in(X.PAPER_STOPWORDS) + ", t))"
+TOK = "list_transform(list_filter(list_transform(regexp_extract_all(lower({0}), '" + X.SEARCH_PATTERN.replace("{", "{{").replace("}", "}}") + "'), lambda t: trim(t, '" + X.STRIPPED.replace("{", "{{").replace("}", "}}") + "')), lambda t: t <> '' AND NOT list_contains(" + _in(X.SEARCH_STOPWORDS) + ", t)), lambda t: replace(t, ',', ''))"
+PAPER_TOK = "list_filter(regexp_extract_all(lower({0}), '" + X.PAPER_PATTERN.replace("{", "{{").replace("}", "}}") + "'), lambda t: NOT list_contains(" + _in(X.PAPER_STOPWORDS) + ", t))"
 CONTEXT_TOK = "regexp_extract_all({0}, '" + X.CONTEXT_PATTERN.replace("'", "''").replace("{", "{{").replace("}", "}}") + "')"
 
 
@@ -32,7 +32,7 @@ def _tokens(name: str, func, sql: str):
 _tokens("tx01_search_tokens", X.search_tokens, TOK)
 _tokens("tx02_paper_tokens", X.paper_tokens, PAPER_TOK)
 _tokens("tx03_context_tokens", X.context_tokens, CONTEXT_TOK)
-_tokens("tx08_qa_tokens", X.qa_tokens, r"list_filter(string_split(trim(regexp_replace(regexp_replace(regexp_replace(lower({0}), '[!-/:-@\[-`{{-~]', '', 'g'), '\b(a|an|the)\b', ' ', 'g'), '\s+', ' ', 'g')), ' '), t -> t <> '')")
+_tokens("tx08_qa_tokens", X.qa_tokens, r"list_filter(regexp_split_to_array(regexp_replace(lower({0}), '[!-/:-@\[-`{{-~]', '', 'g'), '\s+'), lambda t: t <> '' AND t NOT IN ('a', 'an', 'the'))")
 
 
 @query("tx04_token_estimate", "SELECT doc_id, CAST(greatest(1, c + CAST(round((length(text) - c) / 4.0e0) AS INT)) AS BIGINT) AS estimate FROM (SELECT doc_id, text, length(text) - length(regexp_replace(text, '[一-鿿]', '', 'g')) AS c FROM documents)")
@@ -99,7 +99,7 @@ def tx24(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", F.sha2(F.concat_ws("|", F.col("doc_id").cast("string"), "lang", "source", F.col("n_chars").cast("string"), "text"), 256).alias("signature"))
 
 
-@query("tx10_years", r"SELECT doc_id, array_to_string(list_distinct_in_order, ',') AS years FROM (SELECT doc_id, list_filter(y, (v, i) -> NOT list_contains(y[1:i-1], v)) AS list_distinct_in_order FROM (SELECT doc_id, list_filter(list_filter(regexp_extract_all(text, '\d+'), w -> length(w) = 4), v -> v >= '2000' AND v <= '2099') AS y FROM documents))")
+@query("tx10_years", r"SELECT doc_id, array_to_string(list_distinct_in_order, ',') AS years FROM (SELECT doc_id, list_filter(y, lambda v, i: NOT list_contains(y[1:i-1], v)) AS list_distinct_in_order FROM (SELECT doc_id, list_filter(list_filter(regexp_extract_all(text, '\d+'), lambda w: length(w) = 4), lambda v: v >= '2000' AND v <= '2099') AS y FROM documents))")
 def tx10(spark, sf_dir):
     years = X.fiscal_years(F.col("text"), 2000, 2099)
     return _docs(spark, sf_dir).select("doc_id", F.array_join(F.transform(years, lambda y: y.cast("string")), ",").alias("years"))
@@ -121,6 +121,6 @@ def ch16(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", F.concat(F.lit("chunk_"), F.substring(F.sha2(ident, 256), 1, 24)).alias("chunk_id"), F.substring(F.sha1(F.concat_ws(":", "source", F.col("doc_id").cast("string"))), 1, 20).alias("paper_chunk_id"))
 
 
-@query("lx07_or_query", r"SELECT item_id, array_to_string(u[1:16], ' | ') AS q FROM (SELECT item_id, list_filter(t, (v, i) -> NOT list_contains(t[1:i-1], v)) AS u FROM (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS t FROM benchmark))")
+@query("lx07_or_query", r"SELECT item_id, array_to_string(u[1:16], ' | ') AS q FROM (SELECT item_id, list_filter(t, lambda v, i: NOT list_contains(t[1:i-1], v)) AS u FROM (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS t FROM benchmark))")
 def lx07(spark, sf_dir):
     return table(spark, sf_dir, "benchmark").select("item_id", X.or_query(F.col("text")).alias("q"))
