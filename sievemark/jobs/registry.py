@@ -26,4 +26,4 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-from . import conversation, corpus, evaluation, facts, retrieval, texts  # noqa: E402, F401
+from . import chunks, conversation, corpus, evaluation, facts, retrieval, streams, texts  # noqa: E402, F401

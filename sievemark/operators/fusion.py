@@ -46,7 +46,9 @@ def near_duplicates(docs: DataFrame, num: int = 82, den: int = 100, key: str = "
     candidates are then counted by a join of their sets. Documents of fewer than `least` tokens take no part.
     """
     own = docs.where(F.size(tokens) >= least)
-    shingle = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(tokens) - (size - 1))), lambda i: F.xxhash64(F.slice(F.col(tokens), i, size)))
+    # tokens are zipped with themselves, not looked up by position, so that they are made once for each row
+    ahead = F.arrays_zip(*[F.slice(F.col(tokens), i + 1, 1 << 30).alias(f"t{i}") for i in range(size)])
+    shingle = F.transform(F.slice(ahead, 1, F.greatest(F.lit(1), F.size(tokens) - (size - 1))), lambda x: F.xxhash64(x))
     sets = own.select(key, *groups, F.array_sort(F.array_distinct(shingle)).alias("s"))
     named = sets.withColumn("h", F.sha2(F.to_json(F.struct("s", *groups)), 256))
     first = named.groupBy("h").agg(F.min(key).alias("first"))
