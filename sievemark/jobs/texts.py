@@ -81,11 +81,11 @@ def tx15(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", X.numeric_question(t).alias("numeric_question"), t.rlike("[一-鿿]").alias("cjk"), t.rlike("(?i)(cannot answer|no evidence|not available|insufficient)").alias("refusal"), t.rlike(r"\d").alias("has_digit"))
 
 
-@query("tx17_scale", "SELECT o_orderkey, s AS scale, CAST(round(CASE s WHEN 'billion' THEN 1e9 WHEN 'million' THEN 1e6 WHEN 'thousand' THEN 1e3 ELSE 1e0 END * o_totalprice, 2) AS DOUBLE) AS in_units FROM (SELECT *, CASE o_orderpriority WHEN '1-URGENT' THEN 'billion' WHEN '2-HIGH' THEN 'million' WHEN '3-MEDIUM' THEN 'thousand' ELSE 'unit' END AS s FROM orders)")
+@query("tx17_scale", "SELECT o_orderkey, s AS scale, CAST(CASE s WHEN 'billion' THEN 1000000000 WHEN 'million' THEN 1000000 WHEN 'thousand' THEN 1000 ELSE 1 END * CAST(o_totalprice AS DECIMAL(15,0)) AS BIGINT) AS in_units FROM (SELECT *, CASE o_orderpriority WHEN '1-URGENT' THEN 'billion' WHEN '2-HIGH' THEN 'million' WHEN '3-MEDIUM' THEN 'thousand' ELSE 'unit' END AS s FROM orders)")
 def tx17(spark, sf_dir):
     words = F.create_map(*[F.lit(x) for x in ("1-URGENT", "USD Billion", "2-HIGH", "in millions", "3-MEDIUM", "(in thousands)")])
     o = table(spark, sf_dir, "orders").withColumn("scale", X.scale_name(words[F.col("o_orderpriority")]))
-    return o.select("o_orderkey", "scale", F.round(X.scale_factor(F.col("scale")).cast("double") * F.col("o_totalprice"), 2).alias("in_units"))
+    return o.select("o_orderkey", "scale", (X.scale_factor(F.col("scale")).cast("long") * F.col("o_totalprice").cast("decimal(15,0)").cast("long")).alias("in_units"))
 
 
 @query("tx19_json", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
@@ -105,7 +105,7 @@ def tx10(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", F.array_join(F.transform(years, lambda y: y.cast("string")), ",").alias("years"))
 
 
-@query("tx12_entities", r"SELECT doc_id, CAST(len(regexp_extract_all(text, '\b([A-Z][a-z]{2,}(?:\s+[A-Z][a-z]{2,}){1,3})\b', 1)) > 0 AS BOOLEAN) AS has_entity FROM documents")
+@query("tx12_entities", r"SELECT doc_id, regexp_matches(text, '(^|[^\p{L}\p{N}_])[A-Z][a-z]{2,}(\s+[A-Z][a-z]{2,}){1,3}($|[^\p{L}\p{N}_])') AS has_entity FROM documents")
 def tx12(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", (F.size(X.named_entities(F.col("text"))) > 0).alias("has_entity"))
 
