@@ -124,3 +124,18 @@ def ch16(spark, sf_dir):
 @query("lx07_or_query", r"SELECT item_id, array_to_string(u[1:16], ' | ') AS q FROM (SELECT item_id, list_filter(t, lambda v, i: NOT list_contains(t[1:i-1], v)) AS u FROM (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS t FROM benchmark))")
 def lx07(spark, sf_dir):
     return table(spark, sf_dir, "benchmark").select("item_id", X.or_query(F.col("text")).alias("q"))
+
+
+@query("tx23_calculator", "SELECT o_orderkey, CAST((o_custkey + 7) * 3 - o_orderkey AS VARCHAR) AS result FROM orders")
+def tx23(spark, sf_dir):
+    from ..functions.calculator import calculated
+
+    text = F.concat(F.lit("("), F.col("o_custkey").cast("string"), F.lit(" + 7)*3 - "), F.col("o_orderkey").cast("string"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", calculated(text).alias("result"))
+
+
+@query("au02_numeric_claims", r"SELECT conv_id, turn, regexp_matches(regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '\[([EFC]\d+)\]', ' ', 'g'), '^\s*\d+[.)]\s', ' ', 'g'), '(?i)\b(item|form)\s+\d+[a-z-]*', ' ', 'g'), '\d') AS claim FROM conversations")
+def au02(spark, sf_dir):
+    from ..operators.audit import numeric_claim
+
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", numeric_claim(F.coalesce("text", F.lit(""))).alias("claim"))
