@@ -15,15 +15,16 @@ from .shingles import Shingler
 
 #: Two sets link if DEN * intersection >= NUM * union.
 NUM, DEN = 90, 100
-#: Shingles in one group of short lists, and sets that one task joins at once.
-GROUP_TOKENS, BLOCK_SETS = 1_000_000, 1024
-#: Pivots of a group of more than BLOCK_SETS sets.
+#: Shingles in one group of short lists; sets and shingles that one task joins at once.
+GROUP_TOKENS, BLOCK_SETS, BLOCK_TOKENS = 1_000_000, 1024, 1_000_000
+#: Pivots of a group that is more than one block.
 PIVOTS = 16
 #: Documents in which a task looks for frequent shingles at once, and how often one must occur there.
 CHUNK_DOCS, CHUNK_COUNT = 2048, 4
 #: Shingles that are ordered by their frequency; the others come before them. Bounds what is broadcast, not the result.
 MOST_FREQUENT = 300_000
-CELLS = 64
+#: Groups of short lists at least: a set is written once for each group that it has shingles in.
+LEAST_GROUPS = 64
 
 
 def need(n: int) -> int:
@@ -45,46 +46,74 @@ def overlap(a: np.ndarray, b: np.ndarray) -> int:
 
 
 def sketch(s: np.ndarray) -> np.ndarray:
-    """Shingles in each of CELLS cells, 255 at most: the L1 distance of two sketches is at most the sets' difference."""
-    return np.minimum(np.bincount((s >> np.uint64(58)).astype(np.int64), minlength=CELLS), 255).astype(np.uint8)
+    """Shingles in each cell of the hash range, 255 at most; the more shingles, the more cells (a power of two).
 
-
-def may_link(n: np.ndarray, cells: np.ndarray, i: int, others: np.ndarray) -> np.ndarray:
-    """Which of the others set i may link with, by size and sketch; true for every pair that links."""
-    a, b = n[i], n[others]
-    fits = (DEN * np.minimum(a, b) >= NUM * np.maximum(a, b))
-    if fits.any():
-        at = np.flatnonzero(fits)
-        gap = np.abs(cells[others[at]].astype(np.int16) - cells[i].astype(np.int16)).sum(1)
-        fits[at] = gap * (DEN + NUM) <= (a + b[at]) * (DEN - NUM)
-    return fits
+    The L1 distance of two sketches, the finer one folded to the other's cells, is at most the sets' difference.
+    """
+    cells = max(16, min(2048, 1 << max(0, -(-len(s) // 32) - 1).bit_length()))
+    at = (s >> np.uint64(64 - cells.bit_length() + 1)).astype(np.int64)
+    return np.minimum(np.bincount(at, minlength=cells), 255).astype(np.uint8)
+
+
+class Sketches:
+    """Sizes and sketches of a group's sets, sketches of one length in one matrix."""
+
+    def __init__(self, n: np.ndarray, cells: list[bytes]):
+        self.n, self.width = n, np.array([len(c) for c in cells])
+        self.row = np.zeros(len(n), np.int64)
+        self.of: dict[int, np.ndarray] = {}
+        for w in np.unique(self.width).tolist():
+            own = np.flatnonzero(self.width == w)
+            self.row[own] = np.arange(len(own))
+            self.of[w] = np.frombuffer(b"".join(cells[i] for i in own.tolist()), np.uint8).reshape(len(own), w)
+
+    def may_link(self, i: int, others: np.ndarray) -> np.ndarray:
+        """Which of the others set i may link with, by size and sketch; true for every pair that links."""
+        a, b = self.n[i], self.n[others]
+        fits = DEN * np.minimum(a, b) >= NUM * np.maximum(a, b)
+        near, w = np.flatnonzero(fits), int(self.width[i])
+        mine = self.of[w][self.row[i]].astype(np.int32)
+        for v in np.unique(self.width[others[near]]).tolist():
+            at = near[self.width[others[near]] == v]
+            m = min(v, w)
+            theirs = self.of[v][self.row[others[at]]].reshape(len(at), m, -1).sum(2, dtype=np.int32)
+            gap = np.abs(theirs - mine.reshape(m, -1).sum(1)).sum(1)
+            fits[at] = gap * (DEN + NUM) <= (a + b[at]) * (DEN - NUM)
+        return fits
 
 
 # -- the exact join of a bounded number of sets
 def search(sets: list[np.ndarray], forest: Forest) -> None:
-    """Unites all linked sets by a T-occurrence search of each in an index of those before it.
+    """Unites all linked sets by a T-occurrence search of each among those that aren't larger.
 
-    Sets are indexed by rising size. A set of n needs T = need(n) shingles in common with a smaller one. Of its n lists
-    the T - 1 longest are left out of the merge: a linked set occurs at least once in the n - T + 1 shortest. Sets found
-    there are probed by binary search, likeliest first, unless their component is joined already.
+    A set of n needs T = need(n) shingles in common with a set that isn't larger. Of its n inverted lists the T - 1
+    longest are left out of the merge: a linked set occurs at least once in the n - T + 1 shortest, which are merged with
+    counts. The sets found there are probed by binary search, likeliest first, unless their component is joined already.
     """
-    lists: dict[int, list[int]] = {}
-    for i in sorted(range(len(sets)), key=lambda i: (len(sets[i]), i)):
-        mine = sets[i].tolist()
-        n = len(mine)
-        if not n:
-            continue
+    order = sorted((i for i in range(len(sets)) if len(sets[i])), key=lambda i: (len(sets[i]), i))
+    if len(order) < 2:
+        return
+    size = np.array([len(sets[i]) for i in order])
+    at = np.concatenate([[0], np.cumsum(size)])
+    _, token = np.unique(np.concatenate([sets[i] for i in order]), return_inverse=True)
+    count = np.bincount(token)
+    begin = np.concatenate([[0], np.cumsum(count)])
+    lists = np.repeat(np.arange(len(order)), size)[np.argsort(token, kind="stable")]
+    for q, i in enumerate(order):
+        n = int(size[q])
         t = need(n)
-        found = sorted((x for x in map(lists.get, mine) if x), key=len)
-        # lists that nobody has yet count as the shortest
-        short = found[: max(0, len(found) - (t - 1))]
-        if short:
-            ids, count = np.unique(np.concatenate([np.asarray(x) for x in short]), return_counts=True)
-            for j in ids[np.argsort(-count, kind="stable")].tolist():
-                if forest.root(i) != forest.root(j) and len(sets[j]) >= t and linked(overlap(sets[i], sets[j]), n, len(sets[j])):
-                    forest.join(i, j)
-        for x in mine:
-            lists.setdefault(x, []).append(i)
+        mine = token[at[q] : at[q + 1]]
+        short = mine[np.argpartition(count[mine], n - t)[: n - t + 1]] if t > 1 else mine
+        short = short[count[short] > 1]
+        if not len(short):
+            continue
+        length = count[short]
+        found = lists[np.repeat(begin[short] - (np.cumsum(length) - length), length) + np.arange(length.sum())]
+        ids, times = np.unique(found[found < q], return_counts=True)
+        for j in ids[np.argsort(-times, kind="stable")].tolist():
+            k = order[j]
+            if size[j] >= t and forest.root(i) != forest.root(k) and linked(overlap(sets[i], sets[k]), n, int(size[j])):
+                forest.join(i, k)
 
 
 # -- tasks
@@ -175,7 +204,7 @@ def _loose(group: pa.Table) -> pa.Table:
     """Edges of a spanning forest of the sets of a group that share a short list and may link."""
     c1, first = np.unique(group.column("c1").to_numpy(), return_index=True)
     n = group.column("n").to_numpy()[first]
-    cells = np.array([np.frombuffer(x.as_py(), np.uint8) for x in group.column("cells").combine_chunks().take(pa.array(first))])
+    known = Sketches(n, group.column("cells").combine_chunks().take(pa.array(first)).to_pylist())
     rare = [np.frombuffer(x.as_py(), np.uint64) for x in group.column("rare").combine_chunks().take(pa.array(first))]
     owner = np.repeat(np.arange(len(rare)), [len(r) for r in rare])
     tokens = np.concatenate(rare)
@@ -195,7 +224,7 @@ def _loose(group: pa.Table) -> pa.Table:
             edge, left = [int(left[0])], left[1:]
             while edge and len(left):
                 i = edge.pop()
-                near = may_link(n, cells, i, left)
+                near = known.may_link(i, left)
                 for j in left[near].tolist():
                     forest.join(i, j)
                     edge.append(j)
@@ -247,7 +276,7 @@ def ngram_components(docs: DataFrame, key: str = "doc_id", text: str = "text", s
     2. A set that links with another shares one of its n - need(n) + 1 rarest shingles with it. These short lists are
        grouped by shingle; in a group, sets on one list that may link by size and sketch are loosely tied, without
        writing down pairs. Loose components bound what must be compared, and lose no link.
-    3. Texts of loose components of up to `block_sets` classes meet in one task, which joins them exactly. Larger ones
+    3. Texts of loose components of up to `block_sets` classes and BLOCK_TOKENS shingles meet in one task, which joins them exactly. Larger ones
        are dealt into blocks; each is joined exactly with itself and with the component's pivots. What then isn't one
        component is compared block by block: those outside the largest part with all.
     """
@@ -256,14 +285,15 @@ def ngram_components(docs: DataFrame, key: str = "doc_id", text: str = "text", s
     classes = checkpointed(real.groupBy("c1", "c2").agg(F.min("id").alias("id"), F.first("n").alias("n")))
     total = classes.agg(F.sum(F.col("n") - F.ceil(F.col("n") * NUM / DEN) + 1)).first()[0] or 0
     sent = docs.sparkSession.sparkContext.broadcast(_order(t1))
-    parts = max(1, -(-int(total) // group_tokens))
+    parts = max(LEAST_GROUPS, -(-int(total) // group_tokens))
     lists = _short_lists(docs, key, text, size, parts, sent)
     loose = checkpointed(lists.groupBy("part").applyInArrow(_loose, "a long, b long"))
     tied = components(loose)
-    members = classes.join(tied, F.col("c1") == F.col("node")).select("id", "c1", "c2", F.col("component").alias("comp"))
-    sizes = members.groupBy("comp").agg(F.count("*").alias("m"))
-    members = checkpointed(members.join(sizes, "comp").select("id", "c1", "c2", "comp", "m", F.pmod(F.xxhash64("id"), F.ceil(F.col("m") / block_sets)).cast("long").alias("block")))
-    small = F.col("m") <= block_sets
+    members = classes.join(tied, F.col("c1") == F.col("node")).select("id", "n", "c1", "c2", F.col("component").alias("comp"))
+    blocks = F.ceil(F.greatest(F.count("*") / block_sets, F.sum("n") / BLOCK_TOKENS)).cast("long")
+    sizes = members.groupBy("comp").agg(blocks.alias("m"))
+    members = checkpointed(members.join(sizes, "comp").select("id", "c1", "c2", "comp", "m", F.pmod(F.xxhash64("id"), F.col("m")).alias("block")))
+    small = F.col("m") <= 1
     body = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("t"))
     got = checkpointed(_with_texts(members, body, size))
     links = [got.where(small).groupBy("comp").applyInPandas(_join_block(size, False), "a long, b long")]

@@ -2,42 +2,55 @@
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 
 from .mph import mix
 
-_LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
+# A-Z as a-z, ASCII white space as blanks
+_FOLD = bytes(32 if c in b" \t\n\v\f\r" else c + 32 if 65 <= c <= 90 else c for c in range(256))
+_BYTE = np.random.default_rng(20).integers(0, 2**64, 256, np.uint64)
+_Q = 0x9E3779B97F4A7C15
+_Q_INVERSE = pow(_Q, -1, 2**64)
 _K = [np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)]
-#: Words whose hashes a worker remembers.
-MOST_WORDS = 500_000
-
-
-class _Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        h = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
-        self[word] = h
-        return h
 
 
 class Shingler:
-    """Sets of `size`-word shingles; words part at ASCII white space, A-Z count as a-z."""
+    """Sets of `size`-word shingles; words part at ASCII white space, A-Z count as a-z.
+
+    A word's hash is a polynomial of its bytes modulo 2**64, read off a running sum over the text, then mixed with its
+    length; a shingle's mixes those of its words.
+    """
 
     def __init__(self, size: int = 3):
-        self.size, self.known = size, _Hashes()
+        self.size = size
+        self._powers(1 << 16)
+
+    def _powers(self, n: int) -> None:
+        with np.errstate(over="ignore"):
+            self.up = np.cumprod(np.full(n, _Q, np.uint64))
+            self.down = np.cumprod(np.full(n, _Q_INVERSE, np.uint64))
+
+    def words(self, text: bytes) -> np.ndarray:
+        b = np.frombuffer(text.translate(_FOLD), np.uint8)
+        if not len(b):
+            return np.zeros(0, np.uint64)
+        if len(b) > len(self.up):
+            self._powers(2 * len(b))
+        edge = np.diff(np.concatenate([[True], b == 32, [True]]).view(np.int8))
+        start, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+        with np.errstate(over="ignore"):
+            run = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE[b] * self.up[: len(b)])])
+            return mix((run[end] - run[start]) * self.down[start] if len(start) else np.zeros(0, np.uint64), 1) ^ (end - start).astype(np.uint64)
 
     def set_of(self, text: bytes) -> np.ndarray:
         """Sorted distinct shingles; of fewer words the whole sequence, of none nothing."""
-        words = text.translate(_LOWER).split()
-        if not words:
-            return np.zeros(0, np.uint64)
-        if len(self.known) > MOST_WORDS:
-            self.known.clear()
-        w = np.fromiter(map(self.known.__getitem__, words), np.uint64, len(words))
+        w = self.words(text)
+        if not len(w):
+            return w
         size = min(self.size, len(w))
         with np.errstate(over="ignore"):
             x = mix(w[: len(w) - size + 1], size)
             for i in range(1, size):
                 x = mix((x ^ (w[i : len(w) - size + 1 + i] * _K[0])) * _K[1], 0)
-        return np.unique(x)
+        x.sort()
+        return x[np.concatenate([[True], x[1:] != x[:-1]])]
