@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import unicodedata
 import uuid
 import zlib
 
@@ -18,7 +19,8 @@ from .common import checkpointed, new_folder, slices, texts
 from .mph import Index
 
 #: Words whose ids a worker remembers, and how many new ones it encodes at once.
-MOST_WORDS, NEW_WORDS = 400_000, 4096
+MOST_WORDS, NEW_WORDS = 700_000, 4096
+_TAIL = ".,;:!?"
 MOST_MODEL_BYTES = 64 << 20
 
 
@@ -32,19 +34,34 @@ class WordEncoder:
     def __init__(self, model: bytes, kind: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.tokenizer = Tokenizer.from_str(model.decode())
-        self.kind, self.known = kind, {"": b""}
+        self.kind, self.known, self.cores = kind, {"": b""}, {"": b""}
+
+    @staticmethod
+    def parts(word: str) -> tuple[str, str]:
+        """A word as what stands before its last marks, and these: after a letter or an ASCII digit marks are always
+        a piece of their own (a letter that turns into one and a mark doesn't count). ASCII words are taken in lower case, as the tokenizer does, unless they may be special tokens."""
+        if "<|" in word:
+            return word, ""
+        core = word.rstrip(_TAIL)
+        if core and (core[-1] in "0123456789" or unicodedata.normalize("NFC", core[-1]).lower().isalpha()):
+            return core.lower() if core.isascii() else core, word[len(core) :]
+        return word, ""
 
     def encode(self, batch: list[str]) -> list[bytes]:
-        known = self.known
-        if len(known) > MOST_WORDS:
-            known.clear()
-            known[""] = b""
+        known, cores = self.known, self.cores
+        for x in (known, cores):
+            if len(x) > MOST_WORDS:
+                x.clear()
+                x[""] = b""
         split = [x.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for x in batch]
         new = list(set().union(*split).difference(known)) if split else []
-        for at in range(0, len(new), NEW_WORDS):
-            part = new[at : at + NEW_WORDS]
+        split_new = list(map(self.parts, new))
+        unseen = list({p for pair in split_new for p in pair}.difference(cores))
+        for at in range(0, len(unseen), NEW_WORDS):
+            part = unseen[at : at + NEW_WORDS]
             for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                known[w] = np.array(e.ids, self.kind).tobytes()
+                cores[w] = np.array(e.ids, self.kind).tobytes()
+        known.update((w, cores[a] + cores[b]) for w, (a, b) in zip(new, split_new))
         return [b"".join(map(known.__getitem__, words)) for words in split]
 
 

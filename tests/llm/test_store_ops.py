@@ -87,7 +87,7 @@ def test_perfect_hash():
 
 
 def test_token_files(spark):
-    texts = ["Hello World", None, "", "a\tb\nc\r\nd  e", "É naïvé ́x   y z \x1c\x0b\x0c end", "<|endoftext|> x<|startoftext|>y", "ΣΑΣ Σ ςσΣ", "it's we'll 123 don''t " * 2000, "🙂👍🏽 中文字 "]
+    texts = ["Hello World", None, "", "a\tb\nc\r\nd  e", "É naïvé ́x   y z \x1c\x0b\x0c end", "<|endoftext|> x<|startoftext|>y", "ΣΑΣ Σ ςσΣ", "it's we'll 123 don''t " * 2000, "🙂👍🏽 中文字 ", "End. END., (end), é! é́, 5. 5), ½. <|EndOfText|>. <|endoftext|>. it's. it'. 'S, İ. ǅ, क़. '"]
     rows = [(90 - i, t) for i, t in enumerate(texts)] + [(None, "no key")]
     tok = Tokenizer.from_file(WORDS)
     want, start = [], 0
