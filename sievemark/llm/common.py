@@ -14,6 +14,10 @@ from pyspark.sql import functions as F
 SLICE_ROWS, SLICE_BYTES = 512, 4 << 20
 
 
+#: Tasks of a round of components.
+LEAST_TASKS, EDGES_PER_TASK = 12, 250_000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -102,19 +106,21 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int =
     partial aggregates); rounds grow with the logarithm of the longest chain. Every round is a checkpoint.
     """
     e = edges.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v")).where("u <> v")
-    e = e.select(F.least("u", "v").alias("v"), F.greatest("u", "v").alias("u")).select("u", "v").distinct()
-    before = None
+    e = checkpointed(e.select(F.least("u", "v").alias("v"), F.greatest("u", "v").alias("u")).select("u", "v").distinct())
+    before, n = None, e.count()
     for _ in range(most_rounds):
+        # few edges don't need many tasks, each of which leaves files of its own
+        parts = max(LEAST_TASKS, -(-n // EDGES_PER_TASK))
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         # each node's own smallest neighbour is kept as well, so that no link is lost
-        large = large.union(low.where("u <> m").select("u", F.col("m").alias("v"))).distinct()
+        large = large.union(low.where("u <> m").select("u", F.col("m").alias("v"))).coalesce(parts).distinct().coalesce(parts)
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = checkpointed(small.union(low.select("u", F.col("m").alias("v"))).distinct())
+        e = checkpointed(small.union(low.select("u", F.col("m").alias("v"))).coalesce(parts).distinct().coalesce(parts))
         seen = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if seen == before:
             return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(e.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()
-        before = seen
+        before, n = seen, seen[0]
     raise RuntimeError(f"components did not settle in {most_rounds} rounds")
