@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 from sievemark.llm import bpe, decontaminate, ngram_join, quality, secrets
 from sievemark.llm.common import slices, table
 
+#: The near-duplicates stage: words in a shingle, and the least similarity as a fraction.
+SHINGLE_WORDS, NUM, DEN = 5, 80, 100
+
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the documents that the classifier, fitted on the labelled ones among them, scores at 0.7 or more."""
@@ -24,9 +27,10 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents that the n-gram join links, directly or by others, the one with the smallest doc_id stays.
 
-    Of rows with one doc_id, one stays. Rows with a null doc_id link with nothing and all stay.
+    Here two documents link if their sets of five-word shingles have a Jaccard similarity of 0.8 or more; op6's own rule
+    is three words and 0.9. Of rows with one doc_id, one stays. Rows with a null doc_id link with nothing and all stay.
     """
-    stay = ngram_join.ngram_components(docs).where("doc_id = component_id").select("doc_id").distinct()
+    stay = ngram_join.ngram_components(docs, size=SHINGLE_WORDS, num=NUM, den=DEN).where("doc_id = component_id").select("doc_id").distinct()
     named = docs.where("doc_id is not null").join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return named.select(*docs.columns).unionByName(docs.where("doc_id is null"))
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from .common import Forest, checkpointed, components, raw, slices, union_all
 from .shingles import Shingler
 
-#: Two sets link if DEN * intersection >= NUM * union.
+#: Two sets link if den * intersection >= num * union, by default these.
 NUM, DEN = 90, 100
 #: Shingles in one group of short lists; sets and shingles that one task joins at once.
 GROUP_TOKENS, BLOCK_SETS, BLOCK_TOKENS = 1_000_000, 1024, 1_000_000
@@ -27,13 +27,13 @@ MOST_FREQUENT = 300_000
 LEAST_GROUPS = 64
 
 
-def need(n: int) -> int:
+def need(n: int, num: int = NUM, den: int = DEN) -> int:
     """Least intersection of a set of n with any set that it links with."""
-    return -(-NUM * n // DEN)
+    return -(-num * n // den)
 
 
-def linked(inter: int, a: int, b: int) -> bool:
-    return DEN * inter >= NUM * (a + b - inter)
+def linked(inter: int, a: int, b: int, num: int = NUM, den: int = DEN) -> bool:
+    return den * inter >= num * (a + b - inter)
 
 
 def overlap(a: np.ndarray, b: np.ndarray) -> int:
@@ -58,7 +58,8 @@ def sketch(s: np.ndarray) -> np.ndarray:
 class Sketches:
     """Sizes and sketches of a group's sets, sketches of one length in one matrix."""
 
-    def __init__(self, n: np.ndarray, cells: list[bytes]):
+    def __init__(self, n: np.ndarray, cells: list[bytes], num: int = NUM, den: int = DEN):
+        self.num, self.den = num, den
         self.n, self.width = n, np.array([len(c) for c in cells])
         self.row = np.zeros(len(n), np.int64)
         self.of: dict[int, np.ndarray] = {}
@@ -70,7 +71,7 @@ class Sketches:
     def may_link(self, i: int, others: np.ndarray) -> np.ndarray:
         """Which of the others set i may link with, by size and sketch; true for every pair that links."""
         a, b = self.n[i], self.n[others]
-        fits = DEN * np.minimum(a, b) >= NUM * np.maximum(a, b)
+        fits = self.den * np.minimum(a, b) >= self.num * np.maximum(a, b)
         near, w = np.flatnonzero(fits), int(self.width[i])
         mine = self.of[w][self.row[i]].astype(np.int32)
         for v in np.unique(self.width[others[near]]).tolist():
@@ -78,12 +79,12 @@ class Sketches:
             m = min(v, w)
             theirs = self.of[v][self.row[others[at]]].reshape(len(at), m, -1).sum(2, dtype=np.int32)
             gap = np.abs(theirs - mine.reshape(m, -1).sum(1)).sum(1)
-            fits[at] = gap * (DEN + NUM) <= (a + b[at]) * (DEN - NUM)
+            fits[at] = gap * (self.den + self.num) <= (a + b[at]) * (self.den - self.num)
         return fits
 
 
 # -- the exact join of a bounded number of sets
-def search(sets: list[np.ndarray], forest: Forest) -> None:
+def search(sets: list[np.ndarray], forest: Forest, num: int = NUM, den: int = DEN) -> None:
     """Unites all linked sets by a T-occurrence search of each among those that aren't larger.
 
     A set of n needs T = need(n) shingles in common with a set that isn't larger. Of its n inverted lists the T - 1
@@ -101,7 +102,7 @@ def search(sets: list[np.ndarray], forest: Forest) -> None:
     lists = np.repeat(np.arange(len(order)), size)[np.argsort(token, kind="stable")]
     for q, i in enumerate(order):
         n = int(size[q])
-        t = need(n)
+        t = need(n, num, den)
         mine = token[at[q] : at[q + 1]]
         short = mine[np.argpartition(count[mine], n - t)[: n - t + 1]] if t > 1 else mine
         short = short[count[short] > 1]
@@ -112,7 +113,7 @@ def search(sets: list[np.ndarray], forest: Forest) -> None:
         ids, times = np.unique(found[found < q], return_counts=True)
         for j in ids[np.argsort(-times, kind="stable")].tolist():
             k = order[j]
-            if size[j] >= t and forest.root(i) != forest.root(k) and linked(overlap(sets[i], sets[k]), n, int(size[j])):
+            if size[j] >= t and forest.root(i) != forest.root(k) and linked(overlap(sets[i], sets[k]), n, int(size[j]), num, den):
                 forest.join(i, k)
 
 
@@ -165,7 +166,7 @@ def _order(t1: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return x[by], rank[by]
 
 
-def _short_lists(docs: DataFrame, key: str, text: str, size: int, parts: int, order) -> DataFrame:
+def _short_lists(docs: DataFrame, key: str, text: str, size: int, parts: int, order, num: int, den: int) -> DataFrame:
     """For each set and group of shingles the set's rarest shingles: a row (part, name, size, sketch, shingles)."""
 
     def run(batches):
@@ -186,7 +187,7 @@ def _short_lists(docs: DataFrame, key: str, text: str, size: int, parts: int, or
                 if len(known):
                     at = np.minimum(np.searchsorted(known, s), len(known) - 1)
                     rank = np.where(known[at] == s, ranks[at], -1)
-                rare = s[np.lexsort((s, rank))[: len(s) - need(len(s)) + 1]]
+                rare = s[np.lexsort((s, rank))[: len(s) - need(len(s), num, den) + 1]]
                 part = ((rare >> np.uint64(20)) % np.uint64(parts)).astype(np.int64)
                 by = np.argsort(part, kind="stable")
                 part, rare = part[by], rare[by]
@@ -200,11 +201,11 @@ def _short_lists(docs: DataFrame, key: str, text: str, size: int, parts: int, or
     return docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("t")).mapInArrow(run, "part int, c1 long, n long, cells binary, rare binary")
 
 
-def _loose(group: pa.Table) -> pa.Table:
+def _loose(group: pa.Table, num: int, den: int) -> pa.Table:
     """Edges of a spanning forest of the sets of a group that share a short list and may link."""
     c1, first = np.unique(group.column("c1").to_numpy(), return_index=True)
     n = group.column("n").to_numpy()[first]
-    known = Sketches(n, group.column("cells").combine_chunks().take(pa.array(first)).to_pylist())
+    known = Sketches(n, group.column("cells").combine_chunks().take(pa.array(first)).to_pylist(), num, den)
     rare = [np.frombuffer(x.as_py(), np.uint64) for x in group.column("rare").combine_chunks().take(pa.array(first))]
     owner = np.repeat(np.arange(len(rare)), [len(r) for r in rare])
     tokens = np.concatenate(rare)
@@ -234,7 +235,7 @@ def _loose(group: pa.Table) -> pa.Table:
     return pa.table({"a": c1[tied], "b": c1[root[tied]]})
 
 
-def _join_block(size: int, with_pivots: bool):
+def _join_block(size: int, with_pivots: bool, num: int, den: int):
     def sets_of(df: pd.DataFrame) -> list[np.ndarray]:
         shingler = Shingler(size)
         return [shingler.set_of((x or "").encode()) for x in df["t"]]
@@ -246,7 +247,7 @@ def _join_block(size: int, with_pivots: bool):
 
     def alone(df: pd.DataFrame) -> pd.DataFrame:
         forest = Forest(len(df))
-        search(sets_of(df), forest)
+        search(sets_of(df), forest, num, den)
         return edges(df["id"].to_numpy(np.int64), forest)
 
     def two(df: pd.DataFrame, other: pd.DataFrame) -> pd.DataFrame:
@@ -257,16 +258,16 @@ def _join_block(size: int, with_pivots: bool):
             first: dict[int, int] = {}
             for i, k in enumerate(both["known"].tolist()):
                 forest.join(first.setdefault(k, i), i)
-        search(sets_of(both), forest)
+        search(sets_of(both), forest, num, den)
         return edges(both["id"].to_numpy(np.int64), forest)
 
     return two if with_pivots else alone
 
 
-def ngram_components(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 3, group_tokens: int = GROUP_TOKENS, block_sets: int = BLOCK_SETS) -> DataFrame:
+def ngram_components(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 3, group_tokens: int = GROUP_TOKENS, block_sets: int = BLOCK_SETS, num: int = NUM, den: int = DEN) -> DataFrame:
     """Per row of docs: key, n_shingles, component_id.
 
-    Sets are those of Shingler(size); two documents link if DEN * intersection >= NUM * union, and a component's id is
+    Sets are those of Shingler(size); two documents link if den * intersection >= num * union, and a component's id is
     its smallest key. Null and empty texts and texts of white space have the empty set, which links with nothing. Rows
     with a null key link with nothing and have a null component. Repeated rows stay, a row each, in one component; so do rows
     of one key with different texts.
@@ -283,11 +284,11 @@ def ngram_components(docs: DataFrame, key: str = "doc_id", text: str = "text", s
     t1 = _classes(docs, key, text, size)
     real = t1.where("n > 0 and id is not null")
     classes = checkpointed(real.groupBy("c1", "c2").agg(F.min("id").alias("id"), F.first("n").alias("n")))
-    total = classes.agg(F.sum(F.col("n") - F.ceil(F.col("n") * NUM / DEN) + 1)).first()[0] or 0
+    total = classes.agg(F.sum(F.col("n") - F.ceil(F.col("n") * num / den) + 1)).first()[0] or 0
     sent = docs.sparkSession.sparkContext.broadcast(_order(t1))
     parts = max(LEAST_GROUPS, -(-int(total) // group_tokens))
-    lists = _short_lists(docs, key, text, size, parts, sent)
-    loose = checkpointed(lists.groupBy("part").applyInArrow(_loose, "a long, b long"))
+    lists = _short_lists(docs, key, text, size, parts, sent, num, den)
+    loose = checkpointed(lists.groupBy("part").applyInArrow(lambda group: _loose(group, num, den), "a long, b long"))
     tied = components(loose)
     members = classes.join(tied, F.col("c1") == F.col("node")).select("id", "n", "c1", "c2", F.col("component").alias("comp"))
     blocks = F.ceil(F.greatest(F.count("*") / block_sets, F.sum("n") / BLOCK_TOKENS)).cast("long")
@@ -296,9 +297,9 @@ def ngram_components(docs: DataFrame, key: str = "doc_id", text: str = "text", s
     small = F.col("m") <= 1
     body = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("t"))
     got = checkpointed(_with_texts(members, body, size))
-    links = [got.where(small).groupBy("comp").applyInPandas(_join_block(size, False), "a long, b long")]
+    links = [got.where(small).groupBy("comp").applyInPandas(_join_block(size, False, num, den), "a long, b long")]
     if not members.where(~small).isEmpty():
-        links.append(_large(got.where(~small), size))
+        links.append(_large(got.where(~small), size, num, den))
     real_links = checkpointed(union_all(links))
     found = components(real_links)
     of_class = classes.join(found, F.col("id") == F.col("node"), "left").select("c1", "c2", F.coalesce("component", "id").alias("component"))
@@ -325,9 +326,9 @@ def _with_texts(members: DataFrame, body: DataFrame, size: int) -> DataFrame:
     return both.select("id", "t", "comp", "m", "block", "c1", "c2").mapInArrow(run, "id long, t string, comp long, m long, block long, c1 long").dropDuplicates(["id", "c1"])
 
 
-def _large(got: DataFrame, size: int) -> DataFrame:
+def _large(got: DataFrame, size: int, num: int, den: int) -> DataFrame:
     """Links of loose components that are too large for one task."""
-    two, edge = _join_block(size, True), "a long, b long"
+    two, edge = _join_block(size, True, num, den), "a long, b long"
     last = got.groupBy("comp").agg(F.max("block").alias("last"))
     pivots = got.groupBy("comp", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(PIVOTS)).alias("p")).agg(F.min_by(F.struct("id", "t"), F.xxhash64("id", F.lit(2))).alias("x"))
     every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("last"))).alias("block")
