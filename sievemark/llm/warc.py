@@ -234,13 +234,15 @@ def read_warc(spark: SparkSession, path: str | None = None, paths: list[str] | N
 
 
 def digest(pages: DataFrame, key: str = "page_id", uri: str = "url", payload: str = "html", least_revisit_bytes: int = 0) -> DataFrame:
-    """Writes pages to archives in the shared folder and reads every record back."""
+    """Writes pages to archives in the shared folder and reads every record of the manifest's files back."""
     spark = pages.sparkSession
     folder = new_folder(spark, "warc")
-    write_warc(pages, folder, key, uri, payload, least_revisit_bytes)
-    back = read_warc(spark, folder) if fs.FileSystem.from_uri(folder)[0].get_file_info(fs.FileSystem.from_uri(folder)[1]).type else None
+    manifest = write_warc(pages, folder, key, uri, payload, least_revisit_bytes)
+    # a row a file; the folder may hold files of attempts that don't count as well
+    paths = sorted(r.path for r in manifest.select("path").toLocalIterator())
     number = lambda c: F.regexp_extract(c, r"<urn:record:(-?\d+)>", 1).try_cast("long")
     size = F.when(F.col("record_type") == "response", F.octet_length("payload").cast("long")).otherwise(F.col("payload_length"))
-    if back is None:
+    if not paths:
         return spark.createDataFrame([], f"`{key}` long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    back = read_warc(spark, paths=paths)
     return back.select(number("record_id").alias(key), size.alias("payload_bytes"), F.regexp_replace("payload_digest", "^sha1:", "").alias("payload_digest"), "record_type", number("refers_to").alias("refers_to"))
