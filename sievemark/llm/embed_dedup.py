@@ -13,38 +13,56 @@ from .hnsw import Graph
 LEAST_COSINE = 0.93
 SHARD_ROWS = 8192
 BEAM = 32
-#: Recall of links that a shard's audit must reach, and the queries that an audit compares with all of the shard.
+#: Recall of links that a shard's audit must reach, and the queries that it compares with all of the shard at once.
 AUDIT_RECALL = 0.995
 AUDIT_QUERIES = 128
+#: What an audit must have seen before it may pass: true links, and queries with any.
+AUDIT_LINKS, AUDIT_LINKED = 600, 64
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
-def _true_links(exact: np.ndarray, q: np.ndarray, least: float) -> np.ndarray:
-    return np.flatnonzero(exact @ q >= least)
-
-
-def find_links(graph: Graph, exact: np.ndarray, queries: np.ndarray, least: float, beam: int = BEAM, recall: float = AUDIT_RECALL, audit: int = AUDIT_QUERIES) -> list[np.ndarray]:
+def find_links(graph: Graph, exact: np.ndarray, queries: np.ndarray, least: float, names: np.ndarray, asked: np.ndarray, beam: int = BEAM, recall: float = AUDIT_RECALL, audit: int = AUDIT_QUERIES) -> list[np.ndarray]:
     """Positions in the shard that each query links with; every one is verified in double precision.
 
-    An evenly spaced sample of the queries is audited against the whole shard; while too few of the links are found,
-    the beam is doubled. Once it would hold the whole shard, the shard is compared whole, which misses nothing.
+    names, asked: keys of the shard's rows and of the queries; a row of the query's own key isn't a link. Evenly spaced
+    queries are compared with the whole shard until AUDIT_LINKS true links at AUDIT_LINKED queries are seen. Where there
+    are too few, that compares the whole block, which misses nothing. Otherwise the search must find enough of these
+    links; while it doesn't, its beam is doubled, and once it would hold the whole shard, the shard is compared whole.
     """
     n, slack = len(exact), 1e-5
     step = max(1, len(queries) // audit)
-    sample = np.arange(0, len(queries), step)
-    truth = [_true_links(exact, queries[i], least) for i in sample]
-    total = sum(map(len, truth))
-    ef = beam
-    while ef < n:
+    order = np.concatenate([np.arange(i, len(queries), step) for i in range(step)])
+
+    def verified(near: np.ndarray, i: int) -> np.ndarray:
+        near = np.sort(near[names[near] != asked[i]])
+        return near[exact[near] @ queries[i] >= least]
+
+    truth: dict[int, np.ndarray] = {}
+
+    def compare(some: np.ndarray) -> None:
+        for at in range(0, len(some), audit):
+            i = some[at : at + audit]
+            for j, like in zip(i.tolist(), queries[i] @ exact.T >= least - slack):
+                truth[j] = verified(np.flatnonzero(like), j)
+
+    for at in range(0, len(order), audit):
+        compare(order[at : at + audit])
+        seen = [len(x) for x in truth.values()]
+        if sum(seen) >= AUDIT_LINKS and np.count_nonzero(seen) >= AUDIT_LINKED:
+            break
+    sample = np.array(list(truth), np.int64)
+    total, ef = sum(map(len, truth.values())), beam
+    while ef < n and len(truth) < len(queries):
         got = graph.near(queries[sample], least - slack, ef)
-        if sum(len(np.intersect1d(a, b)) for a, b in zip(got, truth)) >= recall * total:
-            found = graph.near(queries, least - slack, ef)
-            return [np.sort(f[exact[f] @ q >= least]) for f, q in zip(found, queries)]
+        if sum(len(np.intersect1d(a, truth[i])) for a, i in zip(got, sample.tolist())) >= recall * total:
+            rest = np.setdiff1d(order, sample)
+            return [x for _, x in sorted({**truth, **{i: verified(f, i) for i, f in zip(rest.tolist(), graph.near(queries[rest], least - slack, ef))}}.items())]
         ef *= 2
-    return [_true_links(exact, q, least) for q in queries]
+    compare(np.setdiff1d(order, sample))
+    return [truth[i] for i in range(len(queries))]
 
 
 def embed_dedup(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", label: str = "label", least: float = LEAST_COSINE, shard_rows: int = SHARD_ROWS) -> DataFrame:
@@ -93,12 +111,11 @@ def embed_dedup(vectors: DataFrame, key: str = "vec_id", vector: str = "embeddin
         ids, copies = np.frombuffer(s["ids"], np.int64), np.frombuffer(s["copies"], np.int64)
         exact = _unit(np.frombuffer(s["exact"], np.float64).reshape(len(ids), -1))
         own = ask["id"].to_numpy(np.int64)
-        links = find_links(Graph.load(s["graph"]), exact, _unit(np.array(ask["vec"].tolist(), np.float64)), least)
+        links = find_links(Graph.load(s["graph"]), exact, _unit(np.array(ask["vec"].tolist(), np.float64)), least, ids, own)
         nodes = np.unique(np.concatenate([ids, own]))
         at, member = np.searchsorted(nodes, own), np.searchsorted(nodes, ids)
         forest, n_links = Forest(len(nodes)), np.zeros(len(own), np.int64)
-        for i, found in enumerate(links):
-            others = found[ids[found] != own[i]]
+        for i, others in enumerate(links):
             n_links[i] = copies[others].sum()
             for j in member[others].tolist():
                 forest.join(int(at[i]), j)
