@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import io
-
 import numpy as np
 
 _GAMMA = 1.6
 _LEVELS = 64
+_MAGIC = 0x5348415244494458
 
 
 def mix(keys: np.ndarray, seed: int) -> np.ndarray:
@@ -19,40 +18,43 @@ def mix(keys: np.ndarray, seed: int) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
+def _prints(keys: np.ndarray) -> np.ndarray:
+    return (mix(keys, 0) >> np.uint64(32)).astype(np.uint32)
+
+
 class PerfectHash:
-    """Maps n distinct keys to 0..n-1; keys that weren't there are told by their fingerprints."""
+    """Maps n distinct keys to 0..n-1: a key's slot is the rank of the first level's bit that it has for itself."""
 
-    def __init__(self, keys: np.ndarray):
-        left = np.unique(np.asarray(keys, np.int64))
-        self.n = len(left)
-        self.sizes: list[int] = []
-        maps = []
+    def __init__(self, sizes: np.ndarray, bits: np.ndarray, before: np.ndarray):
+        self.sizes, self.bits, self.before = sizes, bits, before
+        self.starts = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+
+    @classmethod
+    def of(cls, keys: np.ndarray) -> PerfectHash:
+        left, sizes, maps = np.unique(np.asarray(keys, np.int64)), [], []
         while len(left):
-            if len(self.sizes) == _LEVELS:
+            if len(sizes) == _LEVELS:
                 raise RuntimeError("keys can't be told apart")
-            m = max(64, int(_GAMMA * len(left) + 63) // 64 * 64)
-            at = mix(left, len(self.sizes) + 1) % np.uint64(m)
-            count = np.bincount(at.astype(np.int64), minlength=m)
+            m = int(_GAMMA * len(left) + 64) // 64 * 64
+            at = (mix(left, len(sizes) + 1) % np.uint64(m)).astype(np.int64)
+            count = np.bincount(at, minlength=m)
             maps.append(count == 1)
-            self.sizes.append(m)
-            left = left[count[at.astype(np.int64)] != 1]
-        self.bits = np.packbits(np.concatenate(maps)) if maps else np.zeros(0, np.uint8)
-        self._ranks()
-
-    def _ranks(self) -> None:
-        self.starts = np.concatenate([[0], np.cumsum(self.sizes)]).astype(np.int64)
-        self.before = np.concatenate([[0], np.cumsum(np.bitwise_count(self.bits).astype(np.int64))])
+            sizes.append(m)
+            left = left[count[at] != 1]
+        bits = np.packbits(np.concatenate(maps), bitorder="little").view(np.uint64) if maps else np.zeros(0, np.uint64)
+        before = np.concatenate([[0], np.cumsum(np.bitwise_count(bits).astype(np.int64))])[:-1]
+        return cls(np.array(sizes, np.int64), bits, before)
 
     def slots(self, keys: np.ndarray) -> np.ndarray:
-        """The slot of each key, -1 where no level takes it."""
+        """The slot of each key, -1 where no level takes it. Touches a word and a rank a level, whatever the size."""
         keys = np.ascontiguousarray(keys, np.int64)
         out, todo = np.full(len(keys), -1, np.int64), np.arange(len(keys))
-        for level, m in enumerate(self.sizes):
+        for level, m in enumerate(self.sizes.tolist()):
             at = (mix(keys[todo], level + 1) % np.uint64(m)).astype(np.int64) + self.starts[level]
-            byte, bit = at >> 3, 7 - (at & 7)
-            here = (self.bits[byte] >> bit.astype(np.uint8)) & 1 == 1
-            ones = np.bitwise_count(self.bits[byte[here]] >> (bit[here] + 1).astype(np.uint8)) if here.any() else np.zeros(0)
-            out[todo[here]] = self.before[byte[here]] + ones
+            word, bit = self.bits[at >> 6], (at & 63).astype(np.uint64)
+            here = (word >> bit) & np.uint64(1) == 1
+            below = np.bitwise_count(word[here] & ((np.uint64(1) << bit[here]) - np.uint64(1)))
+            out[todo[here]] = self.before[at[here] >> 6] + below
             todo = todo[~here]
             if not len(todo):
                 break
@@ -60,46 +62,53 @@ class PerfectHash:
 
 
 class Index:
-    """Keys of a shard in file order -> position; `ends` has the running number of ids."""
-
-    def __init__(self, keys: np.ndarray, known: np.ndarray, ends: np.ndarray):
-        self.keys, self.known, self.ends = np.asarray(keys, np.int64), np.asarray(known, bool), np.asarray(ends, np.int64)
-        at = np.flatnonzero(self.known)
-        uniq, first = np.unique(self.keys[at], return_index=True)
-        self.hash = PerfectHash(uniq)
-        slot = self.hash.slots(uniq)
-        self.position = np.zeros(len(uniq), np.int32)
-        self.print = np.zeros(len(uniq), np.uint32)
-        self.position[slot] = at[first]
-        self.print[slot] = (mix(uniq, 0) >> np.uint64(32)).astype(np.uint32)
-
-    def find(self, keys: np.ndarray) -> np.ndarray:
-        """Position of the first document with each key, -1 if there is none."""
+    """Key -> places of its documents in a shard whose documents lie in key order, those without a key first.
+
+    Keys aren't stored. A slot has the key's 32-bit fingerprint, the place of its first document and how many follow;
+    `ends` has the running number of ids by place. A key that the shard doesn't have passes for another with a
+    probability of 2**-32; one that it has is always found.
+    """
+
+    def __init__(self, n_null: int, hashed: PerfectHash, prints: np.ndarray, first: np.ndarray, count: np.ndarray, ends: np.ndarray):
+        self.n_null, self.hash, self.prints, self.first, self.count, self.ends = n_null, hashed, prints, first, count, ends
+
+    @classmethod
+    def of(cls, keys: np.ndarray, n_null: int, ends: np.ndarray) -> Index:
+        """keys: of the documents that have one, in order."""
+        unique, first, count = np.unique(np.asarray(keys, np.int64), return_index=True, return_counts=True)
+        hashed = PerfectHash.of(unique)
+        by = np.argsort(hashed.slots(unique))
+        return cls(n_null, hashed, _prints(unique)[by], (first + n_null)[by].astype(np.uint32), count[by].astype(np.uint32), np.asarray(ends, np.int64))
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place of the first document, number of documents) of each key; (-1, 0) if there is none."""
         keys = np.ascontiguousarray(keys, np.int64)
-        if not len(self.print) or not len(keys):
-            return np.full(len(keys), -1, np.int64)
+        place, count = np.full(len(keys), -1, np.int64), np.zeros(len(keys), np.int64)
         slot = self.hash.slots(keys)
-        ok = (slot >= 0) & (self.print[slot] == (mix(keys, 0) >> np.uint64(32)).astype(np.uint32))
-        out = np.where(ok, self.position[slot], -1)
-        ok &= self.keys[out] == keys
-        return np.where(ok, out, -1)
+        ok = np.flatnonzero(slot >= 0)
+        ok = ok[self.prints[slot[ok]] == _prints(keys[ok])]
+        place[ok], count[ok] = self.first[slot[ok]], self.count[slot[ok]]
+        return place, count
 
-    def span(self, position: int) -> tuple[int, int]:
-        return (int(self.ends[position - 1]) if position else 0), int(self.ends[position])
+    def spans(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First id and end of the documents at these places."""
+        before = np.where(places > 0, self.ends[np.maximum(places, 1) - 1], 0)
+        return before, self.ends[places]
 
     def dump(self) -> bytes:
-        with io.BytesIO() as f:
-            np.savez(f, keys=self.keys, known=np.packbits(self.known), n=np.array([len(self.keys), self.hash.n]), ends=self.ends, sizes=np.array(self.hash.sizes, np.int64), bits=self.hash.bits, position=self.position, print=self.print)
-            return f.getvalue()
+        """A header, then each part at a multiple of 8 bytes, so that a mapped file can be used in place."""
+        head = np.array([_MAGIC, len(self.ends), self.n_null, len(self.prints), len(self.hash.sizes), len(self.hash.bits)], np.int64)
+        parts = [head, self.hash.sizes, self.hash.bits, self.hash.before, self.ends, self.prints, self.first, self.count]
+        return b"".join(p.tobytes() + b"\0" * (-p.nbytes % 8) for p in parts)
 
     @classmethod
-    def load(cls, data: bytes) -> Index:
-        i = cls.__new__(cls)
-        with np.load(io.BytesIO(data)) as z:
-            n, unique = z["n"].tolist()
-            i.keys, i.ends, i.position, i.print = z["keys"], z["ends"], z["position"], z["print"]
-            i.known = np.unpackbits(z["known"], count=n).astype(bool)
-            i.hash = PerfectHash.__new__(PerfectHash)
-            i.hash.n, i.hash.sizes, i.hash.bits = unique, z["sizes"].tolist(), z["bits"]
-        i.hash._ranks()
-        return i
+    def view(cls, data) -> Index:
+        """The index in a buffer (a mapped file's or bytes); nothing but the header is read before it is asked for."""
+        magic, n_docs, n_null, n_slots, n_levels, n_words = np.frombuffer(data, np.int64, 6).tolist()
+        if magic != _MAGIC:
+            raise ValueError("not an index")
+        at, parts = 48, []
+        for kind, n in ((np.int64, n_levels), (np.uint64, n_words), (np.int64, n_words), (np.int64, n_docs), *((np.uint32, n_slots),) * 3):
+            parts.append(np.frombuffer(data, kind, n, at))
+            at += -(-parts[-1].nbytes // 8) * 8
+        return cls(n_null, PerfectHash(*parts[:3]), parts[4], parts[5], parts[6], parts[3])

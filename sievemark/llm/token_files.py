@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import gc
+import json
 import os
-import unicodedata
 import uuid
 import zlib
 
@@ -11,15 +12,23 @@ import numpy as np
 import pyarrow as pa
 from pyarrow import fs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from .common import checkpointed, new_folder, slices, texts
 from .mph import Index
 
-#: Words whose ids a worker remembers, and how many new ones it encodes at once.
-MOST_WORDS, NEW_WORDS = 700_000, 4096
+#: Bytes of words and their ids that a worker remembers (by estimate), and how many new words it encodes at once.
+MOST_CACHE_BYTES, NEW_WORDS = 96 << 20, 4096
+#: Longer words seldom come again; they are encoded each time that a batch has them.
+MOST_CACHED_CHARS = 10
+#: What a remembered word takes beside its characters: two objects and a place in a table.
+_ENTRY_BYTES = 190
+#: Characters of a text that are taken apart at once.
+PIECE = 1 << 20
+#: Between words that are encoded as one text. Words that hold it, or may be special tokens, are encoded alone.
+_MARK = "|"
 _TAIL = ".,;:!?"
 MOST_MODEL_BYTES = 64 << 20
 
@@ -28,48 +37,148 @@ class WordEncoder:
     """Ids of a text for a tokenizer that drops white space: each word's ids are the same wherever it stands.
 
     Words part at blank, tab, line feed and carriage return only. Ids are kept as packed integers, so that a text's
-    payload is the joined bytes of its words.
+    payload is the joined bytes of its words. What is remembered is bounded in bytes: words are in a newer and an older
+    half; once the newer one is full it becomes the older one, and of that what is used again moves back.
     """
 
-    def __init__(self, model: bytes, kind: str):
+    def __init__(self, model: bytes, kind: str, most_bytes: int = MOST_CACHE_BYTES):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.tokenizer = Tokenizer.from_str(model.decode())
-        self.kind, self.known, self.cores = kind, {"": b""}, {"": b""}
+        self.kind, self.most = kind, most_bytes // 2
+        self.new: dict[str, bytes] = {"": b""}
+        self.old: dict[str, bytes] = {}
+        self.held = 0
+        mark = self.tokenizer.encode(_MARK, add_special_tokens=False).ids
+        self.mark = mark[0] if len(mark) == 1 else None
+        suffix = json.loads(model).get("model", {}).get("end_of_word_suffix")
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that end a piece
+        if suffix:
+            self.last[[i for x, i in vocabulary.items() if x.endswith(suffix)]] = True
+
+    def _cut(self, words: list[str], mark: bool) -> dict[str, bytes]:
+        """Packed ids of words encoded as one text: cut at the marks between them, or, where each word is one piece,
+        after the ids that end a piece. Nothing if that doesn't give as many parts as there are words."""
+        text = (f" {_MARK} " if mark else " ").join(words)
+        ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.kind)
+        width, data = ids.itemsize, ids.tobytes()
+        if mark:
+            at = np.flatnonzero(ids == self.mark)
+            begin, end = np.concatenate([[0], at + 1]), np.concatenate([at, [len(ids)]])
+        else:
+            end = np.flatnonzero(self.last[ids]) + 1
+            begin = np.concatenate([[0], end[:-1]])
+        if len(end) != len(words):
+            return {}
+        return {w: data[a:b] for w, a, b in zip(words, (begin * width).tolist(), (end * width).tolist())}
+
+    def _ids(self, words: list[str]) -> dict[str, bytes]:
+        """Packed ids of each word: those of letters alone together, the others with marks between, odd ones alone."""
+        alpha = [w for w in words if w.isalpha() and "İ" not in w]
+        done = self._cut(alpha, False) if alpha else {}
+        plain = [w for w in words if w not in done and _MARK not in w and "<" not in w] if self.mark is not None else []
+        if plain:
+            done.update(self._cut(plain, True))
+        rest = [w for w in words if w not in done]
+        done.update((w, np.array(e.ids, self.kind).tobytes()) for w, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)))
+        return done
 
     @staticmethod
     def parts(word: str) -> tuple[str, str]:
-        """A word as what stands before its last marks, and these: after a letter or an ASCII digit marks are always
-        a piece of their own (a letter that turns into one and a mark doesn't count). ASCII words are taken in lower case, as the tokenizer does, unless they may be special tokens."""
-        if "<|" in word:
-            return word, ""
+        """A word as what stands before its last marks, and these: after an ASCII letter or digit, or a lower-case letter
+        of others, marks are always a piece of their own. ASCII words are taken in lower case, as the tokenizer does,
+        unless they may be special tokens."""
         core = word.rstrip(_TAIL)
-        if core and (core[-1] in "0123456789" or unicodedata.normalize("NFC", core[-1]).lower().isalpha()):
-            return core.lower() if core.isascii() else core, word[len(core) :]
-        return word, ""
+        if word.isascii():
+            if "<" in word:
+                return word, ""
+            return (core.lower(), word[len(core) :]) if core and core[-1].isalnum() else (word, "")
+        return (core, word[len(core) :]) if core and core[-1].islower() and core[-1].isalpha() else (word, "")
+
+    def _learn(self, wanted: set[str]) -> dict[str, bytes]:
+        """Ids of words that the newer half lacks. They and their cores are put there, unless they are long."""
+        found: dict[str, bytes] = {}
+        split: dict[str, tuple[str, str]] = {}
+        for w in wanted:
+            x = self.old.get(w)
+            if x is None:
+                split[w] = self.parts(w)
+            else:
+                found[w] = x
+        cores: dict[str, bytes] = {}
+        unseen = []
+        for c in {p for pair in split.values() for p in pair}:
+            x = self.new.get(c) or found.get(c) or self.old.get(c)
+            if x is None and c:
+                unseen.append(c)
+            else:
+                cores[c] = x or b""
+        for at in range(0, len(unseen), NEW_WORDS):
+            cores.update(self._ids(unseen[at : at + NEW_WORDS]))
+        found.update((w, cores[a] + cores[b]) for w, (a, b) in split.items())
+        kept = {w: b for many in (cores, found) for w, b in many.items() if len(w) <= MOST_CACHED_CHARS}
+        size = sum(map(len, kept)) + sum(map(len, kept.values())) + _ENTRY_BYTES * len(kept)
+        if self.held + size > self.most:
+            self.old, self.new, self.held = self.new, {"": b""}, 0
+        if size <= self.most:
+            self.new.update(kept)
+            self.held += size
+        return found
 
     def encode(self, batch: list[str]) -> list[bytes]:
-        known, cores = self.known, self.cores
-        for x in (known, cores):
-            if len(x) > MOST_WORDS:
-                x.clear()
-                x[""] = b""
-        split = [x.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for x in batch]
-        new = list(set().union(*split).difference(known)) if split else []
-        split_new = list(map(self.parts, new))
-        unseen = list({p for pair in split_new for p in pair}.difference(cores))
-        for at in range(0, len(unseen), NEW_WORDS):
-            part = unseen[at : at + NEW_WORDS]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                cores[w] = np.array(e.ids, self.kind).tobytes()
-        known.update((w, cores[a] + cores[b]) for w, (a, b) in zip(new, split_new))
-        return [b"".join(map(known.__getitem__, words)) for words in split]
+        """Packed ids of each text. Makes no cycles, so the collector, which would visit each word, rests meanwhile."""
+        was = gc.isenabled()
+        gc.disable()
+        try:
+            return self._encode(batch)
+        finally:
+            if was:
+                gc.enable()
+
+    def _encode(self, batch: list[str]) -> list[bytes]:
+        out = [[] for _ in batch]
+        for at, text in enumerate(batch):
+            for piece in pieces(text):
+                out[at].append(piece.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" "))
+                if len(piece) >= PIECE // 2:  # a long text's words don't wait for the others
+                    out[at] = [*out[at][:-1], self._join([out[at][-1]])[0]]
+        words = [x for parts in out for x in parts if type(x) is list]
+        ready = iter(self._join(words))
+        return [b"".join(next(ready) if type(x) is list else x for x in parts) for parts in out]
+
+    def _join(self, many: list[list[str]]) -> list[bytes]:
+        get = self.new.get
+        got, gaps, wanted = [], [], set()
+        for words in many:
+            ids = list(map(get, words))
+            at = [i for i, x in enumerate(ids) if x is None] if None in ids else []
+            wanted.update([words[i] for i in at])
+            got.append(ids)
+            gaps.append(at)
+        more = self._learn(wanted) if wanted else {}
+        for words, ids, at in zip(many, got, gaps):
+            for i in at:
+                ids[i] = more[words[i]]
+        return list(map(b"".join, got))
+
+
+def pieces(text: str, most: int = PIECE):
+    """A text in pieces of about `most` characters, cut at blanks."""
+    at = 0
+    while len(text) - at > most:
+        cut = text.find(" ", at + most)
+        if cut < 0:
+            break
+        yield text[at:cut]
+        at = cut
+    yield text[at:] if at else text
 
 
 _ENCODERS: dict[tuple[int, str], WordEncoder] = {}
 
 
 def encoder(model: bytes, kind: str) -> WordEncoder:
-    """One encoder, with what it remembers, for each Python worker and tokenizer."""
+    """One encoder, with the bounded number of words that it remembers, for each Python worker and tokenizer."""
     key = (hash(model), kind)
     if key not in _ENCODERS:
         _ENCODERS[key] = WordEncoder(model, kind)
@@ -87,14 +196,14 @@ def _model(path: str) -> tuple[bytes, str]:
 
 def write_ids(docs: DataFrame, tokenizer_file: str, folder: str, key: str = "doc_id", text: str = "text", end_id: int = 1) -> DataFrame:
     """Writes id files below `folder` (a URI that all machines reach) and returns the manifest, a row for each shard:
-    part, path, kind, n_docs, n_ids, first_key, last_key. part orders the shards.
+    part, path, kind, n_docs, n_null, n_ids, first_key, last_key. part orders the shards.
 
     Documents are ordered by key (null keys first, equal keys by a hash of the text) by range partitioning, so shards
     are even and a shard is one task's. Each whole text's ids, then end_id, are appended to `<path>.ids` as little-endian
-    integers of 16 bits (32 for a larger vocabulary); `<path>.idx` has keys, offsets, perfect hash and fingerprints. A
-    null or empty text is the end id alone. Null keys are written, but no lookup finds them; of repeated keys a lookup
-    finds the first. Each attempt of a task writes under a name of its own and the manifest, a checkpoint, names the
-    files of the attempts that succeeded. An empty table gives an empty manifest.
+    integers of 16 bits (32 for a larger vocabulary); `<path>.idx` has perfect hash, fingerprints, places and offsets. A
+    null or empty text is the end id alone. Rows with a null key are written first. Each attempt of a task writes under
+    a name of its own and the manifest, a checkpoint, names the files of the attempts that succeeded. An empty table
+    gives an empty manifest. Only key and text are read; a very long text is encoded in pieces.
     """
     model, kind = _model(tokenizer_file)
     sent = docs.sparkSession.sparkContext.broadcast(model)
@@ -123,98 +232,124 @@ def write_ids(docs: DataFrame, tokenizer_file: str, folder: str, key: str = "doc
             return
         out.close()
         keys, known, ends = np.concatenate(keys), np.concatenate(known), np.cumsum(np.concatenate(lengths))
-        with store.open_output_stream(where + ".idx") as f:
-            f.write(Index(keys, known, ends).dump())
         real = keys[known]
+        with store.open_output_stream(where + ".idx") as f:
+            f.write(Index.of(real, len(keys) - len(real), ends).dump())
         first, last = (int(real[0]), int(real[-1])) if len(real) else (None, None)
-        yield pa.RecordBatch.from_pylist([{"part": part, "path": path, "kind": kind, "n_docs": len(keys), "n_ids": int(ends[-1]), "first_key": first, "last_key": last}], schema=pa.schema([("part", pa.int32()), ("path", pa.string()), ("kind", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("first_key", pa.int64()), ("last_key", pa.int64())]))
+        yield pa.RecordBatch.from_pylist([{"part": part, "path": path, "kind": kind, "n_docs": len(keys), "n_null": len(keys) - len(real), "n_ids": int(ends[-1]), "first_key": first, "last_key": last}], schema=pa.schema([("part", pa.int32()), ("path", pa.string()), ("kind", pa.string()), ("n_docs", pa.int64()), ("n_null", pa.int64()), ("n_ids", pa.int64()), ("first_key", pa.int64()), ("last_key", pa.int64())]))
 
-    return checkpointed(ordered.mapInArrow(run, "part int, path string, kind string, n_docs long, n_ids long, first_key long, last_key long"))
+    return checkpointed(ordered.mapInArrow(run, "part int, path string, kind string, n_docs long, n_null long, n_ids long, first_key long, last_key long"))
 
 
 def _open(path: str) -> tuple[Index, object]:
+    """A shard's index, mapped where the store is local and read once where it isn't, and its id file."""
     store, where = fs.FileSystem.from_uri(path)
+    if store.type_name == "local":
+        return Index.view(pa.memory_map(where + ".idx").read_buffer()), store.open_input_file(where + ".ids")
     with store.open_input_file(where + ".idx") as f:
-        index = Index.load(f.read())
-    return index, store.open_input_file(where + ".ids")
-
+        return Index.view(f.read_buffer()), store.open_input_file(where + ".ids")
 
-def read_documents(spark: SparkSession, manifest: DataFrame, key: str = "doc_id", with_ids: bool = True, rows: int = 512) -> DataFrame:
-    """All documents of the files: key, start (ids before it in all shards), n_tokens, ids_crc32 and, if wanted, ids.
 
-    The manifest, one row for each shard, is collected to place the shards; each task then reads one shard in slices,
-    finds each key through the shard's index, and checks that the index and the order of the file agree.
-    """
-    shards, start = [], 0
+def _shards(manifest: DataFrame) -> list[tuple]:
+    """(path, kind, ids in the shards before, documents without a key, first key, last key), in order; a row a shard."""
+    out, start = [], 0
     for r in sorted(manifest.collect(), key=lambda r: r.part):
-        shards.append((r.part, r.path, r.kind, start))
+        out.append((r.path, r.kind, start, r.n_null, r.first_key, r.last_key))
         start += r.n_ids
-    plan = spark.createDataFrame(shards, "part int, path string, kind string, start long")
-    if len(shards) > 1:
-        plan = plan.repartitionByRange(len(shards), "part")
-    schema = f"`{key}` long, start long, n_tokens long, ids_crc32 long" + (", ids array<long>" if with_ids else "")
+    return out
 
-    def run(batches):
-        for batch in batches:
-            for r in batch.to_pylist():
-                index, f = _open(r["path"])
-                n, width = len(index.keys), np.dtype(r["kind"]).itemsize
-                at = index.find(index.keys[index.known])
-                if (np.any(at < 0)) or np.any(index.keys[at] != index.keys[index.known]):
-                    raise ValueError(f"the index of {r['path']} doesn't fit its keys")
-                begins = np.concatenate([[0], index.ends[:-1]])
-                for a in range(0, n, rows):
-                    b = min(n, a + rows)
-                    f.seek(int(begins[a]) * width)
-                    data = np.frombuffer(f.read(int(index.ends[b - 1] - begins[a]) * width), r["kind"]).astype("<u4")
-                    cut = index.ends[a:b] - begins[a]
-                    parts = np.split(data, cut[:-1])
-                    cols = [pa.array(index.keys[a:b], mask=~index.known[a:b]), pa.array(r["start"] + begins[a:b]), pa.array(index.ends[a:b] - begins[a:b]), pa.array([zlib.crc32(p) for p in parts], pa.int64())]
-                    if with_ids:
-                        cols.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], cut]).astype(np.int32)), pa.array(data.astype(np.int64))))
-                    yield pa.RecordBatch.from_arrays(cols, names=[key, "start", "n_tokens", "ids_crc32", *["ids"] * with_ids])
-                f.close()
-
-    return plan.mapInArrow(run, schema)
-
-
-def lookup(manifest: DataFrame, keys: DataFrame, key: str = "doc_id") -> DataFrame:
-    """(key, ids) of the wanted keys that the files have, each read in constant time through its shard's index.
-
-    keys are dealt by shard (the shards' key ranges are small and collected), repeated keys give repeated rows, null and
-    unknown keys none.
+
+#: Ids that a task holds at once while it reads documents.
+READ_IDS = 1 << 20
+
+
+def _documents(shard: tuple, index: Index, f, keys: list, places: np.ndarray, key: str, with_ids: bool):
+    """Arrow batches of the documents at these places: key, start, n_tokens, ids_crc32, and ids if they are wanted."""
+    width = np.dtype(shard[1]).itemsize
+    begin, end = index.spans(places)
+    size, a = end - begin, 0
+    total = np.cumsum(size)
+    while a < len(places):
+        b = max(a + 1, int(np.searchsorted(total, total[a] - size[a] + READ_IDS, "right")))
+        data = []
+        for x, n in zip(begin[a:b].tolist(), size[a:b].tolist()):
+            f.seek(x * width)
+            data.append(np.frombuffer(f.read(n * width), shard[1]).astype("<u4"))
+        cols = [pa.array(keys[a:b], pa.int64()), pa.array(shard[2] + begin[a:b]), pa.array(size[a:b]), pa.array([zlib.crc32(d) for d in data], pa.int64())]
+        if with_ids:
+            cols.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size[a:b])]).astype(np.int32)), pa.array(np.concatenate(data).astype(np.int64))))
+        yield pa.RecordBatch.from_arrays(cols, names=[key, "start", "n_tokens", "ids_crc32", *["ids"] * with_ids])
+        a = b
+
+
+def _schema(key: str, with_ids: bool) -> str:
+    return f"`{key}` long, start long, n_tokens long, ids_crc32 long" + (", ids array<long>" if with_ids else "")
+
+
+def lookup(manifest: DataFrame, keys: DataFrame, key: str = "doc_id", with_ids: bool = True) -> DataFrame:
+    """The documents of the wanted keys, each found in constant time through its shard's perfect hash and fingerprint:
+    key, start (ids before it in all shards), n_tokens, ids_crc32 and, if wanted, ids.
+
+    Keys are dealt by shard (the manifest, a row a shard, is collected) and asked for once each, however often they are
+    wanted; a key that several documents have gives a row for each of them. Null and unknown keys give none, but for
+    the fingerprints' odds (see Index). Without files or keys there are no rows.
     """
-    shards = sorted((r for r in manifest.collect() if r.first_key is not None), key=lambda r: r.part)
-    first, last = np.array([r.first_key for r in shards], np.int64), np.array([r.last_key for r in shards], np.int64)
-    where = [(r.path, r.kind) for r in shards]
+    shards = _shards(manifest)
+    with_keys = [i for i, s in enumerate(shards) if s[4] is not None]
+    first, last = np.array([shards[i][4] for i in with_keys], np.int64), np.array([shards[i][5] for i in with_keys], np.int64)
 
     def deal(batches):
         for batch in batches:
-            k = batch.column(0).drop_null().to_numpy(zero_copy_only=False)
+            k = np.unique(batch.column(0).drop_null().to_numpy(zero_copy_only=False))
             lo, hi = np.searchsorted(last, k, "left"), np.searchsorted(first, k, "right")
-            pairs = [(int(x), s) for x, a, b in zip(k, lo, hi) for s in range(a, b)]
-            yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int32())], names=[key, "shard"])
+            n = np.maximum(hi - lo, 0)
+            at = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(k, n)), pa.array(np.array(with_keys, np.int32)[at] if len(at) else at.astype(np.int32))], names=[key, "shard"])
 
     def read(batches):
-        at, index, f = -1, None, None
+        at, index, f, before = -1, None, None, None
         for batch in batches:
-            out = []
-            for k, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if s != at:
-                    at, (index, f) = s, _open(where[s][0])
-                p = int(index.find(np.array([k], np.int64))[0])
-                if p >= 0:
-                    a, b = index.span(p)
-                    width = np.dtype(where[s][1]).itemsize
-                    f.seek(a * width)
-                    out.append((k, np.frombuffer(f.read((b - a) * width), where[s][1]).tolist()))
-            yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.list_(pa.int64()))], names=[key, "ids"])
+            k, s = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            for a, b in _runs(s):
+                if s[a] != at:
+                    at, before = int(s[a]), None
+                    index, f = _open(shards[at][0])
+                own = k[a:b]
+                own = own[np.concatenate([[before is None or own[0] != before], own[1:] != own[:-1]])]
+                before = k[b - 1]
+                place, n = index.find(own)
+                places = np.repeat(place, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                yield from _documents(shards[at], index, f, np.repeat(own, n), places, key, with_ids)
 
     dealt = keys.select(F.col(key).cast("long").alias(key)).mapInArrow(deal, f"`{key}` long, shard int")
-    return dealt.repartition("shard").sortWithinPartitions("shard", key).mapInArrow(read, f"`{key}` long, ids array<long>")
+    return dealt.repartition("shard").sortWithinPartitions("shard", key).mapInArrow(read, _schema(key, with_ids))
+
+
+def _runs(s: np.ndarray):
+    """Begin and end of each run of equal values."""
+    cut = np.flatnonzero(np.diff(s)) + 1
+    return list(zip([0, *cut.tolist()], [*cut.tolist(), len(s)])) if len(s) else []
+
+
+def without_key(manifest: DataFrame, key: str = "doc_id", with_ids: bool = True) -> DataFrame:
+    """The documents whose key is null, as lookup gives the others; they are the first ones of their shards."""
+    shards = [s for s in _shards(manifest) if s[3]]
+    plan = manifest.sparkSession.createDataFrame([(i,) for i in range(len(shards))], "i int")
+
+    def run(batches):
+        for batch in batches:
+            for i in batch.column(0).to_pylist():
+                index, f = _open(shards[i][0])
+                for a in range(0, index.n_null, 4096):
+                    places = np.arange(a, min(index.n_null, a + 4096))
+                    yield from _documents(shards[i], index, f, [None] * len(places), places, key, with_ids)
+
+    return plan.repartition(max(1, len(shards))).mapInArrow(run, _schema(key, with_ids))
 
 
 def digest(docs: DataFrame, tokenizer_file: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Writes docs to files in the shared folder and reads every document back: key, start, n_tokens, ids_crc32."""
-    spark = docs.sparkSession
-    return read_documents(spark, write_ids(docs, tokenizer_file, new_folder(spark, "ids"), key, text), key, with_ids=False)
+    """Writes docs to files in the shared folder and looks every document up by its key: key, start, n_tokens,
+    ids_crc32. Rows without a key, which no lookup finds, are read from their places."""
+    manifest = write_ids(docs, tokenizer_file, new_folder(docs.sparkSession, "ids"), key, text)
+    found = lookup(manifest, docs, key, with_ids=False)
+    return found.unionByName(without_key(manifest, key, with_ids=False)) if manifest.where("n_null > 0").count() else found

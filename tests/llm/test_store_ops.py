@@ -80,27 +80,33 @@ def test_components(spark):
 
 def test_perfect_hash():
     keys = np.unique(np.random.default_rng(4).integers(-(2**62), 2**62, 20000))
-    index = mph.Index.load(mph.Index(keys, np.ones(len(keys), bool), np.arange(1, len(keys) + 1)).dump())
-    assert (index.find(keys) == np.arange(len(keys))).all()
+    index = mph.Index.view(mph.Index.of(np.repeat(keys, 2), 3, np.arange(1, 2 * len(keys) + 4)).dump())
+    place, n = index.find(keys)
+    assert (place == 3 + 2 * np.arange(len(keys))).all() and (n == 2).all()
     assert sorted(index.hash.slots(keys).tolist()) == list(range(len(keys)))
-    assert (index.find(keys + 1)[~np.isin(keys + 1, keys)] == -1).all()
+    assert (index.find(keys + 1)[0][~np.isin(keys + 1, keys)] == -1).all()
+    assert index.find(keys[:0])[0].tolist() == [] and mph.Index.view(mph.Index.of(keys[:0], 1, np.array([4])).dump()).find(keys[:5])[1].sum() == 0
 
 
 def test_token_files(spark):
     texts = ["Hello World", None, "", "a\tb\nc\r\nd  e", "É naïvé ́x   y z \x1c\x0b\x0c end", "<|endoftext|> x<|startoftext|>y", "ΣΑΣ Σ ςσΣ", "it's we'll 123 don''t " * 2000, "🙂👍🏽 中文字 ", "End. END., (end), é! é́, 5. 5), ½. <|EndOfText|>. <|endoftext|>. it's. it'. 'S, İ. ǅ, क़. '"]
-    rows = [(90 - i, t) for i, t in enumerate(texts)] + [(None, "no key")]
+    texts.append("long Words, here. " * 150_000 + "x" * 1_200_000)
+    rows = [(90 - i, t) for i, t in enumerate(texts)] + [(None, "no key"), (None, "no key either"), (88, "of a key that is repeated"), (88, "again"), (88, "again")]
     tok = Tokenizer.from_file(WORDS)
     want, start = [], 0
     for k, t in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0)):
         ids = tok.encode(t or "", add_special_tokens=False).ids + [1]
-        want.append((k, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
-        start += len(ids)
-    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+        want.append((k, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+    df = spark.createDataFrame([(k, t, 1, "x") for k, t in rows], "doc_id long, text string, start int, ids string").repartition(3)
+    back = sorted(token_files.digest(df, WORDS).collect(), key=lambda r: r.start)
+    assert sorted(((r.doc_id, r.n_tokens, r.ids_crc32) for r in back), key=str) == sorted(want, key=str)
+    assert [r.doc_id or -1 for r in back] == sorted(r.doc_id or -1 for r in back)
+    for r in back:
+        assert r.start == start
+        start += r.n_tokens
     manifest = token_files.write_ids(df, WORDS, new_folder(spark, "ids"))
-    back = token_files.read_documents(spark, manifest)
-    assert sorted(((r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in back.collect()), key=lambda r: r[1]) == want
-    found = {r.doc_id: r.ids for r in token_files.lookup(manifest, spark.createDataFrame([(90,), (86,), (5,), (None,)], "doc_id long")).collect()}
-    assert found == {k: tok.encode(texts[90 - k], add_special_tokens=False).ids + [1] for k in (90, 86)}
+    found = sorted((r.doc_id, r.ids) for r in token_files.lookup(manifest, spark.createDataFrame([(90,), (86,), (5,), (None,), (86,), (88,)], "doc_id long")).collect())
+    assert found == sorted((k, tok.encode(t or "", add_special_tokens=False).ids + [1]) for k, t in rows if k in (90, 86, 88))
     assert token_files.digest(df.limit(0), WORDS).count() == 0
 
 
@@ -109,6 +115,17 @@ def test_words_alone_and_together():
     import duckdb
 
     texts = [r[0] for r in duckdb.sql("select text from '/root/testdata/sf0.001/documents.parquet'").fetchall()]
+    for most in (token_files.MOST_CACHE_BYTES, 100_000):
+        enc = token_files.WordEncoder(open(WORDS, "rb").read(), "<u2", most)
+        for part in (texts[:70], texts[70:], texts[:150]):
+            assert [np.frombuffer(x, "<u2").tolist() for x in enc.encode(part)] == [e.ids for e in tok.encode_batch(part, add_special_tokens=False)]
+        assert enc.held <= most and sum(190 + len(w) + len(b) for d in (enc.new, enc.old) for w, b in d.items()) <= 1.1 * most
+
+
+def test_words_at_random():
+    tok, rng = Tokenizer.from_file(WORDS), np.random.default_rng(9)
+    bits = list("ab|<>.,;!?'\"09éÉ İſßΣ\u0301\u200d中🙂\x0b\x1c\xa0\u2028") + ["<|startoftext|>", "'s", "|>", "end", "<|", "ll"]
+    texts = ["".join(rng.choice(bits, 40)) for _ in range(3000)] + [" ".join(rng.choice(bits, 60)) for _ in range(1000)]
     enc = token_files.WordEncoder(open(WORDS, "rb").read(), "<u2")
     assert [np.frombuffer(x, "<u2").tolist() for x in enc.encode(texts)] == [e.ids for e in tok.encode_batch(texts, add_special_tokens=False)]
 
