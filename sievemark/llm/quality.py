@@ -18,6 +18,8 @@ DIM = 8
 GRAMS = (2, 3, 4)
 #: Labelled rows that the classifier is fitted on at most: those with the smallest hash of their key.
 MOST_TRAINING_ROWS = 4000
+#: Bucket counts of these rows at most, in the same order: 8 bytes each in the task that fits, so 128 MB.
+MOST_TRAINING_COUNTS = 16 << 20
 EPOCHS, BATCH, RATE = 10, 32, 6.0
 THRESHOLD = 0.7
 #: Words whose scores a worker remembers.
@@ -139,55 +141,66 @@ def held_out(key: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", most_rows: int = MOST_TRAINING_ROWS) -> Model:
-    """Fits on at most `most_rows` labelled documents that aren't held out, chosen by a hash of their keys.
+def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", most_rows: int = MOST_TRAINING_ROWS, most_counts: int = MOST_TRAINING_COUNTS) -> Model:
+    """Fits on at most `most_rows` labelled documents that aren't held out, chosen by a hash of their keys; of these, in
+    the same order, on as many as have `most_counts` bucket counts together.
 
     Null keys, labels other than 0 and 1 and labels without a document are left out; of repeated labels the largest
-    counts, of repeated documents one. Features are made on the executors; the driver gets the bounded sample's bucket
-    counts and runs the descent.
+    counts, of repeated documents the smallest text (null as empty). Repeated rows become one before features are made,
+    a long text at most BUCKETS counts; then one task, which gets the bounded sample in order, runs the descent. The
+    driver gets the model, a megabyte. Without a sample all scores are 0.5.
     """
     known = labels.select(F.col(key).alias("k"), F.col(label).cast("int").alias("y")).where(F.col("y").isin(0, 1) & F.col("k").isNotNull())
     known = known.where(~held_out("k")).groupBy("k").agg(F.max("y").alias("y")).orderBy(F.xxhash64("k"), "k").limit(most_rows)
-    sample = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).join(F.broadcast(known), "k").select("k", "t", "y")
+    sample = docs.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t")).join(F.broadcast(known), "k").groupBy("k", "y").agg(F.min("t").alias("t"))
 
     def run(batches):
         for batch in slices(batches, 64):
             out = []
-            for x in raw(batch.column(1)):
+            for x in raw(batch.column(2)):
                 words = words_of(x)
                 f, c = np.unique(features(words)[0], return_counts=True) if words else (np.zeros(0, np.int64),) * 2
                 out.append((f.astype(np.int32).tobytes(), c.astype(np.int32).tobytes()))
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.string()), batch.column(2), pa.array([o[0] for o in out], pa.binary()), pa.array([o[1] for o in out], pa.binary())], names=["k", "y", "f", "c"])
-
-    got = sample.mapInArrow(run, "k string, y int, f binary, c binary").toArrow()
-    keys, first = got.column("k").to_pylist(), {}
-    for i in sorted(range(len(keys)), key=lambda i: (keys[i], got.column("f")[i].as_py())):
-        first.setdefault(keys[i], i)
-    at = pa.array(list(first.values()), pa.int64())
-
-    def flat(column: str) -> tuple[np.ndarray, np.ndarray]:
-        parts = [np.frombuffer(x.as_buffer(), np.int32) if x.as_buffer().size else np.zeros(0, np.int32) for x in got.column(column).take(at)]
-        return np.concatenate([np.zeros(0, np.int32), *parts]), np.array([len(p) for p in parts], np.int64)
-
-    buckets, sizes = flat("f")
-    return train(buckets, flat("c")[0], sizes, np.array(got.column("y").take(at).to_pylist(), np.int64))
-
-
-def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, carry: bool = False) -> DataFrame:
-    """Per row of docs: key (all columns with carry=True, but those named score or predicted), score, predicted.
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([o[0] for o in out], pa.binary()), pa.array([o[1] for o in out], pa.binary())], names=["h", "y", "f", "c"])
+
+    def descend(batches):
+        parts, y, room = ([], []), [], most_counts
+        for batch in batches:
+            for f, c, label in zip(batch.column(2), batch.column(3), batch.column(1).to_pylist()):
+                room -= f.as_buffer().size // 4
+                if room < 0:
+                    break
+                for own, x in zip(parts, (f, c)):
+                    own.append(np.frombuffer(x.as_py(), np.int32))
+                y.append(label)
+            if room < 0:
+                break
+        sizes = np.array([len(f) for f in parts[0]], np.int64)
+        buckets, counts = (np.concatenate([np.zeros(0, np.int32), *x]) for x in parts)
+        model = train(buckets, counts, sizes, np.array(y, np.int64))
+        yield pa.RecordBatch.from_arrays([pa.array([model.weight.tobytes()], pa.binary()), pa.array([model.bias])], names=["weight", "bias"])
+
+    made = sample.select(F.struct(F.xxhash64("k").alias("h"), "k").alias("h"), "y", "t")
+    made = made.mapInArrow(run, T.StructType([made.schema["h"], *T._parse_datatype_string("y int, f binary, c binary").fields]))
+    got = made.repartition(1).sortWithinPartitions("h").mapInArrow(descend, "weight binary, bias double").first()
+    return Model(np.frombuffer(bytes(got.weight), np.float64), got.bias) if got else train(*(np.zeros(0, np.int64),) * 4)
+
+
+def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, carry: bool = False, names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
+    """Per row of docs: key (all columns with carry=True, but those with the new names), score, predicted.
 
     Whole texts are scored; null and empty ones too. Repeated rows get equal scores. No shuffle; a worker remembers the
     scores of a bounded number of words.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    plain = docs.select(*[c for c in docs.columns if c not in ("score", "predicted")]) if carry else docs.select(key, text)
-    names = plain.columns
-    at, kept = names.index(text), names if carry else [key]
+    plain = docs.select(*[c for c in docs.columns if c not in names]) if carry else docs.select(key, text)
+    own = plain.columns
+    at, kept = own.index(text), own if carry else [key]
 
     def run(batches):
         scorer = Scorer(sent.value)
         for batch in slices(batches):
             s = scorer.scores(raw(batch.column(at)))
-            yield pa.RecordBatch.from_arrays([*[batch.column(names.index(c)) for c in kept], pa.array(s, pa.float64()), pa.array([int(x >= threshold) for x in s], pa.int32())], names=[*kept, "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(own.index(c)) for c in kept], pa.array(s, pa.float64()), pa.array([int(x >= threshold) for x in s], pa.int32())], names=[*kept, *names])
 
-    return plain.mapInArrow(run, T.StructType([*[plain.schema[c] for c in kept], T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]))
+    return plain.mapInArrow(run, T.StructType([*[plain.schema[c] for c in kept], T.StructField(names[0], T.DoubleType()), T.StructField(names[1], T.IntegerType())]))
