@@ -15,7 +15,7 @@ SLICE_ROWS, SLICE_BYTES = 512, 4 << 20
 
 
 #: Tasks of a round of components.
-LEAST_TASKS, EDGES_PER_TASK = 12, 250_000
+LEAST_TASKS, EDGES_PER_TASK = 12, 400_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,10 +23,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which all machines share; a new one where the setting is missing (tests)."""
+    """The folder that all machines share: the one in spark.checkpoint.dir. Only a single machine (local mode, as in
+    tests) gets a folder of its own where the setting is missing; on a cluster that is an error."""
     sc = spark.sparkContext
     found = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         found = f"file://{tempfile.mkdtemp(prefix='spark-')}"
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(found)
@@ -98,29 +101,65 @@ class Forest:
         return True
 
 
+def spanned(edges: DataFrame) -> DataFrame:
+    """Edges (u > v) of a spanning forest of each task's edges: every node that has an edge points at the smallest node
+    of its piece. Holds a bounded number of edges at a time, so that a task may give several forests."""
+
+    def run(batches):
+        held, n = [], 0
+
+        def stars():
+            pairs = np.concatenate(held)
+            nodes, at = np.unique(pairs, return_inverse=True)
+            forest = Forest(len(nodes))
+            for x, y in at.reshape(-1, 2).tolist():
+                forest.join(x, y)
+            root = np.array([forest.root(i) for i in range(len(nodes))], np.int64)
+            tied = np.flatnonzero(root != np.arange(len(nodes)))
+            return pa.RecordBatch.from_arrays([pa.array(nodes[tied]), pa.array(nodes[root[tied]])], names=["u", "v"])
+
+        for batch in batches:
+            held.append(np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1)], 1))
+            n += batch.num_rows
+            if n >= EDGES_PER_TASK:
+                yield stars()
+                held, n = [], 0
+        if n:
+            yield stars()
+
+    return edges.mapInArrow(run, "u long, v long")
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 60) -> DataFrame:
     """Connected components of an undirected graph by alternating large-star and small-star rounds.
 
     edges: two long columns. Returns (node, component), component the smallest node reachable, for each node with an
-    edge to another node. Each round is two joins on the node whose hot keys Spark can split (plain inner joins after
-    partial aggregates); rounds grow with the logarithm of the longest chain. Every round is a checkpoint.
+    edge to another node. Before the rounds each task replaces its edges by stars of what they connect, once where the
+    edges lie and once dealt by the end that isn't the star's centre (which has an edge a task at most). Few edges are
+    settled by that; what isn't goes through rounds, each two joins on the node whose hot keys Spark can split (plain
+    inner joins after partial aggregates). Rounds grow with the logarithm of the longest chain and are checkpoints.
     """
     e = edges.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v")).where("u <> v")
-    e = checkpointed(e.select(F.least("u", "v").alias("v"), F.greatest("u", "v").alias("u")).select("u", "v").distinct())
-    before, n = None, e.count()
+    e = checkpointed(spanned(e))
+    parts = max(1, -(-e.count() // EDGES_PER_TASK))
+    e = checkpointed(spanned(e.repartition(parts, "u")))
     for _ in range(most_rounds):
+        if _stars(e):
+            return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(e.select("v", "v")).distinct()
         # few edges don't need many tasks, each of which leaves files of its own
-        parts = max(LEAST_TASKS, -(-n // EDGES_PER_TASK))
+        parts = max(LEAST_TASKS, -(-e.count() // EDGES_PER_TASK))
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         # each node's own smallest neighbour is kept as well, so that no link is lost
-        large = large.union(low.where("u <> m").select("u", F.col("m").alias("v"))).coalesce(parts).distinct().coalesce(parts)
+        large = large.union(low.where("u <> m").select("u", F.col("m").alias("v"))).coalesce(parts)
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = checkpointed(small.union(low.select("u", F.col("m").alias("v"))).coalesce(parts).distinct().coalesce(parts))
-        seen = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if seen == before:
-            return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(e.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()
-        before, n = seen, seen[0]
     raise RuntimeError(f"components did not settle in {most_rounds} rounds")
+
+
+def _stars(e: DataFrame) -> bool:
+    """Whether each node has one edge to a smaller one or is a centre, not both."""
+    ends = e.select(F.col("u").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(e.select("v", F.lit(0), F.lit(1)))
+    return ends.groupBy("x").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or up > 0 and down > 0").isEmpty()
