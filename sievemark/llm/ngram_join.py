@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import hashlib
+import heapq
+import math
+from bisect import bisect_left
 
 import numpy as np
 import pandas as pd
@@ -17,6 +20,8 @@ from .shingles import Shingler
 NUM, DEN = 90, 100
 #: Shingles in one group of short lists; sets and shingles that one task joins at once.
 GROUP_TOKENS, BLOCK_SETS, BLOCK_TOKENS = 1_000_000, 1024, 1_000_000
+#: Weight of the logarithm in DivideSkip's choice of long lists, and lists that are looked into for a likely partner.
+MU, PROBES = 0.02, 16
 #: Pivots of a group that is more than one block.
 PIVOTS = 16
 #: Documents in which a task looks for frequent shingles at once, and how often one must occur there.
@@ -84,12 +89,56 @@ class Sketches:
 
 
 # -- the exact join of a bounded number of sets
+def divide_skip(lists: list[list[int]], t: int):
+    """(member, number of lists that hold it) of all members that `t` or more of the sorted lists hold, in order.
+
+    The L longest lists are put aside, L = t / (MU * log2(longest) + 1). The others are merged on a heap of cursors: a
+    member that t - L of them hold is probed by binary search in the long ones; where fewer hold the smallest member,
+    t - L - 1 cursors leave the heap and skip, by binary search, to what is then smallest.
+    """
+    lists = sorted((x for x in lists if x), key=len)
+    if len(lists) < t:
+        return
+    aside = min(t - 1, int(t / (MU * math.log2(max(2, len(lists[-1]))) + 1)))
+    short, long = lists[: len(lists) - aside], lists[len(lists) - aside :]
+    least = t - aside
+    at = [0] * len(short)
+    heap = [(x[0], i) for i, x in enumerate(short)]
+    heapq.heapify(heap)
+    while len(heap) >= least:
+        top, off = heap[0][0], []
+        while heap and heap[0][0] == top:
+            off.append(heapq.heappop(heap)[1])
+        if len(off) >= least:
+            have = len(off)
+            for left, x in zip(range(len(long), 0, -1), long):
+                if have + left < t:
+                    break
+                k = bisect_left(x, top)
+                have += k < len(x) and x[k] == top
+            if have >= t:
+                yield top, have
+            for i in off:
+                at[i] += 1
+        else:
+            while len(off) < least - 1 and heap:
+                off.append(heapq.heappop(heap)[1])
+            if not heap:
+                return
+            for i in off:
+                at[i] = bisect_left(short[i], heap[0][0], at[i])
+        for i in off:
+            if at[i] < len(short[i]):
+                heapq.heappush(heap, (short[i][at[i]], i))
+
+
 def search(sets: list[np.ndarray], forest: Forest, num: int = NUM, den: int = DEN) -> None:
-    """Unites all linked sets by a T-occurrence search of each among those that aren't larger.
+    """Unites all linked sets by a T-occurrence search (DivideSkip) of each among those that aren't larger.
 
-    A set of n needs T = need(n) shingles in common with a set that isn't larger. Of its n inverted lists the T - 1
-    longest are left out of the merge: a linked set occurs at least once in the n - T + 1 shortest, which are merged with
-    counts. The sets found there are probed by binary search, likeliest first, unless their component is joined already.
+    A set of n needs T = need(n) shingles in common with a set that isn't larger, so it links with none unless T of its
+    inverted lists hold one. Lists hold sets by size; a set's own component is left out of its lists, as a link to it says
+    nothing new. So that large groups of near copies are one component early, the set that most of some lists hold is
+    probed first.
     """
     order = sorted((i for i in range(len(sets)) if len(sets[i])), key=lambda i: (len(sets[i]), i))
     if len(order) < 2:
@@ -100,21 +149,40 @@ def search(sets: list[np.ndarray], forest: Forest, num: int = NUM, den: int = DE
     count = np.bincount(token)
     begin = np.concatenate([[0], np.cumsum(count)])
     lists = np.repeat(np.arange(len(order)), size)[np.argsort(token, kind="stable")]
-    for q, i in enumerate(order):
+    label = np.array([forest.root(i) for i in order])
+
+    def unite(q: int, j: int) -> None:
+        a, b = int(label[q]), int(label[j])
+        forest.join(order[q], order[j])
+        label[(label == a) | (label == b)] = forest.root(order[q])
+
+    def members(q: int, mine: np.ndarray, t: int) -> tuple[np.ndarray, np.ndarray]:
+        """What the lists hold of sets before q that are large enough and of other components, and from which list."""
+        length = count[mine]
+        held = lists[np.repeat(begin[mine] - (np.cumsum(length) - length), length) + np.arange(length.sum())]
+        own = (held < q) & (size[held] >= t) & (label[held] != label[q])
+        return held[own], np.repeat(np.arange(len(mine)), length)[own]
+
+    for q in range(1, len(order)):
         n = int(size[q])
         t = need(n, num, den)
         mine = token[at[q] : at[q + 1]]
-        short = mine[np.argpartition(count[mine], n - t)[: n - t + 1]] if t > 1 else mine
-        short = short[count[short] > 1]
-        if not len(short):
+        mine = mine[count[mine] > 1]
+        if len(mine) < t:
+            continue
+        held, _ = members(q, mine[:: max(1, len(mine) // PROBES)], t)
+        if len(held):
+            j = int(np.bincount(held).argmax())
+            if linked(overlap(sets[order[q]], sets[order[j]]), n, int(size[j]), num, den):
+                unite(q, j)
+        held, owner = members(q, mine, t)
+        cut = np.searchsorted(owner, np.arange(len(mine) + 1))
+        if np.count_nonzero(np.diff(cut)) < t:
             continue
-        length = count[short]
-        found = lists[np.repeat(begin[short] - (np.cumsum(length) - length), length) + np.arange(length.sum())]
-        ids, times = np.unique(found[found < q], return_counts=True)
-        for j in ids[np.argsort(-times, kind="stable")].tolist():
-            k = order[j]
-            if size[j] >= t and forest.root(i) != forest.root(k) and linked(overlap(sets[i], sets[k]), n, int(size[j]), num, den):
-                forest.join(i, k)
+        held, cut = held.tolist(), cut.tolist()
+        for j, common in divide_skip([held[a:b] for a, b in zip(cut, cut[1:])], t):
+            if label[j] != label[q] and linked(common, n, int(size[j]), num, den):
+                unite(q, j)
 
 
 # -- tasks

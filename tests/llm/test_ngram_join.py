@@ -86,3 +86,24 @@ def test_large_components_over_blocks(spark, monkeypatch, seed):
 
 def test_empty(spark):
     assert got(spark, []) == []
+
+
+def test_divide_skip_against_counts():
+    """Every member that enough lists hold, with how many hold it; long lists, ties and empty lists among them."""
+    from collections import Counter
+
+    rng = random.Random(12)
+    for _ in range(400):
+        n = rng.randint(1, 14)
+        lists = [sorted(rng.sample(range(40), rng.choice([0, 1, 3, 8, 30]))) for _ in range(n)]
+        t = rng.randint(1, n)
+        want = sorted((x, c) for x, c in Counter(x for own in lists for x in own).items() if c >= t)
+        assert list(ngram_join.divide_skip(lists, t)) == want
+
+
+def test_long_texts_and_clashing_columns(spark):
+    long = " ".join(f"w{i}" for i in range(60_000))
+    rows = [(1, long), (2, long + " end"), (3, "short text of five words"), (3, "short text of five words")]
+    df = spark.createDataFrame([(*r, 1, 2, "x") for r in rows], "doc_id long, text string, n_shingles int, component_id int, comp string")
+    got = sorted(map(tuple, ngram_components(df).collect()))
+    assert got == [(1, 59_998, 1), (2, 59_999, 1), (3, 3, 3), (3, 3, 3)]
