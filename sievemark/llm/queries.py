@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import public_tokenizers
+from pyspark.sql import functions as F
 
 from . import bpe, decontaminate, embed_dedup, licenses, ngram_join, quality, secrets, substring_dedup, token_files, warc
 from .common import table
@@ -23,7 +24,9 @@ def op3_embed_dedup(spark, sf_dir):
 
 
 def op4_secrets(spark, sf_dir):
-    return secrets.digest(secrets.scan_secrets(table(spark, sf_dir, "documents")))
+    """Owners are sources; what a source has in one language stands in for a repository of it."""
+    repository = F.concat_ws("/", "source", "lang")
+    return secrets.digest(secrets.scan_secrets(table(spark, sf_dir, "documents"), repository=repository, owner="source"))
 
 
 def op5_token_files(spark, sf_dir):

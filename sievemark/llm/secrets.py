@@ -8,7 +8,7 @@ import re
 from collections import Counter
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -22,8 +22,8 @@ _HEX = re.compile(r"[0-9a-f]{24,}")
 #: Candidate values beside the base kinds: long unbroken runs, judged by their make-up and by who else has them.
 _RUN = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za-z0-9+/_=-])")
 _PLACEHOLDER = re.compile(r"example|sample|dummy|placeholder|changeme|your|test|xxxx|0000|1234|abcd", re.IGNORECASE | re.ASCII)
-#: A value that more owners than this have is a copied example.
-MOST_OWNERS = 1
+#: A value that more owners or more repositories than these have is a copied example.
+MOST_OWNERS, MOST_REPOSITORIES = 1, 3
 LEAST_ENTROPY = 3.0
 
 
@@ -57,12 +57,16 @@ def _hash(value: str) -> int:
 _SCAN = "_row long, n_assign long, n_access long, n_hex long, base array<struct<s:int,k:int,e:int>>, cand array<struct<s:int,e:int,h:long,v:boolean>>, base_h array<long>"
 
 
-def candidates(docs: DataFrame, key: str, text: str, repository: str, owner: str) -> DataFrame:
+def _column(x: str | Column) -> Column:
+    return F.col(x) if isinstance(x, str) else x
+
+
+def candidates(docs: DataFrame, key: str, text: str, repository: str | Column, owner: str | Column) -> DataFrame:
     """One pass over the texts: base spans, hashes of their values, and further candidates. A checkpoint: it is read twice.
 
     Values leave the task as 64-bit hashes only.
     """
-    plain = docs.select(F.col(key), F.col(repository).cast("string").alias("_repo"), F.col(owner).cast("string").alias("_owner"), F.monotonically_increasing_id().alias("_row"), F.col(text).alias("_text"))
+    plain = docs.select(F.col(key), _column(repository).cast("string").alias("_repo"), _column(owner).cast("string").alias("_owner"), F.monotonically_increasing_id().alias("_row"), F.col(text).alias("_text"))
 
     def run(batches):
         for batch in slices(batches):
@@ -103,18 +107,20 @@ def ownership(scan: DataFrame) -> DataFrame:
     return by.groupBy("h").agg(F.count("*").alias("n_owners"), F.sum("repos").alias("n_repositories"), F.sum("n").alias("n_docs"))
 
 
-def scan_secrets(docs: DataFrame, key: str = "doc_id", text: str = "text", repository: str = "source", owner: str = "source", most_owners: int = MOST_OWNERS) -> DataFrame:
+def scan_secrets(docs: DataFrame, key: str = "doc_id", text: str = "text", repository: str | Column = "source", owner: str | Column = "source", most_owners: int = MOST_OWNERS, most_repositories: int = MOST_REPOSITORIES) -> DataFrame:
     """Per row of docs: key, n_assign, n_access, n_hex, n_owned, n_live, n_example, base and all (arrays of start, kind, end).
 
     Base spans always stay. A further candidate (kind 3, "owned") is added if it looks live and at most `most_owners`
-    distinct owners have its value anywhere in the corpus. n_live counts the row's distinct base values that so few
-    owners have, n_example those that more have. Null or empty texts have no spans. Null keys and repeated rows stay,
-    a row each; copies of a row have one owner. Only key, text, repository and owner are read.
+    distinct owners and `most_repositories` distinct repositories (of an owner) have its value anywhere in the corpus.
+    n_live counts the row's distinct base values that so few have, n_example those that more have. Null or empty texts
+    have no spans, an empty table no rows; very long texts are scanned whole. Null keys and repeated rows stay, a row
+    each; copies of a row have one owner. Only key, text, repository and owner (columns or names of columns) are read,
+    and other columns' names don't matter.
 
     Rows are joined by value hash only where they hold candidates; Spark may split a hot value's rows (a plain left join).
     """
     scan = candidates(docs, key, text, repository, owner)
-    counts = ownership(scan).select("h", (F.col("n_owners") <= most_owners).alias("few"))
+    counts = ownership(scan).select("h", ((F.col("n_owners") <= most_owners) & (F.col("n_repositories") <= most_repositories)).alias("few"))
     wanted = scan.select("_row", F.explode(F.concat(F.transform("cand", lambda c: F.struct(c["h"].alias("h"), c["s"].alias("s"), c["e"].alias("e"))), F.transform("base_h", lambda h: F.struct(h.alias("h"), F.lit(-1).alias("s"), F.lit(-1).alias("e"))))).alias("c")).select("_row", "c.h", "c.s", "c.e")
     judged = wanted.join(counts, "h").groupBy("_row").agg(
         F.count(F.when((F.col("s") < 0) & F.col("few"), 1)).alias("n_live"),
