@@ -50,7 +50,8 @@ def write_warc(pages: DataFrame, folder: str, key: str = "page_id", uri: str = "
     are revisits of it and hold no payload; shorter payloads are all responses. A null payload is empty. Rows with a null
     key are responses; repeated rows with the largest key are each a response. Payloads are grouped by SHA-1 and length
     with counts pre-aggregated in the reading tasks, then joined to the rows by digest: one shuffle of the payloads,
-    whose hot digests Spark may split. Each attempt writes files of its own; the manifest names those that count.
+    whose hot digests Spark may split. Each attempt writes files of its own; the manifest names those that count. An
+    empty table gives an empty manifest; a long payload is one record. Only the three columns are read.
     """
     rows = pages.select(F.col(key).cast("long").alias("k"), F.col(uri).cast("string").alias("u"), F.coalesce(F.col(payload).cast("string"), F.lit("")).alias("p"))
     rows = rows.select("k", "u", "p", F.sha1("p").alias("d"), F.octet_length("p").cast("long").alias("n"))
@@ -234,15 +235,20 @@ def read_warc(spark: SparkSession, path: str | None = None, paths: list[str] | N
 
 
 def digest(pages: DataFrame, key: str = "page_id", uri: str = "url", payload: str = "html", least_revisit_bytes: int = 0) -> DataFrame:
-    """Writes pages to archives in the shared folder and reads every record of the manifest's files back."""
+    """Writes pages to archives in the shared folder and reads every record of the manifest's files back.
+
+    The record type is pushed down to the source: responses are read with their payloads, revisits by their headers alone.
+    An empty table gives no rows; extra columns aren't read.
+    """
     spark = pages.sparkSession
     folder = new_folder(spark, "warc")
     manifest = write_warc(pages, folder, key, uri, payload, least_revisit_bytes)
     # a row a file; the folder may hold files of attempts that don't count as well
     paths = sorted(r.path for r in manifest.select("path").toLocalIterator())
     number = lambda c: F.regexp_extract(c, r"<urn:record:(-?\d+)>", 1).try_cast("long")
-    size = F.when(F.col("record_type") == "response", F.octet_length("payload").cast("long")).otherwise(F.col("payload_length"))
     if not paths:
         return spark.createDataFrame([], f"`{key}` long, payload_bytes long, payload_digest string, record_type string, refers_to long")
-    back = read_warc(spark, paths=paths)
-    return back.select(number("record_id").alias(key), size.alias("payload_bytes"), F.regexp_replace("payload_digest", "^sha1:", "").alias("payload_digest"), "record_type", number("refers_to").alias("refers_to"))
+    whole = read_warc(spark, paths=paths).where("record_type = 'response'").withColumn("size", F.octet_length("payload").cast("long"))
+    again = read_warc(spark, paths=paths, payload=False).where("record_type = 'revisit'").withColumn("size", F.col("payload_length"))
+    columns = [number("record_id").alias(key), F.col("size").alias("payload_bytes"), F.regexp_replace("payload_digest", "^sha1:", "").alias("payload_digest"), "record_type", number("refers_to").alias("refers_to")]
+    return whole.select(*columns).unionByName(again.select(*columns))
