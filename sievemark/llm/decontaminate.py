@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from array import array
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -16,7 +17,9 @@ WINDOW = 13
 #: A document is contaminated if at least this share of its words is hit.
 COVERAGE = (1, 20)
 #: Words of test items in one automaton. A larger benchmark is dealt into blocks, each with its own pass.
-BLOCK_WORDS = 1_000_000
+BLOCK_WORDS = 250_000
+#: Bytes that an automaton takes for each of its items' words at most, in the driver and in each worker (tests measure it).
+BYTES_PER_WORD = 400
 
 # Word characters: 0-9, A-Z as a-z, a-z, and everything outside ASCII. Other bytes part words.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -34,77 +37,95 @@ def spans_of_words(text: bytes) -> list[tuple[int, int]]:
 class Automaton:
     """Generalised suffix automaton: the states are the distinct sets of end positions of word runs of all items.
 
-    `out` of a state: items that have a window ending there (all items with a run of the window's length), or that are
-    themselves that run when they are shorter than a window.
+    States lie in arrays of 32-bit numbers. Most have one transition (`word`, `to`); the others of a state are in `more`.
+    Item sets are kept once each and named by number, so that a block takes about BYTES_PER_WORD bytes a word.
+
+    `long` of a state: items that have a window ending there (all items with a run of the window's length); `short`:
+    items that are themselves that run when they are shorter than a window.
     """
 
     def __init__(self, items: list[tuple[str, list[bytes]]], window: int = WINDOW):
         self.window = window
         self.vocabulary: dict[bytes, int] = {}
-        self.next: list[dict[int, int]] = [{}]
-        self.link, self.size = [-1], [0]
-        ends: list[tuple[int, str]] = []
-        short: list[tuple[int, int, str]] = []
-        for name, seq in items:
+        self.word, self.to = array("i", [-1]), array("i", [-1])
+        self.more: dict[int, dict[int, int]] = {}
+        self.link, self.size = array("i", [-1]), array("i", [0])
+        ends, whose = array("i"), array("i")
+        short: list[tuple[int, int, int]] = []
+        self.names = [name for name, _ in items]
+        for item, (_, seq) in enumerate(items):
             ids = [self.vocabulary.setdefault(w, len(self.vocabulary)) for w in seq]
             last = 0
             for c in ids:
                 last = self._add(last, c)
                 if len(ids) >= window:
-                    ends.append((last, name))
+                    ends.append(last)
+                    whose.append(item)
             if 0 < len(ids) < window:
-                short.append((last, len(ids), name))
-        # items of a state: those of the states whose suffix links lead to it
-        owners: list[set[str]] = [set() for _ in self.size]
-        for state, name in ends:
-            while state > 0 and self.size[state] >= window and name not in owners[state]:
-                owners[state].add(name)
+                short.append((last, len(ids), item))
+        # items of a state: those of the states whose suffix links lead to it; a set is kept once and named by number
+        self.sets: list[tuple[int, ...]] = [()]
+        known: dict[tuple[int, ...], int] = {(): 0}
+        self.long = array("i", bytes(4 * len(self.size)))
+        for state, item in zip(ends, whose):
+            while state > 0 and self.size[state] >= window and item not in self.sets[self.long[state]]:
+                own = tuple(sorted((*self.sets[self.long[state]], item)))
+                if own not in known:
+                    known[own] = len(self.sets)
+                    self.sets.append(own)
+                self.long[state] = known[own]
                 state = self.link[state]
-        self.long = [frozenset(x) for x in owners]
-        self.short: dict[int, list[tuple[int, str]]] = {}
-        for state, n, name in short:
+        self.short: dict[int, list[tuple[int, int]]] = {}
+        for state, n, item in short:
             # the state may have been split since: go up to the one that holds the run of n words
             while self.size[self.link[state]] >= n:
                 state = self.link[state]
-            self.short.setdefault(state, []).append((n, name))
+            self.short.setdefault(state, []).append((n, item))
         # nearest state on the chain of suffix links, itself included, that ends a short item
-        self.near = [-1] * len(self.size)
-        for state in sorted(range(len(self.size)), key=self.size.__getitem__):
-            if state:
-                self.near[state] = state if state in self.short else self.near[self.link[state]]
+        self.near = array("i", [-1]) * len(self.size)
+        for state in sorted(range(1, len(self.size)), key=self.size.__getitem__) if short else ():
+            self.near[state] = state if state in self.short else self.near[self.link[state]]
         self.least = min([window, *(n for _, n, _ in short)])
 
+    def _next(self, state: int, c: int) -> int:
+        if self.word[state] == c:
+            return self.to[state]
+        return self.more[state].get(c, -1) if state in self.more else -1
+
+    def _set(self, state: int, c: int, to: int) -> None:
+        if self.word[state] in (-1, c):
+            self.word[state], self.to[state] = c, to
+        else:
+            self.more.setdefault(state, {})[c] = to
+
+    def _new(self, size: int, link: int, word: int = -1, to: int = -1) -> int:
+        for own, x in ((self.size, size), (self.link, link), (self.word, word), (self.to, to)):
+            own.append(x)
+        return len(self.size) - 1
+
     def _add(self, last: int, c: int) -> int:
         """Extends by one word; a state that exists already is used or split (generalised form)."""
-        nxt, link, size = self.next, self.link, self.size
-        if c in nxt[last]:
-            q = nxt[last][c]
-            if size[q] == size[last] + 1:
-                return q
-            return self._split(last, c, q)
-        cur = len(size)
-        nxt.append({})
-        link.append(0)
-        size.append(size[last] + 1)
+        q = self._next(last, c)
+        if q >= 0:
+            return q if self.size[q] == self.size[last] + 1 else self._split(last, c, q)
+        cur = self._new(self.size[last] + 1, 0)
         p = last
-        while p != -1 and c not in nxt[p]:
-            nxt[p][c] = cur
-            p = link[p]
+        while p != -1 and self._next(p, c) < 0:
+            self._set(p, c, cur)
+            p = self.link[p]
         if p != -1:
-            q = nxt[p][c]
-            link[cur] = q if size[q] == size[p] + 1 else self._split(p, c, q)
+            q = self._next(p, c)
+            self.link[cur] = q if self.size[q] == self.size[p] + 1 else self._split(p, c, q)
         return cur
 
     def _split(self, p: int, c: int, q: int) -> int:
-        nxt, link, size = self.next, self.link, self.size
-        new = len(size)
-        nxt.append(dict(nxt[q]))
-        link.append(link[q])
-        size.append(size[p] + 1)
-        link[q] = new
-        while p != -1 and nxt[p].get(c) == q:
-            nxt[p][c] = new
-            p = link[p]
+        new = self._new(self.size[p] + 1, self.link[q], self.word[q], self.to[q])
+        if q in self.more:
+            self.more[new] = dict(self.more[q])
+        self.link[q] = new
+        while p != -1 and self._next(p, c) == q:
+            self._set(p, c, new)
+            p = self.link[p]
         return new
 
     def hits(self, seq: list[bytes]) -> tuple[list[tuple[int, int]], set[str]]:
@@ -114,21 +135,23 @@ class Automaton:
         automaton to its root, so only runs of item words as long as the shortest window are walked.
         """
         spans: list[tuple[int, int]] = []
-        found: set[str] = set()
+        found: set[int] = set()
         known = self.vocabulary
         mask = bytes(map(known.__contains__, seq))
         if b"\x01" * self.least not in mask:
-            return spans, found
-        nxt, link, size, window, near = self.next, self.link, self.size, self.window, self.near
+            return spans, set()
+        word, to, more, link, size, window, near = self.word, self.to, self.more, self.link, self.size, self.window, self.near
         for run in re.finditer(rb"\x01{%d,}" % self.least, mask):
             state = length = 0
             for at in range(*run.span()):
                 c = known[seq[at]]
-                while state and c not in nxt[state]:
+                after = to[state] if word[state] == c else more[state].get(c, -1) if state in more else -1
+                while state and after < 0:
                     state = link[state]
                     length = size[state]
-                if c in nxt[state]:
-                    state = nxt[state][c]
+                    after = to[state] if word[state] == c else more[state].get(c, -1) if state in more else -1
+                if after >= 0:
+                    state = after
                     length += 1
                 else:
                     length = 0
@@ -137,13 +160,13 @@ class Automaton:
                     s = state
                     while size[link[s]] >= window:
                         s = link[s]
-                    found |= self.long[s]
+                    found.update(self.sets[self.long[s]])
                     cover = window
                 s = near[state]
                 while s != -1:
-                    for n, name in self.short[s]:
+                    for n, item in self.short[s]:
                         if n <= length:
-                            found.add(name)
+                            found.add(item)
                             cover = max(cover, n)
                     s = near[link[s]]
                 if cover:
@@ -151,7 +174,7 @@ class Automaton:
                     while spans and spans[-1][1] >= start:
                         start = min(start, spans.pop()[0])
                     spans.append((start, at + 1))
-        return spans, found
+        return spans, {self.names[i] for i in found}
 
 
 def item_blocks(items: DataFrame, key: str = "item_id", text: str = "text", block_words: int = BLOCK_WORDS):
@@ -203,7 +226,7 @@ def find(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "te
     A window is `window` consecutive words of an item; an item of fewer words, but not none, is one window. Words inside
     any occurrence of a window are hit. Null or empty texts have no words and aren't contaminated. Items with a null key
     still hit, but are in no list; without items nothing is hit. Rows of docs are kept one for one, repeated rows and
-    null keys too. carry=True keeps all columns of docs but those named like the new ones.
+    null keys too. carry=True keeps all columns of docs but those named like the new ones. Very long texts are streamed whole.
 
     The items are read in blocks of at most `block_words` words (a longer item is a block); each block's automaton is
     broadcast and the documents are streamed past it. With one block there is no shuffle. With more, rows are numbered
@@ -212,9 +235,13 @@ def find(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "te
     sc = docs.sparkSession.sparkContext
     autos = [sc.broadcast(Automaton(b, window)) for b in item_blocks(items, item_key, item_text, block_words)] or [sc.broadcast(Automaton([], window))]
     plain = docs.select(*[c for c in docs.columns if c not in _NAMES]) if carry else docs.select(key, text)
-    kept = plain.columns if carry else [key]
+    given = plain.columns if carry else [key]
+    # numbered names inside, so that no column of docs clashes with those of the operator
+    text = f"c{plain.columns.index(text)}"
+    plain = plain.toDF(*[f"c{i}" for i in range(len(plain.columns))])
+    kept = plain.columns if carry else ["c0"]
     if len(autos) == 1:
-        return _scan(plain, kept, text, autos[0])
+        return _scan(plain, kept, text, autos[0]).toDF(*given, *_NAMES)
     base = checkpointed(plain.withColumn("_row", F.monotonically_increasing_id()))
     first = _scan(base, [*kept, "_row"], text, autos[0])
     rest = union_all([_scan(base.select("_row", text), ["_row"], text, a).where("n_hit > 0").select("_row", "items", "spans") for a in autos[1:]])
@@ -230,7 +257,7 @@ def find(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "te
                 out.append(_verdict(n, merged(list(zip(flat[::2], flat[1::2]))), {*i, *(more_i or [])}))
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], *[pa.array([o[i] for o in out], k) for i, k in enumerate(_KINDS)]], names=[*kept, *_NAMES])
 
-    return both.mapInArrow(run, T.StructType([plain.schema[c] for c in kept] + T._parse_datatype_string(_NEW).fields))
+    return both.mapInArrow(run, T.StructType([plain.schema[c] for c in kept] + T._parse_datatype_string(_NEW).fields)).toDF(*given, *_NAMES)
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
