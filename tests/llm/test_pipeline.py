@@ -7,7 +7,7 @@ import public_tokenizers as P
 import pytest
 
 from sievemark.llm import quality
-from test_ngram_join import brute
+from test_ngram_rules import brute
 from test_text_ops import brute_hits, brute_secrets, plain
 
 SF = "/root/testdata/sf0.001"
@@ -38,7 +38,7 @@ def test_quality(spark, kept):
 
 def test_groups(kept):
     old, new = kept[1]
-    want = {k for k, _, c in brute([(r.doc_id, r.text) for r in old]) if k == c}
+    want = {k for k, c in brute([(r.doc_id, r.text) for r in old], 5, 80, 100) if k == c}
     assert sorted(r.doc_id for r in new) == sorted(want)
 
 
@@ -74,12 +74,26 @@ def test_run(spark, kept):
 
 
 def test_odd_rows(spark, tmp_path):
-    rows = [(None, "good words in a row here", None, None, None), (None, None, "en", "a", 0), (1, "", "en", "a", 0), (2, "password=abcdefgh1", "en", "a", 18), (2, "password=abcdefgh1", "en", "a", 18)]
-    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    long = "word after word of one very long text " * 40_000
+    rows = [(None, "good words in a row here", None, None, None), (None, None, "en", "a", 0), (1, "", "en", "a", 0), (2, "password=abcdefgh1", "en", "a", 18), (2, "password=abcdefgh1", "en", "a", 18), (3, "one text of a key", "en", "a", 17), (3, "and a wholly different text that has it too", "en", "b", 43), (4, long, "en", "a", len(long)), (4, "One text of a key", "de", "a", 17)]
+    clash = "score double, predicted string, items string, spans string, n_words int, n_hit int, n_items int, contaminated string, `all` string, more string, name string, found string, n int"
+    kept = tuple([-5.0, *["mine"] * 3, 7, 7, 7, *["mine"] * 5, 7])
+    spark.createDataFrame([(*r, *kept) for r in rows], f"doc_id long, text string, lang string, source string, n_chars long, {clash}").write.parquet(f"{tmp_path}/documents.parquet")
     for t in ("labels", "benchmark"):
         spark.read.parquet(f"{SF}/{t}.parquet").limit(0).write.parquet(f"{tmp_path}/{t}.parquet")
     docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    columns = docs.columns
     for _, stage in cp.STAGES[1:4]:
         docs = stage(spark, docs, str(tmp_path))
-    assert sorted((r.doc_id or 0, r.text or "", r.n_chars or 0) for r in docs.collect()) == [(0, "", 0), (0, "good words in a row here", 0), (1, "", 0), (2, "password=[SECRET]", 17)]
+        assert docs.columns == columns
+    have = docs.collect()
+    assert all(tuple(r)[5:] == kept for r in have)
+    assert sorted((r.doc_id or 0, r.text or "", r.n_chars or 0) for r in have) == sorted([(0, "", 0), (0, "good words in a row here", 0), (1, "", 0), (2, "password=[SECRET]", 17), (3, "one text of a key", 17), (3, "and a wholly different text that has it too", 43), (4, long, len(long))])
     assert cp.run(spark, str(tmp_path)).count() == 0
+
+
+def test_labels_by_key(spark, tmp_path):
+    """Columns of documents come back from the first stage as they were."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").selectExpr("*", "'own' AS score", "doc_id AS predicted")
+    got = cp.quality_filter(spark, docs, SF)
+    assert got.columns == docs.columns and {(r.score, r.predicted - r.doc_id) for r in got.collect()} == {("own", 0)}

@@ -35,6 +35,54 @@ def test_quality_odd_rows(spark):
     assert quality.score(docs.limit(0), model).count() == 0
 
 
+def test_training_sample_is_bounded(spark):
+    """A labelled document that repeats counts once, and no more rows are fitted on than the bounds allow."""
+    docs = spark.createDataFrame([(i, f"word{i} more words", 1) for i in range(40)] + [(7, "word7 more words", 2)] * 500 + [(7, "another text of the key", 3)], "doc_id long, text string, y int")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    once = docs.where("y = 1 and doc_id <> 7").unionByName(spark.createDataFrame([(7, "another text of the key", 3)], "doc_id long, text string, y int"))
+    a, b = quality.fit(docs, labels), quality.fit(once, labels)
+    assert (a.weight == b.weight).all() and a.bias == b.bias
+    few = quality.fit(docs, labels, most_counts=60)
+    assert 0 < (few.weight != 0).sum() <= 60 < (a.weight != 0).sum()
+
+
+def test_descent_against_plain_steps():
+    """The trainer's steps, said plainly over dense counts of a tiny corpus."""
+    import numpy as np
+
+    docs, labels = [[1, 1, 2], [3, 4], [2, 3, 3, 5], []], np.array([1, 0, 1, 0])
+    found = [np.unique(np.array(d, np.int64), return_counts=True) for d in docs]
+    model = quality.train(np.concatenate([f for f, _ in found]), np.concatenate([c for _, c in found]), np.array([len(f) for f, _ in found]), labels, dim=3, epochs=4, batch=2, rate=0.5, seed=3)
+    rng = np.random.default_rng(3)
+    used = sorted({x for d in docs for x in d})
+    vec = rng.uniform(-1 / 3, 1 / 3, (len(used), 3)).astype(np.float32).astype(float)
+    out, bias = rng.normal(0, 0.3, (3, 2)).astype(np.float32).astype(float), np.zeros(2)
+    step = 0
+    for _ in range(4):
+        order = rng.permutation(4)
+        for at in (0, 2):
+            lr = 0.5 * (1 - step / 8)
+            step += 1
+            old_vec, old_out, d_out, d_bias, moves = vec.copy(), out.copy(), np.zeros_like(out), np.zeros(2), []
+            for i in order[at : at + 2]:
+                x = np.array([docs[i].count(u) for u in used]) / max(1, len(docs[i]))
+                mean = x @ old_vec
+                p = np.exp(mean @ old_out + bias)
+                p /= p.sum()
+                p[labels[i]] -= 1
+                g = p / 2
+                d_out += np.outer(mean, g)
+                d_bias += g
+                moves.append(np.outer(x, g @ old_out.T) * 2)
+            out = old_out - lr * 0.1 * d_out
+            bias = bias - lr * 0.1 * d_bias
+            vec = old_vec - lr * sum(moves)
+    assert np.allclose(model.weight[used], vec @ (out[:, 1] - out[:, 0]), atol=1e-4) and abs(model.bias - (bias[1] - bias[0])) < 1e-4
+    words = quality.words_of(b"good good words here")
+    by_hand = model.bias + np.mean(model.weight[quality.features(words)[0]])
+    assert abs(quality.Scorer(model).scores([b"good good words here"])[0] - 1 / (1 + np.exp(-by_hand))) < 1e-6
+
+
 def lcs(a, b):
     row = [0] * (len(b) + 1)
     for x in a:
