@@ -12,61 +12,98 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievemark.llm import bpe, decontaminate, ngram_join, quality, secrets
-from sievemark.llm.common import slices, table
+from sievemark.llm.common import checkpointed, slices, table
 
 #: The near-duplicates stage: words in a shingle, and the least similarity as a fraction.
 SHINGLE_WORDS, NUM, DEN = 5, 80, 100
 
 
+def numbered(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """docs under numbered names, which no operator's columns clash with, and the name that each column has there."""
+    names = [f"in_{i}" for i in range(len(docs.columns))]
+    return docs.toDF(*names), dict(zip(docs.columns, names))
+
+
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the documents that the classifier, fitted on the labelled ones among them, scores at 0.7 or more."""
+    """Keeps the documents that the classifier, fitted on the labelled ones among them, scores at 0.7 or more.
+
+    Null and empty texts have a score like others; without labels all score 0.5 and go. An empty table stays empty.
+    """
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
-    return quality.score(docs, model, carry=True).where("predicted = 1").select(*docs.columns)
+    own, at = numbered(docs)
+    return quality.score(own, model, at["doc_id"], at["text"], carry=True).where("predicted = 1").select(*own.columns).toDF(*docs.columns)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents that the n-gram join links, directly or by others, the one with the smallest doc_id stays.
 
     Here two documents link if their sets of five-word shingles have a Jaccard similarity of 0.8 or more; op6's own rule
-    is three words and 0.9. Of rows with one doc_id, one stays. Rows with a null doc_id link with nothing and all stay.
+    is three words and 0.9. A document is a doc_id with a text, named by a 64-bit hash of both: rows of one doc_id with
+    other texts are other documents, of which one with a smaller hash stays if they link; of repeated documents one row
+    stays, that with the smallest hash of its columns. Rows with a null doc_id link with nothing and all stay, and so do
+    empty texts. An empty table stays empty.
     """
-    stay = ngram_join.ngram_components(docs, size=SHINGLE_WORDS, num=NUM, den=DEN).where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.where("doc_id is not null").join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    own, at = numbered(docs)
+    key, text = F.col(at["doc_id"]), F.col(at["text"])
+    own = own.withColumn("name", F.when(key.isNotNull(), F.xxhash64(key, text)))
+    grouped = ngram_join.ngram_components(own, "name", at["text"], size=SHINGLE_WORDS, num=NUM, den=DEN).where("name is not null")
+    groups = grouped.groupBy("name").agg(F.first("component_id").alias("component"), F.count("*").alias("n"))
+    first = own.where(key.isNotNull()).select("name", key.alias("id")).join(groups, "name")
+    stay = first.groupBy("component").agg(F.min(F.struct("id", "name", "n")).alias("x")).select("x.name", "x.n")
+    single = own.join(stay.where("n = 1"), "name", "left_semi").select(*at.values())
+    row = F.struct(*at.values())
+    repeated = own.join(stay.where("n > 1"), "name", "left_semi").groupBy("name").agg(F.min_by(row, F.xxhash64(row)).alias("row")).select("row.*")
+    return single.unionByName(repeated).unionByName(own.where(key.isNull()).select(*at.values())).toDF(*docs.columns)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the contaminated documents: those of whose words benchmark windows hit at least a twentieth."""
-    found = decontaminate.find(docs, table(spark, sf_dir, "benchmark"), carry=True)
-    return found.where(~F.col("contaminated")).select(*docs.columns)
+    """Drops the contaminated documents: those of whose words benchmark windows hit at least a twentieth.
+
+    Null and empty texts have no words and stay; an empty table stays empty.
+    """
+    own, at = numbered(docs)
+    found = decontaminate.find(own, table(spark, sf_dir, "benchmark"), at["doc_id"], at["text"], carry=True)
+    return found.where(~F.col("contaminated")).select(*own.columns).toDF(*docs.columns)
+
+
+#: Documents with secrets beside the base kinds that are broadcast at most; more are joined by a shuffle.
+MOST_BROADCAST = 200_000
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Overwrites every secret in the texts with a mark (of an assignment its value only) and counts n_chars anew.
 
-    Spans are found for each (doc_id, text), so that rows of one doc_id with different texts stay apart.
+    Secrets of the base kinds are found where the text is read. Those that the whole corpus decides on are found for
+    each (doc_id, text) by the scan; only documents that have such a secret are joined to their texts. Null texts stay
+    null and an empty table empty.
     """
-    keyed = docs.withColumn("_key", F.struct(F.col("doc_id").alias("id"), F.xxhash64("text").alias("th")))
-    found = secrets.scan_secrets(keyed, key="_key").where(F.size("all") > 0).select(F.col("_key").alias("_found"), "all").dropDuplicates(["_found"])
-    both = keyed.join(found, F.col("_key").eqNullSafe(F.col("_found")), "left").select(*docs.columns, "all")
-    names = docs.columns
-    at, count = names.index("text"), names.index("n_chars")
+    own, at = numbered(docs)
+    key, text = F.col(at["doc_id"]), F.col(at["text"])
+    own = own.withColumn("name", F.struct(key.alias("id"), F.xxhash64(text).alias("hash")))
+    scan = secrets.scan_secrets(own, key="name", text=at["text"], repository=F.concat_ws("/", at["source"], at["lang"]), owner=at["source"])
+    more = checkpointed(scan.where("n_owned > 0").select("name", F.filter("all", lambda x: x["k"] == 3).alias("more")).groupBy("name").agg(F.first("more").alias("more")))
+    more = more.select(F.col("name").alias("found"), "more")
+    both = own.join(F.broadcast(more) if more.count() <= MOST_BROADCAST else more, F.col("name").eqNullSafe(F.col("found")), "left").select(*at.values(), "more")
+    names = list(at.values())
+    where, count = names.index(at["text"]), names.index(at["n_chars"])
 
     def run(batches):
         for batch in slices(batches):
-            text, n = batch.column(at).to_pylist(), batch.column(count).to_pylist()
-            for i, spans in enumerate(batch.column(len(names)).to_pylist()):
+            text, n = batch.column(where).to_pylist(), batch.column(count).to_pylist()
+            for i, added in enumerate(batch.column(len(names)).to_pylist()):
+                spans = [x[3:] if x[1] == 0 else (x[0], x[2]) for x in secrets.base_spans(text[i] or "")]
+                spans += [(x["s"], x["e"]) for x in added or ()]
                 if spans:
-                    text[i] = secrets.redact(text[i], [secrets.value_span(text[i], x["s"], x["k"], x["e"]) for x in spans])
+                    text[i] = secrets.redact(text[i], spans)
                     n[i] = len(text[i])
-            new = {at: pa.array(text, pa.string()), count: pa.array(n, batch.column(count).type)}
+            new = {where: pa.array(text, pa.string()), count: pa.array(n, batch.column(count).type)}
             yield pa.RecordBatch.from_arrays([new.get(i, batch.column(i)) for i in range(len(names))], names=names)
 
-    return both.mapInArrow(run, docs.schema)
+    return both.mapInArrow(run, own.select(*names).schema).toDF(*docs.columns)
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, lang, source, n_tokens and token_ids of every whole text."""
+    """doc_id, lang, source, n_tokens and token_ids of every whole text; null and empty texts have no ids."""
     out = bpe.encode_texts(docs.select("doc_id", "lang", "source", "text"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
     return out.select("doc_id", "lang", "source", "n_tokens", "token_ids")
 
