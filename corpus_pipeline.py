@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import pyarrow as pa
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievemark.llm import bpe, decontaminate, ngram_join, quality, secrets
@@ -47,15 +47,28 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     key, text = F.col(at["doc_id"]), F.col(at["text"])
     own = own.withColumn("name", F.when(key.isNotNull(), F.xxhash64(key, text)))
     grouped = ngram_join.ngram_components(own, "name", at["text"], size=SHINGLE_WORDS, num=NUM, den=DEN).where("name is not null")
-    groups = grouped.groupBy("name").agg(F.first("component_id").alias("component"), F.count("*").alias("n"))
+    groups = checkpointed(grouped.groupBy("name").agg(F.first("component_id").alias("component"), F.count("*").alias("n")))
     first = own.where(key.isNotNull()).select("name", key.alias("id")).join(groups, "name")
-    stay = first.groupBy("component").agg(F.min(F.struct("id", "name", "n")).alias("x")).select("x.name", "x.n")
-    single = own.join(stay.where("n = 1"), "name", "left_semi").select(*at.values())
+    stay = checkpointed(first.groupBy("component").agg(F.min(F.struct("id", "name", "n")).alias("x")).select("x.name", "x.n"))
+    again = stay.where("n > 1").select("name")
+    others = groups.join(stay.where("n = 1"), "name", "left_anti").select("name")
+    single = own.where(key.isNotNull()).join(few(others), "name", "left_anti").select(*at.values())
     row = F.struct(*at.values())
-    repeated = own.join(stay.where("n > 1"), "name", "left_semi").groupBy("name").agg(F.min_by(row, F.xxhash64(row)).alias("row")).select("row.*")
+    repeated = own.join(few(again), "name", "left_semi").groupBy("name").agg(F.min_by(row, F.xxhash64(row)).alias("row")).select("row.*")
     return single.unionByName(repeated).unionByName(own.where(key.isNull()).select(*at.values())).toDF(*docs.columns)
 
 
+#: Documents' names or spans that are broadcast at most; more are joined by a shuffle.
+MOST_BROADCAST = 500_000
+
+
+def few(rows: DataFrame, values: Column | None = None) -> DataFrame:
+    """rows, to be broadcast if their number (of rows, and of values that they hold) is within bounds: then texts needn't
+    be shuffled to be joined with them."""
+    n, held = rows.agg(F.count("*"), F.coalesce(F.sum(values if values is not None else F.lit(1)), F.lit(0))).first()
+    return F.broadcast(rows) if max(n, held) <= MOST_BROADCAST else rows
+
+
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the contaminated documents: those of whose words benchmark windows hit at least a twentieth.
 
@@ -66,10 +79,6 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return found.where(~F.col("contaminated")).select(*own.columns).toDF(*docs.columns)
 
 
-#: Documents with secrets beside the base kinds that are broadcast at most; more are joined by a shuffle.
-MOST_BROADCAST = 200_000
-
-
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Overwrites every secret in the texts with a mark (of an assignment its value only) and counts n_chars anew.
 
@@ -83,7 +92,7 @@ def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     scan = secrets.scan_secrets(own, key="name", text=at["text"], repository=F.concat_ws("/", at["source"], at["lang"]), owner=at["source"])
     more = checkpointed(scan.where("n_owned > 0").select("name", F.filter("all", lambda x: x["k"] == 3).alias("more")).groupBy("name").agg(F.first("more").alias("more")))
     more = more.select(F.col("name").alias("found"), "more")
-    both = own.join(F.broadcast(more) if more.count() <= MOST_BROADCAST else more, F.col("name").eqNullSafe(F.col("found")), "left").select(*at.values(), "more")
+    both = own.join(few(more, F.size("more")), F.col("name").eqNullSafe(F.col("found")), "left").select(*at.values(), "more")
     names = list(at.values())
     where, count = names.index(at["text"]), names.index(at["n_chars"])
 
