@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 _TOKEN = re.compile(r"\s*(?:(\d+(?:\.\d+)?|\.\d+)|(.))")
 _WIDE = decimal.Context(prec=2000, rounding=decimal.ROUND_HALF_UP)
 _NARROW = decimal.Context(prec=34, rounding=decimal.ROUND_HALF_UP)
-MOST_CHARS, MOST_POWER = 2000, 9999
+MOST_CHARS, MOST_POWER = 2000, 10_000
 
 
 def calculate(text: str | None) -> str | None:

@@ -1,11 +1,12 @@
-"""HTML extraction, tables, sections and chunk cursors: small helpers, and operators that run them in Arrow batches."""
+"""Text of HTML, tables, sections, periods and chunk windows: small helpers, and operators that run them in Arrow batches."""
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from html.parser import HTMLParser
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,11 +14,25 @@ from pyspark.sql import types as T
 _SKIP = {"script", "style", "noscript", "template"}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 _BLOCK = {"p", "div", "br", "li", "ul", "ol", "tr", "table", "h1", "h2", "h3", "h4", "h5", "h6", "section", "article", "header", "footer", "nav", "td", "th", "title"}
-_ITEM = re.compile(r"\bItem\s+(1A|1B|1C|7A|9A|9B|9C|1[0-6]|[1-9])(?:\.\s+|[ \t]+[-–—]\s+|[ \t]{2,})([A-Z][A-Za-z0-9 &,.'’:/()%-]{3,120})", re.IGNORECASE)
-_MONTH = "January|February|March|April|May|June|July|August|September|October|November|December"
-_PERIODS = [re.compile(p, re.IGNORECASE) for p in (rf"\b(?:As of|At|As at)?\s*(?:{_MONTH})\s+\d{{1,2}},\s+20\d{{2}}\b", rf"\b(?:Years?|Fiscal years?|Three months|Six months|Nine months|Twelve months)(?:\s+ended)?\s+(?:{_MONTH})\s+\d{{1,2}},\s+20\d{{2}}\b", r"\bFY\s*20\d{2}\b", r"\bFiscal\s+20\d{2}\b")]
 
+# Patterns that define headings of items, periods, header words and context tokens.
+ITEM_HEADING = r"\bItem\s+(1A|1B|1C|1|2|3|4|5|6|7A|7|8|9A|9B|9C|9|10|11|12|13|14|15|16)(?:\.\s+|[ \t]+[-–—]\s+|[ \t]{2,})([A-Z][A-Za-z0-9 &,.'’:/()%-]{3,120})"
+PERIOD_DATE = r"\b(?:As of|At|As at)?\s*(?:January|February|March|April|May|June|July|August|September|October|November|December)\s+\d{1,2},\s+20\d{2}\b"
+PERIOD_SPAN = r"\b(?:Year|Years|Fiscal year|Fiscal years|Three months|Six months|Nine months|Twelve months)(?:\s+ended)?\s+(?:January|February|March|April|May|June|July|August|September|October|November|December)\s+\d{1,2},\s+20\d{2}\b"
+PERIOD_FY = r"\bFY\s*20\d{2}\b"
+PERIOD_FISCAL = r"\bFiscal\s+20\d{2}\b"
+HEADER_WORDS = r"\b(Year|Fiscal|Month|Three Months|Nine Months|December|September|202[0-9])\b"
+CONTEXT_TOKEN = r"[A-Za-z0-9]+(?:[-'][A-Za-z0-9]+)?|[^\w\s]"
+#: Characters of the page before an offset in which its item and context are looked for.
+LOOK_BACK = 80_000
 
+_item = re.compile(ITEM_HEADING, re.IGNORECASE)
+_periods = [re.compile(p, re.IGNORECASE) for p in (PERIOD_DATE, PERIOD_SPAN, PERIOD_FY, PERIOD_FISCAL)]
+_header_words = re.compile(HEADER_WORDS, re.IGNORECASE)
+_table = re.compile(r"<table\b.*?</table>", re.IGNORECASE | re.DOTALL)
+
+
+# -- HTML
 class _Page(HTMLParser):
     """Text with line ends at block tags, and tables as rows of cells; skipped regions nest properly."""
 
@@ -84,53 +99,100 @@ def page(html: str | None) -> tuple[str, list[list[list[str]]]]:
     return many_lines("".join(p.out)), tables
 
 
+def interleaved(html: str | None) -> str:
+    """The text of a page with each table in its place as Markdown."""
+    html = re.sub(r"<ix:hidden\b.*?</ix:hidden>", " ", html or "", flags=re.IGNORECASE | re.DOTALL)
+    parts, last = [], 0
+    for m in [*_table.finditer(html), None]:
+        parts.append(page(html[last : m.start() if m else len(html)])[0])
+        if m:
+            tables = page(m[0])[1]
+            parts.append("Markdown table:\n" + markdown(tables[0]) if tables else "")
+            last = m.end()
+    return many_lines("\n\n".join(p for p in parts if p))
+
+
+# -- tables
+def markdown_rows(rows: list[list[str]]) -> list[str]:
+    return ["| " + " | ".join(c.replace("|", "/") for c in r) + " |" for r in rows]
+
+
 def markdown(rows: list[list[str]]) -> str:
-    lines = ["| " + " | ".join(c.replace("|", "/") for c in r) + " |" for r in rows]
+    lines = markdown_rows(rows)
     return "\n".join([lines[0], "|" + " --- |" * len(rows[0]), *lines[1:]]) if lines else ""
 
 
 def header_rows(rows: list[list[str]], most: int = 4) -> int:
-    """Rows at the top that are a header: few numbers, or words of periods."""
-    n = 0
-    for r in rows[:most]:
-        numeric = sum(bool(re.fullmatch(r"[\s$(]*-?[\d,]+(?:\.\d+)?[)%\s]*", c)) and not re.fullmatch(r"\s*(19|20)\d{2}\s*", c) for c in r)
-        if numeric > max(1, len(r) // 3) and not re.search(r"(?i)\b(year|months?|quarter)s?\b.*\bended\b", " ".join(r)):
-            break
+    """Rows at the top that are a header: the first one, and what follows while few of a row's filled cells have a digit
+    or the row has a header's word."""
+    def heads(row: list[str]) -> bool:
+        filled = [c for c in row if c.strip()]
+        numeric = sum(any(ch.isdigit() for ch in c) for c in filled)
+        return bool(filled) and numeric <= max(1, len(filled) // 3) or bool(_header_words.search(" ".join(row)))
+
+    n = 1
+    while n < min(most, len(rows)) and heads(rows[n]):
         n += 1
-    return min(n, max(0, len(rows) - 1))
-
-
-def table_chunks(rows: list[list[str]], most: int = 1400, least: int = 80) -> list[str]:
-    """Markdown pieces of at most about `most` characters, the header repeated, one row of overlap, short ones dropped."""
-    h = header_rows(rows)
-    head, body = rows[:h], rows[h:]
-    out, at = [], 0
-    while at < len(body):
-        end = at + 1
-        while end < len(body) and len(markdown(head + body[at : end + 1])) <= most:
-            end += 1
-        out.append(markdown(head + body[at:end]))
-        if end >= len(body):
-            break
-        at = max(at + 1, end - 1)
-    return [x for x in out if len(x) >= least]
+    return n
+
+
+def header_text(rows: list[list[str]], most: int = 800) -> str:
+    cells = [c for r in rows[: header_rows(rows)] for c in r if c.strip()] if rows else []
+    return one_line(" | ".join(cells))[:most]
 
 
+def table_chunks(rows: list[list[str]], most: int = 1400, least: int = 80, overlap: bool = True) -> list[str]:
+    """Pieces of a table by rows: each has the header's text and rows, then rows while they fit in `most` characters, and
+    begins with the last row of the one before. Pieces of fewer than `least` characters are dropped."""
+    if not rows:
+        return []
+    n = header_rows(rows)
+    head = ([f"Table header: {header_text(rows)}"] if header_text(rows) else []) + markdown_rows(rows[:n])
+    body = markdown_rows(rows[n:] or rows[n - 1 : n])
+    base = len("\n".join(head))
+    out, held, size = [], [], base
+    for line in body:
+        if held and size + len(line) + 1 > most:
+            out.append(held)
+            held = held[-1:] if overlap else []
+            size = base + sum(len(x) + 1 for x in held)
+        held = [*held, line]
+        size += len(line) + 1
+    pieces = ["\n".join([*head, *lines]).strip() for lines in [*out, held]]
+    return [p for p in pieces if len(p) >= least]
+
+
+def table_context(html: str, begin: int, end: int, tokens: int = 200) -> tuple[str, str]:
+    """The last tokens of the text before a place of a page, and the first of the text after it."""
+    def some(part: str, tail: bool) -> str:
+        found = re.findall(CONTEXT_TOKEN, page(part)[0]) if tokens > 0 else []
+        return many_lines(" ".join(found[-tokens:] if tail else found[:tokens]))
+
+    return some(html[max(0, begin - LOOK_BACK) : begin], True), some(html[end : end + LOOK_BACK], False)
+
+
+def item_before(html: str, at: int) -> tuple[str, str]:
+    """(item, title) of the last heading before a place of a page; empty strings if there is none within reach."""
+    last = None
+    for last in _item.finditer(page(html[max(0, at - LOOK_BACK) : at])[0]):
+        pass
+    return (f"Item {last[1].upper()}", one_line(last[2])) if last else ("", "")
+
+
+# -- sections and periods
 def sections(text: str) -> list[tuple[str, str, str]]:
     """(item, title, content) of each headed part, and of what precedes the first."""
-    found = list(_ITEM.finditer(text))
-    if not found:
-        return [("", "", text)]
-    out = [("", "", text[: found[0].start()].strip())]
-    for m, n in zip(found, [*found[1:], None]):
-        out.append((f"Item {m[1].upper()}", one_line(m[2]), text[m.start() : n.start() if n else len(text)].strip()))
-    return [s for s in out if s[2]]
+    heads = list(_item.finditer(text))
+    names = [("", ""), *((f"Item {m[1].upper()}", one_line(m[2])) for m in heads)]
+    edges = [0, *(m.start() for m in heads), len(text)]
+    parts = [(*name, text[a:b].strip() if heads else text) for name, a, b in zip(names, edges, edges[1:])]
+    return [p for p in parts if p[2]]
 
 
 def periods(text: str) -> tuple[list[str], list[str], str]:
     """(periods, years, primary) in order of pattern and place, without repeats."""
     seen: dict[str, str] = {}
-    for p in _PERIODS:
+    for p in _periods:
         for m in p.finditer(text):
             seen.setdefault(one_line(m[0]).lower(), one_line(m[0]))
     found = list(seen.values())
@@ -139,68 +201,124 @@ def periods(text: str) -> tuple[list[str], list[str], str]:
     return found[:12], years[:8], found[0] if found else ""
 
 
+# -- windows
 def windows(text: str, size: int = 1400, overlap: int = 180, least: int = 1, marks: tuple[str, ...] = ("\n", ". ", " ")) -> list[str]:
-    """Pieces of at most `size` characters that end after a mark in their second half; each begins `overlap` before the
-    last one's end, and always further on than the last."""
-    out, start = [], 0
-    while start < len(text):
-        end = min(start + size, len(text))
-        if end < len(text):
-            cut = max(text.rfind(m, start, end) for m in marks)
-            if cut > start + size // 2:
-                end = cut + 1
-        piece = text[start:end].strip()
-        if len(piece) >= least and piece:
-            out.append(piece)
+    """Pieces of a text: spans() stripped, without those of fewer than `least` characters."""
+    cut = (text[a:b].strip() for a, b in spans(text, size, overlap, marks))
+    return [c for c in cut if len(c) >= max(1, least)]
+
+
+def spans(text: str, size: int, overlap: int, marks: tuple[str, ...]) -> list[tuple[int, int]]:
+    """Begin and end of windows of `size` characters that overlap.
+
+    First all places are found at which a window may end, each after a mark's first character; then windows step over
+    them: one ends at the last place of a mark that lies in it whole, if that is in its second half, else at its full
+    size. The next begins `overlap` before that end, but always further on.
+    """
+    places = sorted((m.end(), m.start() + 1) for mark in marks for m in re.finditer(re.escape(mark), text))
+    whole, after = [p[0] for p in places], [p[1] for p in places]
+    longest = max(map(len, marks), default=0)
+    out, begin = [], 0
+    while begin < len(text):
+        end = begin + size
         if end >= len(text):
+            out.append((begin, len(text)))
             break
-        start = max(start + 1, end - overlap)
+        k = bisect_right(whole, end)
+        # of marks of other lengths, the last few that lie in the window have its last place
+        best = max(after[max(0, k - len(marks) * longest) : k], default=0)
+        stop = best if best > begin + size // 2 + 1 else end
+        out.append((begin, stop))
+        begin = max(begin + 1, stop - overlap)
     return out
 
 
 def parent_window(children: list[str], at: int, most: int = 6000) -> str:
-    """The child and its neighbours, taken left and right in turn while they fit, joined by blank lines, cut to `most`."""
-    lo, hi, total = at, at + 1, len(children[at])
-    grew = True
-    while grew:
-        grew = False
-        if lo > 0 and total + len(children[lo - 1]) + 2 <= most:
-            lo, grew = lo - 1, True
-            total += len(children[lo]) + 2
-        if hi < len(children) and total + len(children[hi]) + 2 <= most:
-            total += len(children[hi]) + 2
-            hi, grew = hi + 1, True
-    return "\n\n".join(children[lo:hi])[:most]
+    """The child and its neighbours, joined by blank lines and cut to `most` characters.
+
+    Neighbours are tried outwards, left and right in turn, and each that fits is taken with all between; the search ends
+    once neither of a turn fits or both ends are reached.
+    """
+    lo, hi, total = at, at, len(children[at])
+    for step in range(1, len(children)):
+        fits = []
+        for i in (at - step, at + step):
+            if 0 <= i < len(children) and total + len(children[i]) + 2 <= most:
+                total += len(children[i]) + 2
+                lo, hi = min(lo, i), max(hi, i)
+                fits.append(i)
+        if not fits:
+            break
+    text = "\n\n".join(children[lo : hi + 1]).strip()
+    return text if len(text) <= most else text[:most].rstrip()
+
+
+def token_pieces(text: str, most: int) -> list[str]:
+    """A text in pieces of `most` context tokens, cut before a token; all characters are kept but outer white space."""
+    at = [m.start() for m in re.finditer(CONTEXT_TOKEN, text)]
+    edges = [0, *at[most::most], len(text)]
+    return [p for p in (text[a:b].strip() for a, b in zip(edges, edges[1:])) if p]
 
 
 def trim_to_tokens(text: str, most: int = 384) -> str:
     """The longest prefix of at most `most` context tokens, within three characters a token."""
     text = text[: 3 * most]
-    found = list(re.finditer(r"[A-Za-z0-9]+(?:[-'][A-Za-z0-9]+)?|[^\w\s]", text))
+    found = list(re.finditer(CONTEXT_TOKEN, text))
     return text.rstrip() if len(found) <= most else text[: found[most - 1].end()]
 
 
+# -- operators
+def flat_rows(df: DataFrame, key: str, text: str, make, fields: str) -> DataFrame:
+    """(key, fields) with the rows that make(text) gives for each text, null as empty. Keys pass as they are, in Arrow;
+    a batch of texts is one batch of rows at a time."""
+    schema = T.StructType([df.schema[key], *T._parse_datatype_string(fields).fields])
+    kinds = pa.schema([(f.name, T_ARROW[type(f.dataType)]) for f in schema.fields[1:]])
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64)
+                made = [make(x or "") for x in part.column(1).to_pylist()]
+                owner = pa.array([i for i, rows in enumerate(made) for _ in rows], pa.int64())
+                columns = list(zip(*(r for rows in made for r in rows))) or [()] * len(kinds)
+                yield pa.RecordBatch.from_arrays([part.column(0).take(owner), *[pa.array(c, k.type) for c, k in zip(columns, kinds)]], names=schema.names)
+
+    return df.select(key, F.col(text)).mapInArrow(run, schema)
+
+
+T_ARROW = {T.IntegerType: pa.int32(), T.StringType: pa.string(), T.LongType: pa.int64()}
+
+
 def html_chunks(pages: DataFrame, key: str = "page_id", html: str = "html", size: int = 1400, overlap: int = 180, least: int = 120, parent: int = 6000) -> DataFrame:
     """(key, chunk_index, chunk_type, item, content, parent_context) of each page; null html gives no rows.
 
     A page's chunks are made within its row: text by sections, tables by rows. Extra columns aren't read.
     """
-    schema = T.StructType([pages.schema[key], *T._parse_datatype_string("chunk_index int, chunk_type string, item string, content string, parent_context string").fields])
-
-    def run(parts):
-        for df in parts:
-            out = []
-            for k, h in zip(df.iloc[:, 0], df.iloc[:, 1]):
-                text, tables = page(h)
-                chunks = [("text", item, c) for item, _, body in sections(text) for c in windows(many_lines(body), size, overlap, least)] + [("table", "", c) for t in tables for c in table_chunks(t, size)]
-                own = [c for _, _, c in chunks]
-                out += [(k, i, kind, item, c, parent_window(own, i, parent)) for i, (kind, item, c) in enumerate(chunks)]
-            yield pd.DataFrame(out, columns=schema.names)
+    def make(h: str) -> list[tuple]:
+        text, tables = page(h)
+        chunks = [("text", item, c) for item, _, body in sections(text) for c in windows(many_lines(body), size, overlap, least)] + [("table", "", c) for t in tables for c in table_chunks(t, size)]
+        own = [c for _, _, c in chunks]
+        return [(i, kind, item, c, parent_window(own, i, parent)) for i, (kind, item, c) in enumerate(chunks)]
 
-    return pages.select(key, F.col(html)).mapInPandas(run, schema)
+    return flat_rows(pages, key, html, make, "chunk_index int, chunk_type string, item string, content string, parent_context string")
 
 
 def text_chunks(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 1400, overlap: int = 180, least: int = 120) -> DataFrame:
     """(key, chunk_index, content) of each document's windows."""
-    cut = F.udf(lambda t: windows(many_lines(t or ""), size, overlap, least), "array<string>", useArrow=True)
-    return docs.select(key, F.posexplode(cut(F.col(text))).alias("chunk_index", "content"))
+    def make(t: str) -> list[tuple]:
+        return list(enumerate(windows(many_lines(t), size, overlap, least)))
+
+    return flat_rows(docs, key, text, make, "chunk_index int, content string")
+
+
+def paper_chunks(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 3000, overlap: int = 300, parent: int = 6000) -> DataFrame:
+    """(key, section_index, chunk_index, parent, content): sections part at blank lines, a section's first `parent`
+    characters are the parent, and children are cut from that parent, so that each child lies in its parent."""
+    def make(t: str) -> list[tuple]:
+        out = []
+        for s, body in enumerate(re.split(r"\n\s*\n", t.replace("\r", "\n"))):
+            whole = many_lines(body)[:parent]
+            out += [(s, whole, c) for c in windows(whole, max(300, size), min(overlap, max(300, size) // 2), 1, (". ", "\n"))]
+        return [(s, i, whole, c) for i, (s, whole, c) in enumerate(out)]
+
+    return flat_rows(docs, key, text, make, "section_index int, chunk_index int, parent string, content string")

@@ -1,11 +1,77 @@
-"""Chunking queries over whole pages and documents. What no SQL can say is held against golden values in the tests."""
+"""Chunking queries over whole pages and documents, and over filings made from order lines.
+
+A filing is the page of an order: a heading, prose, a table of its evidence and more prose. What its tables hold is known,
+so SQL can say what extraction must give; the rest is held against golden values and brute force in the tests.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import chunking
-from .registry import query, table
+from .cases import EV_SQL, evidence
+from .base import query, table
+
+_BEFORE, _AFTER = "Before the table, as of June 30, 2023: words.", "After words follow it."
+_HEAD = "<tr><th>Metric</th><th>FY2023</th><th> Fiscal  2022 </th></tr>"
+_SECOND = "<tr><td>Fiscal year ended</td><td>(in millions)</td><td></td></tr><tr><td></td><td> </td><td></td></tr>"
+
+
+def filings(spark, sf_dir) -> DataFrame:
+    """(qid, html): a page for each order."""
+    row = F.concat(F.lit("<tr><td>"), "metric", F.lit("</td><td>"), F.col("amount").cast("string"), F.lit("</td><td>a|b &amp; <b>"), F.col("prior").cast("string"), F.lit("</b></td></tr>"))
+    rows = evidence(spark, sf_dir).select("qid", F.struct("pos", row.alias("row")).alias("s")).groupBy("qid").agg(F.array_join(F.transform(F.array_sort(F.collect_list("s")), lambda s: s["row"]), "").alias("rows"))
+    second = F.when(F.col("qid") % 3 == 0, _SECOND).otherwise("")
+    lead = F.concat(F.lit(f"<html><head><style>p{{}}</style></head><body><p>Preface.</p><p>Item 7. Results of Operations</p><p>{_BEFORE}</p><table class='x'>{_HEAD}"), second)
+    return rows.select("qid", F.concat(lead, "rows", F.lit(f"</table><p>{_AFTER}</p><p>Item 8 - Statements</p><p>The end.</p></body></html>")).alias("html"))
+
+
+#: The rows of a filing's table, cells parted by '; ', header rows at 0 and -1.
+_ROWS = "rr AS (SELECT qid, pos AS n, [metric, CAST(amount AS VARCHAR), 'a|b & ' || CAST(prior AS VARCHAR)] AS c FROM ev UNION ALL SELECT DISTINCT qid, -1, ['Metric', 'FY2023', 'Fiscal 2022'] FROM ev UNION ALL SELECT DISTINCT qid, 0, ['Fiscal year ended', '(in millions)', ''] FROM ev WHERE qid % 3 = 0)"
+_LINE = "'| ' || array_to_string(list_transform(c, lambda x: replace(x, '|', '/')), ' | ') || ' |'"
+
+
+def _one(make, fields):
+    def run(spark, sf_dir):
+        return chunking.flat_rows(filings(spark, sf_dir), "qid", "html", make, fields)
+
+    return run
+
+
+def _first(html: str) -> list[list[str]]:
+    return chunking.page(html)[1][0]
+
+
+def _at(html: str) -> tuple[int, int]:
+    return html.index("<table"), html.index("</table>") + 8
+
+
+query("ch03_table_matrix", f"WITH {EV_SQL}, {_ROWS} SELECT qid, CAST(row_number() OVER (PARTITION BY qid ORDER BY n) - 1 AS INT) AS row, array_to_string(c, '; ') AS cells FROM rr")(
+    _one(lambda h: [(i, "; ".join(r)) for i, r in enumerate(_first(h))], "row int, cells string")
+)
+query("ch04_markdown", f"WITH {EV_SQL}, {_ROWS} SELECT qid, replace(string_agg({_LINE}, chr(10) ORDER BY n), '| Metric | FY2023 | Fiscal 2022 |', '| Metric | FY2023 | Fiscal 2022 |' || chr(10) || '| --- | --- | --- |') AS markdown FROM rr GROUP BY qid")(
+    _one(lambda h: [(chunking.markdown(_first(h)),)], "markdown string")
+)
+query("ch05_header_rows", f"WITH {EV_SQL} SELECT DISTINCT qid, CAST(CASE WHEN qid % 3 = 0 THEN 2 ELSE 1 END AS INT) AS rows, CASE WHEN qid % 3 = 0 THEN 'Metric | FY2023 | Fiscal 2022 | Fiscal year ended | (in millions)' ELSE 'Metric | FY2023 | Fiscal 2022' END AS header FROM ev")(
+    _one(lambda h: [(chunking.header_rows(_first(h)), chunking.header_text(_first(h)))], "rows int, header string")
+)
+query("ch06_table_chunks")(_one(lambda h: list(enumerate(chunking.table_chunks(_first(h), 240))), "piece int, content string"))
+query("ch07_table_context", f"WITH {EV_SQL} SELECT DISTINCT qid, 'of Operations Before the table , as of June 30 , 2023 : words .' AS before, 'After words follow it . Item 8 - Statements The end .' AS after FROM ev")(
+    _one(lambda h: [chunking.table_context(h, *_at(h), 15)], "before string, after string")
+)
+query("ch08_periods", f"WITH {EV_SQL} SELECT DISTINCT qid, 'as of June 30, 2023, FY2023, Fiscal 2022' AS periods, '2023, 2022' AS years, 'as of June 30, 2023' AS first FROM ev")(
+    _one(lambda h: [(", ".join(p), ", ".join(y), f) for p, y, f in [chunking.periods(chunking.one_line(chunking.page(h)[0]))]], "periods string, years string, first string")
+)
+query("ch09_sections", f"WITH {EV_SQL}, s AS (SELECT DISTINCT qid FROM ev) SELECT qid, 0 AS n, '' AS item, '' AS title FROM s UNION ALL SELECT qid, 1, 'Item 7', 'Results of Operations' FROM s UNION ALL SELECT qid, 2, 'Item 8', 'Statements' FROM s")(
+    _one(lambda h: [(i, item, title) for i, (item, title, _) in enumerate(chunking.sections(chunking.page(h)[0]))], "n int, item string, title string")
+)
+query("ch10_item_before", f"WITH {EV_SQL} SELECT DISTINCT qid, 'Item 7' AS item, 'Results of Operations' AS title, 'Item 8' AS last FROM ev")(
+    _one(lambda h: [(*chunking.item_before(h, _at(h)[0]), chunking.item_before(h, len(h))[0])], "item string, title string, last string")
+)
+query("ch14_interleaved", f"WITH {EV_SQL}, {_ROWS}, t AS (SELECT qid, replace(string_agg({_LINE}, chr(10) ORDER BY n), '| Metric | FY2023 | Fiscal 2022 |', '| Metric | FY2023 | Fiscal 2022 |' || chr(10) || '| --- | --- | --- |') AS m FROM rr GROUP BY qid) SELECT qid, 'Preface.' || chr(10) || chr(10) || 'Item 7. Results of Operations' || chr(10) || chr(10) || '{_BEFORE}' || chr(10) || chr(10) || 'Markdown table:' || chr(10) || replace(m, '|  |', '| |') || chr(10) || chr(10) || '{_AFTER}' || chr(10) || chr(10) || 'Item 8 - Statements' || chr(10) || chr(10) || 'The end.' AS text FROM t")(
+    _one(lambda h: [(chunking.interleaved(h),)], "text string")
+)
 
 
 @query("ch01_html_chunks")
@@ -23,8 +89,40 @@ def ch12(spark, sf_dir):
     return chunking.text_chunks(table(spark, sf_dir, "documents"), size=3000, overlap=300, least=1)
 
 
+@query("ch13_token_split")
+def ch13(spark, sf_dir):
+    """Parents of 256 context tokens, and children of 64 within each, with their numbers."""
+    def make(text: str) -> list[tuple]:
+        return [(p, c, parent, child) for p, parent in enumerate(chunking.token_pieces(text, 256)) for c, child in enumerate(chunking.token_pieces(parent, 64))]
+
+    out = chunking.flat_rows(table(spark, sf_dir, "documents"), "doc_id", "text", make, "parent_index int, child_index int, parent string, content string")
+    ident = F.sha2(F.concat_ws(":", F.col("doc_id").cast("string"), "parent_index", "parent"), 256)
+    return out.select("doc_id", "parent_index", "child_index", F.substring(ident, 1, 24).alias("parent_id"), "content")
+
+
+@query("ch17_parent_windows")
+def ch17(spark, sf_dir):
+    """Each window of a document with its parent of up to 6000 characters."""
+    def make(text: str) -> list[tuple]:
+        own = chunking.windows(chunking.many_lines(text), 1400, 180, 120)
+        return [(i, c, chunking.parent_window(own, i)) for i, c in enumerate(own)]
+
+    out = chunking.flat_rows(table(spark, sf_dir, "documents"), "doc_id", "text", make, "chunk_index int, content string, parent string")
+    return out.select("doc_id", "chunk_index", F.md5("content").alias("content_md5"), F.md5("parent").alias("parent_md5"))
+
+
 @query("ch18_paper_children")
 def ch18(spark, sf_dir):
-    chunks = chunking.text_chunks(table(spark, sf_dir, "documents"), size=3000, overlap=300, least=1)
-    titled = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", F.substring("text", 1, 6000).alias("parent"))
-    return chunks.join(titled, "doc_id").select("doc_id", "chunk_index", F.concat_ws("\n", "source", "lang", "content").alias("content"), F.md5("parent").alias("parent_md5"))
+    """Children with their paper's and section's name, each cut from its section's parent."""
+    chunks = chunking.paper_chunks(table(spark, sf_dir, "documents"))
+    titled = table(spark, sf_dir, "documents").select("doc_id", "source", "lang")
+    content = F.concat(F.lit("Paper: "), "source", F.lit("\nSection: "), F.col("section_index").cast("string"), F.lit("\n"), "content")
+    return chunks.join(titled, "doc_id").select("doc_id", "section_index", "chunk_index", content.alias("content"), F.md5("parent").alias("parent_md5"))
+
+
+@query("ch20_trimmed", "SELECT doc_id, t AS trimmed FROM (SELECT doc_id, rtrim(left(text, 60), ' ' || chr(9) || chr(10) || chr(13) || chr(11) || chr(12)) AS t FROM documents WHERE len(regexp_extract_all(left(text, 60), '[A-Za-z0-9]+(?:[-''][A-Za-z0-9]+)?|[^\\w\\s]')) <= 20 AND regexp_full_match(left(text, 60), '[\\x00-\\x7f]*'))")
+def ch20(spark, sf_dir):
+    """Documents of which 60 characters have no more than 20 context tokens, cut to what an encoder of 20 tokens takes."""
+    docs = table(spark, sf_dir, "documents").where(F.substring("text", 1, 60).rlike(r"^[\x00-\x7f]*$"))
+    docs = docs.where(F.size(F.regexp_extract_all(F.substring("text", 1, 60), F.lit(r"[A-Za-z0-9]+(?:[-'][A-Za-z0-9]+)?|[^\w\s]"), F.lit(0))) <= 20)
+    return chunking.flat_rows(docs, "doc_id", "text", lambda t: [(chunking.trim_to_tokens(t, 20),)], "trimmed string")

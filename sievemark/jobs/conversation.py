@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import conversation as C
 from ..operators import relational
-from .registry import query, table
+from .base import query, table
 
 
 def _m(spark, sf_dir):
@@ -111,6 +111,10 @@ def sc15(spark, sf_dir):
     return _m(spark, sf_dir).select("conv_id", "turn", (F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")) - 1).cast("long").alias("message_index"))
 
 
-@query("sc13_upsert", "SELECT conv_id, turn, role FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, role) AS n FROM conversations) WHERE n = 1")
+@query("sc13_upsert", "SELECT o_orderkey, CAST(CASE WHEN o_orderkey % 3 = 0 THEN o_custkey + 1000000 ELSE o_custkey END AS BIGINT) AS o_custkey, CASE WHEN o_orderkey % 3 = 0 THEN 'U' ELSE o_orderstatus END AS o_orderstatus FROM orders UNION ALL SELECT -1 - o_orderkey, o_custkey + 1000000, 'U' FROM orders WHERE o_orderkey % 7 = 0")
 def sc13(spark, sf_dir):
-    return relational.latest(_m(spark, sf_dir), ["conv_id"], [F.desc("turn"), F.col("role")]).select("conv_id", "turn", "role")
+    """Orders with a batch of changes: a third of them anew, and some that weren't there."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
+    changed = orders.where("o_orderkey % 3 = 0").unionByName(orders.where("o_orderkey % 7 = 0").withColumn("o_orderkey", -1 - F.col("o_orderkey")))
+    changed = changed.select("o_orderkey", (F.col("o_custkey") + 1_000_000).alias("o_custkey"), F.lit("U").alias("o_orderstatus"))
+    return relational.upserted(orders, changed, ["o_orderkey"])

@@ -2,49 +2,42 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import relational
-from .registry import query, table
+from ..operators import lexical, relational
+from .base import query, table
 
 
 def _docs(spark, sf_dir):
     return table(spark, sf_dir, "documents")
 
 
-@query("sc02_question_scan", "SELECT conv_id, turn, role AS split, text FROM conversations WHERE role IN ('user', 'system')")
-def sc02(spark, sf_dir):
-    return table(spark, sf_dir, "conversations").where(F.col("role").isin("user", "system")).select("conv_id", "turn", F.col("role").alias("split"), "text")
-
-
 @query("sc07_metadata_scan", "SELECT source, doc_id, CAST(row_number() OVER (PARTITION BY source ORDER BY doc_id) AS BIGINT) AS pos FROM documents WHERE lang = 'en' QUALIFY pos <= 2000")
 def sc07(spark, sf_dir):
     return relational.top_per(_docs(spark, sf_dir).where("lang = 'en'").select("source", "doc_id"), ["source"], [F.col("doc_id")], 2000, "pos").withColumn("pos", F.col("pos").cast("long"))
 
 
-@query("sc08_term_scan", r"WITH q AS (SELECT item_id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+'))) AS t FROM benchmark), k AS (SELECT item_id, t FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY t) AS r FROM q) WHERE r <= 16), d AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS t FROM documents) SELECT item_id, doc_id, count(*) AS hits FROM k JOIN d USING (t) GROUP BY ALL")
+_WORDS = "regexp_extract_all(lower(text), '[a-z0-9]+')"
+_INDEX = f"d AS (SELECT doc_id, t, count(*) AS tf FROM (SELECT doc_id, unnest({_WORDS}) AS t FROM documents) GROUP BY ALL)"
+
+
+@query("sc08_term_scan", f"WITH q AS (SELECT item_id, {_WORDS} AS w FROM benchmark), k AS (SELECT item_id, unnest(list_filter(w, lambda v, i: NOT list_contains(w[1:i-1], v))[1:16]) AS t FROM q), {_INDEX}, h AS (SELECT item_id, doc_id, count(*) AS hits, CAST(sum(tf) AS BIGINT) AS times FROM k JOIN d USING (t) GROUP BY ALL) SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY hits DESC, times DESC, doc_id) AS BIGINT) AS rank FROM h")
 def sc08(spark, sf_dir):
-    """Documents that hold any of a question's 16 first terms, with how many; an inverted index of the wanted terms only."""
-    words = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit("[a-z0-9]+"), F.lit(0)))
-    asked = table(spark, sf_dir, "benchmark").select("item_id", F.explode(F.slice(F.array_sort(words("text")), 1, 16)).alias("t"))
-    index = _docs(spark, sf_dir).select("doc_id", F.explode(words("text")).alias("t"))
-    return index.join(relational.small(asked), "t").groupBy("item_id", "doc_id").agg(F.count("*").alias("hits"))
+    """Documents that hold any of a question's 16 first distinct terms, ranked by how many they hold, then how often."""
+    return lexical.term_scan(_docs(spark, sf_dir), table(spark, sf_dir, "benchmark"), most=16).withColumn("rank", F.col("rank").cast("long"))
 
 
-@query("sc10_all_terms_scan", r"WITH q AS (SELECT item_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) AS ts FROM benchmark), k AS (SELECT item_id, len(ts) AS n, unnest(ts) AS t FROM q), d AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS t FROM documents) SELECT item_id, doc_id FROM k JOIN d USING (t) GROUP BY item_id, doc_id, n HAVING count(*) = n")
+@query("sc10_all_terms_scan", f"WITH q AS (SELECT item_id, list_distinct({_WORDS}) AS ts FROM benchmark), k AS (SELECT item_id, len(ts) AS n, unnest(ts) AS t FROM q), {_INDEX}, h AS (SELECT item_id, doc_id, count(*) AS hits, CAST(sum(tf) AS BIGINT) AS times FROM k JOIN d USING (t) GROUP BY item_id, doc_id, n HAVING count(*) = n) SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY hits DESC, times DESC, doc_id) AS BIGINT) AS rank FROM h")
 def sc10(spark, sf_dir):
-    words = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit("[a-z0-9]+"), F.lit(0)))
-    asked = table(spark, sf_dir, "benchmark").select("item_id", F.size(words("text")).alias("n"), F.explode(words("text")).alias("t"))
-    index = _docs(spark, sf_dir).select("doc_id", F.explode(words("text")).alias("t"))
-    return index.join(relational.small(asked), "t").groupBy("item_id", "doc_id", "n").agg(F.count("*").alias("c")).where("c = n").select("item_id", "doc_id")
+    """Documents that hold all terms of a question, ranked by how often they do."""
+    return lexical.term_scan(_docs(spark, sf_dir), table(spark, sf_dir, "benchmark"), all_terms=True).withColumn("rank", F.col("rank").cast("long"))
 
 
 @query("sc09_phrase_scan", "SELECT item_id, doc_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY length(d.text), doc_id) AS BIGINT) AS pos FROM benchmark b JOIN documents d ON contains(lower(d.text), lower(b.text)) QUALIFY pos <= 24")
 def sc09(spark, sf_dir):
     docs = _docs(spark, sf_dir).select("doc_id", F.lower("text").alias("low"), F.length("text").alias("chars"))
     items = table(spark, sf_dir, "benchmark").select("item_id", F.lower("text").alias("phrase"))
-    hits = relational.contains_join(docs, items, "low", "phrase")
+    hits = relational.contains_join(docs, items, "doc_id", "low", "item_id", "phrase").join(docs.select("doc_id", "chars"), "doc_id")
     return relational.top_per(hits, ["item_id"], [F.col("chars"), F.col("doc_id")], 24, "pos").select("item_id", "doc_id", F.col("pos").cast("long").alias("pos"))
 
 
@@ -70,19 +63,33 @@ def sc17(spark, sf_dir):
     return _docs(spark, sf_dir).groupBy("source").agg(F.count("*").alias("chunks"), F.countDistinct("lang").alias("langs"), F.count_if(F.col("n_chars") > 2000).alias("long"), F.count_if(F.col("lang") == "en").alias("english"))
 
 
-@query("sc18_manifest", "SELECT source, CAST(sum(octet_length(encode(text))) AS BIGINT) AS bytes, md5(string_agg(sha256(text), ',' ORDER BY doc_id)) AS digest FROM documents GROUP BY source")
+#: Documents in one digest of a manifest: a range of ids, whatever the source's size.
+_RANGE = 1000
+
+
+@query("sc18_manifest", f"WITH r AS (SELECT source, doc_id // {_RANGE} AS part, CAST(sum(octet_length(encode(text))) AS BIGINT) AS bytes, md5(string_agg(sha256(text), ',' ORDER BY doc_id)) AS digest FROM documents GROUP BY ALL) SELECT source, part, bytes, digest FROM r")
 def sc18(spark, sf_dir):
-    """A manifest of each source: bytes, and a digest of its documents' digests in order of their ids."""
-    each = _docs(spark, sf_dir).select("source", F.octet_length("text").alias("b"), F.struct("doc_id", F.sha2("text", 256).alias("h")).alias("s"))
-    return each.groupBy("source").agg(F.sum("b").cast("long").alias("bytes"), F.md5(F.array_join(F.transform(F.array_sort(F.collect_list("s")), lambda s: s["h"]), ",")).alias("digest"))
+    """A manifest: bytes and a digest of each source's documents, a row for each range of a thousand ids."""
+    return relational.manifest(_docs(spark, sf_dir), "source", "doc_id", "text", _RANGE)
+
+
+@query("sc18_verify", "SELECT source, CASE WHEN doc_id % 103 = 0 THEN 'missing' WHEN doc_id % 97 = 0 THEN 'size' WHEN doc_id % 101 = 0 THEN 'digest' ELSE 'ok' END AS status, count(*) AS n FROM documents GROUP BY ALL UNION ALL SELECT source, 'unlisted', count(*) FROM documents WHERE doc_id % 89 = 0 GROUP BY source")
+def sc18_verify(spark, sf_dir):
+    """Documents held against a manifest that states other sizes and digests for some, lacks some and has some too many."""
+    docs = _docs(spark, sf_dir).select("source", "doc_id", F.octet_length("text").alias("bytes"), F.sha2("text", 256).alias("sha"))
+    listed = docs.select("source", "doc_id", (F.col("bytes") + F.when(F.col("doc_id") % 97 == 0, 1).otherwise(0)).alias("bytes"), F.when(F.col("doc_id") % 101 == 0, "other").otherwise(F.col("sha")).alias("sha"))
+    more = docs.where("doc_id % 89 = 0").select("source", (-1 - F.col("doc_id")).alias("doc_id"), "bytes", "sha")
+    return relational.verified(listed, docs.where("doc_id % 103 <> 0").unionByName(more), ["source", "doc_id"]).groupBy("source", "status").agg(F.count("*").alias("n"))
 
 
 @query("sc20_sampling", "WITH h AS (SELECT doc_id, source, lang, md5('7:' || doc_id) AS h FROM documents), c AS (SELECT *, row_number() OVER (PARTITION BY source, lang ORDER BY h, doc_id) AS r FROM h) SELECT doc_id, source, lang FROM (SELECT *, row_number() OVER (ORDER BY CASE WHEN r = 1 THEN 0 ELSE 1 END, h, doc_id) AS k FROM c) WHERE k <= 120")
 def sc20(spark, sf_dir):
     """A sampling operator: a seeded order that first covers each source and language, then fills up to n."""
     h = _docs(spark, sf_dir).select("doc_id", "source", "lang", F.md5(F.concat(F.lit("7:"), F.col("doc_id").cast("string"))).alias("h"))
-    r = h.withColumn("r", F.row_number().over(Window.partitionBy("source", "lang").orderBy("h", "doc_id")))
-    return r.orderBy(F.when(F.col("r") == 1, 0).otherwise(1), "h", "doc_id").limit(120).select("doc_id", "source", "lang")
+    first = h.groupBy("source", "lang").agg(F.min(F.struct("h", "doc_id")).alias("m")).select("source", "lang", "m.h", "m.doc_id", F.lit(0).alias("tier"))
+    # the rest can only fill up: its first rows by hash are enough, with as many more as may be covered already
+    rest = h.orderBy("h", "doc_id").limit(240).join(first.select("doc_id"), "doc_id", "left_anti").withColumn("tier", F.lit(1))
+    return first.unionByName(rest).orderBy("tier", "h", "doc_id").limit(120).select("doc_id", "source", "lang")
 
 
 @query("sc21_round_robin", "SELECT doc_id, source FROM (SELECT *, row_number() OVER (ORDER BY r, source) AS k FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS r FROM documents)) WHERE k <= 50")

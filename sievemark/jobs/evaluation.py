@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import evaluate
-from .registry import query, table
+from .base import query, table
 from .texts import TOK
 
 
@@ -34,31 +34,12 @@ def ev02(spark, sf_dir):
     return _turn_pairs(spark, sf_dir).select("id", F.round(evaluate.rouge_l("expected", "predicted"), 6).alias("rouge_l"))
 
 
-@query("ev04_numeric_scores")
-def ev04(spark, sf_dir):
-    m = table(spark, sf_dir, "documents").select("doc_id", evaluate.numbers(F.col("text")).alias("own"), evaluate.numbers(F.substring_index("text", "\n", 1)).alias("first"))
-    return m.select("doc_id", evaluate.numeric_scores("own", "first").alias("s")).select("doc_id", *[F.round(f"s.{c}", 6).alias(c) for c in ("precision", "recall", "f1")])
-
-
 @query("ev08_first_occurrence", f"SELECT id, md5(string_agg(t, ' ' ORDER BY pos)) AS ordered_md5 FROM (SELECT id, t, min(pos) AS pos FROM (SELECT id, unnest(p) AS t, generate_subscripts(p, 1) AS pos FROM (SELECT a.conv_id || ':' || a.turn AS id, {TOK.format('a.text')} AS p FROM conversations a)) GROUP BY ALL) GROUP BY id")
 def ev08(spark, sf_dir):
     m = table(spark, sf_dir, "conversations").select(F.concat_ws(":", "conv_id", "turn").alias("id"), F.array_distinct(X.search_tokens(F.col("text"))).alias("t"))
     return m.where(F.size("t") > 0).select("id", F.md5(F.array_join("t", " ")).alias("ordered_md5"))
 
 
-@query("ev11_task_coverage", f"WITH {_PAIRS} SELECT id, CAST(len(list_intersect(list_distinct(e), p)) AS BIGINT) AS covered, CASE WHEN len(e) > 0 THEN round(CAST(len(list_intersect(list_distinct(e), p)) AS DOUBLE) / len(list_distinct(e)), 6) END AS coverage FROM p")
-def ev11(spark, sf_dir):
-    p = _turn_pairs(spark, sf_dir)
-    covered = F.size(F.array_intersect("expected", "predicted"))
-    return p.select("id", covered.cast("long").alias("covered"), F.when(F.size("expected") > 0, F.round(covered / F.size(F.array_distinct("expected")), 6)).alias("coverage"))
-
-
-@query("ev12_scope_match", "SELECT source, round(avg(CASE WHEN lang = 'en' THEN 1e0 ELSE 0e0 END), 6) AS scope_match, round(avg(CASE WHEN lang <> 'en' THEN 1e0 ELSE 0e0 END), 6) AS contamination FROM documents GROUP BY source")
-def ev12(spark, sf_dir):
-    hit = F.avg(F.when(F.col("lang") == "en", 1.0).otherwise(0.0))
-    return table(spark, sf_dir, "documents").groupBy("source").agg(F.round(hit, 6).alias("scope_match"), F.round(F.avg(F.when(F.col("lang") != "en", 1.0).otherwise(0.0)), 6).alias("contamination"))
-
-
 @query("ev13_composite", "SELECT doc_id, round(0.5e0 * quality + 0.3e0 * (1 - toxic) + 0.2e0 * CASE WHEN n_chars > 1000 THEN 1 ELSE 0 END, 6) AS composite FROM labels JOIN documents USING (doc_id)")
 def ev13(spark, sf_dir):
     j = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents").select("doc_id", "n_chars"), "doc_id")
@@ -96,13 +77,6 @@ def ev18(spark, sf_dir):
     return j.agg(F.round(F.sum("good") / F.sum("n"), 6).alias("micro"), F.round(F.avg(F.col("good") / F.col("n")), 6).alias("macro"), F.count_if(F.col("good") == F.col("n")).alias("perfect"))
 
 
-@query("ev19_resume", "SELECT doc_id, sha256(source || '|' || lang) AS signature FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 1)")
-def ev19(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.sha2(F.concat_ws("|", "source", "lang"), 256).alias("signature"))
-    done = table(spark, sf_dir, "labels").where("quality = 1").join(docs, "doc_id")
-    return docs.join(done, ["doc_id", "signature"], "left_anti")
-
-
 @query("ev21_hit_rate", "SELECT lang, round(avg(CASE WHEN quality = 1 AND toxic = 0 THEN 2 WHEN quality = 1 THEN 1 ELSE 0 END), 6) AS score, round(avg(quality), 6) AS hit_rate FROM labels JOIN documents USING (doc_id) GROUP BY lang")
 def ev21(spark, sf_dir):
     j = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id")

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import ledger
-from .registry import query, table
+from .base import query, table
 
 FACTS = (
     "facts AS (SELECT n_name AS company, CAST(year(l_shipdate) AS INT) AS fiscal_year, CAST(sum(CAST(CAST(l_extendedprice AS DECIMAL(12,2)) * (1 - CAST(l_discount AS DECIMAL(12,2))) AS DECIMAL(20,6))) AS DECIMAL(20,6)) AS revenue, CAST(sum(CAST(l_quantity AS DECIMAL(20,6))) AS DECIMAL(20,6)) AS quantity, "

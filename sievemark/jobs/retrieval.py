@@ -11,19 +11,31 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import fusion, lexical, relational, vector
-from .registry import query, table
+from .cases import EV_SQL, Q_SQL, evidence, questions
+from .base import query, table
 from .texts import TOK
 
 _COS = "round(list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) / (sqrt(list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(a.embedding AS DOUBLE[]))) * sqrt(list_dot_product(CAST(b.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])))), 9)"
 
 #: Vector branch of the hybrid search in SQL: top 60 of each question.
 VEC_SQL = f"vs AS (SELECT a.vec_id AS qid, b.vec_id AS doc_id, {_COS} AS score FROM embeddings a JOIN benchmark ON a.vec_id = item_id CROSS JOIN embeddings b WHERE a.vec_id <> b.vec_id), v AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS vector_rank FROM vs) WHERE vector_rank <= 60)"
-BM25_SQL = (
-    f"d AS (SELECT doc_id, {TOK.format('text')} AS t FROM documents), dl AS (SELECT doc_id, len(t) AS dl FROM d), q AS (SELECT DISTINCT qid, term FROM (SELECT item_id AS qid, unnest({TOK.format('text')}) AS term FROM benchmark)), "
-    "tf AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(t) AS term FROM d) WHERE term IN (SELECT term FROM q) GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term), st AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM dl), "
-    "bs AS (SELECT qid, doc_id, round(sum(ln(1 + greatest(0e0, (n - df + 0.5e0) / (df + 0.5e0))) * (tf * 2.4e0) / (tf + 1.4e0 * (1 - 0.72e0 + 0.72e0 * dl / greatest(avgdl, 1e0)))), 6) AS score FROM q JOIN tf USING (term) JOIN df USING (term) JOIN dl USING (doc_id) CROSS JOIN st GROUP BY ALL)"
-)
-LEX_SQL = BM25_SQL + ", b AS (SELECT * FROM (SELECT qid, doc_id, score AS bm25_score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS bm25_rank FROM bs WHERE score > 0) WHERE bm25_rank <= 60)"
+_ASKED = f"SELECT item_id AS qid, unnest({TOK.format('text')}) AS term FROM benchmark"
+
+
+def bm25_sql(asked: str) -> str:
+    """CTEs up to bs, the scores; asked: SQL of (qid, term)."""
+    return (
+        f"d AS (SELECT doc_id, {TOK.format('text')} AS t FROM documents), dl AS (SELECT doc_id, len(t) AS dl FROM d), q AS (SELECT DISTINCT qid, term FROM ({asked})), "
+        "tf AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(t) AS term FROM d) WHERE term IN (SELECT term FROM q) GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term), st AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM dl), "
+        "bs AS (SELECT qid, doc_id, round(sum(ln(1 + greatest(0e0, (n - df + 0.5e0) / (df + 0.5e0))) * (tf * 2.4e0) / (tf + 1.4e0 * (1 - 0.72e0 + 0.72e0 * dl / greatest(avgdl, 1e0)))), 6) AS score FROM q JOIN tf USING (term) JOIN df USING (term) JOIN dl USING (doc_id) CROSS JOIN st GROUP BY ALL)"
+    )
+
+
+BM25_SQL = bm25_sql(_ASKED)
+#: A document's header is its source and language; those in German stand in for tables. Boosts as the service has them.
+_PHRASES = " + ".join(f"CASE WHEN contains(low, '{p}') AND contains(dlow, '{p}') THEN 1 ELSE 0 END" for p in lexical.SERVICE_PHRASES)
+BOOST_SQL = f"dh AS (SELECT doc_id, lower(source || ' ' || lang) AS header, lower(text) AS dlow, lang = 'de' AS tab FROM documents), qh AS (SELECT item_id AS qid, {TOK.format('text')} AS terms, lower(text) AS low FROM benchmark), bb AS (SELECT bs.*, least(3e0, CASE WHEN tab THEN 0.4e0 ELSE 0e0 END + 0.12e0 * len(list_filter(terms, lambda t: contains(header, t))) + 0.18e0 * ({_PHRASES})) AS boost FROM bs JOIN dh USING (doc_id) JOIN qh USING (qid))"
+LEX_SQL = BM25_SQL + f", {BOOST_SQL}, b AS (SELECT * FROM (SELECT qid, doc_id, round(score + boost, 6) AS bm25_score, row_number() OVER (PARTITION BY qid ORDER BY round(score + boost, 6) DESC, doc_id) AS bm25_rank FROM bb WHERE round(score + boost, 6) > 0) WHERE bm25_rank <= 60)"
 RRF_SQL = (
     f"{VEC_SQL}, {LEX_SQL}, f AS (SELECT qid, doc_id, vector_rank, score AS vector_score, bm25_rank, bm25_score, round(coalesce(1e0 / (60 + vector_rank), 0e0) + coalesce(1e0 / (60 + bm25_rank), 0e0), 9) AS rrf FROM v FULL JOIN b USING (qid, doc_id)), "
     "h AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY rrf DESC, coalesce(vector_score, 0) DESC, doc_id) AS rank FROM f)"
@@ -51,7 +63,9 @@ def bm25_scores(spark, sf_dir) -> DataFrame:
 
 
 def lexical_branch(spark, sf_dir) -> DataFrame:
-    return lexical.rank_boosted(bm25_scores(spark, sf_dir).withColumn("boost", F.lit(0.0)), 60).select("qid", "doc_id", "bm25_rank", "bm25_score")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.concat_ws(" ", "source", "lang").alias("header"), (F.col("lang") == "de").alias("is_table"))
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), "text", X.search_tokens(F.col("text")).alias("terms"))
+    return lexical.rank_boosted(lexical.boosted(bm25_scores(spark, sf_dir), docs, asked), 60).select("qid", "doc_id", "bm25_rank", "bm25_score")
 
 
 def hybrid(spark, sf_dir) -> DataFrame:
@@ -94,9 +108,10 @@ def vx05(spark, sf_dir):
     return near.select("qid", "vec_id", "score", F.row_number().over(w).cast("long").alias("vector_rank"))
 
 
-@query("vx06_rounding", "SELECT vec_id, md5(array_to_string(list_transform(embedding, lambda x: CAST(CAST(round(CAST(x AS DOUBLE) * 1e6) AS BIGINT) AS VARCHAR)), ',')) AS literal_md5 FROM embeddings")
+@query("vx06_rounding", "SELECT vec_id, md5(array_to_string(list_transform(embedding, lambda x: CAST(CAST(round(CAST(x AS DOUBLE) * 1e8) AS BIGINT) AS VARCHAR)), ',')) AS literal_md5 FROM embeddings")
 def vx06(spark, sf_dir):
-    digits = F.transform("embedding", lambda x: F.round(x.cast("double") * 1e6).cast("long").cast("string"))
+    """Components to eight decimals, as whole numbers of the last place."""
+    digits = F.transform("embedding", lambda x: F.round(x.cast("double") * 1e8).cast("long").cast("string"))
     return _vectors(spark, sf_dir).select("vec_id", F.md5(F.array_join(digits, ",")).alias("literal_md5"))
 
 
@@ -118,6 +133,40 @@ def lx03(spark, sf_dir):
     return bm25_scores(spark, sf_dir)
 
 
+@query("lx01_searchable_text", f"WITH {EV_SQL} SELECT qid, ref, md5(concat_ws(' ', content, metric, item, company, CAST(fiscal_year AS VARCHAR), array_to_string(['FY' || CAST(fiscal_year AS VARCHAR), scale], ' '))) AS text_md5 FROM ev")
+def lx01(spark, sf_dir):
+    e = evidence(spark, sf_dir)
+    periods = F.array(F.concat(F.lit("FY"), F.col("fiscal_year").cast("string")), "scale")
+    return e.select("qid", "ref", F.md5(lexical.searchable(F.col("content"), F.col("metric"), F.col("item"), F.col("company"), F.col("fiscal_year").cast("string"), periods)).alias("text_md5"))
+
+
+def _asked_rows(spark, sf_dir) -> DataFrame:
+    q = questions(spark, sf_dir).select("qid", "question", "section", X.search_tokens(F.col("question")).alias("terms"))
+    return evidence(spark, sf_dir).join(q, "qid")
+
+
+_ROWS_SQL = f"{EV_SQL}, {Q_SQL}, r AS (SELECT ev.*, lower(question) AS asked, section, {TOK.format('question')} AS terms, lower(content) AS low FROM ev JOIN q USING (qid))"
+_SHARED = lambda phrases: " + ".join(f"CASE WHEN contains(asked, '{p}') AND contains(low, '{p}') THEN 1 ELSE 0 END" for p in phrases)
+
+
+@query("lx04_script_boost", rf"WITH {_ROWS_SQL} SELECT qid, ref, round(CASE WHEN modality = 'table' THEN 0.4e0 ELSE 0e0 END + CASE WHEN contains(lower(section), lower(item)) THEN 0.25e0 ELSE 0e0 END + 0.08e0 * len(list_filter(regexp_extract_all(asked, '\d+(?:,\d{{3}})*(?:\.\d+)?%?'), lambda n: contains(replace(low, ',', ''), replace(n, ',', '')))) + least(0.6e0, 0.12e0 * len(list_filter(list_distinct(terms), lambda t: contains(lower(metric), t)))) + 0.18e0 * ({_SHARED(lexical.SCRIPT_PHRASES)}), 6) AS boost FROM r")
+def lx04(spark, sf_dir):
+    c = F.col
+    boost = lexical.script_boost(c("question"), c("terms"), c("content"), c("metric"), c("modality") == "table", c("item"), c("section"))
+    return _asked_rows(spark, sf_dir).select("qid", "ref", F.round(boost, 6).alias("boost"))
+
+
+@query("lx05_service_boost", f"WITH {_ROWS_SQL} SELECT qid, ref, round(least(3e0, CASE WHEN modality = 'table' THEN 0.4e0 ELSE 0e0 END + 0.12e0 * len(list_filter(terms, lambda t: contains(lower(metric), t))) + 0.18e0 * ({_SHARED(lexical.SERVICE_PHRASES)}) + CASE WHEN contains(low, 'net sales') THEN 1.5e0 ELSE 0e0 END), 6) AS boost FROM r")
+def lx05(spark, sf_dir):
+    """Boosts of a question that also names two entities, 'Net Sales' and 'Great Lakes'."""
+    rows = _asked_rows(spark, sf_dir).withColumn("rid", F.concat_ws(":", "qid", "ref"))
+    entities = X.named_entities(F.concat(F.col("question"), F.lit(" (Net Sales, Great Lakes)")))
+    hits = F.size(F.filter(entities, lambda e: F.lower("content").contains(F.lower(e))))
+    asked, held = lexical.phrases_in(F.col("question"), lexical.SERVICE_PHRASES), lexical.phrases_in(F.col("content"), lexical.SERVICE_PHRASES)
+    boost = lexical.service_boost(F.col("terms"), F.col("metric"), F.col("modality") == "table", asked, held, hits)
+    return rows.select("qid", "ref", F.round(boost, 6).alias("boost"))
+
+
 @query("lx06_bm25_rank", f"WITH {LEX_SQL} SELECT qid, doc_id, bm25_score, CAST(bm25_rank AS BIGINT) AS bm25_rank FROM b")
 def lx06(spark, sf_dir):
     return lexical_branch(spark, sf_dir).withColumn("bm25_rank", F.col("bm25_rank").cast("long"))
@@ -141,9 +190,12 @@ def _sourced(spark, sf_dir) -> DataFrame:
 _SOURCED = f"WITH {RRF_SQL}, s AS (SELECT h.*, source, lang, text FROM h JOIN documents USING (doc_id))"
 
 
-@query("fu02_parent_collapse", f"{_SOURCED} SELECT qid, source, doc_id, rrf FROM (SELECT *, row_number() OVER (PARTITION BY qid, source ORDER BY rrf DESC, rank) AS n FROM s) WHERE n = 1")
+@query("fu02_parent_collapse", f"{_SOURCED} SELECT qid, source, arg_min(doc_id, rank) AS doc_id, max(rrf) AS rrf, array_to_string(list_filter([CASE WHEN bool_or(bm25_rank IS NOT NULL) THEN 'lexical' END, CASE WHEN bool_or(vector_rank IS NOT NULL) THEN 'vector' END], lambda x: x IS NOT NULL), ',') AS task_ids FROM s GROUP BY qid, source")
 def fu02(spark, sf_dir):
-    return fusion.collapse(_sourced(spark, sf_dir), "source", [F.desc("rrf"), F.col("rank")]).select("qid", "source", "doc_id", "rrf")
+    """The best document of each source, with the source's best score and all searches that found one of its documents."""
+    found = F.array_compact(F.array(F.when(F.col("vector_rank").isNotNull(), "vector"), F.when(F.col("bm25_rank").isNotNull(), "lexical")))
+    best = fusion.collapse_best(_sourced(spark, sf_dir).withColumn("task_ids", found), "source", "rrf", "task_ids")
+    return best.select("qid", "source", "doc_id", "rrf", F.array_join("task_ids", ",").alias("task_ids"))
 
 
 @query("fu03_parent_expand", f"{_SOURCED}, p AS (SELECT source, min(doc_id) AS parent_id FROM documents GROUP BY source) SELECT qid, s.doc_id, p.parent_id, md5(CASE WHEN contains(d.text, s.text) THEN d.text ELSE s.text || chr(10) || chr(10) || d.text END) AS context_md5 FROM s JOIN p USING (source) JOIN documents d ON d.doc_id = p.parent_id WHERE rank <= 8")
@@ -172,7 +224,7 @@ def fu05(spark, sf_dir):
 def fu08(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", F.lower("text").alias("low"))
     items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.lower("text").alias("phrase"))
-    exact = relational.contains_join(docs, items, "low", "phrase").select("qid", "doc_id")
+    exact = relational.contains_join(docs, items, "doc_id", "low", "qid", "phrase")
     return fusion.promote(hybrid(spark, sf_dir), exact).select("qid", "doc_id", "promoted", F.col("final_rank").cast("long").alias("final_rank"))
 
 
@@ -226,20 +278,28 @@ def fu19(spark, sf_dir):
     return fusion.pack(_sourced(spark, sf_dir).where("rank <= 20"), 8000, 1800).select("qid", "doc_id", "given")
 
 
-@query("fu21_batch_search", f"WITH p AS (SELECT item_id, i, unnest({TOK.format('part')}) AS term FROM (SELECT item_id, generate_subscripts(string_split(text, '. '), 1) AS i, unnest(string_split(text, '. ')) AS part FROM benchmark)) SELECT item_id, CAST(count(DISTINCT i) AS BIGINT) AS searches, CAST(count(DISTINCT term) AS BIGINT) AS terms FROM p GROUP BY item_id")
+_BATCH = f"SELECT item_id * 1000 + i AS qid, unnest({TOK.format('part')}) AS term FROM (SELECT item_id, generate_subscripts(string_split(replace(text, '. ', '|'), '|'), 1) AS i, unnest(string_split(replace(text, '. ', '|'), '|')) AS part FROM benchmark)"
+
+
+@query("fu21_batch_search", f"WITH {bm25_sql(_BATCH)}, r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS r FROM bs) SELECT qid // 1000 AS item_id, string_agg('[' || CAST(qid % 1000 AS VARCHAR) || '] ' || CAST(doc_id AS VARCHAR), ' ' ORDER BY qid, r) AS found FROM r WHERE r <= 3 GROUP BY qid // 1000")
 def fu21(spark, sf_dir):
-    parts = table(spark, sf_dir, "benchmark").select("item_id", F.posexplode(F.split("text", r"\. ")).alias("i", "part"))
-    terms = parts.select("item_id", "i", F.explode(X.search_tokens(F.col("part"))).alias("term"))
-    return terms.groupBy("item_id").agg(F.countDistinct("i").alias("searches"), F.countDistinct("term").alias("terms"))
+    """A text of several queries, parted by a bar: each is searched, and what they find is put together in order."""
+    batch = table(spark, sf_dir, "benchmark").select("item_id", F.replace("text", F.lit(". "), F.lit("|")).alias("batch"))
+    asked = batch.select("item_id", F.posexplode(F.split("batch", r"\|")).alias("i", "part")).select((F.col("item_id") * 1000 + F.col("i") + 1).alias("qid"), X.search_tokens(F.col("part")).alias("terms"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", X.search_tokens(F.col("text")).alias("tokens"))
+    best = relational.top_per(lexical.bm25(docs, asked), ["qid"], [F.desc("score"), F.col("doc_id")], 3)
+    line = F.concat(F.lit("["), (F.col("qid") % 1000).cast("string"), F.lit("] "), F.col("doc_id").cast("string"))
+    each = best.select(F.floor(F.col("qid") / 1000).cast("long").alias("item_id"), F.struct("qid", "rank", line.alias("line")).alias("s"))
+    return each.groupBy("item_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("s")), lambda s: s["line"]), " ").alias("found"))
 
 
-@query("au07_retrieval_gate", rf"""{_SOURCED}, e AS (SELECT qid, string_agg(text, chr(10)) AS ev FROM s WHERE rank <= 8 GROUP BY qid), qq AS (SELECT item_id AS qid, text, list_distinct({TOK.format('text')}) AS qt FROM benchmark), j AS (SELECT qq.qid, ev, qq.text, qt, len(list_intersect(qt, {TOK.format("coalesce(ev, '')")})) AS matched, regexp_matches(qq.text, '(?i)(how many|how much|accuracy|f1|bleu|rouge|percent|percentage|number|count|score)') AS numq, regexp_matches(coalesce(ev, ''), '\d') AS nume FROM qq LEFT JOIN e USING (qid)) SELECT qid, CASE WHEN len(qt) = 0 THEN 1e0 ELSE round(CAST(matched AS DOUBLE) / len(qt), 6) END AS coverage, CASE WHEN ev IS NULL OR (numq AND NOT nume) OR (len(qt) > 0 AND matched = 0) THEN 'REJECT' WHEN len(qt) > 0 AND CAST(matched AS DOUBLE) / len(qt) < 0.5 THEN 'CAUTION' ELSE 'PASS' END AS status FROM j""")
+@query("au07_retrieval_gate", rf"""{_SOURCED}, e AS (SELECT qid, string_agg(text, chr(10)) AS ev, max(bm25_score) AS best FROM s WHERE rank <= 8 GROUP BY qid), qq AS (SELECT item_id AS qid, text, list_distinct({TOK.format('text')}) AS qt FROM benchmark), j AS (SELECT qq.qid, ev, best, qq.text, qt, len(list_intersect(qt, {TOK.format("coalesce(ev, '')")})) AS matched, regexp_matches(qq.text, '(?i)(how many|how much|accuracy|f1|bleu|rouge|percent|percentage|number|count|score)') AS numq, regexp_matches(coalesce(ev, ''), '\d') AS nume FROM qq LEFT JOIN e USING (qid)) SELECT qid, CASE WHEN len(qt) = 0 THEN 1e0 ELSE round(CAST(matched AS DOUBLE) / len(qt), 6) END AS coverage, CASE WHEN ev IS NULL OR (numq AND NOT nume) OR (len(qt) > 0 AND matched = 0) THEN 'REJECT' WHEN (len(qt) > 0 AND CAST(matched AS DOUBLE) / len(qt) < 0.5) OR coalesce(best < 40, false) THEN 'CAUTION' ELSE 'PASS' END AS status FROM j""")
 def au07(spark, sf_dir):
     from ..operators.audit import retrieval_gate
 
-    evidence = _sourced(spark, sf_dir).where("rank <= 8").select("qid", "text")
+    evidence = _sourced(spark, sf_dir).where("rank <= 8").select("qid", "text", F.col("bm25_score").alias("rerank_score"))
     questions = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("question"))
-    return retrieval_gate(questions, evidence)
+    return retrieval_gate(questions, evidence, floor=40.0)
 
 
 @query("ev09_ranking_metrics", f"""WITH r AS (SELECT qid, rank, CASE WHEN g.label = c.label THEN 1 ELSE 0 END AS rel, g.label FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, vec_id) AS rank FROM (SELECT a.vec_id AS qid, b.vec_id, {_COS} AS score FROM embeddings a CROSS JOIN embeddings b WHERE a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id)) n JOIN embeddings g ON g.vec_id = qid JOIN embeddings c ON c.vec_id = n.vec_id WHERE rank <= 10),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..streaming import events as S
-from .registry import query, table
+from .base import query, table
 
 
 def _events(spark, sf_dir):

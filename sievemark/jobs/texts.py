@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from .registry import query, table
+from .base import query, table
 
 
 def _in(words: list[str]) -> str:
@@ -58,7 +58,7 @@ def tx07(spark, sf_dir):
 
     docs = _docs(spark, sf_dir).select("doc_id", X.normalized_answer(F.col("text")).alias("t"))
     items = table(spark, sf_dir, "benchmark").select("item_id", X.normalized_answer(F.col("text")).alias("a"))
-    return contains_join(docs, items, "t", "a").select("doc_id", "item_id")
+    return contains_join(docs, items, "doc_id", "t", "item_id", "a")
 
 
 @query("tx11_item_reference", r"SELECT doc_id, CASE WHEN i = '' THEN '' ELSE 'Item ' || upper(i) END AS item FROM (SELECT doc_id, coalesce(regexp_extract(text, '(?i)\bitem\s+(\d+[a-z]?)\b', 1), '') AS i FROM documents)")

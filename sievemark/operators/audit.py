@@ -10,14 +10,17 @@ from ..functions.text import NUMERIC_QUESTION, search_tokens
 _REF = r"\[([EFC]\d+)\]"
 
 
-def retrieval_gate(questions: DataFrame, evidence: DataFrame, least: float = 0.5) -> DataFrame:
+def retrieval_gate(questions: DataFrame, evidence: DataFrame, least: float = 0.5, floor: float = 0.0) -> DataFrame:
     """(qid, coverage, status) for each question: REJECT without evidence, for a numeric question without a number in the
-    evidence, or if no term of the question is found; CAUTION below `least` coverage; else PASS.
+    evidence, or if no term of the question is found; CAUTION below `least` coverage, or where the evidence's best model
+    score is below `floor`; else PASS.
 
-    Evidence is reduced to the set of its terms before it is grouped by question.
+    evidence: qid, text and, if a model scored it, rerank_score (null: not scored). Evidence is reduced to the set of its
+    terms before it is grouped by question.
     """
+    score = F.col("rerank_score") if "rerank_score" in evidence.columns else F.lit(None).cast("double")
     terms = evidence.select("qid", F.explode(F.array_distinct(search_tokens(F.col("text")))).alias("t")).distinct()
-    facts = evidence.groupBy("qid").agg(F.count("*").alias("n"), F.bool_or(F.col("text").rlike(r"\d")).alias("number"))
+    facts = evidence.groupBy("qid").agg(F.count("*").alias("n"), F.bool_or(F.col("text").rlike(r"\d")).alias("number"), F.max(score).alias("best"))
     q = questions.select("qid", F.col("question").rlike(NUMERIC_QUESTION).alias("numeric"), F.array_distinct(search_tokens(F.col("question"))).alias("qt"))
     asked = q.select("qid", F.explode("qt").alias("t"))
     matched = asked.join(terms, ["qid", "t"], "left_semi").groupBy("qid").agg(F.count("*").alias("matched"))
@@ -25,7 +28,16 @@ def retrieval_gate(questions: DataFrame, evidence: DataFrame, least: float = 0.5
     size = F.size("qt")
     coverage = F.when(size == 0, 1.0).otherwise(F.round(F.col("matched") / size, 6))
     reject = F.col("n").isNull() | (F.col("numeric") & ~F.coalesce("number", F.lit(False))) | ((size > 0) & (F.col("matched") == 0))
-    return j.select("qid", coverage.alias("coverage"), F.when(reject, "REJECT").when((size > 0) & (F.col("matched") / size < least), "CAUTION").otherwise("PASS").alias("status"))
+    weak = ((size > 0) & (F.col("matched") / size < least)) | F.coalesce(F.col("best") < floor, F.lit(False))
+    return j.select("qid", coverage.alias("coverage"), F.when(reject, "REJECT").when(weak, "CAUTION").otherwise("PASS").alias("status"))
+
+
+# Patterns of references, years, derived results and numeric claims.
+REFERENCE = r"(?i)(?<![A-Z0-9])([EFC]\d+)(?![A-Z0-9])"
+YEAR = r"(?<!\d)(20\d{2})(?!\d)"
+FILING_IDENTIFIER = r"(?i)\b(?:FY\s*)?20\d{2}\b|\b(?:Item|Part|Section|Note)\s+\d+[A-Z]?(?:\.\d+)?\b|\b10-[KQ]\b"
+DERIVED = r"(?i)(?:计算得出|按.+计算|calculated|computed|\([^\n)]*(?:F\d+|\d+(?:\.\d+)?)\s*[-+*/×÷]\s*(?:F\d+|\d+(?:\.\d+)?)[^\n)]*\))"
+NOT_DERIVED = r"(?i)\b(?:cannot|can't|could not|not)\s+(?:be\s+)?(?:calculated|computed)\b|无法(?:计算|确定)"
 
 
 def numeric_claim(line: Column) -> Column:
@@ -34,29 +46,93 @@ def numeric_claim(line: Column) -> Column:
     return bare.rlike(r"\d")
 
 
-def citation_issues(answers: DataFrame, evidence: DataFrame, calculations: DataFrame | None = None, qid: str = "qid", text: str = "answer") -> DataFrame:
-    """(qid, code, sentence): issues of each answer, without repeats.
+def claims_number(line: Column) -> Column:
+    """Whether a line states an amount: a currency sign or a number that isn't a reference, a list's, a year's or a
+    filing's."""
+    bare = F.regexp_replace(F.regexp_replace(line, REFERENCE, ""), r"^\s*(?:[-*#>]\s*)*(?:\*{0,2})?\d+[.)、](?:\*{0,2})?\s*", "")
+    return F.regexp_replace(bare, FILING_IDENTIFIER, "").rlike(r"[$€£¥]|\b\d[\d,.]*%?\b")
+
+
+def citation_issues(answers: DataFrame, evidence: DataFrame, calculations: DataFrame, facts: DataFrame | None = None, qid: str = "qid", text: str = "answer") -> DataFrame:
+    """(qid, code, sentence): issues of each answer, without repeats; a valid answer has none.
 
-    empty_answer; unknown_reference (a mark that neither evidence nor calculations have); uncited_numeric_claim;
-    company_mismatch and year_mismatch (a line that cites evidence of one company or year names another that evidence
-    has); missing_evidence (no mark at all). evidence: qid, ref, company, year.
+    empty_answer; unknown_reference (a mark that evidence, facts and calculations don't have); missing_evidence and
+    missing_calculation (there are some, but none is cited); unverified_calculation (a line derives a result without a
+    calculation's mark); uncited_numeric_claim (a line states an amount without evidence or a known calculation);
+    company_mismatch and year_mismatch (a line that cites evidence names a company of the evidence, or a year, that what
+    it cites doesn't support). Lines are judged one by one. evidence: qid, ref, company, year, content; calculations:
+    qid, ref; facts: qid, ref, evidence, year. Null answers count as empty.
     """
-    lines = answers.select(qid, F.posexplode(F.split(F.coalesce(text, F.lit("")), r"\n+")).alias("pos", "sentence")).where(F.trim("sentence") != "")
-    refs = lines.select(qid, "pos", "sentence", F.explode(F.array_distinct(F.regexp_extract_all("sentence", F.lit(_REF), F.lit(1)))).alias("ref"))
-    known = evidence.select(qid, "ref").unionByName(calculations.select(qid, "ref")) if calculations is not None else evidence.select(qid, "ref")
-    empty = answers.where(F.trim(F.coalesce(text, F.lit(""))) == "").select(qid, F.lit("empty_answer").alias("code"), F.lit("").alias("sentence"))
-    unknown = refs.join(known.distinct(), [qid, "ref"], "left_anti").select(qid, F.lit("unknown_reference").alias("code"), "sentence")
-    uncited = lines.where(numeric_claim(F.col("sentence")) & ~F.col("sentence").rlike(_REF)).select(qid, F.lit("uncited_numeric_claim").alias("code"), "sentence")
-    silent = answers.where((F.trim(F.coalesce(text, F.lit(""))) != "") & ~F.col(text).rlike(_REF)).select(qid, F.lit("missing_evidence").alias("code"), F.lit("").alias("sentence"))
-    cited = refs.join(evidence.select(qid, "ref", "company", "year"), [qid, "ref"]).groupBy(qid, "pos", "sentence").agg(F.collect_set("company").alias("companies"), F.collect_set("year").alias("years"))
-    named = evidence.groupBy(qid).agg(F.collect_set("company").alias("all_c"), F.collect_set("year").alias("all_y"))
-    both = cited.join(named, qid)
-    wrong_c = both.where(F.exists("all_c", lambda c: F.col("sentence").contains(c) & ~F.array_contains(F.col("companies"), c))).select(qid, F.lit("company_mismatch").alias("code"), "sentence")
-    wrong_y = both.where(F.exists("all_y", lambda y: F.col("sentence").contains(y.cast("string")) & ~F.array_contains(F.col("years"), y))).select(qid, F.lit("year_mismatch").alias("code"), "sentence")
-    out = empty.unionByName(unknown).unionByName(uncited).unionByName(silent).unionByName(wrong_c).unionByName(wrong_y)
+    given = answers.select(qid, F.coalesce(text, F.lit("")).alias("t"))
+    lines = given.where(F.trim("t") != "").select(qid, F.posexplode(F.split("t", r"\R")).alias("line", "raw")).where(F.trim("raw") != "")
+    marks = F.array_distinct(F.transform(F.regexp_extract_all("raw", F.lit(REFERENCE), F.lit(1)), lambda r: F.upper(r)))
+    lines = lines.select(qid, "line", "raw", F.trim("raw").alias("sentence"), marks.alias("refs"), F.array_distinct(F.regexp_extract_all("raw", F.lit(YEAR), F.lit(1))).alias("years"))
+    each = lines.select(qid, "line", "sentence", F.explode("refs").alias("ref"))
+    known = evidence.select(qid, F.upper("ref").alias("ref")).unionByName(calculations.select(qid, F.upper("ref").alias("ref")))
+    if facts is not None:
+        known = known.unionByName(facts.select(qid, F.upper("ref").alias("ref")))
+    known = known.distinct().withColumn("known", F.lit(True))
+    judged = each.join(known, [qid, "ref"], "left").withColumn("known", F.coalesce("known", F.lit(False)))
+    issue = lambda df, code, sentence="sentence": df.select(qid, F.lit(code).alias("code"), (F.col(sentence) if sentence else F.lit("")).alias("sentence"))
+    empty = issue(given.where(F.trim("t") == ""), "empty_answer", None)
+    unknown = issue(judged.where(~F.col("known")), "unknown_reference")
+
+    cited = judged.where("known").select(qid, F.substring("ref", 1, 1).alias("kind")).distinct()
+    some = lambda has, kind: given.where(F.trim("t") != "").join(has.select(qid).distinct(), qid, "left_semi").join(cited.where(F.col("kind") == kind), qid, "left_anti")
+    no_evidence, no_calculation = issue(some(evidence, "E"), "missing_evidence", None), issue(some(calculations, "C"), "missing_calculation", None)
+
+    starts = lambda c: F.exists("refs", lambda r: r.startswith(c))
+    derived = F.col("raw").rlike(DERIVED) & ~F.col("raw").rlike(NOT_DERIVED)
+    unverified = issue(lines.where(derived & ~starts("C")), "unverified_calculation")
+    grounded = judged.where(F.col("ref").startswith("C")).groupBy(qid, "line").agg(F.bool_and("known").alias("grounded"))
+    heading = F.lower("sentence").isin("来源", "来源：", "sources") | F.lower("sentence").startswith("sources:")
+    bare = lines.join(grounded, [qid, "line"], "left").where(claims_number(F.col("raw")) & ~starts("E") & ~F.coalesce("grounded", F.lit(False)) & ~heading)
+    uncited = issue(bare, "uncited_numeric_claim")
+
+    own = evidence.select(qid, F.upper("ref").alias("ref"), F.upper("company").alias("company"), F.array_union(F.regexp_extract_all("content", F.lit(YEAR), F.lit(1)), F.array_compact(F.array(F.col("year").cast("string")))).alias("supported"))
+    if facts is not None:
+        more = facts.groupBy(qid, F.upper("evidence").alias("ref")).agg(F.collect_set(F.col("year").cast("string")).alias("more"))
+        own = own.join(more, [qid, "ref"], "left").withColumn("supported", F.array_union("supported", F.coalesce("more", F.array().cast("array<string>")))).drop("more")
+    backed = each.where(F.col("ref").startswith("E")).join(own, [qid, "ref"], "left").groupBy(qid, "line").agg(F.collect_set("company").alias("companies"), F.array_distinct(F.flatten(F.collect_list("supported"))).alias("supported"))
+    names = evidence.where(F.trim("company") != "").groupBy(qid).agg(F.collect_set(F.upper("company")).alias("names"))
+    both = lines.join(backed, [qid, "line"]).join(names, qid, "left")
+    token = lambda c: F.call_function("regexp_like", F.col("raw"), F.concat(F.lit(r"(?i)(?<![A-Z0-9-])\Q"), c, F.lit(r"\E(?![A-Z0-9-])")))
+    wrong_company = issue(both.where(F.exists("names", lambda c: token(c) & ~F.array_contains("companies", c))), "company_mismatch")
+    wrong_year = issue(both.where(F.size(F.array_except("years", "supported")) > 0), "year_mismatch")
+    out = empty
+    for x in (unknown, no_evidence, no_calculation, unverified, uncited, wrong_company, wrong_year):
+        out = out.unionByName(x)
     return out.distinct()
 
 
+def coverage_gaps(tasks: DataFrame, evidence: DataFrame, answers: DataFrame, text: str, qid: str = "qid") -> DataFrame:
+    """(qid, gap, task): uncited_task (a task has evidence, but the answer's main part cites none of it) and
+    missing_comparison (of the names to compare, one isn't in the body).
+
+    tasks: qid, task; evidence: qid, task, ref; answers: qid, the text, compared (names, null if nothing is compared).
+    """
+    from ..functions.answers import answer_body, answer_main
+
+    main = answers.select(qid, F.upper(answer_main(F.col(text))).alias("main"))
+    has = tasks.join(evidence, [qid, "task"]).join(main, qid)
+    cited = has.groupBy(qid, "task").agg(F.bool_or(F.col("main").contains(F.concat(F.lit("["), F.upper("ref"), F.lit("]")))).alias("cited"))
+    body = F.lower(answer_body(F.col(text)))
+    unnamed = answers.where(F.exists("compared", lambda c: ~body.contains(F.lower(c))))
+    return cited.where(~F.col("cited")).select(qid, F.lit("uncited_task").alias("gap"), "task").unionByName(unnamed.select(qid, F.lit("missing_comparison").alias("gap"), F.lit("").alias("task")))
+
+
+def judge_result(rows: DataFrame, text: str) -> DataFrame:
+    """rows with a judge's verdict from the JSON object in a text: booleans (false unless stated true), a calculation's
+    that may be null, a score within 0 and 1 (0 if it isn't a number), a reason of 500 characters at most."""
+    from ..functions.text import json_object
+
+    kind = "answer_correct boolean, context_has_answer boolean, answer_grounded boolean, calculation_correct boolean, score string, reason string"
+    j = rows.withColumn("_j", F.from_json(json_object(F.col(text)), kind))
+    yes = lambda c: F.coalesce(F.col(f"_j.{c}"), F.lit(False)).alias(c)
+    score = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(F.col("_j.score").try_cast("double"), F.lit(0.0))))
+    return j.select(*rows.columns, yes("answer_correct"), yes("context_has_answer"), yes("answer_grounded"), F.col("_j.calculation_correct").alias("calculation_correct"), score.alias("score"), F.substring(F.coalesce("_j.reason", F.lit("")), 1, 500).alias("reason"))
+
+
 def supported_years(evidence: DataFrame, facts: DataFrame, qid: str = "ref") -> DataFrame:
     """Years that an evidence row supports: those in its text, its own, and those of its facts."""
     inside = evidence.select(qid, F.explode(F.regexp_extract_all("content", F.lit(r"\b(20\d{2})\b"), F.lit(1))).alias("y"))

@@ -24,5 +24,9 @@ def relaxed(df: DataFrame, by: str, tiers: list[Column]) -> DataFrame:
 
 
 def prefer(df: DataFrame, by: str, test: Column) -> DataFrame:
-    """Where a key has rows that meet the test, only these; else all of its rows."""
-    return df.withColumn("_has", F.max(test.cast("int")).over(Window.partitionBy(by))).where((F.col("_has") == 0) | F.col("_has").isNull() | test).drop("_has")
+    """Where a key has rows that meet the test, only these; else all of its rows, also those without a key.
+
+    What keys have is counted first, in each task and then together, so that no key's rows meet in one task."""
+    has = df.where(test & F.col(by).isNotNull()).select(F.col(by).alias("_by")).distinct()
+    rest = df.join(has, F.col(by) == F.col("_by"), "left_anti")
+    return df.where(test & F.col(by).isNotNull()).unionByName(rest)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .relational import checkpointed
+
 
 def rrf(vector: DataFrame, lexical: DataFrame, qid: str = "qid", key: str = "doc_id", k: int = 60) -> DataFrame:
     """Reciprocal rank fusion of two ranked lists: both ranks, rrf and rank; ties by vector score (missing: 0), then key."""
@@ -19,12 +21,26 @@ def collapse(ranked: DataFrame, parent: str, order: list[Column], qid: str = "qi
     return ranked.withColumn("_n", F.row_number().over(Window.partitionBy(qid, parent).orderBy(*order))).where("_n = 1").drop("_n")
 
 
+def collapse_best(ranked: DataFrame, parent: str, score: str, labels: str, qid: str = "qid", key: str = "doc_id", rank: str = "rank") -> DataFrame:
+    """(qid, parent, key, score, labels) of each parent: its best row, the best score and the labels of all its rows."""
+    each = ranked.withColumn("_l", F.explode_outer(labels))
+    best = F.max(F.struct(F.col(score).alias("s"), (-F.col(rank)).alias("r"), F.col(key).alias("k")))
+    out = each.groupBy(qid, parent).agg(best.alias("_b"), F.sort_array(F.collect_set("_l")).alias(labels))
+    return out.select(qid, parent, F.col("_b.k").alias(key), F.col("_b.s").alias(score), labels)
+
+
 def rerank(ranked: DataFrame, scores: DataFrame, qid: str = "qid", key: str = "doc_id") -> DataFrame:
     """Rows with a model score come first, by it; the others keep their order after them."""
     both = ranked.withColumnRenamed("rank", "prior_rank").join(scores.select(qid, key, "rerank_score"), [qid, key], "left")
     return both.withColumn("rank", F.row_number().over(Window.partitionBy(qid).orderBy(F.desc_nulls_last("rerank_score"), "prior_rank", key)))
 
 
+def rerank_or_keep(ranked: DataFrame, scores: DataFrame, qid: str = "qid", key: str = "doc_id") -> DataFrame:
+    """rerank, with a warning for queries that the model gave no score at all; these keep their order."""
+    scored = scores.select(qid).distinct().withColumn("_scored", F.lit(True))
+    return rerank(ranked, scores, qid, key).join(scored, qid, "left").withColumn("warning", F.when(F.col("_scored"), "").otherwise("rerank_failed")).drop("_scored")
+
+
 def promote(ranked: DataFrame, exact: DataFrame, qid: str = "qid", key: str = "doc_id") -> DataFrame:
     """Rows of exact matches come first with a score of 1 at least, then the rest in order; exact: (qid, key)."""
     both = ranked.join(exact.select(qid, key).distinct().withColumn("_exact", F.lit(0)), [qid, key], "full")
@@ -50,20 +66,26 @@ def near_duplicates(docs: DataFrame, num: int = 82, den: int = 100, key: str = "
     ahead = F.arrays_zip(*[F.slice(F.col(tokens), i + 1, 1 << 30).alias(f"t{i}") for i in range(size)])
     shingle = F.transform(F.slice(ahead, 1, F.greatest(F.lit(1), F.size(tokens) - (size - 1))), lambda x: F.xxhash64(x))
     sets = own.select(key, *groups, F.array_sort(F.array_distinct(shingle)).alias("s"))
-    named = sets.withColumn("h", F.sha2(F.to_json(F.struct("s", *groups)), 256))
+    # the sets are made once; all that follows reads them
+    named = checkpointed(sets.select(key, *groups, "s", F.size("s").alias("n"), F.sha2(F.to_json(F.struct("s", *groups)), 256).alias("h")))
     first = named.groupBy("h").agg(F.min(key).alias("first"))
-    copies = named.join(first, "h").where(F.col(key) != F.col("first")).select(F.col("first").alias("a"), F.col(key).alias("b"), F.lit(1.0).alias("jaccard"))
-    reps = named.join(first, (named["h"] == first["h"]) & (F.col(key) == F.col("first"))).select(key, *groups, "s")
-    each = reps.select(key, *groups, F.size("s").alias("n"), F.explode("s").alias("x"))
-    count = each.groupBy("x").agg(F.count("*").alias("c"))
-    rare = each.join(count, "x").withColumn("r", F.row_number().over(Window.partitionBy(key).orderBy("c", "x"))).where(F.col("r") <= F.col("n") - F.ceil(F.col("n") * num / den) + 1).where("c > 1")
+    copies = named.select(key, "h").join(first, "h").where(F.col(key) != F.col("first")).select(F.col("first").alias("a"), F.col(key).alias("b"), F.lit(1.0).alias("jaccard"))
+    reps = named.join(first.select(F.col("first").alias(key)), key, "left_semi")
+    each = reps.select(key, *groups, "n", F.explode("s").alias("x"))
+    # a shingle that one set has is among its rarest, but joins nothing: it only takes a place in the prefix
+    count = each.groupBy("x", *groups).agg(F.count("*").alias("c")).where("c > 1")
+    shared = each.join(count, ["x", *groups])
+    place = F.row_number().over(Window.partitionBy(key).orderBy("c", "x"))
+    alone = F.col("n") - F.count("*").over(Window.partitionBy(key))
+    prefix = F.col("n") - F.ceil(F.col("n") * num / den) + 1
+    rare = shared.withColumns({"r": place, "alone": alone}).where(F.col("r") + F.col("alone") <= prefix)
     a, b = rare.select(F.col(key).alias("a"), "x", F.col("n").alias("na"), *groups), rare.select(F.col(key).alias("b"), "x", F.col("n").alias("nb"), *groups)
     pairs = a.join(b, ["x", *groups]).where((F.col("a") < F.col("b")) & (F.least("na", "nb") * den >= F.greatest("na", "nb") * num)).select("a", "b").distinct()
     left, right = reps.select(F.col(key).alias("a"), F.col("s").alias("sa")), reps.select(F.col(key).alias("b"), F.col("s").alias("sb"))
     inter = F.size(F.array_intersect("sa", "sb"))
-    union = F.size("sa") + F.size("sb") - inter
-    found = pairs.join(left, "a").join(right, "b").where(inter * den >= union * num).select("a", "b", F.round(inter / union, 6).alias("jaccard"))
-    return found.unionByName(copies)
+    found = pairs.join(left, "a").join(right, "b").select("a", "b", inter.alias("i"), (F.size("sa") + F.size("sb")).alias("both"))
+    union = F.col("both") - F.col("i")
+    return found.where(F.col("i") * den >= union * num).select("a", "b", F.round(F.col("i") / union, 6).alias("jaccard")).unionByName(copies)
 
 
 def balanced(ranked: DataFrame, limit: int, qid: str = "qid", key: str = "doc_id", task: str = "task_id") -> DataFrame:

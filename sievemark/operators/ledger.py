@@ -7,13 +7,16 @@ from pyspark.sql import functions as F
 
 FACT = "decimal(20,6)"
 
-#: Other names of the operators.
-ALIASES = {"ADD": "SUM", "SUBTRACT": "DIFFERENCE", "DIVIDE": "RATIO", "PERCENT_OF_TOTAL": "MARGIN", "GROWTH": "PERCENT_CHANGE"}
+# The operators, and other names of some.
+OPERATORS = ["NONE", "SUM", "DIFFERENCE", "RATIO", "PERCENT_CHANGE", "MARGIN", "AVERAGE", "CAGR", "COUNT"]
+ALIASES = {"ADD": "SUM", "SUBTRACT": "DIFFERENCE", "DIVIDE": "RATIO", "PERCENT_OF_TOTAL": "MARGIN"}
 
 
 def operator_name(name: Column) -> Column:
-    up = F.upper(F.trim(name))
-    return F.coalesce(F.create_map(*[F.lit(x) for kv in ALIASES.items() for x in kv])[up], up)
+    """The operator that a name means; NONE for null, blank and unknown ones."""
+    up = F.upper(F.trim(F.coalesce(name, F.lit(""))))
+    said = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in ALIASES.items() for x in kv]), up), up)
+    return F.when(said.isin(OPERATORS), said).otherwise("NONE")
 
 
 def difference(a: Column, b: Column) -> Column:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .relational import small
+from .relational import checkpointed, small
 
 K1, B = 1.4, 0.72
 
@@ -13,39 +15,105 @@ K1, B = 1.4, 0.72
 def postings(docs: DataFrame, tokens: str, key: str, terms: DataFrame) -> DataFrame:
     """(key, term, tf, dl): counts of the wanted terms only; dl is the document's number of tokens.
 
-    Terms are filtered by a broadcast of checked size before the counts are shuffled.
+    Each document also has a row for the empty term, which no token is, so that one pass over the texts tells all that
+    ranking needs. Terms are filtered by a broadcast of checked size before the counts are shuffled; a document's counts
+    are complete in its task.
     """
-    each = docs.select(key, F.size(tokens).alias("dl"), F.explode(tokens).alias("term"))
-    return each.join(small(terms.select("term").distinct()), "term", "left_semi").groupBy(key, "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
+    wanted = terms.select("term").union(docs.sparkSession.createDataFrame([("",)], "term string")).distinct()
+    own = docs.select(key, F.coalesce(tokens, F.array().cast("array<string>")).alias("t"))
+    each = own.select(key, F.size("t").alias("dl"), F.explode(F.concat("t", F.array(F.lit("")))).alias("term"))
+    return each.join(small(wanted), "term", "left_semi").groupBy(key, "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
 
 
 def bm25(docs: DataFrame, queries: DataFrame, tokens: str = "tokens", key: str = "doc_id", qid: str = "qid", terms: str = "terms", digits: int = 6) -> DataFrame:
     """(qid, key, score) of all documents that share a term with the query. Statistics are those of docs, the candidates.
 
-    docs: key and an array of tokens; queries: qid and an array of terms, of which repeated ones count once.
+    docs: key and an array of tokens; queries: qid and an array of terms, of which repeated ones count once. The texts are
+    read once: what they have of the wanted terms is a checkpoint, from which statistics and scores are taken. Documents
+    without tokens count in the statistics; without documents or queries there are no rows.
     """
     asked = queries.select(qid, F.explode(F.array_distinct(terms)).alias("term"))
-    tf = postings(docs, tokens, key, asked)
+    base = checkpointed(postings(docs, tokens, key, asked))
+    tf = base.where("term <> ''")
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    stats = docs.agg(F.count("*").alias("n"), F.avg(F.size(tokens)).alias("avgdl"))
+    stats = base.where("term = ''").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
     idf = F.log(1 + F.greatest(F.lit(0.0), (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
     terms_ = asked.join(df, "term").crossJoin(F.broadcast(stats)).select(qid, "term", idf.alias("idf"), "avgdl")
     part = F.col("idf") * (F.col("tf") * (K1 + 1)) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.greatest(F.col("avgdl"), F.lit(1.0))))
     return tf.join(small(terms_), "term").groupBy(qid, key).agg(F.round(F.sum(part), digits).alias("score"))
 
 
-def script_boost(question: Column, content: Column, header: Column, is_table: Column) -> Column:
-    """Table .4, each number of the question in the content .08, header terms .12 up to .6, shared phrases .18."""
-    numbers = F.regexp_extract_all(question, F.lit(r"\d+(?:,\d{3})*(?:\.\d+)?%?"), F.lit(0))
-    bare = F.replace(content, F.lit(","), F.lit(""))
-    hits = F.size(F.filter(numbers, lambda n: bare.contains(F.replace(n, F.lit(","), F.lit("")))))
-    from ..functions.text import search_tokens
+# What a hit is worth, and phrases that count where question and content share them.
+TABLE, ITEM, NUMBER, HEADER, MOST_HEADER, PHRASE, ENTITY, MOST = 0.4, 0.25, 0.08, 0.12, 0.6, 0.18, 1.5, 3.0
+SCRIPT_PHRASES = ["current assets", "current liabilities", "net income", "income taxes", "total assets", "revenue"]
+SERVICE_PHRASES = ["current assets", "current liabilities", "net income", "income taxes", "total assets", "revenue", "net sales", "operating income"]
+
+
+def searchable(content: Column, *fields: Column) -> Column:
+    """The text that ranking reads: the content and the fields that aren't null; arrays give all their values."""
+    return F.concat_ws(" ", content, *fields)
+
+
+def phrases_in(text: Column, phrases: list[str]) -> Column:
+    """Which of the phrases a text has, as bits, so that what two texts share is one number away."""
+    low = F.lower(text)
+    return reduce(lambda a, b: a + b, [F.when(low.contains(p), 1 << i).otherwise(0) for i, p in enumerate(phrases)]).cast("int")
+
+
+def _hits(terms: Column, text: Column) -> Column:
+    return F.size(F.filter(terms, lambda t: text.contains(t)))
+
+
+def script_boost(question: Column, terms: Column, content: Column, header: Column, is_table: Column, item: Column, section: Column) -> Column:
+    """What a row gains beside its BM25: a table, an item that the wanted section names, numbers of the question in the
+    content (commas don't count), distinct terms in the header up to a limit, shared phrases."""
+    asked, low, head = F.lower(question), F.lower(content), F.lower(header)
+    bare = lambda c: F.replace(c, F.lit(","), F.lit(""))
+    numbers = F.transform(F.regexp_extract_all(asked, F.lit(r"\d+(?:,\d{3})*(?:\.\d+)?%?"), F.lit(0)), bare)
+    worth = [
+        (is_table.cast("int"), TABLE), (((item != "") & F.lower(section).contains(F.lower(item))).cast("int"), ITEM), (_hits(numbers, bare(low)), NUMBER),
+        (F.bit_count(phrases_in(asked, SCRIPT_PHRASES).bitwiseAND(phrases_in(low, SCRIPT_PHRASES))), PHRASE),
+    ]
+    return reduce(lambda a, b: a + b, [n * w for n, w in worth]) + F.least(F.lit(MOST_HEADER), _hits(F.array_distinct(terms), head) * HEADER)
 
-    in_header = F.size(F.filter(F.array_distinct(search_tokens(question)), lambda t: header.contains(t)))
-    out = F.when(is_table, 0.4).otherwise(0.0) + 0.08 * hits + F.least(F.lit(0.6), 0.12 * in_header)
-    for phrase in ("current assets", "current liabilities", "net income", "income taxes", "total assets", "revenue"):
-        out = out + F.when(question.contains(phrase) & content.contains(phrase), 0.18).otherwise(0.0)
-    return out
+
+def service_boost(terms: Column, header: Column, is_table: Column, asked: Column, held: Column, entities: Column) -> Column:
+    """The other kind: a table, each term in the header, shared phrases (asked, held: bits of phrases_in), each named
+    entity of the question that the content has (entities: how many), all up to a limit."""
+    worth = [(is_table.cast("int"), TABLE), (_hits(terms, F.lower(header)), HEADER), (F.bit_count(asked.bitwiseAND(held)), PHRASE), (entities, ENTITY)]
+    return F.least(F.lit(MOST), reduce(lambda a, b: a + b, [n * w for n, w in worth]))
+
+
+def boosted(scored: DataFrame, docs: DataFrame, queries: DataFrame, qid: str = "qid", key: str = "doc_id") -> DataFrame:
+    """scored with the service's boost of each row.
+
+    docs: key, text, header, is_table; queries: qid, text, terms. What a boost needs of a document (header, phrases as
+    bits) is made once for it, and so for a query; only these small columns are joined to the scored pairs. Entities of
+    the queries are looked up by their words, not pair by pair.
+    """
+    from ..functions.text import named_entities
+
+    q = queries.select(qid, "terms", phrases_in(F.col("text"), SERVICE_PHRASES).alias("asked"))
+    d = docs.select(key, "header", "is_table", phrases_in(F.col("text"), SERVICE_PHRASES).alias("held"))
+    named = queries.select(qid, F.explode(named_entities(F.col("text"))).alias("entity")).select(qid, F.lower("entity").alias("entity")).distinct()
+    j = scored.join(small(q), qid).join(d, key)
+    if named.isEmpty():
+        j = j.withColumn("entities", F.lit(0))
+    else:
+        low = docs.select(key, F.lower("text").alias("low"))
+        hits = contains_entities(low, named, key, qid).withColumnRenamed("n", "entities")
+        j = j.join(hits, [qid, key], "left").withColumn("entities", F.coalesce("entities", F.lit(0)))
+    boost = service_boost(F.col("terms"), F.col("header"), F.col("is_table"), F.col("asked"), F.col("held"), F.col("entities"))
+    return j.select(*scored.columns, boost.alias("boost"))
+
+
+def contains_entities(docs: DataFrame, named: DataFrame, key: str, qid: str) -> DataFrame:
+    """(qid, key, n): how many of a query's entities a document's text has. docs: key, low; named: qid, entity."""
+    entities = small(named.select("entity").distinct())
+    words = docs.select(key, F.explode(F.array_distinct(F.regexp_extract_all("low", F.lit(r"[a-z]+"), F.lit(0)))).alias("w"))
+    near = words.join(entities.withColumn("w", F.regexp_extract("entity", r"^[a-z]+", 0)), "w").select(key, "entity").distinct()
+    found = near.join(docs, key).where(F.col("low").contains(F.col("entity"))).select(key, "entity")
+    return found.join(small(named), "entity").groupBy(qid, key).agg(F.count("*").cast("int").alias("n"))
 
 
 def rank_boosted(scored: DataFrame, k: int, qid: str = "qid", key: str = "doc_id") -> DataFrame:
@@ -59,3 +127,19 @@ def dominant(counts: DataFrame, name: str, n: str = "n", qid: str = "qid") -> Da
     w = Window.partitionBy(qid).orderBy(F.desc(n), name)
     ranked = counts.withColumns({"_r": F.row_number().over(w), "_rival": F.lead(n).over(w)})
     return ranked.where((F.col("_r") == 1) & (F.col(n) >= 2) & (F.col("_rival").isNull() | (F.col(n) >= 2 * F.col("_rival")))).drop("_r", "_rival")
+
+
+def term_scan(docs: DataFrame, queries: DataFrame, most: int | None = None, all_terms: bool = False, key: str = "doc_id", qid: str = "item_id", text: str = "text") -> DataFrame:
+    """(qid, key, hits, times, rank): documents that hold any of a query's terms, or all of them.
+
+    Terms are runs of ASCII letters and digits in lower case, the first `most` distinct ones of a query. hits counts the
+    terms that a document holds, times their occurrences; rank is by both, then by key. Only wanted terms are counted.
+    """
+    words = F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0))
+    terms = F.slice(F.array_distinct(words), 1, most) if most else F.array_distinct(words)
+    asked = queries.select(qid, F.size(terms).alias("n"), F.explode(terms).alias("t"))
+    index = docs.select(key, F.explode(words).alias("t")).join(small(asked.select("t").distinct()), "t", "left_semi").groupBy(key, "t").agg(F.count("*").alias("tf"))
+    held = index.join(small(asked), "t").groupBy(qid, key, "n").agg(F.count("*").alias("hits"), F.sum("tf").alias("times"))
+    held = held.where("hits = n") if all_terms else held
+    w = Window.partitionBy(qid).orderBy(F.desc("hits"), F.desc("times"), key)
+    return held.select(qid, key, "hits", "times", F.row_number().over(w).alias("rank"))

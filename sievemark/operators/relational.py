@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,29 +11,56 @@ from pyspark.sql import functions as F
 MOST_ROWS, MOST_BYTES = 200_000, 32 << 20
 
 
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df computed once and written to the folder in spark.checkpoint.dir, which all machines share. Only local mode
+    gets a folder of its own where the setting is missing; on a cluster that is an error."""
+    _set_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def _set_checkpoint_dir(spark) -> None:
+    sc = spark.sparkContext
+    if sc.getCheckpointDir():
+        return
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+        found = f"file://{tempfile.mkdtemp(prefix='spark-')}"
+    sc.setCheckpointDir(found)
+
+
 def small(df: DataFrame) -> DataFrame:
     """df marked for broadcast if its counted rows and bytes are within bounds, else df as it is."""
     size = df.select(F.count("*"), F.coalesce(F.sum(sum((F.coalesce(F.length(F.col(c).cast("string")), F.lit(0)) for c in df.columns), F.lit(0))), F.lit(0))).first()
     return F.broadcast(df) if size[0] <= MOST_ROWS and size[1] <= MOST_BYTES else df
 
 
-def contains_join(rows: DataFrame, items: DataFrame, text: str, part: str) -> DataFrame:
-    """Pairs of a row and an item whose `part` is found in the row's `text`; both are words parted by single blanks.
+def contains_join(rows: DataFrame, items: DataFrame, key: str, text: str, item_key: str, part: str) -> DataFrame:
+    """(key, item_key) of a row and an item whose `part` is found in the row's `text`; both are words parted by blanks.
 
     Rows and items are dealt by an inner word of the item, its longest, which the row must have as a whole word: an
-    equality join on words, whose pairs alone are searched. Items of fewer than three words, which have no inner word,
-    are few and short; they are searched in all rows as a broadcast of checked size. Empty parts match nothing.
+    equality join on words, which gives candidate pairs of keys. Only then are texts joined to them and searched, so that
+    no text is sent once for each of its words. Items of fewer than three words, which have no inner word, are a set of
+    checked size that is searched in all rows where they lie; a larger set of these is an error. Empty parts match
+    nothing. Null texts and parts neither.
     """
     words = F.split(F.col(part), " ")
     inner = F.slice(words, 2, F.size(words) - 2)
     longest = F.element_at(F.array_sort(inner, lambda a, b: F.length(b) - F.length(a)), 1)
-    wanted = items.where(F.length(part) > 0)
+    wanted = items.where(F.length(part) > 0).select(item_key, part)
     long_ = wanted.where(F.size(words) >= 3).withColumn("_w", longest)
     short = wanted.where(F.size(words) < 3)
+    n = short.count()
+    if n > MOST_ROWS:
+        raise ValueError(f"{n} items of fewer than three words are too many to search in every row")
     keys = small(long_.select("_w").distinct())
-    shared = rows.select("*", F.explode(F.array_distinct(F.split(F.col(text), " "))).alias("_w")).join(keys, "_w", "left_semi")
-    found = shared.join(long_, "_w").where(F.col(text).contains(F.col(part))).drop("_w")
-    return found.unionByName(rows.join(small(short), F.col(text).contains(F.col(part))))
+    has = rows.select(key, F.explode(F.array_distinct(F.split(F.col(text), " "))).alias("_w")).join(keys, "_w", "left_semi")
+    near = has.join(small(long_.select(item_key, "_w")), "_w").select(key, item_key)
+    found = near.join(rows.select(key, text), key).join(small(wanted), item_key).where(F.col(text).contains(F.col(part))).select(key, item_key)
+    if not n:
+        return found
+    return found.unionByName(rows.select(key, text).join(F.broadcast(short), F.col(text).contains(F.col(part))).select(key, item_key))
 
 
 def latest(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
@@ -58,3 +87,34 @@ def round_robin(df: DataFrame, bucket: str, order: list[Column], limit: int) ->
 def in_order(df: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
     """Rows of the wanted ids with their position, wanted: (position, id). Unknown ids stay, with found false."""
     return wanted.join(df.withColumn("found", F.lit(True)), wanted["id"] == df[key], "left").withColumn("found", F.coalesce("found", F.lit(False)))
+
+
+def manifest(docs: DataFrame, source: str, key: str, text: str, each: int) -> DataFrame:
+    """(source, part, bytes, digest): of each range of `each` ids the bytes and a digest of its documents' digests in
+    order of their ids. A range is bounded whatever its source's size."""
+    own = docs.select(source, F.floor(F.col(key) / each).cast("long").alias("part"), F.octet_length(text).alias("b"), F.struct(F.col(key).alias("k"), F.sha2(text, 256).alias("h")).alias("s"))
+    listed = F.array_join(F.transform(F.array_sort(F.collect_list("s")), lambda s: s["h"]), ",")
+    return own.groupBy(source, "part").agg(F.sum("b").cast("long").alias("bytes"), F.md5(listed).alias("digest"))
+
+
+def verified(listed: DataFrame, found: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, status) of files against a manifest, both (keys, bytes, sha): ok, missing, unlisted, or what differs first,
+    size (which spares reading a digest) or digest."""
+    a, b = listed.select(*keys, F.col("bytes").alias("_b1"), F.col("sha").alias("_s1")), found.select(*keys, F.col("bytes").alias("_b2"), F.col("sha").alias("_s2"))
+    status = F.when(F.col("_b2").isNull(), "missing").when(F.col("_b1").isNull(), "unlisted").when(F.col("_b1") != F.col("_b2"), "size").when(F.col("_s1") != F.col("_s2"), "digest").otherwise("ok")
+    return a.join(b, keys, "full").select(*keys, status.alias("status"))
+
+
+def upserted(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
+    """old with the rows of new: those whose keys it has replace its own, the others are added."""
+    both = old.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)))
+    return latest(both, keys, [F.desc("_new")]).drop("_new")
+
+
+def shared_folder(spark, what: str) -> str:
+    """A fresh path in the folder that all machines share (see checkpointed)."""
+    import uuid
+
+    sc = spark.sparkContext
+    _set_checkpoint_dir(spark)
+    return f"{sc.getCheckpointDir().rstrip('/')}/{what}-{uuid.uuid4().hex}"

@@ -1,8 +1,11 @@
 """Known values of operators that no SQL can say, and what must hold whatever the data."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
+from sievemark.functions import answers as A
 from sievemark.functions import chunking, text
 from sievemark.functions.calculator import calculate, calculated
 from sievemark.operators import audit, conversation, evaluate, filters, fusion, ledger, lexical, relational, vector
@@ -84,11 +87,12 @@ def test_merge_and_bind(spark):
 
 
 def test_numeric_scores(spark):
-    assert evaluate.numbers_match(2.0, 2.022, True) and evaluate.numbers_match(2.4, 2354.0) and not evaluate.numbers_match(2.4, 2.0)
-    row = spark.createDataFrame([("growth of 2% and 5 units", "2.022% growth")], "a string, b string").select(evaluate.numeric_scores(evaluate.numbers(F.col("a")), evaluate.numbers(F.col("b"))).alias("s")).first().s
+    agree = lambda e, p, pct=False: one(spark, A.numbers_agree(F.lit(e), F.lit(p), F.lit(pct)))
+    assert agree(2.0, 2.022, True) and agree(2.4, 2354.0) and not agree(2.4, 2.0)
+    scores = lambda a, b: spark.createDataFrame([(a, b)], "a string, b string").select(A.numeric_scores(A.answer_numbers(F.col("a")), A.answer_numbers(F.col("b"))).alias("s")).first().s
+    row = scores("growth of 2% and 5 units", "2.022% growth")
     assert (row.precision, row.recall, round(row.f1, 4)) == (1.0, 0.5, 0.6667)
-    none = spark.createDataFrame([("no number", "5")], "a string, b string").select(evaluate.numeric_scores(evaluate.numbers(F.col("a")), evaluate.numbers(F.col("b"))).alias("s")).first().s
-    assert none.recall is None
+    assert scores("no number", "5") is None
 
 
 def test_rouge_and_overlap(spark):
@@ -144,14 +148,17 @@ def test_dominant_and_relaxed(spark):
 def test_contains_join(spark):
     d = spark.createDataFrame([(1, "a bb ccc dd"), (2, "zbb ccc d"), (3, ""), (4, None)], "id int, t string")
     i = spark.createDataFrame([(1, "bb ccc d"), (2, "cc"), (3, ""), (4, "bb ccc d")], "item int, p string")
-    assert sorted((r.id, r.item) for r in relational.contains_join(d, i, "t", "p").collect()) == [(1, 1), (1, 2), (1, 4), (2, 1), (2, 2), (2, 4)]
+    assert sorted((r.id, r.item) for r in relational.contains_join(d, i, "id", "t", "item", "p").collect()) == [(1, 1), (1, 2), (1, 4), (2, 1), (2, 2), (2, 4)]
 
 
 def test_citations(spark):
-    ev = spark.createDataFrame([(1, "E1", "ACME", 2023), (1, "E2", "BETA", 2024)], "qid int, ref string, company string, year int")
-    ans = spark.createDataFrame([(1, "ACME sold 5 [E1].\nRevenue was 7 million.\nSee [E9].\nBETA in 2024 [E1]."), (2, "  "), (3, "No marks here")], "qid int, answer string")
-    got = {(r.qid, r.code) for r in audit.citation_issues(ans, ev).collect()}
-    assert got == {(1, "uncited_numeric_claim"), (1, "unknown_reference"), (1, "company_mismatch"), (1, "year_mismatch"), (2, "empty_answer"), (3, "missing_evidence")}
+    ev = spark.createDataFrame([(1, "E1", "ACME", 2023, "of 2021"), (1, "E2", "BETA", 2024, ""), (3, "E1", "ACME", 2023, ""), (4, "E1", "ACME", 2023, ""), (5, "e1", "ACME", 2023, "")], "qid int, ref string, company string, year int, content string")
+    calc = spark.createDataFrame([(4, "C1"), (5, "C1")], "qid int, ref string")
+    ans = spark.createDataFrame([(1, "ACME sold 5 in 2021 [E1].\nRevenue was 7 million.\nSee [E9].\nBETA in 2024 [E1]."), (2, "  "), (3, "No marks here"), (4, "It is calculated as (5 - 3) [E1]\n2. In FY2023, Item 7 and 10-K"), (5, "Up 12% [C1; E1]\nSources: 3 files"), (6, None)], "qid int, answer string")
+    got = {(r.qid, r.code) for r in audit.citation_issues(ans, ev, calc).collect()}
+    assert got == {(1, "uncited_numeric_claim"), (1, "unknown_reference"), (1, "company_mismatch"), (1, "year_mismatch"), (2, "empty_answer"), (3, "missing_evidence"), (4, "missing_calculation"), (4, "unverified_calculation"), (6, "empty_answer")}
+    facts = spark.createDataFrame([(1, "F1", "E1", 2024)], "qid int, ref string, evidence string, year int")
+    assert (1, "year_mismatch") not in {(r.qid, r.code) for r in audit.citation_issues(ans, ev, calc, facts).collect()}
 
 
 def test_conversation(spark):
@@ -171,7 +178,11 @@ def test_html():
     body, tables = chunking.page(HTML)
     assert "gone" not in body and "too" not in body and "var x" not in body and "Net sales & costs." in body
     assert tables == [[["Label", "Year ended December 31, 2024"], ["Sales | net", "1,234"], ["Cost", ""]]]
-    assert chunking.header_rows(tables[0]) == 2 and chunking.header_rows([["a", "b"], ["1", "2"], ["3", "4"]]) == 1 and "Sales / net" in chunking.markdown(tables[0])
+    assert chunking.header_rows(tables[0]) == 3 and chunking.header_rows([["a", "b"], ["1", "2"], ["3", "4"]]) == 1 and "Sales / net" in chunking.markdown(tables[0])
+    at = HTML.index("<table")
+    assert chunking.item_before(HTML, at) == ("Item 7", "Management Discussion") and chunking.item_before(HTML, 10) == ("", "")
+    assert chunking.table_context(HTML, at, HTML.index("</table>"), 3) == ("& costs .", "Item 8 .")
+    assert "Markdown table:\n| Label | Year ended December 31, 2024 |" in chunking.interleaved(HTML)
     assert [s[:2] for s in chunking.sections(body) if s[0]] == [("Item 7", "Management Discussion"), ("Item 8", "Financial Statements")]
     assert chunking.periods("As of March 1, 2023 and FY 2024; FY 2024") == (["As of March 1, 2023", "FY 2024"], ["2023", "2024"], "As of March 1, 2023")
     assert chunking.page(None) == ("", [])
@@ -190,13 +201,51 @@ def test_windows():
     assert all(len(p) <= 300 for p in parts) and parts[0].endswith(".") and t.endswith(parts[-1])
     assert chunking.windows("x" * 1000, 100, 200) and chunking.windows("") == []
     assert chunking.parent_window(["a" * 10, "b" * 10, "c" * 10], 1, 22) == "a" * 10 + "\n\n" + "b" * 10
+    # a neighbour that doesn't fit is passed over while the other side still grows
+    assert chunking.parent_window(["a", "b" * 50, "c", "d", "e"], 2, 12) == ("a\n\n" + "b" * 50)[:12]
+    assert chunking.token_pieces("one two, three  four", 2) == ["one two", ", three", "four"] and chunking.token_pieces("", 2) == []
     assert chunking.trim_to_tokens("one two, three four", 3) == "one two,"
 
 
+def plain_windows(text, size, overlap, marks):
+    """Windows by trying every end."""
+    out, begin = [], 0
+    while begin < len(text):
+        end = min(len(text), begin + size)
+        if end < len(text):
+            ends = [i + 1 for i in range(begin + size // 2 + 1, end) for m in marks if text[i : i + len(m)] == m and i + len(m) <= end]
+            end = max(ends, default=end)
+        out.append((begin, end))
+        if end == len(text):
+            break
+        begin = max(begin + 1, end - overlap)
+    return out
+
+
+def test_windows_against_every_end():
+    rng = random.Random(5)
+    for _ in range(300):
+        text = "".join(rng.choice(["a", "bc", " ", ". ", "\n", ".", "  "]) for _ in range(rng.randint(0, 120)))
+        size, overlap = rng.randint(2, 40), rng.randint(0, 20)
+        for marks in (("\n", ". ", " "), (". ", "\n")):
+            assert chunking.spans(text, size, overlap, marks) == plain_windows(text, size, overlap, marks)
+
+
+def test_paper_children_lie_in_their_parents(spark):
+    text = "First section. " * 500 + "\n\n" + "Second one here. " * 300
+    df = spark.createDataFrame([(9007199254740993, text, "x"), (None, "short", "x"), (3, None, "x")], "doc_id long, text string, content string")
+    rows = chunking.paper_chunks(df).collect()
+    assert {r.doc_id for r in rows} == {9007199254740993, None} and all(r.content in r.parent and len(r.parent) <= 6000 for r in rows)
+    mine = sorted((r for r in rows if r.doc_id), key=lambda r: r.chunk_index)
+    assert [r.chunk_index for r in mine] == list(range(len(mine))) and {r.section_index for r in mine} == {0, 1}
+    assert {r.parent for r in mine if r.section_index == 1} == {("Second one here. " * 300).strip()}
+
+
 def test_html_chunks(spark):
-    df = spark.createDataFrame([(1, HTML + "<p>" + "word " * 900 + "</p>", "x"), (2, None, "x"), (3, "", "x")], "page_id long, html string, content string")
+    big = 9007199254740993
+    df = spark.createDataFrame([(big, HTML + "<p>" + "word " * 900 + "</p>", "x"), (None, None, "x"), (3, "", "x")], "page_id long, html string, content string")
     got = chunking.html_chunks(df).collect()
-    assert {r.page_id for r in got} == {1} and all(r.content in r.parent_context for r in got)
+    assert {r.page_id for r in got} == {big} and all(r.content in r.parent_context for r in got)
     assert [r.chunk_index for r in sorted(got, key=lambda r: r.chunk_index)] == list(range(len(got)))
 
 
