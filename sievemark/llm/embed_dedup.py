@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
+import io
+import uuid
+
 import numpy as np
 import pandas as pd
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Forest, checkpointed, components
+from .common import Forest, checkpointed, components, new_folder
 from .hnsw import Graph
 
 LEAST_COSINE = 0.93
 SHARD_ROWS = 8192
 BEAM = 32
+#: Shards that one task searches for a block of vectors, one after the other.
+STRIPE = 8
 #: Recall of links that a shard's audit must reach, and the queries that it compares with all of the shard at once.
 AUDIT_RECALL = 0.995
 AUDIT_QUERIES = 128
@@ -24,6 +30,32 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
+def _write(path: str, graph: bytes, exact: np.ndarray, ids: np.ndarray, copies: np.ndarray) -> None:
+    store, where = fs.FileSystem.from_uri(path)
+    store.create_dir(where.rpartition("/")[0], recursive=True)
+    with io.BytesIO() as f:
+        np.savez(f, graph=np.frombuffer(graph, np.uint8), exact=exact, ids=ids, copies=copies)
+        with store.open_output_stream(where) as out:
+            out.write(f.getbuffer())
+
+
+def _read(path: str) -> tuple[Graph, np.ndarray, np.ndarray, np.ndarray]:
+    store, where = fs.FileSystem.from_uri(path)
+    with store.open_input_file(where) as f, np.load(io.BytesIO(f.read())) as z:
+        return Graph.load(z["graph"].tobytes()), z["exact"], z["ids"], z["copies"]
+
+
+def _spanning(pairs: np.ndarray) -> np.ndarray:
+    """(node, root) of what the pairs connect, roots left out."""
+    nodes, at = np.unique(pairs, return_inverse=True)
+    forest = Forest(len(nodes))
+    for x, y in at.reshape(-1, 2).tolist():
+        forest.join(x, y)
+    root = np.array([forest.root(i) for i in range(len(nodes))], np.int64)
+    tied = np.flatnonzero(root != np.arange(len(nodes)))
+    return np.stack([nodes[tied], nodes[root[tied]]], 1)
+
+
 def find_links(graph: Graph, exact: np.ndarray, queries: np.ndarray, least: float, names: np.ndarray, asked: np.ndarray, beam: int = BEAM, recall: float = AUDIT_RECALL, audit: int = AUDIT_QUERIES) -> list[np.ndarray]:
     """Positions in the shard that each query links with; every one is verified in double precision.
 
@@ -74,9 +106,11 @@ def embed_dedup(vectors: DataFrame, key: str = "vec_id", vector: str = "embeddin
     without rows give no rows; other columns aren't read.
 
     Equal vectors are first collapsed to their smallest key with a count, so that large groups of copies are one vector.
-    What remains of a label is dealt into shards of about `shard_rows` vectors; each shard's graph is built once, and
-    each block of the label's vectors is searched in each shard. A group is one graph and one block, both bounded. Links
-    are counted where they are found, and only a spanning forest of a group's links leaves it for the components.
+    What remains of a label is dealt into shards of about `shard_rows` vectors; each shard's graph is built once and
+    written to a file of its own in the shared folder (each attempt its own; a checkpoint names those that count). Each
+    block of the label's vectors is searched in each shard: a task takes one block and opens STRIPE shards' files in
+    turn, so that no graph is shuffled and memory holds one. Links are counted where they are found, and only a spanning
+    forest of a task's links leaves it for the components. Long vectors only make blocks larger.
     """
     wide = "array<double>"
     fine = F.coalesce(
@@ -92,38 +126,41 @@ def embed_dedup(vectors: DataFrame, key: str = "vec_id", vector: str = "embeddin
     sizes = reps.groupBy("grp").agg(F.greatest(F.lit(1), F.ceil(F.count("*") / shard_rows)).cast("int").alias("parts"))
     dealt = reps.join(F.broadcast(sizes) if sizes.count() <= 10_000 else sizes, "grp").select("grp", "id", "copies", "vec", "parts", F.pmod(F.xxhash64("id", "h1"), F.col("parts")).cast("int").alias("part"))
 
+    folder = new_folder(vectors.sparkSession, "graphs")
+
     def build(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("id", kind="stable")
         x = np.array(group["vec"].tolist(), np.float64)
-        return pd.DataFrame({"l": [str(group["gkey"].iloc[0])], "part": [int(group["part"].iloc[0])], "parts": [int(group["parts"].iloc[0])], "graph": [Graph(_unit(x)).dump()], "exact": [x.tobytes()], "ids": [group["id"].to_numpy(np.int64).tobytes()], "copies": [group["copies"].to_numpy(np.int64).tobytes()], "n": [len(group)]})
+        path = f"{folder}/{uuid.uuid4().hex}"
+        _write(path, Graph(_unit(x)).dump(), _unit(x), group["id"].to_numpy(np.int64), group["copies"].to_numpy(np.int64))
+        return pd.DataFrame({"l": [str(group["gkey"].iloc[0])], "part": [int(group["part"].iloc[0])], "path": [path]})
 
     dealt = dealt.withColumn("gkey", F.to_json("grp"))
     flat = dealt.select("gkey", "id", "copies", "vec", "parts", "part")
-    graphs = checkpointed(flat.groupBy("gkey", "part").applyInPandas(build, "l string, part int, parts int, graph binary, exact binary, ids binary, copies binary, n int"))
-    every = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-    shards = graphs.withColumn("block", every)
-    asked = flat.select("gkey", "id", "vec", F.col("part").alias("block"), every.alias("part"))
-
-    def search(shard: pd.DataFrame, ask: pd.DataFrame) -> pd.DataFrame:
-        if not len(shard) or not len(ask):
-            return pd.DataFrame({"id": [], "links": [], "root": []})
-        s = shard.iloc[0]
-        ids, copies = np.frombuffer(s["ids"], np.int64), np.frombuffer(s["copies"], np.int64)
-        exact = _unit(np.frombuffer(s["exact"], np.float64).reshape(len(ids), -1))
+    graphs = checkpointed(flat.groupBy("gkey", "part").applyInPandas(build, "l string, part int, path string"))
+    # the manifest, a row a shard of thousands of vectors, says where each shard's file is
+    paths = vectors.sparkSession.sparkContext.broadcast({(r.l, r.part): r.path for r in graphs.toLocalIterator()})
+    every = F.explode(F.sequence(F.lit(0), F.floor((F.col("parts") - 1) / STRIPE).cast("int"))).alias("stripe")
+    asked = flat.select("gkey", "id", "vec", F.col("part").alias("block"), every)
+
+    def search(ask: pd.DataFrame) -> pd.DataFrame:
         own = ask["id"].to_numpy(np.int64)
-        links = find_links(Graph.load(s["graph"]), exact, _unit(np.array(ask["vec"].tolist(), np.float64)), least, ids, own)
-        nodes = np.unique(np.concatenate([ids, own]))
-        at, member = np.searchsorted(nodes, own), np.searchsorted(nodes, ids)
-        forest, n_links = Forest(len(nodes)), np.zeros(len(own), np.int64)
-        for i, others in enumerate(links):
-            n_links[i] = copies[others].sum()
-            for j in member[others].tolist():
-                forest.join(int(at[i]), j)
-        roots = nodes[[forest.root(i) for i in range(len(nodes))]]
-        tied = np.flatnonzero(roots != nodes)
-        return pd.DataFrame({"id": np.concatenate([own, nodes[tied]]), "links": np.concatenate([n_links, np.zeros(len(tied), np.int64)]), "root": np.concatenate([roots[at], roots[tied]])})
-
-    found = checkpointed(shards.groupBy(F.col("l").alias("gkey"), "part", "block").cogroup(asked.groupBy("gkey", "part", "block")).applyInPandas(search, "id long, links long, root long"))
+        queries = _unit(np.array(ask["vec"].tolist(), np.float64))
+        n_links, pairs = np.zeros(len(own), np.int64), []
+        first = int(ask["stripe"].iloc[0]) * STRIPE
+        for part in range(first, first + STRIPE):
+            path = paths.value.get((str(ask["gkey"].iloc[0]), part))
+            if path is None:
+                continue
+            graph, exact, ids, copies = _read(path)
+            for i, others in enumerate(find_links(graph, exact, queries, least, ids, own)):
+                n_links[i] += copies[others].sum()
+                pairs.append(np.stack([np.full(len(others), own[i]), ids[others]], 1))
+            pairs = [_spanning(np.concatenate(pairs))]
+        tied = pairs[0] if pairs else np.zeros((0, 2), np.int64)
+        return pd.DataFrame({"id": np.concatenate([own, tied[:, 0]]), "links": np.concatenate([n_links, np.zeros(len(tied), np.int64)]), "root": np.concatenate([own, tied[:, 1]])})
+
+    found = checkpointed(asked.groupBy("gkey", "stripe", "block").applyInPandas(search, "id long, links long, root long"))
     linked = components(found.where("id <> root"), "id", "root").withColumnRenamed("node", "id")
     counts = found.groupBy("id").agg(F.sum("links").alias("links")).where("links > 0")
     known = reps.select("grp", "h1", "h2", "id", "copies").join(counts, "id", "left").join(linked, "id", "left").select("grp", "h1", "h2", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
