@@ -139,7 +139,8 @@ def license_scan(docs: DataFrame, templates: dict[str, str], key: str = "doc_id"
     A template is found where at least `coverage` of its words are aligned in order within a region of STRETCH times its
     length. Words are compared in lower case without punctuation. Null and empty texts and an empty set of templates
     find nothing (best and best_coverage null). Ties for best go to the first name. Rows stay one for one, null keys
-    and repeated rows too. No shuffle; templates are sent with the code.
+    and repeated rows too. Whole texts are scanned, however long; other columns aren't read, and an empty table gives no
+    rows. No shuffle; templates are sent with the code.
     """
     scanner = Scanner(templates, coverage)
     schema = T.StructType([docs.schema[key], *T._parse_datatype_string("n_licenses long, licenses string, found array<struct<name:string,start:int,end:int,coverage:double>>, best string, best_coverage double").fields])
