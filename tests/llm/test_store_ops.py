@@ -39,8 +39,9 @@ def brute_embed(rows, least=0.93):
     return sorted((i, k, root(i), i == root(i)) for i, k in zip(ids, n))
 
 
-@pytest.mark.parametrize("shard_rows", [8192, 40])
-def test_embed_dedup(spark, shard_rows):
+@pytest.mark.parametrize("shard_rows, stripe", [(8192, 8), (20, 8), (10, 2)])
+def test_embed_dedup(spark, monkeypatch, shard_rows, stripe):
+    monkeypatch.setattr(embed_dedup, "STRIPE", stripe)
     rng = np.random.default_rng(2)
     rows = []
     for i in range(150):
@@ -151,6 +152,12 @@ def test_warc(spark):
     assert warc.read_warc(spark, folder, payload=False).where("payload is not null").count() == 0
 
 
+def test_warc_odd_rows(spark):
+    """Repeated rows with the largest key are each a response; columns with names of the records' aren't read."""
+    df = spark.createDataFrame([(2, "u", "<p>", "x", 7), (2, "u", "<p>", "x", 7), (1, "u", "<p>", "x", 7), (3, None, "y" * 3_000_000, "x", 7)], "page_id long, url string, html string, record_type string, d int")
+    assert sorted((r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in warc.digest(df).collect()) == [(1, 3, "revisit", 2), (2, 3, "response", None), (2, 3, "response", None), (3, 3_000_000, "response", None)]
+
+
 def test_warc_foreign_files(tmp_path):
     import gzip
 

@@ -4,6 +4,7 @@ import random
 import zlib
 
 import pytest
+from pyspark.sql import functions as F
 
 from sievemark.llm import licenses, quality, substring_dedup
 from sievemark.llm.license_texts import TEMPLATES
@@ -105,6 +106,26 @@ def test_patience_is_a_common_subsequence():
     assert len(licenses.patience(distinct, other)) == lcs(distinct, other)
 
 
+def test_license_scan_against_every_window(spark):
+    """Where a short template stands, by trying every window of its stretched length: found just there."""
+    rng = random.Random(21)
+    template = "alpha beta gamma delta epsilon zeta eta theta iota kappa"
+    words = template.split()
+    for _ in range(60):
+        text = [rng.choice(["x", "y", *words[:3]]) for _ in range(rng.randint(0, 40))]
+        if rng.random() < 0.7:
+            own = [w for w in words if rng.random() > 0.15]
+            at = rng.randint(0, len(text))
+            text[at:at] = own
+        best = max((lcs(text[i : i + 15], words) for i in range(len(text))), default=0)
+        found = licenses.Scanner({"T": template}).scan(" ".join(text))
+        assert bool(found) <= (best >= 8)
+        if found:
+            assert all(0.8 <= f[3] <= best / 10 for f in found)
+        elif best >= 8:  # only a repeated word can keep patience from an alignment that long
+            assert len(set(text)) < len(text)
+
+
 def test_licenses(spark):
     mit = TEMPLATES["MIT"].split()
     noisy = " ".join(w for i, w in enumerate(mit) if i % 10)
@@ -117,7 +138,9 @@ def test_licenses(spark):
     assert got[2].licenses == "MIT" and 0.85 <= got[2].best_coverage <= 0.95
     assert [got[i].n_licenses for i in (3, 4, 5, 7)] == [0, 0, 0, 0] and got[4].best is None
     assert len(got[6].found) == 2 and got[6].n_licenses == 1
-    assert got[8].licenses == "ISC" and got[None].licenses == "MIT-notice"
+    assert got[8].licenses == "ISC,ISC-permission" and got[None].licenses == "MIT-notice"
+    odd = spark.createDataFrame([(1, "word of software " * 100_000 + TEMPLATES["BSD-3-Clause"], 9, "x"), (1, None, 9, "x"), (1, None, 9, "x")], "doc_id long, text string, n_licenses int, best string")
+    assert sorted((r.n_licenses, r.best) for r in licenses.license_scan(odd, TEMPLATES).select("n_licenses", F.coalesce("best", F.lit("")).alias("best")).collect()) == [(0, ""), (0, ""), (3, "BSD-3-Clause")]
     assert licenses.license_scan(docs, {}).where("n_licenses > 0").count() == 0
     assert licenses.license_scan(docs.limit(0), TEMPLATES).count() == 0
 
