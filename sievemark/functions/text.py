@@ -101,17 +101,23 @@ def scale_factor(scale: Column) -> Column:
     return F.when(scale == "billion", 1_000_000_000).when(scale == "million", 1_000_000).when(scale == "thousand", 1_000).otherwise(1).cast("decimal(20,0)")
 
 
+#: The first rung whose words a question has is its intent.
+INTENTS = [
+    ("comparison", ["compare", "vs", "change", "increase", "decrease", "相比", "变化"]),
+    ("calculation", ["ratio", "margin", "calculate", "difference", "计算"]),
+    ("risk_factor", ["risk"]),
+    ("segment_breakdown", ["segment"]),
+]
+
+
 def intent(text: Column) -> Column:
-    """The first rung of a ladder of key words that the text meets."""
-    low = F.lower(text)
-    rungs = [("comparison", ["compare", "versus", " vs "]), ("calculation", ["calculate", "ratio", "margin", "growth"]), ("numeric", ["how many", "how much", "percent"]), ("definition", ["what is", "define"])]
-    out = None
-    for name, words in rungs:
-        test = low.contains(words[0])
-        for w in words[1:]:
-            test = test | low.contains(w)
-        out = F.when(test, name) if out is None else out.when(test, name)
-    return out.otherwise("factual")
+    """The first rung of INTENTS that the text meets, else factual_metric."""
+    from .answers import any_of
+
+    low, out = F.lower(F.coalesce(text, F.lit(""))), F.lit("factual_metric")
+    for name, words in reversed(INTENTS):
+        out = F.when(any_of(low, words), name).otherwise(out)
+    return out
 
 
 def fiscal_years(text: Column, first: int = 2022, last: int = 2024) -> Column:

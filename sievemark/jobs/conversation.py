@@ -82,7 +82,7 @@ def cv11(spark, sf_dir):
 
 @query("cv12_approval", "SELECT CASE WHEN event_type IN ('view', 'signup') THEN 'read_only' WHEN event_type = 'click' THEN 'workspace' WHEN event_type = 'purchase' THEN 'task' ELSE 'approval' END AS policy, count(*) AS n FROM events GROUP BY 1")
 def cv12(spark, sf_dir):
-    return table(spark, sf_dir, "events").groupBy(C.approval(F.col("event_type")).alias("policy")).agg(F.count("*").alias("n"))
+    return table(spark, sf_dir, "events").groupBy(C.approval(F.col("event_type"), ["view", "signup"], ["click"], ["purchase"]).alias("policy")).agg(F.count("*").alias("n"))
 
 
 @query("cv13_round_limit", "SELECT user_id, CAST(CASE WHEN n <= 64 THEN 64 WHEN n <= 96 THEN 96 WHEN n <= 144 THEN 144 WHEN n <= 216 THEN 216 ELSE 256 END AS INT) AS round_limit FROM (SELECT user_id, count(*) AS n FROM events GROUP BY user_id)")

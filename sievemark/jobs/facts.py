@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..operators import ledger
 from .base import query, table
+from .cases import EV_SQL, evidence
 
 FACTS = (
     "facts AS (SELECT n_name AS company, CAST(year(l_shipdate) AS INT) AS fiscal_year, CAST(sum(CAST(CAST(l_extendedprice AS DECIMAL(12,2)) * (1 - CAST(l_discount AS DECIMAL(12,2))) AS DECIMAL(20,6))) AS DECIMAL(20,6)) AS revenue, CAST(sum(CAST(l_quantity AS DECIMAL(20,6))) AS DECIMAL(20,6)) AS quantity, "
@@ -114,10 +115,12 @@ def fu23(spark, sf_dir):
     return f.where("from_year is not null").select("company", "from_year", F.col("fiscal_year").alias("to_year"))
 
 
-@query("au03_supported_years", f"WITH {FACTS} SELECT company, array_to_string(list_sort(list_distinct(list(CAST(fiscal_year AS VARCHAR)))), ',') AS years FROM facts GROUP BY company")
+@query("au03_supported_years", f"WITH {EV_SQL}, y AS (SELECT qid, ref, CAST(fiscal_year AS VARCHAR) AS y FROM ev UNION SELECT qid, ref, y FROM (SELECT qid, ref, unnest(regexp_extract_all(content, '\\d+')) AS y FROM ev) WHERE length(y) = 4 AND y >= '2000' AND y <= '2099' UNION SELECT qid, ref, '2031' FROM ev WHERE pos % 2 = 0 UNION SELECT qid, ref, '2019' FROM ev WHERE fault = 3) SELECT qid, ref, array_to_string(list_sort(list(y)), ',') AS years FROM y GROUP BY qid, ref")
 def au03(spark, sf_dir):
+    """Years of each row of evidence: those of its text (some name 2031), its own, and those of its facts (some of 2019)."""
     from ..operators.audit import supported_years
 
-    f = facts(spark, sf_dir).select(F.col("company").alias("ref"), F.col("fiscal_year").alias("year"))
-    evidence = f.groupBy("ref").agg(F.min("year").alias("year")).withColumn("content", F.lit(""))
-    return supported_years(evidence, f).select(F.col("ref").alias("company"), F.array_join("years", ",").alias("years"))
+    ev = evidence(spark, sf_dir).withColumn("key", F.struct("qid", "ref"))
+    rows = ev.select("key", F.col("fiscal_year").alias("year"), F.when(F.col("pos") % 2 == 0, F.concat("content", F.lit(" Due in 2031."))).otherwise(F.col("content")).alias("content"))
+    found = ev.where("fault = 3").select("key", F.lit(2019).alias("year"))
+    return supported_years(rows, found, "key").select("key.qid", "key.ref", F.array_join("years", ",").alias("years"))

@@ -66,11 +66,10 @@ def tx11(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", F.coalesce(X.item_reference(F.col("text")), F.lit("")).alias("item"))
 
 
-@query(
-    "tx13_intent",
-    "SELECT conv_id, turn, CASE WHEN contains(t, 'compare') OR contains(t, 'versus') OR contains(t, ' vs ') THEN 'comparison' WHEN contains(t, 'calculate') OR contains(t, 'ratio') OR contains(t, 'margin') OR contains(t, 'growth') THEN 'calculation' "
-    "WHEN contains(t, 'how many') OR contains(t, 'how much') OR contains(t, 'percent') THEN 'numeric' WHEN contains(t, 'what is') OR contains(t, 'define') THEN 'definition' ELSE 'factual' END AS intent FROM (SELECT conv_id, turn, lower(text) AS t FROM conversations WHERE role = 'user')",
-)
+_RUNGS = " ".join("WHEN " + " OR ".join(f"contains(t, '{w}')" for w in words) + f" THEN '{name}'" for name, words in X.INTENTS)
+
+
+@query("tx13_intent", f"SELECT conv_id, turn, CASE {_RUNGS} ELSE 'factual_metric' END AS intent FROM (SELECT conv_id, turn, lower(coalesce(text, '')) AS t FROM conversations WHERE role = 'user')")
 def tx13(spark, sf_dir):
     return table(spark, sf_dir, "conversations").where("role = 'user'").select("conv_id", "turn", X.intent(F.col("text")).alias("intent"))
 
@@ -81,11 +80,11 @@ def tx15(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", X.numeric_question(t).alias("numeric_question"), t.rlike("[一-鿿]").alias("cjk"), t.rlike("(?i)(cannot answer|no evidence|not available|insufficient)").alias("refusal"), t.rlike(r"\d").alias("has_digit"))
 
 
-@query("tx17_scale", "SELECT o_orderkey, s AS scale, CAST(CASE s WHEN 'billion' THEN 1000000000 WHEN 'million' THEN 1000000 WHEN 'thousand' THEN 1000 ELSE 1 END * CAST(o_totalprice AS DECIMAL(15,0)) AS BIGINT) AS in_units FROM (SELECT *, CASE o_orderpriority WHEN '1-URGENT' THEN 'billion' WHEN '2-HIGH' THEN 'million' WHEN '3-MEDIUM' THEN 'thousand' ELSE 'unit' END AS s FROM orders)")
+@query("tx17_scale", "SELECT o_orderkey, s AS scale, CAST(CAST(CASE s WHEN 'billion' THEN 1000000000 WHEN 'million' THEN 1000000 WHEN 'thousand' THEN 1000 ELSE 1 END AS DECIMAL(12,0)) * CAST(o_totalprice AS DECIMAL(15,2)) AS VARCHAR) AS in_units FROM (SELECT *, CASE o_orderpriority WHEN '1-URGENT' THEN 'billion' WHEN '2-HIGH' THEN 'million' WHEN '3-MEDIUM' THEN 'thousand' ELSE 'unit' END AS s FROM orders)")
 def tx17(spark, sf_dir):
     words = F.create_map(*[F.lit(x) for x in ("1-URGENT", "USD Billion", "2-HIGH", "in millions", "3-MEDIUM", "(in thousands)")])
-    o = table(spark, sf_dir, "orders").withColumn("scale", X.scale_name(words[F.col("o_orderpriority")]))
-    return o.select("o_orderkey", "scale", (X.scale_factor(F.col("scale")).cast("long") * F.col("o_totalprice").cast("decimal(15,0)").cast("long")).alias("in_units"))
+    o = table(spark, sf_dir, "orders").withColumn("scale", X.scale_name(F.try_element_at(words, F.col("o_orderpriority"))))
+    return o.select("o_orderkey", "scale", (X.scale_factor(F.col("scale")) * F.col("o_totalprice").cast("decimal(15,2)")).cast("decimal(38,2)").cast("string").alias("in_units"))
 
 
 @query("tx19_json", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
@@ -105,9 +104,10 @@ def tx10(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", F.array_join(F.transform(years, lambda y: y.cast("string")), ",").alias("years"))
 
 
-@query("tx12_entities", r"SELECT doc_id, regexp_matches(text, '(^|[^\p{L}\p{N}_])[A-Z][a-z]{2,}(\s+[A-Z][a-z]{2,}){1,3}($|[^\p{L}\p{N}_])') AS has_entity FROM documents")
+@query("tx12_entities")
 def tx12(spark, sf_dir):
-    return _docs(spark, sf_dir).select("doc_id", (F.size(X.named_entities(F.col("text"))) > 0).alias("has_entity"))
+    """Phrases of two to four capitalised words of each document, each once, in order."""
+    return _docs(spark, sf_dir).select("doc_id", F.array_join(X.named_entities(F.col("text")), "; ").alias("entities"))
 
 
 @query("ch19_keywords", f"SELECT doc_id, md5(array_to_string(list(term ORDER BY pos), ' ')) AS keywords_md5 FROM (SELECT doc_id, term, pos, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS r FROM (SELECT doc_id, term, min(pos) AS pos FROM (SELECT doc_id, unnest(t) AS term, generate_subscripts(t, 1) AS pos FROM (SELECT doc_id, {TOK.format('concat_ws(chr(32), source, text)')} AS t FROM documents)) GROUP BY ALL)) WHERE r <= 80 GROUP BY doc_id")

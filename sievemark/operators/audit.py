@@ -135,6 +135,6 @@ def judge_result(rows: DataFrame, text: str) -> DataFrame:
 
 def supported_years(evidence: DataFrame, facts: DataFrame, qid: str = "ref") -> DataFrame:
     """Years that an evidence row supports: those in its text, its own, and those of its facts."""
-    inside = evidence.select(qid, F.explode(F.regexp_extract_all("content", F.lit(r"\b(20\d{2})\b"), F.lit(1))).alias("y"))
+    inside = evidence.select(qid, F.explode(F.regexp_extract_all("content", F.lit(YEAR), F.lit(1))).alias("y"))
     own = evidence.select(qid, F.col("year").cast("string").alias("y"))
     return inside.unionByName(own).unionByName(facts.select(qid, F.col("year").cast("string").alias("y"))).where("y is not null").groupBy(qid).agg(F.sort_array(F.collect_set("y")).alias("years"))

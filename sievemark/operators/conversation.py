@@ -63,9 +63,9 @@ def tail_run(events: DataFrame, kind: str, by: str, order: list[str], what: str
     return events.withColumn("_o", other).groupBy(by).agg(F.count_if(F.col("_o") == 0).alias("run"))
 
 
-def approval(tool: Column) -> Column:
+def approval(tool: Column, read_only: list[str], workspace: list[str], task: list[str]) -> Column:
     """Read-only tools run freely, workspace tools need a workspace, tasks their own rule, the rest approval."""
-    return F.when(tool.isin("view", "signup"), "read_only").when(tool == "click", "workspace").when(tool == "purchase", "task").otherwise("approval")
+    return F.when(tool.isin(read_only), "read_only").when(tool.isin(workspace), "workspace").when(tool.isin(task), "task").otherwise("approval")
 
 
 def round_limit(rounds: Column, start: int = 64, most: int = 256) -> Column:

@@ -7,10 +7,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Query vectors in one broadcast block.
-BLOCK = 4096
-#: Cells that ivf_knn looks into, of 16: with fewer, too many true neighbours are lost (README has the recall).
-PROBES = 14
+from .relational import checkpointed
+
+#: Vectors in one block of a matrix product, and bytes of query blocks that are broadcast at most.
+BLOCK, MOST_BYTES = 4096, 32 << 20
+#: Vectors of a cell of the inverted file on average, least number of cells, and the recall that its probes must reach.
+CELL_ROWS, LEAST_CELLS, RECALL = 4096, 16, 0.95
+#: Queries that the probes are measured on at most: those with the smallest hash of their id.
+AUDIT_QUERIES = 256
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -30,67 +34,85 @@ def euclidean(a: Column, b: Column) -> Column:
     return F.when(fits, F.sqrt(gap)).otherwise(F.raise_error(F.lit("vectors must have one length and not be null")).cast("double"))
 
 
+def _matrix(column: pa.ListArray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Vectors of an Arrow list column by length: places and a matrix. Those with nulls, NaN or nothing but zeros are left out."""
+    size = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    out = {}
+    for d in np.unique(size[size > 0]).tolist():
+        at = np.flatnonzero(size == d)
+        x = column.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, d)
+        good = ~np.isnan(x).any(1) & x.any(1)
+        if good.any():
+            out[d] = at[good], x[good]
+    return out
+
+
+def _packed(df: DataFrame, key: str, vector: str) -> DataFrame:
+    """(dim, ids, data): blocks of up to BLOCK vectors of one length, each as two binaries."""
+    def run(batches):
+        for batch in batches:
+            for d, (at, x) in _matrix(batch.column(1)).items():
+                ids = batch.column(0).take(pa.array(at)).to_numpy(zero_copy_only=False)
+                for i in range(0, len(at), BLOCK):
+                    yield pa.RecordBatch.from_pylist([{"dim": d, "ids": ids[i : i + BLOCK].tobytes(), "data": x[i : i + BLOCK].tobytes()}], schema=pa.schema([("dim", pa.int32()), ("ids", pa.binary()), ("data", pa.binary())]))
+
+    rows = df.where(F.col(vector).isNotNull() & F.col(key).isNotNull()).select(F.col(key).cast("long").alias("k"), F.col(vector).cast("array<double>").alias("v"))
+    return rows.mapInArrow(run, "dim int, ids binary, data binary")
+
+
+def _best(score: np.ndarray, keys: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row and column of each row's k largest finite scores, ties by key."""
+    n = score.shape[1]
+    floor = np.partition(score, n - k, axis=1)[:, n - k, None] if n > k else -np.inf
+    row, col = np.nonzero((score >= floor) & np.isfinite(score))
+    by = np.lexsort((keys[col], -score[row, col], row))
+    row, col = row[by], col[by]
+    first = np.searchsorted(row, np.arange(len(score)))
+    keep = np.arange(len(row)) - first[row] < k
+    return row[keep], col[keep]
+
+
 def knn(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", qid: str = "qid", digits: int = 9, exclude_self: bool = True) -> DataFrame:
     """Exact top-k by cosine: (qid, key, score, rank), score rounded, ties by key.
 
-    queries: a stated set (qid, vector). They are taken in blocks of bounded size; each block is broadcast and
-    multiplied with the vectors of each task in numpy, which sends on its best k per query only. Vectors that are null
-    or zero, and those of another length than the query, have no score. exclude_self: the row whose key is the qid.
+    queries: a stated set (qid, vector). Queries and vectors are packed into blocks where they lie; each block of queries
+    meets each block of vectors in a task, which multiplies them and sends on its best k a query. Query blocks are
+    broadcast while they are within MOST_BYTES, else paired by Spark; the driver sees their number only. Vectors that are
+    null or zero, or hold nulls or NaN, and those of another length than the query, have no score. exclude_self: the row
+    whose key is the qid.
     """
-    spark = vectors.sparkSession
-    rows = vectors.where(F.col(vector).isNotNull() & F.col(key).isNotNull()).select(F.col(key).cast("long").alias(key), F.col(vector).cast("array<double>").alias("v"))
-
-    def task(sent):
-        def run(batches):
-            ids, q = sent.value
-            for batch in batches:
-                own = np.array(batch.column(0).to_pylist(), np.int64)
-                vec = batch.column(1).to_pylist()
-                out = [[], [], []]
-                good = [i for i, x in enumerate(vec) if len(x) == q.shape[1] and None not in x and any(x)]
-                if good and len(ids):
-                    x = np.array([vec[i] for i in good])
-                    score = np.round((q @ x.T) / np.outer(np.sqrt((q * q).sum(1)), np.sqrt((x * x).sum(1))), digits)
-                    mine = own[good]
-                    for r, qi in enumerate(ids):
-                        s = score[r].copy()
-                        if exclude_self:
-                            s[mine == qi] = -np.inf
-                        best = np.lexsort((mine, -s))[:k]
-                        best = best[np.isfinite(s[best])]
-                        out[0] += [int(qi)] * len(best)
-                        out[1] += mine[best].tolist()
-                        out[2] += s[best].tolist()
-                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64())], names=[qid, key, "score"])
-
-        return run
-
-    parts, block = [], []
-
-    def flush():
-        if block:
-            sent = spark.sparkContext.broadcast((np.array([b[0] for b in block], np.int64), np.array([b[1] for b in block])))
-            parts.append(rows.mapInArrow(task(sent), f"{qid} long, {key} long, score double"))
-            block.clear()
-
-    for r in queries.select(F.col(qid).cast("long").alias("q"), F.col(vector).cast("array<double>").alias("v")).where("v is not null").toLocalIterator():
-        if len(r.v) and None not in r.v and any(r.v):
-            if block and len(block[0][1]) != len(r.v) or len(block) == BLOCK:
-                flush()
-            block.append((r.q, list(r.v)))
-    flush()
-    if not parts:
-        return spark.createDataFrame([], f"{qid} long, {key} long, score double, rank int")
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.unionByName(p)
+    own, asked = _packed(vectors, key, vector), _packed(queries, qid, vector).toDF("qdim", "qids", "qdata")
+    size = asked.agg(F.coalesce(F.sum(F.length("qdata")), F.lit(0))).first()[0]
+
+    def run(batches):
+        for batch in batches:
+            for r in batch.to_pylist():
+                d = r["dim"]
+                if d != r["qdim"]:
+                    continue
+                keys, ids = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["qids"], np.int64)
+                x, q = np.frombuffer(r["data"]).reshape(-1, d), np.frombuffer(r["qdata"]).reshape(-1, d)
+                norm = np.sqrt((x * x).sum(1))
+                for at in range(0, len(q), 512):  # a bounded part of the product at a time
+                    y, who = q[at : at + 512], ids[at : at + 512]
+                    score = np.round((y @ x.T) / np.outer(np.sqrt((y * y).sum(1)), norm), digits)
+                    if exclude_self:
+                        score[who[:, None] == keys[None, :]] = -np.inf
+                    row, col = _best(score, keys, k)
+                    yield pa.RecordBatch.from_arrays([pa.array(who[row]), pa.array(keys[col]), pa.array(score[row, col])], names=[qid, key, "score"])
+
+    pairs = own.crossJoin(F.broadcast(asked) if size <= MOST_BYTES else asked)
+    found = pairs.mapInArrow(run, f"{qid} long, {key} long, score double")
     w = Window.partitionBy(qid).orderBy(F.desc("score"), key)
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def ivf_cells(vectors: DataFrame, cells: int = 16, rounds: int = 8, sample: int = 20_000, key: str = "vec_id", vector: str = "embedding") -> tuple[np.ndarray, DataFrame]:
-    """Centroids, fitted on a bounded sample (those with the smallest hash of their key), and all rows with their cell."""
+def ivf_cells(vectors: DataFrame, cells: int | None = None, rounds: int = 8, sample: int = 20_000, key: str = "vec_id", vector: str = "embedding") -> tuple[np.ndarray, DataFrame]:
+    """Centroids, fitted on a bounded sample (those with the smallest hash of their key), and all rows with their cell.
+
+    Without `cells` their number grows with the table, CELL_ROWS vectors to a cell, up to a tenth of the sample."""
     rows = vectors.where(F.col(vector).isNotNull())
+    cells = cells or int(min(sample // 10, max(LEAST_CELLS, rows.count() // CELL_ROWS)))
     some = rows.orderBy(F.xxhash64(key), key).limit(sample).select(F.col(vector).cast("array<double>").alias("v")).toPandas()["v"]
     x = np.array([list(v) for v in some])
     x = x / np.maximum(np.sqrt((x * x).sum(1, keepdims=True)), 1e-300)
@@ -112,18 +134,41 @@ def ivf_cells(vectors: DataFrame, cells: int = 16, rounds: int = 8, sample: int
     return centre, rows.withColumn("cell", cell(F.col(vector)))
 
 
-def ivf_knn(vectors: DataFrame, queries: DataFrame, k: int, probes: int = PROBES, cells: int = 16, key: str = "vec_id", vector: str = "embedding", qid: str = "qid") -> DataFrame:
-    """Approximate top-k: each query looks into its `probes` nearest cells, joined by cell; scores are exact."""
-    centre, celled = ivf_cells(vectors, cells, key=key, vector=vector)
-
+def _order(centre: np.ndarray):
+    """The cells of a vector, the nearest first."""
     @F.pandas_udf("array<int>")
     def nearest(v):
         import pandas as pd
 
         y = np.array([list(t) for t in v], np.float64)
-        return pd.Series(list(np.argsort(-(y @ centre.T), axis=1)[:, :probes].astype("int32")))
+        return pd.Series(list(np.argsort(-(y @ centre.T), axis=1, kind="stable").astype("int32")))
 
-    asked = queries.select(qid, F.col(vector).alias("q"), F.explode(nearest(F.col(vector))).alias("cell"))
+    return nearest
+
+
+def measured_probes(celled: DataFrame, queries: DataFrame, k: int, centre: np.ndarray, recall: float = RECALL, key: str = "vec_id", vector: str = "embedding", qid: str = "qid") -> int:
+    """Cells that a query must look into so that the share `recall` of true neighbours is found, by exact search for at
+    most AUDIT_QUERIES of the queries; all cells where there is nothing to measure."""
+    some = queries.where(F.col(vector).isNotNull()).orderBy(F.xxhash64(qid), qid).limit(AUDIT_QUERIES)
+    true = knn(celled.select(key, vector), some, k, key, vector, qid).join(celled.select(key, "cell"), key)
+    where = true.join(some.select(qid, _order(centre)(F.col(vector)).alias("cells")), qid).select(F.array_position("cells", F.col("cell")).alias("p"))
+    held = {r.p: r.n for r in where.groupBy("p").agg(F.count("*").alias("n")).collect()}
+    total, seen = sum(held.values()), 0
+    for p in range(1, len(centre) + 1):
+        seen += held.get(p, 0)
+        if total and seen >= recall * total:
+            return p
+    return len(centre)
+
+
+def ivf_knn(vectors: DataFrame, queries: DataFrame, k: int, probes: int | None = None, cells: int | None = None, recall: float = RECALL, key: str = "vec_id", vector: str = "embedding", qid: str = "qid") -> DataFrame:
+    """Approximate top-k: each query looks into its nearest cells, joined by cell; scores are exact.
+
+    Without `probes` their number is measured so that `recall` is reached (see measured_probes)."""
+    centre, celled = ivf_cells(vectors, cells, key=key, vector=vector)
+    celled = checkpointed(celled.select(key, vector, "cell"))
+    probes = probes or measured_probes(celled, queries, k, centre, recall, key, vector, qid)
+    asked = queries.where(F.col(vector).isNotNull()).select(qid, F.col(vector).alias("q"), F.explode(F.slice(_order(centre)(F.col(vector)), 1, probes)).alias("cell"))
     near = celled.join(asked, "cell").where(F.col(key) != F.col(qid)).select(qid, key, F.round(cosine(F.col("q"), F.col(vector)), 9).alias("score"))
     w = Window.partitionBy(qid).orderBy(F.desc("score"), key)
     return near.where("score is not null").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)

@@ -128,6 +128,34 @@ def test_entities_in_ranking(spark):
     assert got == {1: 1.5, 2: 0.52, 3: 0.0}
 
 
+def test_entities(spark):
+    """Phrases of capitalised words, against Python's own patterns on every document."""
+    phrase = re.compile(r"(?<!\w)([A-Z][a-z]{2,}(?:[ \t\n\x0b\f\r]+[A-Z][a-z]{2,}){1,3})(?!\w)")
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    got = {r.doc_id: r.entities for r in registry.QUERIES["tx12_entities"](spark, SF).collect()}
+    assert got == {k: "; ".join(dict.fromkeys(phrase.findall(t))) for k, t in docs}
+    made = spark.createDataFrame([("The Big Apple Inc And More Words Here. Ödön Big Apple_ New York, New York",)], "t string")
+    assert made.select(X.named_entities(F.col("t")).alias("e")).first().e == phrase.findall("The Big Apple Inc And More Words Here. Ödön Big Apple_ New York")
+
+
+def test_intents_and_scales(spark):
+    said = ["Compare a and b", "What is the margin?", "Which risks?", "By segment", "How many?", None]
+    assert [r.i for r in spark.createDataFrame(list(enumerate(said)), "n int, t string").orderBy("n").select(X.intent(F.col("t")).alias("i")).collect()] == ["comparison", "calculation", "risk_factor", "segment_breakdown", "factual_metric", "factual_metric"]
+
+
+def test_token_split(spark):
+    """Parents and children hold all tokens in order, at most so many each."""
+    token = re.compile(r"[A-Za-z0-9]+(?:[-'][A-Za-z0-9]+)?|[^\w\s]")
+    text = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    rows = sorted(registry.QUERIES["ch13_token_split"](spark, SF).collect(), key=lambda r: (r.doc_id, r.parent_index, r.child_index))
+    whole = defaultdict(list)
+    for r in rows:
+        own = token.findall(r.content)
+        assert len(own) <= 64
+        whole[r.doc_id] += own
+    assert all(whole[k] == token.findall(t) for k, t in text.items())
+
+
 def test_expected_documents_odd(spark):
     rows = [(1, "ACME grew in FY2021; BOLT fell in 2022", ["ACME", "BOLT"], ["2021", "2022"]), (2, "In 2021 it was BOLT, " + "x" * 90 + " ACME", ["ACME", "BOLT"], ["2021", "2022"]), (3, "nothing", ["ACME"], ["2021", "2022"]), (4, None, ["ACME", "BOLT"], ["2021", "2022"])]
     got = defaultdict(set)
