@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import io
 import tempfile
 import uuid
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,6 +49,29 @@ def new_folder(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame, what: str) -> DataFrame:
+    """df computed once and written as Parquet to the shared folder: compressed, and columns are read as needed."""
+    folder = new_folder(df.sparkSession, what)
+    df.write.option("compression", "zstd").parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
+def put_arrays(path: str, **arrays: np.ndarray) -> None:
+    """Writes named arrays to one file of a folder that all machines share."""
+    store, where = fs.FileSystem.from_uri(path)
+    store.create_dir(where.rpartition("/")[0], recursive=True)
+    with io.BytesIO() as f:
+        np.savez(f, **arrays)
+        with store.open_output_stream(where) as out:
+            out.write(f.getbuffer())
+
+
+def get_arrays(path: str) -> dict[str, np.ndarray]:
+    store, where = fs.FileSystem.from_uri(path)
+    with store.open_input_file(where) as f, np.load(io.BytesIO(f.read())) as z:
+        return {k: z[k] for k in z.files}
+
+
 def slices(batches, rows: int = SLICE_ROWS):
     """Arrow batches cut to a bounded number of rows, fewer where rows are long."""
     for batch in batches:
