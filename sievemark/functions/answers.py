@@ -37,6 +37,9 @@ SYNONYMS = [
     ("gross margin", "gross profit net sales"),
     ("eps", "earnings per share diluted basic"),
 ]
+#: What is added to a query on Item 7 that holds one of these phrases.
+DISCUSSION_PHRASES = ["description", "financial statement item", "financial statement term"]
+DISCUSSION_TERMS = "management discussion actual results financial position financial condition results of operations cash generated from operations cash flows from operations"
 #: The name of a metric is that of the first rule whose groups of words are all met.
 METRICS = [
     ("total cash cash equivalents short term investments", [["cash"], ["cash equivalents"], ["short term investments"]]),
@@ -130,9 +133,11 @@ def requested_item(text: Column) -> Column:
 
 
 def expanded_query(query: Column) -> Column:
-    """The query and the synonyms of what it holds, in the table's order."""
+    """The query and the synonyms of what it holds, in the table's order; then, for a description in Item 7, the terms of
+    management's discussion."""
     low = F.lower(query)
-    return F.concat_ws(" ", query, *[F.when(low.contains(k), F.lit(v)) for k, v in SYNONYMS])
+    discussed = F.when(low.contains("item 7") & any_of(low, DISCUSSION_PHRASES), F.lit(DISCUSSION_TERMS))
+    return F.concat_ws(" ", query, *[F.when(low.contains(k), F.lit(v)) for k, v in SYNONYMS], discussed)
 
 
 def metric_name(text: Column) -> Column:
@@ -178,12 +183,14 @@ def has_number(text: Column, number: Column) -> Column:
 
 
 def scale_of_fact(raw: Column, proposed: Column, metric: Column, quote: Column, content: Column) -> Column:
-    """The magnitude of a value: the word after it in the quote; else, for a row of a table, the header's 'in millions'
-    (per-share and percentage rows of an 'except' header are units); else a word in the value; else what was proposed."""
+    """The magnitude of a value: the word after it in the quote, where its number may be written otherwise (1,000 for
+    1000); else, for a row of a table, the header's 'in millions' (per-share and percentage rows of an 'except' header are
+    units); else a word in the value; else what was proposed."""
     one = lambda c: F.regexp_replace(F.lower(c), "s$", "")
-    digits = F.regexp_replace(F.regexp_extract(raw, QUOTED_NUMBER, 0), r"[^0-9.,]", "")
-    pattern = F.concat(F.lit(r"(?i)(?<![\d,.])"), F.replace(digits, F.lit("."), F.lit(r"\.")), F.lit(r"\s*(thousand|million|billion)s?\b"))
-    after = F.call_function("regexp_extract", quote, pattern, F.lit(1))
+    magnitude = r"\s*(thousand|million|billion)s?\b"
+    all_ = F.regexp_extract_all(quote, F.lit(rf"(?i)(?<![\d,.])({QUOTED_NUMBER}){magnitude}"), F.lit(0))
+    own = F.filter(all_, lambda x: raw_decimal(F.regexp_extract(x, QUOTED_NUMBER, 0)) == raw_decimal(raw))
+    after = F.coalesce(F.regexp_extract(F.get(own, F.lit(0)), rf"(?i){magnitude}", 1), F.lit(""))
     header = F.lower(F.regexp_extract(content, r"(?im)^Table header:([^\r\n]+)", 1))
     unit = header.contains("except") & any_of(F.lower(metric), ["per share", "per membership", "per paying membership", "margin", "percent"])
     in_header = F.regexp_extract(header, r"\bin (thousand|million|billion)s\b", 1)
@@ -191,7 +198,7 @@ def scale_of_fact(raw: Column, proposed: Column, metric: Column, quote: Column,
     in_raw = F.regexp_extract(raw, r"(?i)\b(thousand|million|billion)s?\b", 1)
     given = one(F.trim(proposed))
     return (
-        F.when((digits != "") & (after != ""), one(after)).when(row & unit, "unit").when(row & (in_header != ""), in_header)
+        F.when(after != "", one(after)).when(row & unit, "unit").when(row & (in_header != ""), in_header)
         .when(in_raw != "", one(in_raw)).when(given.isin("thousand", "million", "billion"), given).otherwise("unit")
     )
 

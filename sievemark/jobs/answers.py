@@ -198,9 +198,13 @@ def au08(spark, sf_dir):
 _ADDED = ", ".join(f"CASE WHEN contains(lower(question), '{k}') THEN '{v}' END" for k, v in A.SYNONYMS)
 
 
-@query("tx14_expanded_query", f"WITH {Q_SQL} SELECT qid, concat_ws(' ', question, {_ADDED}) AS expanded FROM q")
+_DISCUSSED = "CASE WHEN contains(lower(question), 'item 7') AND regexp_matches(question, 'description|financial statement (item|term)') THEN '" + A.DISCUSSION_TERMS + "' END"
+_VARIED = "concat(question, CASE qid % 5 WHEN 0 THEN ' in its description' WHEN 1 THEN ' by financial statement item' WHEN 2 THEN ' by term' ELSE '' END)"
+
+
+@query("tx14_expanded_query", f"WITH {Q_SQL}, v AS (SELECT qid, {_VARIED} AS question FROM q) SELECT qid, concat_ws(' ', question, {_ADDED}, {_DISCUSSED}) AS expanded FROM v")
 def tx14(spark, sf_dir):
-    return questions(spark, sf_dir).select("qid", A.expanded_query(F.col("question")).alias("expanded"))
+    return questions(spark, sf_dir).select("qid", A.expanded_query(F.expr(_VARIED)).alias("expanded"))
 
 
 _RAW = "CASE l_linenumber % 4 WHEN 0 THEN concat('(', CAST(CAST(l_extendedprice AS DECIMAL(12,2)) AS STRING), ')') WHEN 1 THEN concat('$ ', CAST(CAST(floor(l_quantity) AS INT) AS STRING), '. 63 million') WHEN 2 THEN concat('1,', CAST(100 + CAST(floor(l_quantity) AS INT) AS STRING), '.5') ELSE 'none stated' END"

@@ -53,7 +53,9 @@ query("ch03_table_matrix", f"WITH {EV_SQL}, {_ROWS} SELECT qid, CAST(row_number(
 query("ch04_markdown", f"WITH {EV_SQL}, {_ROWS} SELECT qid, replace(string_agg({_LINE}, chr(10) ORDER BY n), '| Metric | FY2023 | Fiscal 2022 |', '| Metric | FY2023 | Fiscal 2022 |' || chr(10) || '| --- | --- | --- |') AS markdown FROM rr GROUP BY qid")(
     _one(lambda h: [(chunking.markdown(_first(h)),)], "markdown string")
 )
-query("ch05_header_rows", f"WITH {EV_SQL} SELECT DISTINCT qid, CAST(CASE WHEN qid % 3 = 0 THEN 2 ELSE 1 END AS INT) AS rows, CASE WHEN qid % 3 = 0 THEN 'Metric | FY2023 | Fiscal 2022 | Fiscal year ended | (in millions)' ELSE 'Metric | FY2023 | Fiscal 2022' END AS header FROM ev")(
+#: The first row is a header; of the next three, those that have few numbers or a header's word, as long as all before do.
+_HEADS = rf"k AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY n) AS r, list_filter(c, lambda x: trim(x) <> '') AS f FROM rr), h AS (SELECT *, r = 1 OR (len(f) > 0 AND len(list_filter(f, lambda x: regexp_matches(x, '[0-9]'))) <= greatest(1, len(f) // 3)) OR regexp_matches(array_to_string(c, ' '), '(?i){chunking.HEADER_WORDS}') AS heads FROM k WHERE r <= 4), g AS (SELECT *, bool_and(heads) OVER (PARTITION BY qid ORDER BY r) AS top FROM h)"
+query("ch05_header_rows", f"WITH {EV_SQL}, {_ROWS}, {_HEADS} SELECT qid, CAST(count(*) AS INT) AS rows, left(array_to_string(flatten(list(f ORDER BY r)), ' | '), 800) AS header FROM g WHERE top GROUP BY qid")(
     _one(lambda h: [(chunking.header_rows(_first(h)), chunking.header_text(_first(h)))], "rows int, header string")
 )
 query("ch06_table_chunks")(_one(lambda h: list(enumerate(chunking.table_chunks(_first(h), 240))), "piece int, content string"))

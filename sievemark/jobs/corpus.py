@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import lexical, relational
+from ..operators import covers, lexical, relational
 from .base import query, table
 
 
@@ -33,6 +33,37 @@ def sc10(spark, sf_dir):
     return lexical.term_scan(_docs(spark, sf_dir), table(spark, sf_dir, "benchmark"), all_terms=True).withColumn("rank", F.col("rank").cast("long"))
 
 
+#: Distinct terms of an item in order, numbered; {0}: how many at most.
+_ASKED = f"q AS (SELECT item_id, list_filter(w, lambda v, i: NOT list_contains(w[1:i-1], v))[1:{{0}}] AS ts FROM (SELECT item_id, {_WORDS} AS w FROM benchmark)), k AS (SELECT item_id, len(ts) AS n, unnest(ts) AS t FROM q)"
+_SPOTS = f"w AS (SELECT doc_id, {_WORDS} AS w FROM documents), o AS (SELECT doc_id, generate_subscripts(w, 1) - 1 AS p, unnest(w) AS t FROM w)"
+#: Covers by their first position: of each term its next place from there on, as long as the first term isn't met again.
+_COVERS = f"{_SPOTS}, m AS (SELECT item_id, n, doc_id, p, t FROM k JOIN o USING (t)), a AS (SELECT item_id, doc_id FROM m GROUP BY item_id, doc_id, n HAVING count(DISTINCT t) = n), s AS (SELECT m.*, row_number() OVER d AS x, lag(p) OVER e AS before, lead(p) OVER e AS after FROM m JOIN a USING (item_id, doc_id) WINDOW d AS (PARTITION BY item_id, doc_id ORDER BY p), e AS (PARTITION BY item_id, doc_id, t ORDER BY p)), c AS (SELECT a.item_id, a.doc_id, a.p, a.x, max(b.p) AS e, max(b.x) AS y FROM s a JOIN s b ON a.item_id = b.item_id AND a.doc_id = b.doc_id AND b.p >= a.p AND (a.after IS NULL OR b.p < a.after) AND (b.before IS NULL OR b.before < a.p) GROUP BY a.item_id, a.doc_id, a.p, a.x, a.n HAVING count(*) = a.n), r AS (SELECT item_id, doc_id, round(sum(0.1e0 / (1 + (e - p) - (y - x))), 6) AS score, CAST(count(*) AS INT) AS covers FROM c GROUP BY ALL)"
+_TOP = "CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INT) AS rank"
+
+
+@query("sc08_cover_density", f"WITH {_ASKED.format(16)}, {_INDEX}, h AS (SELECT item_id, doc_id, round(0.1e0 * sum(tf), 6) AS score FROM k JOIN d USING (t) GROUP BY ALL) SELECT *, {_TOP} FROM h QUALIFY rank <= 100")
+def sc08_covers(spark, sf_dir):
+    """Documents that hold any of a question's 16 first distinct terms, ranked by cover density, from a written index."""
+    asked = covers.asked_terms(table(spark, sf_dir, "benchmark"), most=16)
+    index = covers.written_index(_docs(spark, sf_dir))
+    wanted = index.join(relational.small(asked.select("t", covers.part_of(F.col("t")).alias("part")).distinct()), ["part", "t"], "left_semi")
+    return covers.ranked(covers.any_term(wanted, asked), 100)
+
+
+@query("sc10_cover_density", f"WITH {_ASKED.format(3)}, {_COVERS} SELECT *, {_TOP} FROM r QUALIFY rank <= 100")
+def sc10_covers(spark, sf_dir):
+    """Documents that hold the first three distinct terms of a question, ranked by the density of their covers."""
+    asked = covers.asked_terms(table(spark, sf_dir, "benchmark"), most=3)
+    return covers.ranked(covers.all_terms(covers.positions(_docs(spark, sf_dir), asked), asked), 100)
+
+
+@query("sc10_whole_questions", f"WITH {_ASKED.format(100000)}, {_COVERS} SELECT *, {_TOP} FROM r QUALIFY rank <= 100")
+def sc10_whole(spark, sf_dir):
+    """The same for all terms of a question."""
+    asked = covers.asked_terms(table(spark, sf_dir, "benchmark"))
+    return covers.ranked(covers.all_terms(covers.positions(_docs(spark, sf_dir), asked), asked), 100)
+
+
 @query("sc09_phrase_scan", "SELECT item_id, doc_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY length(d.text), doc_id) AS BIGINT) AS pos FROM benchmark b JOIN documents d ON contains(lower(d.text), lower(b.text)) QUALIFY pos <= 24")
 def sc09(spark, sf_dir):
     docs = _docs(spark, sf_dir).select("doc_id", F.lower("text").alias("low"), F.length("text").alias("chars"))

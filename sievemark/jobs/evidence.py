@@ -187,7 +187,7 @@ def lg06(spark, sf_dir):
     metric = F.when(fault == 3, "Earnings per share").otherwise(F.col("metric"))
     raw = F.when((fault == 2) & ~table_, F.concat(F.col("amount").cast("string"), F.lit(" Thousands"))).otherwise(F.col("amount").cast("string"))
     given = F.when(fault == 1, " Billions").otherwise("other")
-    beside = A.scale_of_fact(F.concat(F.lit("$"), F.col("amount").cast("string")), F.lit(""), F.col("metric"), F.concat(F.lit("about "), F.col("amount").cast("string"), F.lit(" "), "scale", F.lit("s in all")), F.col("content"))
+    beside = A.scale_of_fact(F.concat(F.lit("$"), F.col("amount").cast("string"), F.lit("0")), F.lit(""), F.col("metric"), F.concat(F.lit("about "), F.col("amount").cast("string"), F.lit(" "), "scale", F.lit("s in all")), F.col("content"))
     return ev.select("qid", "ref", beside.alias("scale"), A.scale_of_fact(raw, given, metric, quote, content).alias("found"))
 
 

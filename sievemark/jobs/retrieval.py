@@ -125,7 +125,7 @@ def lx02(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", X.search_tokens(F.col("text")).alias("tokens"))
     terms = table(spark, sf_dir, "benchmark").select(F.explode(F.array_distinct(X.search_tokens(F.col("text")))).alias("term"))
     stats = docs.agg(F.count("*").alias("n"), F.round(F.avg(F.size("tokens")), 6).alias("avgdl"))
-    return lexical.postings(docs, "tokens", "doc_id", terms).groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(stats))
+    return lexical.postings(docs, "tokens", "doc_id", terms).where("term <> ''").groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(stats))
 
 
 @query("lx03_bm25_score", f"WITH {BM25_SQL} SELECT qid, doc_id, score FROM bs")
@@ -253,6 +253,23 @@ def fu11(spark, sf_dir):
     return fusion.near_duplicates(docs)
 
 
+_GREEDY = (
+    f"WITH RECURSIVE t AS (SELECT doc_id, source, {TOK.format('text')} AS t FROM documents), e AS (SELECT doc_id, source, unnest(list_distinct(list_transform(range(1, len(t) - 3), lambda i: hash(array_to_string(t[i:i+4], ' '))))) AS x FROM t WHERE len(t) >= 20), n AS (SELECT doc_id, count(*) AS n FROM e GROUP BY doc_id), "
+    "i AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM e a JOIN e b ON a.x = b.x AND a.source = b.source AND a.doc_id < b.doc_id GROUP BY ALL), p AS (SELECT a, b FROM i JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE i * 100 >= 82 * (na.n + nb.n - i)), "
+    "o AS (SELECT b, list(a) AS before, row_number() OVER (ORDER BY b) AS k FROM p GROUP BY b), "
+    # the pass itself, one dropped row after the other: what is in no list of them was kept
+    "g(k, gone) AS (SELECT 0::BIGINT, []::BIGINT[] UNION ALL SELECT o.k, CASE WHEN len(list_filter(before, lambda a: NOT list_contains(gone, a))) > 0 THEN list_append(gone, b) ELSE gone END FROM g JOIN o ON o.k = g.k + 1), "
+    "z AS (SELECT arg_max(gone, k) AS gone FROM g), "
+)
+
+
+@query("fu11_greedy_kept", _GREEDY + "l AS (SELECT b, min(a) AS leader FROM p, z WHERE list_contains(gone, b) AND NOT list_contains(gone, a) GROUP BY b) SELECT doc_id, leader IS NULL AS kept, coalesce(leader, doc_id) AS leader FROM documents LEFT JOIN l ON b = doc_id")
+def fu11_greedy(spark, sf_dir):
+    """The pass over all documents in order: near-duplicates of what was kept go, and name the row that stays for them."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", X.search_tokens(F.col("text")).alias("tokens"))
+    return fusion.near_kept(docs)
+
+
 @query("fu12_balanced_topk", f"{_SOURCED}, t AS (SELECT *, CASE WHEN lang IN ('en', 'de') THEN lang END AS task_id FROM s), r AS (SELECT *, row_number() OVER (PARTITION BY qid, task_id ORDER BY rank, doc_id) AS n FROM t), k AS (SELECT *, CASE WHEN task_id IS NULL THEN 2 WHEN n = 1 THEN 0 ELSE 1 END AS tier FROM r) SELECT qid, doc_id, CAST(tier AS INT) AS tier, CAST(final_rank AS BIGINT) AS final_rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY tier, rank, doc_id) AS final_rank FROM k) WHERE final_rank <= 8")
 def fu12(spark, sf_dir):
     t = _sourced(spark, sf_dir).withColumn("task_id", F.when(F.col("lang").isin("en", "de"), F.col("lang")))

@@ -61,6 +61,12 @@ def near_duplicates(docs: DataFrame, num: int = 82, den: int = 100, key: str = "
     each other. A set that links shares one of its rarest n - need + 1 shingles with its partner, so only these are joined;
     candidates are then counted by a join of their sets. Documents of fewer than `least` tokens take no part.
     """
+    near, copies = _near_pairs(docs, num, den, key, tokens, groups, size, least)
+    return near.unionByName(copies)
+
+
+def _near_pairs(docs: DataFrame, num: int, den: int, key: str, tokens: str, groups: tuple[str, ...], size: int, least: int) -> tuple[DataFrame, DataFrame]:
+    """Pairs of different sets, by the first of each class, and of classes' firsts with their other members."""
     own = docs.where(F.size(tokens) >= least)
     # tokens are zipped with themselves, not looked up by position, so that they are made once for each row
     ahead = F.arrays_zip(*[F.slice(F.col(tokens), i + 1, 1 << 30).alias(f"t{i}") for i in range(size)])
@@ -85,7 +91,54 @@ def near_duplicates(docs: DataFrame, num: int = 82, den: int = 100, key: str = "
     inter = F.size(F.array_intersect("sa", "sb"))
     found = pairs.join(left, "a").join(right, "b").select("a", "b", inter.alias("i"), (F.size("sa") + F.size("sb")).alias("both"))
     union = F.col("both") - F.col("i")
-    return found.where(F.col("i") * den >= union * num).select("a", "b", F.round(F.col("i") / union, 6).alias("jaccard")).unionByName(copies)
+    return found.where(F.col("i") * den >= union * num).select("a", "b", F.round(F.col("i") / union, 6).alias("jaccard")), copies
+
+
+def kept_leaders(pairs: DataFrame, most_rounds: int = 1000) -> DataFrame:
+    """(node, leader) for each node of the pairs: the greedy pass in ascending order in which a node goes if one before
+    it that was kept is its partner. leader: the first such, or the node itself if it was kept.
+
+    pairs: (a, b), a before b. Each round decides all that can be: a node without an undecided or kept partner before it
+    is kept, and the partners after it go. Only links between undecided nodes go on, each round a checkpoint; rounds are
+    as many as the longest alternation of kept and dropped nodes, not as rows. An error after most_rounds.
+    """
+    all_ = checkpointed(pairs.select("a", "b").distinct())
+    left, kept = all_, None
+    for _ in range(most_rounds):
+        if left.isEmpty():
+            break
+        now = checkpointed(left.select(F.col("a").alias("node")).distinct().join(left.select(F.col("b").alias("node")).distinct(), "node", "left_anti"))
+        gone = left.join(now, F.col("a") == F.col("node"), "left_semi").select(F.col("b").alias("node")).distinct()
+        kept = now if kept is None else kept.unionByName(now)
+        decided = checkpointed(now.unionByName(gone))
+        # what loses all its undecided partners before it without one of them kept is itself kept
+        rest = left.join(decided.withColumnRenamed("node", "b"), "b", "left_anti")
+        left_ = checkpointed(rest.join(decided.withColumnRenamed("node", "a"), "a", "left_anti").select("a", "b"))
+        free = rest.select(F.col("b").alias("node")).distinct().join(left_.select(F.col("b").alias("node")).distinct(), "node", "left_anti")
+        free = checkpointed(free.join(left_.select(F.col("a").alias("node")).distinct(), "node", "left_anti"))
+        kept, left = kept.unionByName(free), left_
+    else:
+        raise RuntimeError(f"the greedy pass did not settle in {most_rounds} rounds")
+    nodes = all_.select(F.col("a").alias("node")).union(all_.select("b")).distinct()
+    if kept is None:
+        return nodes.withColumn("leader", F.col("node"))
+    led = all_.join(kept.select(F.col("node").alias("a")), "a", "left_semi").groupBy(F.col("b").alias("node")).agg(F.min("a").alias("first"))
+    return nodes.join(kept.withColumn("own", F.col("node")), "node", "left").join(led, "node", "left").select("node", F.coalesce("own", "first").alias("leader"))
+
+
+def near_kept(docs: DataFrame, num: int = 82, den: int = 100, key: str = "doc_id", tokens: str = "tokens", groups: tuple[str, ...] = ("source",), size: int = 5, least: int = 20) -> DataFrame:
+    """(key, kept, leader) of every row: the greedy pass in order of the key that drops what is a near-duplicate (see
+    near_duplicates) of a row that was kept, and for a dropped row the first such row, which takes over its tasks.
+
+    A set's copies stand or fall with its first row: they are dropped for it, or for what it is dropped for. So the pass
+    runs over different sets only. Keys must be unique; rows of few tokens are kept.
+    """
+    near, copies = _near_pairs(docs, num, den, key, tokens, groups, size, least)
+    led = checkpointed(kept_leaders(near))
+    copied = copies.select(F.col("b").alias("node"), "a").join(led.select(F.col("node").alias("a"), "leader"), "a", "left").select("node", F.coalesce("leader", "a").alias("leader"))
+    found = led.unionByName(copied)
+    out = docs.select(key).join(found, F.col(key) == F.col("node"), "left")
+    return out.select(key, F.coalesce(F.col("leader") == F.col(key), F.lit(True)).alias("kept"), F.coalesce("leader", key).alias("leader"))
 
 
 def balanced(ranked: DataFrame, limit: int, qid: str = "qid", key: str = "doc_id", task: str = "task_id") -> DataFrame:
