@@ -26,7 +26,7 @@ SCALE = 256
 PLANES = 6
 #: Means of a stripe: one for so many rows, so many at most, and how often they are moved.
 CENTRE_ROWS, MOST_CENTRES, CENTRE_ROUNDS = 128, 64, 4
-#: Rows scored at once, those with the highest intervals first.
+#: Rows that are scored first, those with the highest intervals.
 CHUNK = 64
 #: What intervals are widened by, relative to the product of lengths; doubles are exact to 1e-12 here.
 SLACK = 1e-9
@@ -134,36 +134,48 @@ class Stripe:
     def __init__(self, **arrays: np.ndarray):
         self.ids, self.label, self.whole, self.codes = arrays["ids"], arrays["label"], arrays["whole"], arrays
 
-    def best(self, at: np.ndarray, low: np.ndarray, high: np.ndarray, anchor: np.ndarray, k: int, least: float, most: float, known: dict[int, int]) -> list[tuple[int, int]]:
+    def best(self, at: np.ndarray, low: np.ndarray, high: np.ndarray, anchor: np.ndarray, k: int, least: float, most: float, known: "Known") -> list[tuple[int, int]]:
         """(row, score) of the first k of the rows `at` whose scores are from least to most.
 
-        low, high: their intervals. Rows are scored whole, those with the highest intervals first, while one that is
-        left could still be among the first. known: scores of rows scored before; gets the new ones.
+        low, high: their intervals. Rows are scored whole, those with the highest intervals first, in chunks that double,
+        while one that is left could still be among the first. known: scores of rows scored before; gets the new ones.
         """
         within = np.flatnonzero((high >= least) & (low <= most))
         sure = _kth(low[within][(low[within] >= least) & (high[within] <= most)], k)
         within = within[high[within] >= sure]
         within = within[np.argsort(-high[within], kind="stable")]
-        rows, scores = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        for start in range(0, len(within), CHUNK):
-            if len(rows) == k and high[within[start]] < scores[-1]:
-                break
-            some = at[within[start : start + CHUNK]]
-            new = np.array([x for x in some.tolist() if x not in known], np.int64)
-            known.update(zip(new.tolist(), products(self.whole[new], anchor).tolist()))
-            new = np.array([known[x] for x in some.tolist()], np.int64)
+        rows, scores, start, step = np.zeros(0, np.int64), np.zeros(0, np.int64), 0, CHUNK
+        while start < len(within) and (len(rows) < k or high[within[start]] >= scores[-1]):
+            some = within[start : start + step]
+            new = known.scores(self.whole, at, some, anchor)
             fine = (new >= least) & (new <= most)
-            rows, scores = np.concatenate([rows, some[fine]]), np.concatenate([scores, new[fine]])
+            rows, scores = np.concatenate([rows, at[some[fine]]]), np.concatenate([scores, new[fine]])
             top = first(scores, self.ids[rows], k)
-            rows, scores = rows[top], scores[top]
+            rows, scores, start, step = rows[top], scores[top], start + step, 2 * step
         return list(zip(rows.tolist(), scores.tolist()))
 
 
+class Known:
+    """Whole scores of one anchor with some rows, each computed once."""
+
+    def __init__(self, n: int):
+        self.have, self.value = np.zeros(n, bool), np.zeros(n, np.int64)
+
+    def __len__(self) -> int:
+        return int(self.have.sum())
+
+    def scores(self, whole: np.ndarray, at: np.ndarray, some: np.ndarray, anchor: np.ndarray) -> np.ndarray:
+        new = some[~self.have[some]]
+        self.value[new], self.have[new] = products(whole[at[new]], anchor), True
+        return self.value[some]
+
+
 def positives(stripe: Stripe, ids: np.ndarray, label: np.ndarray, whole: np.ndarray, k: int = POSITIVES, seen: list | None = None):
     """(anchor, row, score) of a stripe's first k other rows of each anchor's label. seen: gets (rows scored, of rows)."""
     anchors = Anchors(whole)
     for i in range(len(ids)):
-        at, known = np.flatnonzero((stripe.label == label[i]) & (stripe.ids != ids[i])), {}
+        at = np.flatnonzero((stripe.label == label[i]) & (stripe.ids != ids[i]))
+        known = Known(len(at))
         for row, score in stripe.best(at, *anchors.interval(i, stripe.codes, at), whole[i], k, -np.inf, np.inf, known):
             yield ids[i], stripe.ids[row], score
         if seen is not None:
@@ -177,7 +189,8 @@ def negatives(stripe: Stripe, ids: np.ndarray, label: np.ndarray, whole: np.ndar
     """
     anchors = Anchors(whole)
     for i in np.unique(asked[:, 0]).tolist():
-        at, known = np.flatnonzero(stripe.label != label[i]), {}
+        at = np.flatnonzero(stripe.label != label[i])
+        known = Known(len(at))
         low, high = anchors.interval(i, stripe.codes, at)
         for most in np.unique(asked[asked[:, 0] == i, 1]).tolist():
             for row, score in stripe.best(at, low, high, whole[i], k, -(-share[0] * most // share[1]), most, known):
