@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from . import answers, audits, chunks, conversation, corpus, evaluation, evidence, facts, files, grounded, plans, retrieval, streams, texts  # noqa: F401
+from . import answers, audits, chunks, conversation, corpus, direct, evaluation, evidence, facts, files, grounded, plans, retrieval, streams, texts  # noqa: F401
 from .base import ORACLES, QUERIES  # noqa: F401

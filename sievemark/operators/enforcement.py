@@ -31,13 +31,13 @@ def salvaged(answer: Column, unsafe: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.array_join(lines, "\n"), r"\n{3,}", "\n\n"), r"^\s+|\s+$", "")
 
 
-def _listed(pos: Column | str, line: Column) -> Column:
+def listed(pos: Column | str, line: Column) -> Column:
     """Lines of a group as one array in order."""
     pos = F.col(pos) if isinstance(pos, str) else pos
     return F.transform(F.array_sort(F.collect_list(F.struct(pos.alias("p"), line.alias("line")))), lambda x: x["line"])
 
 
-def _marks(ids: Column) -> Column:
+def marks_of(ids: Column) -> Column:
     return F.array_join(F.transform(ids, lambda x: F.concat(F.lit("["), x, F.lit("]"))), "")
 
 
@@ -57,16 +57,16 @@ def calculation_answers(questions: DataFrame, evidence: DataFrame, facts: DataFr
     place = F.nullif(F.call_function("locate", F.upper("company"), F.col("asked")), F.lit(0))
     said = F.concat("company", F.lit(" FY"), "year", F.lit(" "), F.lower("metric"), F.lit(" was "), "raw_value", F.lit(" ["), "fact", F.lit("]["), "evidence", F.lit("]"))
     told = of.groupBy(qid, "calculation", "type", "display", "scale", "unit").agg(
-        F.array_join(_listed(F.struct(F.coalesce(place, F.lit(1 << 30)), "k"), said), "; ").alias("facts"),
-        F.array_distinct(_listed("k", F.col("evidence"))).alias("ids"), _listed("k", F.col("company")).alias("companies"),
+        F.array_join(listed(F.struct(F.coalesce(place, F.lit(1 << 30)), "k"), said), "; ").alias("facts"),
+        F.array_distinct(listed("k", F.col("evidence"))).alias("ids"), listed("k", F.col("company")).alias("companies"),
     )
     multiple = (F.lower("type") == "multiple") & (F.size("companies") == 2)
     shown = F.when(F.lower("scale") == "unit", F.concat(F.lit(" "), "unit")).otherwise(F.concat(F.lit(" "), "scale", F.lit(" "), "unit"))
     times = F.concat(F.get("companies", F.lit(0)), F.lit("'s value was approximately "), "display", F.lit(" times larger than "), F.get("companies", F.lit(1)), F.lit("'s"))
     conclusion = F.when(multiple, times).otherwise(F.concat(F.lit("The "), F.replace("type", F.lit("_"), F.lit(" ")), F.lit(" was "), "display", shown))
     files = told.select(qid, F.posexplode("ids").alias("k", "ref")).join(evidence.select(qid, "ref", "source_file"), [qid, "ref"])
-    sources = files.groupBy(qid).agg(F.array_join(_listed("k", F.concat(F.lit("["), "ref", F.lit("] "), "source_file")), "\n").alias("sources"))
-    text = F.concat("facts", F.lit(". "), conclusion, F.lit(" ["), "calculation", F.lit("]"), _marks(F.col("ids")), F.lit(".\n\nSources:\n"), F.coalesce("sources", F.lit("")))
+    sources = files.groupBy(qid).agg(F.array_join(listed("k", F.concat(F.lit("["), "ref", F.lit("] "), "source_file")), "\n").alias("sources"))
+    text = F.concat("facts", F.lit(". "), conclusion, F.lit(" ["), "calculation", F.lit("]"), marks_of(F.col("ids")), F.lit(".\n\nSources:\n"), F.coalesce("sources", F.lit("")))
     return told.join(sources, qid, "left").select(qid, text.alias("answer"))
 
 
@@ -94,7 +94,7 @@ def question_answers(questions: DataFrame, evidence: DataFrame, facts: DataFrame
     text = F.concat("company", F.lit(" fiscal "), "asked", F.lit(" "), F.lower("metric"), F.lit(" was "), value, F.lit(" ["), F.col("ref"), F.lit("]["), "evidence", F.lit("]\nThe table covers "), "display", F.lit(" fiscal years ("), F.array_join("years", ", "), F.lit(") ["), "count", F.lit("]["), "of", F.lit("]\n\nSources:\n"))
     both = fact.join(count, qid).select(qid, text.alias("text"), ids.alias("ids"))
     files = both.select(qid, F.posexplode("ids").alias("k", "ref")).join(evidence.select(qid, "ref", "source_file"), [qid, "ref"])
-    sources = files.groupBy(qid).agg(F.array_join(_listed("k", F.concat(F.lit("["), "ref", F.lit("] "), "source_file")), "\n").alias("sources"))
+    sources = files.groupBy(qid).agg(F.array_join(listed("k", F.concat(F.lit("["), "ref", F.lit("] "), "source_file")), "\n").alias("sources"))
     return both.join(sources, qid, "left").select(qid, F.rtrim(F.concat("text", F.coalesce("sources", F.lit("")))).alias("answer"))
 
 
@@ -106,20 +106,20 @@ def ledger_answers(answers: DataFrame, evidence: DataFrame, facts: DataFrame, ca
     some = named.select(qid).distinct().withColumn("some", F.lit(True))
     shown = facts.withColumn("id", F.upper("ref")).join(named, [qid, "id"], "left").join(some, qid, "left").where("some is null or used or lower(metric) like 'total %'")
     line = F.concat(F.lit("- "), "company", F.lit(" FY"), "year", F.lit(" | "), "metric", F.lit(" = "), "raw_value", F.lit(" ["), "ref", F.lit("]["), "evidence", F.lit("]\n"))
-    told = shown.groupBy(qid).agg(F.array_join(_listed("pos", line), "").alias("facts"))
+    told = shown.groupBy(qid).agg(F.array_join(listed("pos", line), "").alias("facts"))
 
-    marks = used.groupBy(qid, F.col("calculation").alias("ref")).agg(F.array_distinct(_listed("k", F.col("evidence"))).alias("ids"))
+    marks = used.groupBy(qid, F.col("calculation").alias("ref")).agg(F.array_distinct(listed("k", F.col("evidence"))).alias("ids"))
     years = counted_years(calculations, evidence, qid).where("evidence is not null").select(qid, "ref", "pos", F.col("evidence").alias("of"))
     c = calculations.join(marks, [qid, "ref"], "left").join(years.drop("pos"), [qid, "ref"], "left")
     none = F.array().cast("array<string>")
     ids = F.when(F.size(F.coalesce("ids", none)) > 0, F.col("ids")).otherwise(F.when(F.col("of").isNotNull(), F.array("of")).otherwise(none))
-    row = F.concat(F.lit("- "), "type", F.lit(": "), "expression", F.lit(" = "), "display", F.lit(" "), "scale", F.lit(" "), "unit", F.lit(" ["), "ref", F.lit("]"), _marks(ids), F.lit("\n"))
-    sums = c.groupBy(qid).agg(F.array_join(_listed("pos", row), "").alias("sums"))
+    row = F.concat(F.lit("- "), "type", F.lit(": "), "expression", F.lit(" = "), "display", F.lit(" "), "scale", F.lit(" "), "unit", F.lit(" ["), "ref", F.lit("]"), marks_of(ids), F.lit("\n"))
+    sums = c.groupBy(qid).agg(F.array_join(listed("pos", row), "").alias("sums"))
 
     cites = shown.select(qid, F.lit(0).alias("kind"), "pos", "evidence").unionByName(years.select(qid, F.lit(1).alias("kind"), "pos", F.col("of").alias("evidence")))
     first = cites.groupBy(qid, F.col("evidence").alias("ref")).agg(F.min(F.struct("kind", "pos")).alias("at"))
     source = F.concat(F.lit("["), "ref", F.lit("] "), "source_file", F.lit(" — "), F.when(F.trim("section") != "", F.col("section")).otherwise(F.col("item")), F.lit("\n"))
-    sources = first.join(evidence.select(qid, "ref", "source_file", "section", "item"), [qid, "ref"]).groupBy(qid).agg(F.array_join(_listed("at", source), "").alias("sources"))
+    sources = first.join(evidence.select(qid, "ref", "source_file", "section", "item"), [qid, "ref"]).groupBy(qid).agg(F.array_join(listed("at", source), "").alias("sources"))
 
     english = mostly_english(F.col("answer"))
     head = lambda k: F.when(english, HEADS[k][0]).otherwise(HEADS[k][1])

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -118,3 +119,31 @@ def shared_folder(spark, what: str) -> str:
     sc = spark.sparkContext
     _set_checkpoint_dir(spark)
     return f"{sc.getCheckpointDir().rstrip('/')}/{what}-{uuid.uuid4().hex}"
+
+
+def replaced(path: str, new: DataFrame, keys: DataFrame, key: str, order: str, index: str = "message_index", buckets: int = 16) -> None:
+    """Replaces all rows of the given keys in the table at path by new ones, with a dense index from 0 in order.
+
+    keys: (key) of what is replaced; a key without new rows is deleted. The table lies in folders by a hash of the key;
+    only those that hold one of the keys are read, and written anew by dynamic partition overwrite. A repeated call gives
+    the same table. path need not exist yet.
+    """
+    spark, bucket = new.sparkSession, F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
+    dense = (F.row_number().over(Window.partitionBy(key).orderBy(order)) - 1).cast("int")
+    rows = new.join(keys.select(key).distinct(), key, "left_semi").withColumn(index, dense).withColumn("bucket", bucket)
+    touched = small(keys.select(bucket.alias("bucket")).distinct())
+    try:
+        old = spark.read.parquet(path).where(F.col(key).isNotNull()).join(touched, "bucket", "left_semi").join(keys.select(key).distinct(), key, "left_anti")
+        # what is kept is read before its folders are overwritten
+        rows = checkpointed(rows.unionByName(old.select(*rows.columns)))
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+    # a folder without rows would not be overwritten: each that is touched gets a row without a key, which readers leave out
+    marks = touched.select(*[F.col(c) if c == "bucket" else F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in rows.columns])
+    rows.unionByName(marks).repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+
+
+def read_replaced(spark, path: str, key: str) -> DataFrame:
+    """The rows of a table that `replaced` writes."""
+    return spark.read.parquet(path).where(F.col(key).isNotNull()).drop("bucket")
