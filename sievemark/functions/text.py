@@ -20,6 +20,18 @@ def _extract(text: Column, pattern: str) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
 
 
+def search_matches(text: Column) -> Column:
+    """What the search pattern finds, before search_token; null for a null text."""
+    return _extract(F.lower(text), SEARCH_PATTERN)
+
+
+def search_token(match: Column, stopwords: list[str] = SEARCH_STOPWORDS) -> Column:
+    """The token of a match: outer punctuation stripped, commas removed; null for stop words and what nothing is left of.
+    For matches in rows of their own; search_tokens is the same for arrays."""
+    t = F.trim(match, F.lit(STRIPPED))
+    return F.when((t != "") & ~t.isin(stopwords), F.replace(t, F.lit(","), F.lit("")))
+
+
 def search_tokens(text: Column, stopwords: list[str] = SEARCH_STOPWORDS) -> Column:
     """Lower-cased words and numbers, outer punctuation stripped, stop words dropped, commas removed. Null gives null."""
     words = F.transform(_extract(F.lower(text), SEARCH_PATTERN), lambda t: F.trim(t, F.lit(STRIPPED)))
@@ -126,8 +138,22 @@ def fiscal_years(text: Column, first: int = 2022, last: int = 2024) -> Column:
     return F.array_distinct(F.filter(F.transform(found, lambda y: y.cast("int")), lambda y: (y >= first) & (y <= last)))
 
 
+#: Phrases of filings that are no names, and the names by which companies are called.
+NO_NAMES = ["financial condition", "management discussion", "annual report"]
+COMPANY_ALIASES = [
+    ("apple", "AAPL"), ("microsoft", "MSFT"), ("nvidia", "NVDA"), ("netflix", "NFLX"), ("meta", "META"), ("facebook", "META"), ("amd", "AMD"), ("eli lilly", "LLY"), ("lilly", "LLY"), ("merck", "MRK"),
+    ("pfizer", "PFE"), ("starbucks", "SBUX"), ("american express", "AXP"), ("linde", "LIN"), ("prologis", "PLD"), ("welltower", "WELL"), ("exelon", "EXC"), ("american electric power", "AEP"),
+    ("consolidated edison", "ED"), ("xcel energy", "XEL"), ("valero", "VLO"), ("amazon", "AMZN"), ("google", "GOOGL"), ("alphabet", "GOOGL"), ("jpmorgan", "JPM"), ("berkshire", "BRK-B"), ("tesla", "TSLA"),
+    ("coca-cola", "KO"), ("coca cola", "KO"), ("walmart", "WMT"),
+]
+
+
 def named_entities(text: Column) -> Column:
-    return F.array_distinct(F.regexp_extract_all(text, F.lit(r"(?<![\p{L}\p{N}_])([A-Z][a-z]{2,}(?:\s+[A-Z][a-z]{2,}){1,3})(?![\p{L}\p{N}_])"), F.lit(1)))
+    """Names of two to four capitalised words, on one line, each once in either case; phrases of NO_NAMES are none."""
+    found = F.transform(F.regexp_extract_all(text, F.lit(r"(?<![\p{L}\p{N}_])([A-Z][a-z]{2,}(?:\s+[A-Z][a-z]{2,}){1,3})(?![\p{L}\p{N}_])"), F.lit(1)), clean_line)
+    names = F.filter(found, lambda n: ~F.exists(F.array(*[F.lit(x) for x in NO_NAMES]), lambda x: F.lower(n).contains(x)))
+    low = F.transform(names, F.lower)
+    return F.filter(names, lambda n, i: F.array_position(low, F.lower(n)) == i + 1)
 
 
 def search_keywords(header: Column, content: Column, most: int = 80) -> Column:
@@ -161,11 +187,12 @@ def centred_window(text: Column, query: Column, most: int) -> Column:
     anchor = F.aggregate(words, F.lit(""), lambda best, w: F.when(F.length(w) > F.length(best), w).otherwise(best))
     at = F.greatest(F.instr(low, anchor) - 1, F.lit(0))
     start = F.least(F.greatest(F.lit(0), at - most // 3), F.length(t) - most)
-    # words that the window would cut are left out of it
-    inside = F.substring(t, start + 1, F.lit(most))
-    left = F.when((start > 0) & ~F.substring(t, start, F.lit(1)).rlike(r"^\s$"), F.regexp_replace(inside, r"^\S+", "")).otherwise(inside)
+    # the word that the window would cut at its start is taken in whole, the one at its end is left out
     end = start + most
-    right = F.when((end < F.length(t)) & ~F.substring(t, end + 1, F.lit(1)).rlike(r"^\s$"), F.regexp_replace(left, r"\S+$", "")).otherwise(left)
+    back = F.length(F.regexp_extract(F.substring(t, F.lit(1), start), r"\S*$", 0))
+    inside = F.substring(t, start - back + 1, F.lit(most) + back)
+    right = F.when(end < F.length(t), F.regexp_replace(inside, r"\S+$", "")).otherwise(inside)
+    start = start - back
     window = F.concat(F.when(start > 0, "... ").otherwise(""), F.trim(right), F.when(end < F.length(t), " ...").otherwise(""))
     cut = F.when(F.length(window) <= most, window).otherwise(F.concat(F.rtrim(F.substring(window, 1, most - 4)), F.lit(" ...")))
     return F.when(F.length(t) <= most, t).otherwise(cut)

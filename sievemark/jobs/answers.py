@@ -149,6 +149,35 @@ def ev20(spark, sf_dir):
     return m.groupBy("subset").agg(F.count("*").alias("rows"), F.count_if("refused").alias("refused"), F.count_if(F.col("body") == "").alias("blank"), F.round(F.avg("numbers"), 6).alias("numbers"), F.round(F.avg(F.length("body")), 6).alias("chars"))
 
 
+_KS = "(SELECT unnest([1, 3, 5, 10]) AS k)"
+#: Documents of a question's evidence at their first place, against those that it asks for.
+_RANKED_SQL = f"rk AS (SELECT qid, source_file, row_number() OVER (PARTITION BY qid ORDER BY min(pos), source_file) AS rank FROM ev GROUP BY qid, source_file), gd AS (SELECT qid, count(*) AS gold FROM docs GROUP BY qid), rl AS (SELECT rk.qid, rank, count(*) OVER (PARTITION BY rk.qid ORDER BY rank) AS hits FROM rk JOIN docs USING (qid, source_file)), rm AS (SELECT gd.qid, k, gold, count(rank) AS rel, max(1e0 / rank) AS rr, coalesce(sum(CAST(hits AS DOUBLE) / rank), 0) AS ap, coalesce(sum(1e0 / log2(rank + 1)), 0) AS dcg FROM gd CROSS JOIN {_KS} LEFT JOIN rl ON rl.qid = gd.qid AND rank <= k GROUP BY ALL), rs AS (SELECT qid, CAST(k AS INT) AS k, round(CAST(rel AS DOUBLE) / gold, 6) AS recall, round(coalesce(rr, 0), 6) AS mrr, round(ap / least(gold, k), 6) AS map, round(dcg / list_sum(list_transform(range(1, least(gold, k) + 1), lambda i: 1e0 / log2(i + 1))), 6) AS ndcg, CAST(rel >= gold AS DOUBLE) AS complete_recall FROM rm)"
+
+
+@query("ev09_document_ranking", f"WITH {EV_SQL}, {Q_SQL}, {DOCS_SQL}, {_RANKED_SQL} SELECT * FROM rs")
+def ev09_documents(spark, sf_dir):
+    """How the documents of a question's evidence rank those that it asks for; complete recall wants all of them."""
+    return evaluate.ranking_of_names(evidence(spark, sf_dir).select("qid", "pos", "source_file"), documents_of(spark, sf_dir), "source_file")
+
+
+_TOKENS = [f"list_filter(list_transform(list_filter(list_transform(regexp_extract_all(lower({_BODY.format(c)}), '{X.SEARCH_PATTERN}'), lambda t: trim(t, '{X.STRIPPED}')), lambda t: t <> '' AND t NOT IN ({', '.join(chr(39) + w + chr(39) for w in X.SEARCH_STOPWORDS)})), lambda t: replace(t, ',', '')), lambda t: true)" for c in ("expected", "predicted")]
+
+
+@query("ev20_rescored", f"""WITH {EV_SQL}, {Q_SQL}, {DOCS_SQL}, {_RANKED_SQL}, tk AS (SELECT qid, {_TOKENS[0]} AS e, {_TOKENS[1]} AS p, {_REFUSED} AS refused FROM q), ct AS (SELECT qid, sum(least(x, y)) AS c FROM (SELECT qid, t, sum(x) AS x, sum(y) AS y FROM (SELECT qid, unnest(e) AS t, 1 AS x, 0 AS y FROM tk UNION ALL SELECT qid, unnest(p), 0, 1 FROM tk) GROUP BY ALL) GROUP BY qid),
+ov AS (SELECT qid, refused, CASE WHEN len(e) = 0 AND len(p) = 0 THEN 1e0 WHEN len(e) = 0 OR len(p) = 0 THEN 0e0 ELSE round(2 * CAST(coalesce(c, 0) AS DOUBLE) / (len(e) + len(p)), 6) END AS f1 FROM tk LEFT JOIN ct USING (qid)) SELECT ov.qid, CAST(k.k AS INT) AS k, refused, f1, rs.recall AS document_recall, rs.ndcg AS document_ndcg, rs.complete_recall AS document_complete_recall FROM ov CROSS JOIN {_KS} k LEFT JOIN rs ON rs.qid = ov.qid AND rs.k = k.k""")
+def ev20_rescored(spark, sf_dir):
+    """Saved results scored anew: overlap, refusals and the ranking of documents at each cutoff."""
+    return rescored_of(spark, sf_dir).select("qid", "k", "refused", "f1", "document_recall", "document_ndcg", "document_complete_recall")
+
+
+def rescored_of(spark, sf_dir) -> DataFrame:
+    found = evidence(spark, sf_dir).groupBy("qid").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "source_file"))), lambda x: x["source_file"]).alias("found"))
+    wanted = documents_of(spark, sf_dir).groupBy("qid").agg(F.sort_array(F.collect_set("source_file")).alias("sources"))
+    none = F.array().cast("array<string>")
+    saved = questions(spark, sf_dir).select("qid", "expected", "predicted").join(found, "qid", "left").join(wanted, "qid", "left").withColumns({"found": F.coalesce("found", none), "sources": F.coalesce("sources", none)})
+    return evaluate.rescored(saved, "expected", "predicted", "sources", "found")
+
+
 def ledger_of(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Answers, evidence and calculations of all questions: what the audit takes."""
     ev = evidence(spark, sf_dir).select("qid", "ref", "company", F.col("fiscal_year").alias("year"), "content")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import audit, enforcement
 from ..operators.enforcement import BLOCKED, HEADS, WARNING
-from .base import ORACLES, query
+from .base import ORACLES, query, table
 from .cases import EV_SQL, Q_SQL, evidence
 
 _CLAIM = r"regexp_matches(regexp_replace(regexp_replace(regexp_replace(raw, '(?i)\b[EFC]\d+\b', '', 'g'), '^\s*(?:[-*#>]\s*)*(?:\*{0,2})?\d+[.)、](?:\*{0,2})?\s*', ''), '(?i)\b(?:FY\s*)?20\d{2}\b|\b(?:Item|Part|Section|Note)\s+\d+[A-Z]?(?:\.\d+)?\b|\b10-[KQ]\b', '', 'g'), '[$€£¥]|\b\d[\d,.]*%?\b')"
@@ -38,6 +38,14 @@ UNION SELECT {key}, 'company_mismatch', sentence FROM {n}b WHERE len(list_filter
 UNION SELECT {key}, 'year_mismatch', sentence FROM {n}b WHERE len(list_filter(years, lambda y: NOT list_contains(supported, y))) > 0)"""
 
 
+@query("au02_numeric_claims", f"WITH t AS (SELECT conv_id, turn, role, coalesce(text, '') AS t0 FROM conversations), v AS (SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN t0 WHEN 1 THEN '2) See Item 7A of FY2024, 10-K [E1][F12]' WHEN 2 THEN '- **3.** ' || left(t0, 40) ELSE 'E' || conv_id || ' and ' || conv_id || 'x' END AS raw FROM t) SELECT conv_id, turn, {_CLAIM} AS claim FROM v")
+def au02(spark, sf_dir):
+    """Whether a line states an amount: references, list numbers, years, items and forms are none."""
+    t = F.coalesce("text", F.lit(""))
+    line = F.when(F.col("turn") % 4 == 0, t).when(F.col("turn") % 4 == 1, "2) See Item 7A of FY2024, 10-K [E1][F12]").when(F.col("turn") % 4 == 2, F.concat(F.lit("- **3.** "), F.substring(t, 1, 40))).otherwise(F.concat(F.lit("E"), F.col("conv_id").cast("string"), F.lit(" and "), F.col("conv_id").cast("string"), F.lit("x")))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", audit.claims_number(line).alias("claim"))
+
+
 _LEDGER = f"{EV_SQL}, {Q_SQL}, an AS (SELECT qid, predicted AS answer FROM q), e2 AS (SELECT qid, ref, company, fiscal_year AS year, content FROM ev), ca AS (SELECT qid, 'C1' AS ref FROM q WHERE qid % 4 = 1)"
 ORACLES["au01_citation_audit"] = f"WITH {_LEDGER}, {audit_sql('x', 'an', 'e2', 'ca', None)} SELECT qid, code, sentence FROM xis"
 ORACLES["au04_issue_counts"] = f"WITH {_LEDGER}, {audit_sql('x', 'an', 'e2', 'ca', None)} SELECT code, count(*) AS n FROM xis GROUP BY code UNION ALL SELECT 'valid', count(*) FROM an WHERE qid NOT IN (SELECT qid FROM xis)"

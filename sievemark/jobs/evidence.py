@@ -14,6 +14,7 @@ from ..operators import evidence as E
 from ..operators import fusion
 from .cases import EV_SQL, Q_SQL, evidence, questions
 from .base import query, table
+from .texts import TOK
 
 #: A task of each company of a question; a third asks for an item, a half for text or tables.
 _TASK = {
@@ -205,12 +206,16 @@ def tx20(spark, sf_dir):
     return ev.select("qid", "ref", X.canonical_item(label, F.col("modality"), content).alias("item"))
 
 
-@query("tx21_centred_window")
+_ANCHORS = f"w AS (SELECT doc_id, trim(text) AS t, lower(trim(text)) AS low, {TOK.format('right(text, 200)')} AS ws FROM documents), a AS (SELECT *, list_filter(ws, lambda x, i: length(x) >= 5 AND contains(low, x) AND NOT list_contains(ws[1:i-1], x)) AS fs FROM w), b AS (SELECT *, coalesce(list_filter(fs, lambda x: length(x) = list_max(list_transform(fs, lambda y: length(y))))[1], '') AS anchor FROM a), s AS (SELECT *, least(greatest(0, greatest(0, strpos(low, anchor) - 1) - 133), length(t) - 400) AS s0 FROM b)"
+_WINDOWS = "e AS (SELECT doc_id, t, s0 - length(regexp_extract(left(t, s0), '\\S*$')) AS s1, s0 + 400 AS e0 FROM s WHERE length(t) > 400), x AS (SELECT doc_id, CASE WHEN s1 > 0 THEN '... ' ELSE '' END || trim(CASE WHEN e0 < length(t) THEN regexp_replace(substr(t, s1 + 1, e0 - s1), '\\S+$', '') ELSE substr(t, s1 + 1) END) || CASE WHEN e0 < length(t) THEN ' ...' ELSE '' END AS v FROM e)".replace("\\\\", "\\")
+
+
+@query("tx21_centred_window", f"WITH {_ANCHORS}, {_WINDOWS} SELECT doc_id, md5(t) AS window_md5 FROM s WHERE length(t) <= 400 UNION ALL SELECT doc_id, md5(CASE WHEN length(v) <= 400 THEN v ELSE rtrim(left(v, 396)) || ' ...' END) FROM x")
 def tx21(spark, sf_dir):
     """A window of 400 characters of each document around the longest word that its first lines share with it."""
     docs = table(spark, sf_dir, "documents")
     asked = F.substring("text", -200, 200)
-    return docs.select("doc_id", X.centred_window(F.col("text"), asked, 400).alias("window"))
+    return docs.select("doc_id", F.md5(X.centred_window(F.col("text"), asked, 400)).alias("window_md5"))
 
 
 @query("tx22_header_only", f"WITH {EV_SQL} SELECT qid, ref, CASE WHEN modality = 'table' THEN concat('Table header: ', metric, ' | FY', CAST(fiscal_year AS VARCHAR), ' | in ', scale, 's') ELSE '' END AS header, CASE WHEN modality = 'table' THEN concat('| ', metric, ' | ', CAST(amount AS VARCHAR), ' | ', CAST(prior AS VARCHAR), ' |') ELSE '' END AS rows FROM ev")
@@ -219,3 +224,41 @@ def tx22(spark, sf_dir):
     ev = evidence(spark, sf_dir)
     extra = F.concat("content", F.lit("\n| Other income | 7 |"))
     return ev.select("qid", "ref", X.header_lines(F.col("content")).alias("header"), X.metric_rows(extra, F.col("metric")).alias("rows"))
+
+
+_NAMES = [a for a, _ in X.COMPANY_ALIASES] + ["nobody", "Applet of Meta"]
+_ALIASED = "concat('What did ', element_at(array(" + ", ".join(f"'{n}'" for n in _NAMES) + "), CAST(1 + qid % 32 AS INT)), ' and ', company, ' earn?')"
+_ALIASED_SQL = "concat('What did ', [" + ", ".join(f"'{n}'" for n in _NAMES) + "][1 + CAST(qid % 32 AS INT)], ' and ', company, ' earn?')"
+
+
+@query("fl03_aliases", f"WITH {Q_SQL}, v AS (SELECT qid, {_ALIASED_SQL} AS t FROM q), a AS (SELECT * FROM (VALUES {', '.join(f'({i}, {chr(39)}{a}{chr(39)}, {chr(39)}{t}{chr(39)})' for i, (a, t) in enumerate(X.COMPANY_ALIASES))}) x(i, a, t)) SELECT qid, coalesce(arg_min(a.t, i), '') AS ticker FROM v LEFT JOIN a ON contains(lower(v.t), a) GROUP BY qid")
+def fl03_aliases(spark, sf_dir):
+    """The company that a question calls by one of its names."""
+    from ..operators.filters import called_company
+
+    return questions(spark, sf_dir).select("qid", called_company(F.expr(_ALIASED)).alias("ticker"))
+
+
+#: What rows of evidence say for the kinds, by parts that the row's numbers choose.
+_KINDS = (
+    "concat(CASE WHEN l_partkey % 3 = 0 THEN 'Revenues by Region are below.' WHEN l_partkey % 3 = 1 THEN repeat('x ', 460) ELSE 'Asia-Pacific and more. ' END, CASE WHEN l_suppkey % 2 = 0 THEN concat(chr(10), chr(10), 'Table: | Europe | 1 |', CASE WHEN l_suppkey % 4 = 0 THEN ' | Total Revenues | 5 |' ELSE '' END) ELSE ' none' END, "
+    "CASE WHEN l_partkey % 5 = 0 THEN ' In our opinion they present  fairly; we maintained effective internal control over financial reporting.' WHEN l_partkey % 5 = 1 THEN ' Opinion on the financial statements. PCAOB: a public accounting firm.' WHEN l_partkey % 5 = 2 THEN ' It is the Auditor responsibility. They are required to be independent.' ELSE '' END, "
+    "CASE WHEN l_suppkey % 3 = 0 THEN ' Guarantees and indemnification. ' ELSE ' ' END, CASE WHEN l_suppkey % 5 = 0 THEN 'Executive Officers: Jane Doe (aged 61)' WHEN l_suppkey % 5 = 1 THEN 'Tim Cook, 17; Mary Major - 44' ELSE 'Jane Doe' END)"
+)
+_TASKS = "CASE l_linenumber % 4 WHEN 0 THEN 'Auditor Independence and responsibility' WHEN 1 THEN 'auditor  independence' WHEN 2 THEN 'Audit opinion' ELSE 'report' END"
+_WHO = "CASE l_linenumber % 3 WHEN 0 THEN 'What age has Jane Doe?' WHEN 1 THEN 'Which executive officers are there?' ELSE 'Who is Mary Major' END"
+_LOW = "trim(regexp_replace(lower(c), '\\s+', ' ', 'g'))".replace("\\\\", "\\")
+_TOLD = r"(?is)\b{0}\b\s*[,;(\-]?\s*(?:age[d]?\s*)?(1[89]|[2-9]\d)\b"
+
+
+@query("fl11_evidence_kinds", rf"""WITH t AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, {_KINDS} AS c, {_TASKS} AS d, {_WHO} AS w FROM lineitem), u AS (SELECT *, lower(c) AS lc, {_LOW} AS low, strpos(lower(c), chr(10) || chr(10) || 'table:') AS tb FROM t)
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, tb > 0 AND regexp_matches(substr(lc, greatest(1, tb - 900), least(900, tb - 1)), 'by region|asia-pacific') AND NOT contains(substr(lc, tb, 4500), '| total revenues |') AS regional, regexp_matches(low, 'guarantee|indemnif') AS guarantee,
+CASE l_linenumber % 4 WHEN 0 THEN (contains(low, 'required to be independent') OR (contains(low, 'public accounting firm') AND contains(low, 'pcaob'))) AND contains(low, 'auditor responsibility') WHEN 1 THEN contains(low, 'required to be independent') OR (contains(low, 'public accounting firm') AND contains(low, 'pcaob')) WHEN 2 THEN contains(low, 'present fairly') AND contains(low, 'maintained effective internal control') ELSE contains(low, 'opinion on the financial') OR contains(low, 'present fairly') END AS audit,
+CASE l_linenumber % 3 WHEN 0 THEN regexp_matches(c, '{_TOLD.format("Jane Doe")}') WHEN 1 THEN contains(lc, 'executive officer') AND regexp_matches(c, '{_TOLD.format("[A-Z][a-z]{2,}" + chr(92) + "s+[A-Z][a-z]{2,}")}') ELSE regexp_matches(c, '{_TOLD.format("Mary Major")}') END AS biography FROM u""")
+def fl11(spark, sf_dir):
+    """Rows told to be breakdowns by region, on guarantees, what an audit task wants, and biographies."""
+    from ..operators import filters
+
+    key, c = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"], F.col("c")
+    rows = table(spark, sf_dir, "lineitem").select(*key, F.expr(_KINDS).alias("c"), F.expr(_TASKS).alias("d"), F.expr(_WHO).alias("w"))
+    return rows.select(*key, filters.regional_breakdown(c).alias("regional"), filters.guarantee(c).alias("guarantee"), filters.audit_evidence(F.col("d"), c).alias("audit"), filters.biography(F.col("w"), c).alias("biography"))

@@ -34,7 +34,7 @@ def bm25_sql(asked: str) -> str:
 BM25_SQL = bm25_sql(_ASKED)
 #: A document's header is its source and language; those in German stand in for tables. Boosts as the service has them.
 _PHRASES = " + ".join(f"CASE WHEN contains(low, '{p}') AND contains(dlow, '{p}') THEN 1 ELSE 0 END" for p in lexical.SERVICE_PHRASES)
-BOOST_SQL = f"dh AS (SELECT doc_id, lower(source || ' ' || lang) AS header, lower(text) AS dlow, lang = 'de' AS tab FROM documents), qh AS (SELECT item_id AS qid, {TOK.format('text')} AS terms, lower(text) AS low FROM benchmark), bb AS (SELECT bs.*, least(3e0, CASE WHEN tab THEN 0.4e0 ELSE 0e0 END + 0.12e0 * len(list_filter(terms, lambda t: contains(header, t))) + 0.18e0 * ({_PHRASES})) AS boost FROM bs JOIN dh USING (doc_id) JOIN qh USING (qid))"
+BOOST_SQL = f"dh AS (SELECT doc_id, lower(source || ' ' || lang) AS header, lower(text) AS dlow, lang = 'de' AS tab FROM documents), qh AS (SELECT item_id AS qid, {TOK.format('text')} AS terms, lower(text) AS low FROM benchmark), bb AS (SELECT qh.qid, dh.doc_id, coalesce(score, 0) AS score, least(3e0, CASE WHEN tab THEN 0.4e0 ELSE 0e0 END + 0.12e0 * len(list_filter(terms, lambda t: contains(header, t))) + 0.18e0 * ({_PHRASES})) AS boost FROM qh CROSS JOIN dh LEFT JOIN bs ON bs.qid = qh.qid AND bs.doc_id = dh.doc_id)"
 LEX_SQL = BM25_SQL + f", {BOOST_SQL}, b AS (SELECT * FROM (SELECT qid, doc_id, round(score + boost, 6) AS bm25_score, row_number() OVER (PARTITION BY qid ORDER BY round(score + boost, 6) DESC, doc_id) AS bm25_rank FROM bb WHERE round(score + boost, 6) > 0) WHERE bm25_rank <= 60)"
 RRF_SQL = (
     f"{VEC_SQL}, {LEX_SQL}, f AS (SELECT qid, doc_id, vector_rank, score AS vector_score, bm25_rank, bm25_score, round(coalesce(1e0 / (60 + vector_rank), 0e0) + coalesce(1e0 / (60 + bm25_rank), 0e0), 9) AS rrf FROM v FULL JOIN b USING (qid, doc_id)), "
@@ -56,16 +56,20 @@ def vector_branch(spark, sf_dir) -> DataFrame:
     return vector.knn(_vectors(spark, sf_dir), asked, 60).withColumnRenamed("vec_id", "doc_id")
 
 
+def _asked(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), "text", X.search_tokens(F.col("text")).alias("terms"))
+
+
 def bm25_scores(spark, sf_dir) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", X.search_tokens(F.col("text")).alias("tokens"))
-    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), X.search_tokens(F.col("text")).alias("terms"))
-    return lexical.bm25(docs, asked)
+    return lexical.bm25(table(spark, sf_dir, "documents").select("doc_id", "text"), _asked(spark, sf_dir))
 
 
-def lexical_branch(spark, sf_dir) -> DataFrame:
+def lexical_branch(spark, sf_dir, k: int = 60) -> DataFrame:
+    """The first k by BM25 and boosts; a boost alone brings a document in."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.concat_ws(" ", "source", "lang").alias("header"), (F.col("lang") == "de").alias("is_table"))
-    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), "text", X.search_tokens(F.col("text")).alias("terms"))
-    return lexical.rank_boosted(lexical.boosted(bm25_scores(spark, sf_dir), docs, asked), 60).select("qid", "doc_id", "bm25_rank", "bm25_score")
+    boosts = lexical.Boosts(docs, _asked(spark, sf_dir))
+    scored = lexical.bm25(docs, _asked(spark, sf_dir), also=boosts.alone(k))
+    return lexical.rank_boosted(boosts.of(scored), k).select("qid", "doc_id", "bm25_rank", "bm25_score")
 
 
 def hybrid(spark, sf_dir) -> DataFrame:
@@ -122,10 +126,10 @@ def vx07(spark, sf_dir):
 
 @query("lx02_document_frequency", f"WITH {BM25_SQL} SELECT term, CAST(df AS BIGINT) AS df, CAST((SELECT n FROM st) AS BIGINT) AS n, round((SELECT avgdl FROM st), 6) AS avgdl FROM df")
 def lx02(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", X.search_tokens(F.col("text")).alias("tokens"))
     terms = table(spark, sf_dir, "benchmark").select(F.explode(F.array_distinct(X.search_tokens(F.col("text")))).alias("term"))
-    stats = docs.agg(F.count("*").alias("n"), F.round(F.avg(F.size("tokens")), 6).alias("avgdl"))
-    return lexical.postings(docs, "tokens", "doc_id", terms).where("term <> ''").groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(stats))
+    base = relational.checkpointed(lexical.postings(table(spark, sf_dir, "documents"), "text", "doc_id", terms))
+    stats = base.agg(F.count("*").alias("n"), F.round(F.avg("dl"), 6).alias("avgdl"))
+    return base.select(F.explode("hits.term").alias("term")).groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(stats))
 
 
 @query("lx03_bm25_score", f"WITH {BM25_SQL} SELECT qid, doc_id, score FROM bs")
@@ -163,7 +167,8 @@ def lx05(spark, sf_dir):
     entities = X.named_entities(F.concat(F.col("question"), F.lit(" (Net Sales, Great Lakes)")))
     hits = F.size(F.filter(entities, lambda e: F.lower("content").contains(F.lower(e))))
     asked, held = lexical.phrases_in(F.col("question"), lexical.SERVICE_PHRASES), lexical.phrases_in(F.col("content"), lexical.SERVICE_PHRASES)
-    boost = lexical.service_boost(F.col("terms"), F.col("metric"), F.col("modality") == "table", asked, held, hits)
+    in_header = F.size(F.filter("terms", lambda t: F.lower("metric").contains(t)))
+    boost = lexical.service_boost(in_header, F.col("modality") == "table", asked, held, hits)
     return rows.select("qid", "ref", F.round(boost, 6).alias("boost"))
 
 
@@ -172,6 +177,21 @@ def lx06(spark, sf_dir):
     return lexical_branch(spark, sf_dir).withColumn("bm25_rank", F.col("bm25_rank").cast("long"))
 
 
+#: Questions cut to their longest token, which few documents have, so that boosts bring most of the rows in.
+_LONGEST = f"(SELECT item_id, text, arg_min(t, (-length(t), t)) AS t FROM (SELECT item_id, text, unnest({TOK.format('text')}) AS t FROM benchmark) GROUP BY ALL)"
+_RARE_SQL = bm25_sql(f"SELECT item_id AS qid, t AS term FROM {_LONGEST}") + ", " + BOOST_SQL.replace(f"{TOK.format('text')} AS terms, lower(text) AS low FROM benchmark", f"[t] AS terms, lower(text) || ' revenue' AS low FROM {_LONGEST}")
+
+
+@query("lx06_boosted_rows", f"WITH {_RARE_SQL} SELECT qid, doc_id, round(score + boost, 6) AS bm25_score, CAST(row_number() OVER (PARTITION BY qid ORDER BY round(score + boost, 6) DESC, doc_id) AS INT) AS bm25_rank FROM bb WHERE round(score + boost, 6) > 0 QUALIFY bm25_rank <= 60")
+def lx06_rows(spark, sf_dir):
+    """Rows that a boost alone brings in: questions have one rare term, tables and shared phrases do the rest."""
+    longest = F.array_sort(X.search_tokens(F.col("text")), lambda a, b: F.when(F.length(a) != F.length(b), F.length(b) - F.length(a)).when(a < b, -1).when(a > b, 1).otherwise(0))
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.concat("text", F.lit(" revenue")).alias("text"), F.slice(longest, 1, 1).alias("terms")).where(F.size("terms") > 0)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.concat_ws(" ", "source", "lang").alias("header"), (F.col("lang") == "de").alias("is_table"))
+    boosts = lexical.Boosts(docs, asked)
+    return lexical.rank_boosted(boosts.of(lexical.bm25(docs, asked, also=boosts.alone(60))), 60).select("qid", "doc_id", "bm25_score", "bm25_rank")
+
+
 @query("lx08_discovery", f"WITH {LEX_SQL}, c AS (SELECT qid, source, count(*) AS n FROM b JOIN documents USING (doc_id) GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY n DESC, source) AS r, lead(n) OVER (PARTITION BY qid ORDER BY n DESC, source) AS rival FROM c) SELECT qid, source, CAST(n AS BIGINT) AS n FROM r WHERE r = 1 AND n >= 2 AND (rival IS NULL OR n >= 2 * rival)")
 def lx08(spark, sf_dir):
     counts = lexical_branch(spark, sf_dir).join(table(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id").groupBy("qid", "source").agg(F.count("*").alias("n"))
@@ -303,8 +323,7 @@ def fu21(spark, sf_dir):
     """A text of several queries, parted by a bar: each is searched, and what they find is put together in order."""
     batch = table(spark, sf_dir, "benchmark").select("item_id", F.replace("text", F.lit(". "), F.lit("|")).alias("batch"))
     asked = batch.select("item_id", F.posexplode(F.split("batch", r"\|")).alias("i", "part")).select((F.col("item_id") * 1000 + F.col("i") + 1).alias("qid"), X.search_tokens(F.col("part")).alias("terms"))
-    docs = table(spark, sf_dir, "documents").select("doc_id", X.search_tokens(F.col("text")).alias("tokens"))
-    best = relational.top_per(lexical.bm25(docs, asked), ["qid"], [F.desc("score"), F.col("doc_id")], 3)
+    best = relational.top_per(lexical.bm25(table(spark, sf_dir, "documents").select("doc_id", "text"), asked), ["qid"], [F.desc("score"), F.col("doc_id")], 3)
     line = F.concat(F.lit("["), (F.col("qid") % 1000).cast("string"), F.lit("] "), F.col("doc_id").cast("string"))
     each = best.select(F.floor(F.col("qid") / 1000).cast("long").alias("item_id"), F.struct("qid", "rank", line.alias("line")).alias("s"))
     return each.groupBy("item_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("s")), lambda s: s["line"]), " ").alias("found"))
@@ -321,7 +340,7 @@ def au07(spark, sf_dir):
 
 @query("ev09_ranking_metrics", f"""WITH r AS (SELECT qid, rank, CASE WHEN g.label = c.label THEN 1 ELSE 0 END AS rel, g.label FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, vec_id) AS rank FROM (SELECT a.vec_id AS qid, b.vec_id, {_COS} AS score FROM embeddings a CROSS JOIN embeddings b WHERE a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id)) n JOIN embeddings g ON g.vec_id = qid JOIN embeddings c ON c.vec_id = n.vec_id WHERE rank <= 10),
 gold AS (SELECT a.vec_id AS qid, count(b.vec_id) AS gold FROM embeddings a LEFT JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0 GROUP BY ALL), ks AS (SELECT unnest([1, 3, 5, 10]) AS k), p AS (SELECT *, sum(rel) OVER (PARTITION BY qid ORDER BY rank) AS hits FROM r)
-SELECT qid, CAST(k AS INT) AS k, round(CASE WHEN gold > 0 THEN sum(rel) / CAST(gold AS DOUBLE) END, 6) AS recall, round(CASE WHEN gold > 0 THEN coalesce(max(CASE WHEN rel = 1 THEN 1e0 / rank END), 0) END, 6) AS mrr, round(CASE WHEN gold > 0 THEN sum(CASE WHEN rel = 1 THEN hits / CAST(rank AS DOUBLE) ELSE 0 END) / least(gold, k) END, 6) AS map, round(CASE WHEN gold > 0 THEN sum(rel / log2(rank + 1)) / list_sum(list_transform(range(1, least(gold, k) + 1), lambda i: 1 / log2(i + 1))) END, 6) AS ndcg FROM p JOIN gold USING (qid) JOIN ks ON rank <= k GROUP BY qid, k, gold""")
+SELECT qid, CAST(k AS INT) AS k, round(CASE WHEN gold > 0 THEN sum(rel) / CAST(gold AS DOUBLE) END, 6) AS recall, round(CASE WHEN gold > 0 THEN coalesce(max(CASE WHEN rel = 1 THEN 1e0 / rank END), 0) END, 6) AS mrr, round(CASE WHEN gold > 0 THEN sum(CASE WHEN rel = 1 THEN hits / CAST(rank AS DOUBLE) ELSE 0 END) / least(gold, k) END, 6) AS map, round(CASE WHEN gold > 0 THEN sum(rel / log2(rank + 1)) / list_sum(list_transform(range(1, least(gold, k) + 1), lambda i: 1 / log2(i + 1))) END, 6) AS ndcg, CASE WHEN gold > 0 THEN CAST(sum(rel) >= gold AS DOUBLE) END AS complete_recall FROM p JOIN gold USING (qid) JOIN ks ON rank <= k GROUP BY qid, k, gold""")
 def ev09(spark, sf_dir):
     from ..operators.evaluate import ranking_metrics
 

@@ -132,10 +132,3 @@ def tx23(spark, sf_dir):
 
     text = F.concat(F.lit("("), F.col("o_custkey").cast("string"), F.lit(" + 7)*3 - "), F.col("o_orderkey").cast("string"))
     return table(spark, sf_dir, "orders").select("o_orderkey", calculated(text).alias("result"))
-
-
-@query("au02_numeric_claims", r"SELECT conv_id, turn, regexp_matches(regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '\[([EFC]\d+)\]', ' ', 'g'), '^\s*\d+[.)]\s', ' ', 'g'), '(?i)\b(item|form)\s+\d+[a-z-]*', ' ', 'g'), '\d') AS claim FROM conversations")
-def au02(spark, sf_dir):
-    from ..operators.audit import numeric_claim
-
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", numeric_claim(F.coalesce("text", F.lit(""))).alias("claim"))

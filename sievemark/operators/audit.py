@@ -7,9 +7,6 @@ from pyspark.sql import functions as F
 
 from ..functions.text import NUMERIC_QUESTION, search_tokens
 
-_REF = r"\[([EFC]\d+)\]"
-
-
 def retrieval_gate(questions: DataFrame, evidence: DataFrame, least: float = 0.5, floor: float = 0.0) -> DataFrame:
     """(qid, coverage, status) for each question: REJECT without evidence, for a numeric question without a number in the
     evidence, or if no term of the question is found; CAUTION below `least` coverage, or where the evidence's best model
@@ -40,12 +37,6 @@ DERIVED = r"(?i)(?:计算得出|按.+计算|calculated|computed|\([^\n)]*(?:F\d+
 NOT_DERIVED = r"(?i)\b(?:cannot|can't|could not|not)\s+(?:be\s+)?(?:calculated|computed)\b|无法(?:计算|确定)"
 
 
-def numeric_claim(line: Column) -> Column:
-    """Whether a line states a number besides references, list numbers and item numbers."""
-    bare = F.regexp_replace(F.regexp_replace(F.regexp_replace(line, _REF, " "), r"^\s*\d+[.)]\s", " "), r"(?i)\b(item|form)\s+\d+[a-z-]*", " ")
-    return bare.rlike(r"\d")
-
-
 def claims_number(line: Column) -> Column:
     """Whether a line states an amount: a currency sign or a number that isn't a reference, a list's, a year's or a
     filing's."""

@@ -7,40 +7,46 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .relational import checkpointed, small
+from ..functions.text import named_entities, search_matches, search_token
+from .relational import checkpointed, small, spread
 
 K1, B = 1.4, 0.72
 
 
-def postings(docs: DataFrame, tokens: str, key: str, terms: DataFrame) -> DataFrame:
-    """(key, term, tf, dl): counts of the wanted terms only; dl is the document's number of tokens.
+def postings(docs: DataFrame, text: str, key: str, terms: DataFrame, matches=search_matches, token=search_token) -> DataFrame:
+    """(key, dl, hits): for each document the number of its tokens and an array of (term, tf) of the wanted terms.
 
-    Each document also has a row for the empty term, which no token is, so that one pass over the texts tells all that
-    ranking needs. Terms are filtered by a broadcast of checked size before the counts are shuffled; a document's counts
-    are complete in its task.
+    Matches of the pattern become rows before they are cleaned, so that this stays in generated code, and meet the wanted
+    terms, a broadcast of checked size, where they are read. All others of a document are one count, so that little is
+    shuffled: a document's counts, then one row. Documents without tokens have a row with dl 0.
     """
-    wanted = terms.select("term").union(docs.sparkSession.createDataFrame([("",)], "term string")).distinct()
-    own = docs.select(key, F.coalesce(tokens, F.array().cast("array<string>")).alias("t"))
-    each = own.select(key, F.size("t").alias("dl"), F.explode(F.concat("t", F.array(F.lit("")))).alias("term"))
-    return each.join(small(wanted), "term", "left_semi").groupBy(key, "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
+    wanted = small(terms.select("term").distinct()).withColumnRenamed("term", "_w")
+    raw = spread(docs.select(key, text)).select(key, F.explode(F.concat(F.coalesce(matches(F.col(text)), F.array().cast("array<string>")), F.array(F.lit("")))).alias("_m"))
+    each = raw.select(key, token(F.col("_m")).alias("_t")).join(wanted, F.col("_t") == F.col("_w"), "left")
+    counts = each.groupBy(key, F.coalesce("_w", F.lit("")).alias("term")).agg(F.count("_t").alias("tf"))
+    return counts.groupBy(key).agg(F.sum("tf").alias("dl"), F.collect_list(F.when(F.col("term") != "", F.struct("term", "tf"))).alias("hits"))
 
 
-def bm25(docs: DataFrame, queries: DataFrame, tokens: str = "tokens", key: str = "doc_id", qid: str = "qid", terms: str = "terms", digits: int = 6) -> DataFrame:
-    """(qid, key, score) of all documents that share a term with the query. Statistics are those of docs, the candidates.
+def bm25(docs: DataFrame, queries: DataFrame, text: str = "text", key: str = "doc_id", qid: str = "qid", terms: str = "terms", digits: int = 6, also: DataFrame | None = None) -> DataFrame:
+    """(qid, key, score) of all documents that share a term with the query, and of the pairs (qid, key) of `also`, whose
+    score is 0 if they share none. Statistics are those of docs, the candidates.
 
-    docs: key and an array of tokens; queries: qid and an array of terms, of which repeated ones count once. The texts are
-    read once: what they have of the wanted terms is a checkpoint, from which statistics and scores are taken. Documents
-    without tokens count in the statistics; without documents or queries there are no rows.
+    docs: key and a text; queries: qid and an array of terms, of which repeated ones count once. The texts are read once:
+    what they have of the wanted terms is a checkpoint, from which statistics and scores are taken. Documents without
+    tokens count in the statistics; without documents or queries there are no rows.
     """
     asked = queries.select(qid, F.explode(F.array_distinct(terms)).alias("term"))
-    base = checkpointed(postings(docs, tokens, key, asked))
-    tf = base.where("term <> ''")
+    base = checkpointed(postings(docs, text, key, asked))
+    tf = base.select(key, "dl", F.explode("hits").alias("h")).select(key, "dl", "h.term", "h.tf")
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    stats = base.where("term = ''").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    stats = base.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
     idf = F.log(1 + F.greatest(F.lit(0.0), (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
     terms_ = asked.join(df, "term").crossJoin(F.broadcast(stats)).select(qid, "term", idf.alias("idf"), "avgdl")
     part = F.col("idf") * (F.col("tf") * (K1 + 1)) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.greatest(F.col("avgdl"), F.lit(1.0))))
-    return tf.join(small(terms_), "term").groupBy(qid, key).agg(F.round(F.sum(part), digits).alias("score"))
+    parts = tf.join(small(terms_), "term").select(qid, key, part.alias("part"))
+    if also is not None:
+        parts = parts.unionByName(also.select(qid, key, F.lit(0.0).alias("part")))
+    return parts.groupBy(qid, key).agg(F.round(F.sum("part"), digits).alias("score"))
 
 
 # What a hit is worth, and phrases that count where question and content share them.
@@ -77,34 +83,66 @@ def script_boost(question: Column, terms: Column, content: Column, header: Colum
     return reduce(lambda a, b: a + b, [n * w for n, w in worth]) + F.least(F.lit(MOST_HEADER), _hits(F.array_distinct(terms), head) * HEADER)
 
 
-def service_boost(terms: Column, header: Column, is_table: Column, asked: Column, held: Column, entities: Column) -> Column:
-    """The other kind: a table, each term in the header, shared phrases (asked, held: bits of phrases_in), each named
-    entity of the question that the content has (entities: how many), all up to a limit."""
-    worth = [(is_table.cast("int"), TABLE), (_hits(terms, F.lower(header)), HEADER), (F.bit_count(asked.bitwiseAND(held)), PHRASE), (entities, ENTITY)]
+def service_boost(header_hits: Column, is_table: Column, asked: Column, held: Column, entities: Column) -> Column:
+    """The other kind: a table, each term in the header (header_hits: how many), shared phrases (asked, held: bits of
+    phrases_in), each named entity of the question that the content has (entities: how many), all up to a limit."""
+    worth = [(is_table.cast("int"), TABLE), (header_hits, HEADER), (F.bit_count(asked.bitwiseAND(held)), PHRASE), (entities, ENTITY)]
     return F.least(F.lit(MOST), reduce(lambda a, b: a + b, [n * w for n, w in worth]))
 
 
-def boosted(scored: DataFrame, docs: DataFrame, queries: DataFrame, qid: str = "qid", key: str = "doc_id") -> DataFrame:
-    """scored with the service's boost of each row.
+class Boosts:
+    """What boosts need of documents and queries, made once: headers, tables and phrases (as bits) of documents, terms
+    that headers hold, entities that texts hold.
 
-    docs: key, text, header, is_table; queries: qid, text, terms. What a boost needs of a document (header, phrases as
-    bits) is made once for it, and so for a query; only these small columns are joined to the scored pairs. Entities of
-    the queries are looked up by their words, not pair by pair.
+    docs: key, text, header, is_table; queries: qid, text, terms. Terms are found in the distinct headers, as parts of
+    them of the terms' lengths, by an equality join; entities by their words.
     """
-    from ..functions.text import named_entities
-
-    q = queries.select(qid, "terms", phrases_in(F.col("text"), SERVICE_PHRASES).alias("asked"))
-    d = docs.select(key, "header", "is_table", phrases_in(F.col("text"), SERVICE_PHRASES).alias("held"))
-    named = queries.select(qid, F.explode(named_entities(F.col("text"))).alias("entity")).select(qid, F.lower("entity").alias("entity")).distinct()
-    j = scored.join(small(q), qid).join(d, key)
-    if named.isEmpty():
-        j = j.withColumn("entities", F.lit(0))
-    else:
-        low = docs.select(key, F.lower("text").alias("low"))
-        hits = contains_entities(low, named, key, qid).withColumnRenamed("n", "entities")
-        j = j.join(hits, [qid, key], "left").withColumn("entities", F.coalesce("entities", F.lit(0)))
-    boost = service_boost(F.col("terms"), F.col("header"), F.col("is_table"), F.col("asked"), F.col("held"), F.col("entities"))
-    return j.select(*scored.columns, boost.alias("boost"))
+
+    def __init__(self, docs: DataFrame, queries: DataFrame, qid: str = "qid", key: str = "doc_id"):
+        self.qid, self.key = qid, key
+        self.queries = queries.select(qid, "terms", phrases_in(F.col("text"), SERVICE_PHRASES).alias("asked"))
+        docs = spread(docs)
+        self.docs = checkpointed(docs.select(key, F.lower("header").alias("header"), F.coalesce("is_table", F.lit(False)).alias("is_table"), F.coalesce(phrases_in(F.col("text"), SERVICE_PHRASES), F.lit(0)).alias("held")))
+        named = queries.select(qid, F.explode(named_entities(F.col("text"))).alias("entity")).select(qid, F.lower("entity").alias("entity")).distinct()
+        self.entities = None if named.isEmpty() else checkpointed(contains_entities(docs.select(key, F.lower("text").alias("low")), named, key, qid).withColumnRenamed("n", "entities"))
+        terms = queries.select(qid, F.explode("terms").alias("term")).groupBy(qid, "term").agg(F.count("*").alias("m"))
+        headers = self.docs.select("header").where("header is not null").distinct().withColumn("i", F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("header")))))
+        sizes = terms.select(F.length("term").alias("size")).distinct()
+        parts = headers.join(F.broadcast(sizes), F.col("i") + F.col("size") - 1 <= F.length("header")).select("header", F.expr("substring(header, i, size)").alias("term")).distinct()
+        self.headers = checkpointed(parts.join(small(terms), "term").groupBy(qid, "header").agg(F.sum("m").cast("int").alias("hits")))
+
+    def of(self, scored: DataFrame) -> DataFrame:
+        """scored with the service's boost of each row."""
+        j = scored.join(small(self.queries.drop("terms")), self.qid).join(self.docs, self.key).join(small(self.headers), [self.qid, "header"], "left")
+        j = j.join(self.entities, [self.qid, self.key], "left") if self.entities is not None else j.withColumn("entities", F.lit(0))
+        boost = service_boost(F.coalesce("hits", F.lit(0)), F.col("is_table"), F.col("asked"), F.col("held"), F.coalesce("entities", F.lit(0)))
+        return j.select(*scored.columns, boost.alias("boost"))
+
+    def alone(self, k: int) -> DataFrame:
+        """(qid, key): documents that their boost alone may bring among a query's first k, whatever terms they share.
+
+        Documents of one kind (table, phrases; with a header that holds a term, also this header) have one boost, so that
+        of a kind only the first k by key can be among the first k, others having k before them. Of the kinds those are
+        looked at that have fewer than k documents in better ones. Kinds without headers are at most twice as many as
+        there are sets of phrases.
+        """
+        qid, key, kind = self.qid, self.key, ["is_table", "held"]
+        asked = small(self.queries.select(qid, "asked"))
+        firsts = lambda by: self.docs.withColumn("_r", F.row_number().over(Window.partitionBy(*by).orderBy(key))).where(F.col("_r") <= k)
+
+        def best(kinds: DataFrame, by: list[str], hits: Column) -> DataFrame:
+            boost = service_boost(hits, F.col("is_table"), F.col("asked"), F.col("held"), F.lit(0))
+            each = kinds.withColumn("boost", F.round(boost, 6)).where("boost > 0")
+            level = F.dense_rank().over(Window.partitionBy(qid).orderBy(F.desc("boost")))
+            better = F.sum("n").over(Window.partitionBy(qid).orderBy("level").rangeBetween(Window.unboundedPreceding, -1))
+            return each.withColumn("level", level).withColumn("better", better).where(F.coalesce("better", F.lit(0)) < k).select(qid, *by)
+
+        # a few kinds for each query, whatever the number of documents
+        plain = self.queries.select(qid, "asked").crossJoin(F.broadcast(self.docs.groupBy(*kind).agg(F.count("*").alias("n"))))
+        found = best(plain, kind, F.lit(0)).join(firsts(kind), kind).select(qid, key)
+        headed = self.docs.groupBy("header", *kind).agg(F.count("*").alias("n")).join(small(self.headers), "header").join(asked, qid)
+        found = found.unionByName(best(headed, ["header", *kind], F.col("hits")).join(firsts(["header", *kind]), ["header", *kind]).select(qid, key))
+        return (found if self.entities is None else found.unionByName(self.entities.select(qid, key))).distinct()
 
 
 def contains_entities(docs: DataFrame, named: DataFrame, key: str, qid: str) -> DataFrame:

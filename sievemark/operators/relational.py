@@ -37,6 +37,12 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if size[0] <= MOST_ROWS and size[1] <= MOST_BYTES else df
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A small table dealt over all cores: one of few rows may lie in a single row group, which is a single task. A table
+    of more than MOST_ROWS rows stays as it lies. df: as read, so that counting takes no more than its footers."""
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if df.count() <= MOST_ROWS else df
+
+
 def contains_join(rows: DataFrame, items: DataFrame, key: str, text: str, item_key: str, part: str) -> DataFrame:
     """(key, item_key) of a row and an item whose `part` is found in the row's `text`; both are words parted by blanks.
 
@@ -85,9 +91,11 @@ def round_robin(df: DataFrame, bucket: str, order: list[Column], limit: int) ->
     return df.withColumn("_n", n).where(F.col("_n") <= limit).orderBy("_n", bucket).limit(limit).drop("_n")
 
 
-def in_order(df: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
-    """Rows of the wanted ids with their position, wanted: (position, id). Unknown ids stay, with found false."""
-    return wanted.join(df.withColumn("found", F.lit(True)), wanted["id"] == df[key], "left").withColumn("found", F.coalesce("found", F.lit(False)))
+def in_order(df: DataFrame, key: str, wanted: DataFrame, strict: bool = False) -> DataFrame:
+    """Rows of the wanted ids with their position, wanted: (position, id). Unknown ids stay, with found false; with strict
+    they are an error that names the first one met."""
+    unknown = F.raise_error(F.concat(F.lit("unknown id: "), F.col("id").cast("string"))).cast("boolean") if strict else F.lit(False)
+    return wanted.join(df.withColumn("found", F.lit(True)), wanted["id"] == df[key], "left").withColumn("found", F.when(F.col("found"), True).otherwise(unknown))
 
 
 def manifest(docs: DataFrame, source: str, key: str, text: str, each: int) -> DataFrame:

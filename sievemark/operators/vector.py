@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -164,7 +166,24 @@ def measured_probes(celled: DataFrame, queries: DataFrame, k: int, centre: np.nd
 def ivf_knn(vectors: DataFrame, queries: DataFrame, k: int, probes: int | None = None, cells: int | None = None, recall: float = RECALL, key: str = "vec_id", vector: str = "embedding", qid: str = "qid") -> DataFrame:
     """Approximate top-k: each query looks into its nearest cells, joined by cell; scores are exact.
 
-    Without `probes` their number is measured so that `recall` is reached (see measured_probes)."""
+    Without `probes` their number is measured so that `recall` is reached (see measured_probes). Vectors of each length
+    that queries have are fitted and searched on their own; those that are null or zero, or hold nulls or numbers that
+    aren't finite, have no score."""
+    def fine(df: DataFrame) -> DataFrame:
+        wide = F.col(vector).cast("array<double>")
+        good = (F.size(vector) > 0) & F.forall(wide, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists(wide, lambda x: x != 0)
+        return df.where(F.coalesce(good, F.lit(False)))
+
+    vectors, queries = fine(vectors), fine(queries)
+    lengths = sorted(r.d for r in queries.select(F.size(vector).alias("d")).distinct().collect())
+    found = [_ivf_of_length(vectors.where(F.size(vector) == d), queries.where(F.size(vector) == d), k, probes, cells, recall, key, vector, qid) for d in lengths]
+    none = vectors.where("false").select(F.col(key).alias(qid), key, F.lit(0.0).alias("score"), F.lit(0).alias("rank"))
+    return reduce(DataFrame.unionByName, [x for x in found if x is not None], none)
+
+
+def _ivf_of_length(vectors: DataFrame, queries: DataFrame, k: int, probes: int | None, cells: int | None, recall: float, key: str, vector: str, qid: str) -> DataFrame | None:
+    if vectors.isEmpty():
+        return None
     centre, celled = ivf_cells(vectors, cells, key=key, vector=vector)
     celled = checkpointed(celled.select(key, vector, "cell"))
     probes = probes or measured_probes(celled, queries, k, centre, recall, key, vector, qid)

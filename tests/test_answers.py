@@ -1,5 +1,6 @@
 """Numbers, scores and calculations of answers by plain loops over the same questions, and texts that are easily misread."""
 
+import random
 import re
 from collections import defaultdict
 
@@ -124,8 +125,34 @@ def test_entities_in_ranking(spark):
     docs = spark.createDataFrame([(1, "They saw the great lakes and more", "h", False), (2, "great things", "h great", True), (3, None, "h", False)], "doc_id int, text string, header string, is_table boolean")
     asked = spark.createDataFrame([(7, "about Great Lakes in Net Sales", ["great", "lakes"])], "qid int, text string, terms array<string>")
     scored = spark.createDataFrame([(7, 1, 1.0), (7, 2, 1.0), (7, 3, 1.0)], "qid int, doc_id int, score double")
-    got = {r.doc_id: round(r.boost, 6) for r in lexical.boosted(scored, docs, asked).collect()}
-    assert got == {1: 1.5, 2: 0.52, 3: 0.0}
+    boosts = lexical.Boosts(docs, asked)
+    assert {r.doc_id: round(r.boost, 6) for r in boosts.of(scored).collect()} == {1: 1.5, 2: 0.52, 3: 0.0}
+    assert sorted(tuple(r) for r in boosts.alone(9).collect()) == [(7, 1), (7, 2)]
+
+
+def test_rows_that_a_boost_brings_in(spark):
+    """Kinds of documents, of which only the first k by key matter, against a plain ranking of all."""
+    r = random.Random(4)
+    docs = [(i, " ".join(r.choice(["net income", "revenue", "rare", "x", "Blue Whale"]) for _ in range(3)), r.choice(["h rare", "h", "x h", None]), r.random() < 0.3) for i in range(300)]
+    asked = [(1, "net income of revenue", ["rare", "zzz"]), (2, "Blue Whale", ["h", "h"]), (3, "nothing", ["zzz"])]
+    d, q = spark.createDataFrame(docs, "doc_id int, text string, header string, is_table boolean"), spark.createDataFrame(asked, "qid int, text string, terms array<string>")
+    boosts = lexical.Boosts(d, q)
+    scored = {k: {(x.qid, x.doc_id): x.score for x in lexical.bm25(d, q, also=boosts.alone(k)).collect()} for k in (5, 300)}
+    plain = {(x.qid, x.doc_id): x.score for x in lexical.bm25(d, q).collect()}
+
+    def boost(i, q):
+        _, text, header, table = docs[i]
+        _, asking, terms = asked[q - 1]
+        low, head = text.lower(), (header or "").lower()
+        entity = "blue whale" in low and "Blue Whale" in asking
+        return min(3.0, 0.4 * table + 0.12 * sum(t in head for t in terms) + 0.18 * sum(p in asking.lower() and p in low for p in lexical.SERVICE_PHRASES) + 1.5 * entity)
+
+    for k in scored:
+        want = sorted((q, -round(plain.get((q, i), 0) + boost(i, q), 6), i) for q in (1, 2, 3) for i in range(300) if plain.get((q, i), 0) + boost(i, q) > 0)
+        want = [x for j, x in enumerate(want) if sum(y[0] == x[0] for y in want[:j]) < k]
+        rows = spark.createDataFrame([(*p, float(s)) for p, s in scored[k].items()], "qid int, doc_id int, score double")
+        got = sorted((x.qid, -x.bm25_score, x.doc_id) for x in lexical.rank_boosted(boosts.of(rows), k).collect())
+        assert got == want and any(x[2] not in {i for q, i in plain if q == x[0]} for x in want)
 
 
 def test_entities(spark):

@@ -1,11 +1,13 @@
 """Every registered query that has SQL gives the rows of that SQL at the smallest size."""
 
+import os
+
 import pytest
 
 from oracle import compare, connect
 from sievemark.jobs import registry
 
-SF = "/root/testdata/sf0.001"
+SF = os.environ.get("ORACLE_SF", "/root/testdata/sf0.001")
 
 
 @pytest.fixture(scope="module")
