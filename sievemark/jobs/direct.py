@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import direct
-from .base import query
+from ..operators import direct, lexical
+from .base import query, table
 from .cases import EV_SQL, evidence, questions
 
 #: What rows of evidence say besides, and what questions ask.
@@ -57,3 +57,15 @@ def lg20_ages(spark, sf_dir):
 @query("lg20_wording", f"WITH {EV_SQL}, {_DOCS}, h AS (SELECT *, contains(lower(c), '{direct.EARLIER}') AS e, contains(lower(c), '{direct.LATER}') AS l, contains(lower(c), '{direct.STABLE}') AS s FROM dc WHERE qid % 2 = 0), a AS (SELECT qid, arg_min(struct_pack(ref, company, fiscal_year), pos) AS a FROM h WHERE e GROUP BY qid), b AS (SELECT qid, arg_min(ref, pos) AS b FROM h JOIN a USING (qid) WHERE l AND company = a.company AND fiscal_year <> a.fiscal_year GROUP BY qid), t AS (SELECT qid, company, min(pos) AS first, list(ref ORDER BY fiscal_year, pos) AS rs FROM h JOIN a USING (qid) WHERE s AND company <> a.company GROUP BY ALL HAVING count(*) > 1), u AS (SELECT qid, arg_min(rs, first) AS rs FROM t GROUP BY qid) SELECT qid, a.ref AS changed_earlier, b AS changed_later, rs[1] AS stable_earlier, rs[-1] AS stable_later FROM a JOIN b USING (qid) JOIN u USING (qid)")
 def lg20_wording(spark, sf_dir):
     return direct.wording_changes(asked(spark, sf_dir, "wording"), documents(spark, sf_dir))
+
+
+_PHRASED = "concat(CASE item_id % 4 WHEN 0 THEN 'Where do actual  results and Cash generated from operations' WHEN 1 THEN 'Where do financial condition and cash flows from operations' WHEN 2 THEN 'Where do actual results' ELSE 'How do actual results, cash generated from operations, financial condition and cash flows from operations' END, CASE item_id % 3 WHEN 0 THEN ' stand in item  8?' WHEN 1 THEN ' stand in Item 1a?' ELSE ' stand?' END)"
+
+
+@query("sc09_phrase_conjunction", f"WITH {EV_SQL}, {_DOCS}, d AS (SELECT qid * 100 + pos AS doc_id, c, item, strpos(content, 'Table header') = 0 AS tx FROM dc JOIN (SELECT qid AS q2, pos AS p2, content FROM ev) ON qid = q2 AND pos = p2), q AS (SELECT item_id, CASE WHEN item_id % 4 IN (0, 3) THEN 0 ELSE 1 END AS g, CASE item_id % 3 WHEN 0 THEN 'item 8' WHEN 1 THEN 'item 1a' ELSE '' END AS asked FROM benchmark WHERE item_id % 4 <> 2), h AS (SELECT *, 0 AS g FROM d WHERE contains(lower(c), 'actual results') AND contains(lower(c), 'financial position') AND contains(lower(c), 'cash generated from operations') UNION ALL SELECT *, 1 FROM d WHERE contains(lower(c), 'financial condition') AND contains(lower(c), 'results of operations') AND contains(lower(c), 'cash flows from operations')), f AS (SELECT * FROM h QUALIFY row_number() OVER (PARTITION BY g ORDER BY tx DESC, length(c), doc_id) <= 40) SELECT item_id, doc_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY asked <> '' AND lower(item) <> asked, tx DESC, length(c), doc_id) AS INT) AS pos FROM f JOIN q USING (g) QUALIFY pos <= 5")
+def sc09_conjunction(spark, sf_dir):
+    """Documents that hold all phrases which a question calls for, those of its item first, texts before tables."""
+    ev = evidence(spark, sf_dir)
+    docs = ev.select((F.col("qid") * 100 + F.col("pos")).alias("doc_id"), F.expr(_SAID).alias("text"), (F.col("modality") == "text").alias("is_text"), "item")
+    asked = table(spark, sf_dir, "benchmark").select("item_id", F.expr(_PHRASED).alias("text"))
+    return lexical.phrase_scan(docs, asked, 5)
