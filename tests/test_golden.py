@@ -1,12 +1,15 @@
 """Known values of operators that no SQL can say, and what must hold whatever the data."""
 
+import json
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from sievemark.functions import answers as A
 from sievemark.functions import chunking, text
+from sievemark.functions.markup import spans, with_windows
 from sievemark.functions.calculator import calculate, calculated
 from sievemark.operators import audit, conversation, evaluate, filters, fusion, ledger, lexical, relational, vector
 from sievemark.streaming import events
@@ -174,37 +177,100 @@ HTML = """<html><head><title>T</title><script>var x = '<p>no</p>';</script></hea
 <tr><td>Sales | net</td><td>1,234</td></tr><tr><td></td></tr><tr><td>Cost</td></tr></table><h2>Item 8. Financial Statements</h2><p>End.</p></body></html>"""
 
 
-def test_html():
-    body, tables = chunking.page(HTML)
+def test_html(spark):
+    at, end = HTML.index("<table"), HTML.index("</table>")
+    df = spark.createDataFrame([(HTML,), (None,)], "h string")
+    read = df.select(chunking.page(F.col("h")).alias("p")).select(chunking.many_lines(F.col("p.text")).alias("text"), chunking.matrices(F.col("p.tables")).alias("tables"))
+    (body, tables), empty = read.collect()
+    assert tuple(empty) == ("", [])
     assert "gone" not in body and "too" not in body and "var x" not in body and "Net sales & costs." in body
     assert tables == [[["Label", "Year ended December 31, 2024"], ["Sales | net", "1,234"], ["Cost", ""]]]
-    assert chunking.header_rows(tables[0]) == 3 and chunking.header_rows([["a", "b"], ["1", "2"], ["3", "4"]]) == 1 and "Sales / net" in chunking.markdown(tables[0])
-    at = HTML.index("<table")
-    assert chunking.item_before(HTML, at) == ("Item 7", "Management Discussion") and chunking.item_before(HTML, 10) == ("", "")
-    assert chunking.table_context(HTML, at, HTML.index("</table>"), 3) == ("& costs .", "Item 8 .")
-    assert "Markdown table:\n| Label | Year ended December 31, 2024 |" in chunking.interleaved(HTML)
-    assert [s[:2] for s in chunking.sections(body) if s[0]] == [("Item 7", "Management Discussion"), ("Item 8", "Financial Statements")]
-    assert chunking.periods("As of March 1, 2023 and FY 2024; FY 2024") == (["As of March 1, 2023", "FY 2024"], ["2023", "2024"], "As of March 1, 2023")
-    assert chunking.page(None) == ("", [])
-
-
-def test_table_chunks():
+    rows = lambda t: F.from_json(F.lit(json.dumps(t)), "array<array<string>>")
+    assert one(spark, chunking.header_rows(rows(tables[0]))) == 3 and one(spark, chunking.header_rows(rows([["a", "b"], ["1", "2"], ["3", "4"]]))) == 1
+    assert "Sales / net" in one(spark, chunking.markdown(rows(tables[0]))) and one(spark, chunking.markdown(rows([]))) == "" and one(spark, chunking.table_chunks(rows([]))) == []
+    place = lambda a, b: chunking.around(F.lit(HTML), F.lit(a), F.lit(b))
+    item = lambda a: tuple(one(spark, chunking.last_item(place(a, a)[0])))
+    assert item(at) == ("Item 7", "Management Discussion") and item(10) == ("", "")
+    assert tuple(one(spark, chunking.table_context(place(at, end), 3))) == ("& costs .", "Item 8 .")
+    whole = df.select(chunking.interleaved(F.col("h")).alias("x")).collect()
+    assert "Markdown table:\n| Label | Year ended December 31, 2024 |" in whole[0].x and whole[0].x.count("Markdown table:") == 1 and whole[1].x == ""
+    sections = lambda t: [tuple(s) for s in one(spark, chunking.sections(F.lit(t)))]
+    assert [s[:2] for s in sections(body) if s[0]] == [("Item 7", "Management Discussion"), ("Item 8", "Financial Statements")]
+    assert sections(" no heading ") == [("", "", " no heading ")] and sections("") == []
+    # a heading's title takes what looks like a heading within its 120 characters
+    assert sections("Item 7. See Item 8. Statements\nx\nitem 1a - Risk Factors") == [("Item 7", "See Item 8. Statements", "Item 7. See Item 8. Statements\nx"), ("Item 1A", "Risk Factors", "item 1a - Risk Factors")]
+    assert tuple(one(spark, chunking.periods(F.lit("As of March 1, 2023 and FY 2024; fy 2024")))) == (["As of March 1, 2023", "FY 2024"], ["2023", "2024"], "As of March 1, 2023")
+    assert tuple(one(spark, chunking.periods(F.lit("in 2020 or 2021")))) == (["2020", "2021"], ["2020", "2021"], "2020") and tuple(one(spark, chunking.periods(F.lit("")))) == ([], [], "")
+
+
+def test_long_sections(spark):
+    part = "words. " * 30_000
+    df = spark.createDataFrame([(f"{part}\nItem 7. Results of All\n{part}\nItem 8. Statements\n{part}",)], "t string")
+    got = df.select(F.explode(chunking.sections(F.col("t"))).alias("s")).collect()
+    assert [len(r.s.content) for r in got] == [len(part) - 1, len(part) + 23 - 1, len(part) + 19 - 1]
+
+
+def test_table_chunks(spark):
     rows = [["Label", "2024"]] + [[f"row {i}", str(i)] for i in range(40)]
-    parts = chunking.table_chunks(rows, most=300)
+    made = lambda **k: one(spark, chunking.table_chunks(F.from_json(F.lit(json.dumps(rows)), "array<array<string>>"), **k))
+    parts = made(most=300)
     assert len(parts) > 2 and all("| Label | 2024 |" in p and len(p) <= 320 for p in parts)
     assert all(any(f"row {i} " in p for p in parts) for i in range(40))
+    last = [p.rpartition("\n")[2] for p in parts]
+    assert all(q.split("\n")[2] == x or x in q for x, q in zip(last, parts[1:]))
+    apart = "\n".join(made(most=300, least=1, overlap=False))
+    assert all(apart.count(f"| row {i} |") == 1 for i in range(40) if i > 3)
+
+
+def plain_parent(children, at, most):
+    lo, hi, total = at, at, len(children[at])
+    for step in range(1, len(children)):
+        took = False
+        for i in (at - step, at + step):
+            if 0 <= i < len(children) and total + len(children[i]) + 2 <= most:
+                total, lo, hi, took = total + len(children[i]) + 2, min(lo, i), max(hi, i), True
+        if not took:
+            break
+    return "\n\n".join(children[lo : hi + 1]).strip()[:most].rstrip()
+
+
+def test_parents_against_plain_ones(spark):
+    rng = random.Random(7)
+    cases = [([rng.choice("abc") * rng.randint(1, 30) for _ in range(rng.randint(0, 14))], most) for most in (1, 12, 40, 100) for _ in range(25)]
+    for most in (1, 12, 40, 100):
+        own = [c for c, m in cases if m == most]
+        df = spark.createDataFrame(list(enumerate(own)), "i int, c array<string>")
+        for r in df.select("i", chunking.parent_windows(F.col("c"), most).alias("p")).collect():
+            assert r.p == [plain_parent(own[r.i], k, most) for k in range(len(own[r.i]))]
+
+
+def plain_pieces(text, most):
+    at = [m.start() for m in re.finditer(r"[A-Za-z0-9]+(?:[-'][A-Za-z0-9]+)?|[^\w\s]", text)]
+    edges = [0, *at[most::most], len(text)]
+    return [p for p in (text[a:b].strip() for a, b in zip(edges, edges[1:])) if p]
+
+
+def test_tokens_against_plain_ones(spark):
+    rng = random.Random(11)
+    texts = ["", None, "é" * 30_000, "one two, three  four"] + ["".join(rng.choice(["ab", "é", "_", " ", "\n", "-", "'", ".", "7", "\u00a0", "中"]) for _ in range(rng.randint(0, 60))) for _ in range(200)]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    for most in (1, 2, 7):
+        for r in df.select("i", chunking.token_pieces(F.col("t"), most).alias("p"), chunking.trim_to_tokens(F.col("t"), most).alias("x")).collect():
+            text = texts[r.i]
+            assert r.p == plain_pieces(text or "", most)
+            if text is None:
+                assert r.x is None
+                continue
+            ends = [m.end() for m in re.finditer(r"[A-Za-z0-9]+(?:[-'][A-Za-z0-9]+)?|[^\w\s]", text[: 3 * most])]
+            assert r.x == (text[: 3 * most].rstrip() if len(ends) <= most else text[: ends[most - 1]])
 
 
-def test_windows():
+def test_windows(spark):
     t = " ".join(f"word{i}." for i in range(500))
-    parts = chunking.windows(t, 300, 50)
-    assert all(len(p) <= 300 for p in parts) and parts[0].endswith(".") and t.endswith(parts[-1])
-    assert chunking.windows("x" * 1000, 100, 200) and chunking.windows("") == []
-    assert chunking.parent_window(["a" * 10, "b" * 10, "c" * 10], 1, 22) == "a" * 10 + "\n\n" + "b" * 10
-    # a neighbour that doesn't fit is passed over while the other side still grows
-    assert chunking.parent_window(["a", "b" * 50, "c", "d", "e"], 2, 12) == ("a\n\n" + "b" * 50)[:12]
-    assert chunking.token_pieces("one two, three  four", 2) == ["one two", ", three", "four"] and chunking.token_pieces("", 2) == []
-    assert chunking.trim_to_tokens("one two, three four", 3) == "one two,"
+    df = spark.createDataFrame([([t, "", None, "x" * 1000],), (None,)], "t array<string>")
+    parts, none = (r.windows for r in with_windows(df, "t", 300, 50).collect())
+    assert none is None and parts[1:3] == [[], []] and len(parts[3]) == 4
+    assert all(len(p) <= 300 for p in parts[0]) and parts[0][0].endswith(".") and t.endswith(parts[0][-1])
 
 
 def plain_windows(text, size, overlap, marks):
@@ -228,7 +294,7 @@ def test_windows_against_every_end():
         text = "".join(rng.choice(["a", "bc", " ", ". ", "\n", ".", "  "]) for _ in range(rng.randint(0, 120)))
         size, overlap = rng.randint(2, 40), rng.randint(0, 20)
         for marks in (("\n", ". ", " "), (". ", "\n")):
-            assert chunking.spans(text, size, overlap, marks) == plain_windows(text, size, overlap, marks)
+            assert spans(text, size, overlap, marks) == plain_windows(text, size, overlap, marks)
 
 
 def test_paper_children_lie_in_their_parents(spark):
