@@ -326,3 +326,9 @@ def test_streams(spark, tmp_path):
         q.stop()
 
 
+
+
+def test_window_at_line_end(spark):
+    """A line end right before the window's start is no part of a word, so the word before it isn't taken in."""
+    t = "a" * 30 + "\n" + "b" * 12 + " anchored " + "y " * 30
+    assert one(spark, text.centred_window(F.lit(t), F.lit("anchored"), 40)) == "... " + "b" * 12 + " anchored y y y y y ..."
