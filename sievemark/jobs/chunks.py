@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import chunking
+from ..functions import chunking, markup
 from .base import query, table
 from .cases import EV_SQL, evidence
 
@@ -45,11 +45,11 @@ def filings(spark, sf_dir) -> DataFrame:
 
 def _tables(spark, sf_dir) -> DataFrame:
     """(qid, rows): each filing's first table."""
-    return filings(spark, sf_dir).select("qid", chunking.matrices(chunking.page(F.col("html"))["tables"])[0].alias("rows"))
+    return filings(spark, sf_dir).select("qid", chunking.matrices(markup.page_tables("html"))[0].alias("rows"))
 
 
 def _texts(spark, sf_dir) -> DataFrame:
-    return filings(spark, sf_dir).select("qid", chunking.many_lines(chunking.page(F.col("html"))["text"]).alias("text"))
+    return filings(spark, sf_dir).select("qid", chunking.many_lines(markup.page_text("html")).alias("text"))
 
 
 def _around(spark, sf_dir) -> DataFrame:
