@@ -193,10 +193,10 @@ def au01(spark, sf_dir):
 @query("au04_issue_counts")
 def au04(spark, sf_dir):
     """Issues without repeats by code, and the valid answers."""
-    answers, ev, calculations = ledger_of(spark, sf_dir)
-    issues = audit.citation_issues(answers, ev, calculations)
-    valid = answers.select("qid").join(issues.select("qid").distinct(), "qid", "left_anti").agg(F.lit("valid").alias("code"), F.count("*").alias("n"))
-    return issues.groupBy("code").agg(F.count("*").alias("n")).unionByName(valid)
+    codes = F.transform("issues", lambda i: i["code"])
+    each = audit.audited(*ledger_of(spark, sf_dir)).select(F.explode(F.when(F.size("issues") > 0, codes).otherwise(F.array(F.lit("valid")))).alias("code"), F.lit(1).cast("long").alias("n"))
+    # valid answers have a row even if there are none
+    return each.unionByName(spark.range(1).select(F.lit("valid").alias("code"), F.lit(0).cast("long").alias("n"))).groupBy("code").agg(F.sum("n").alias("n"))
 
 
 @query("au06_uncited_tasks", rf"""WITH {EV_SQL}, {Q_SQL}, t AS (SELECT DISTINCT qid, unnest([company, other]) AS company, predicted FROM q), m AS (SELECT t.qid, t.company, bool_or(contains(upper({_MAIN.format('predicted')}), '[' || ref || ']')) AS cited FROM t JOIN ev ON t.qid = ev.qid AND t.company = ev.company GROUP BY ALL)

@@ -106,16 +106,19 @@ UNION ALL SELECT qid, 5, rtrim(answer) || '{WARNING}' || array_to_string(list_tr
 def au05(spark, sf_dir):
     """What is shown of each answer: an eighth of the questions each has one that is valid, that dropping lines mends,
     that calculations or the asked fact replace, that only the ledger replaces, in either language, and so on."""
-    out = enforcement.enforced(*enforced_cases(spark, sf_dir), strict=F.col("strict"))
+    out = enforcement.enforced_rows(enforced_cases(spark, sf_dir))
     return out.select("qid", "rung", F.md5("answer").alias("answer_md5"))
 
 
-def enforced_cases(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """Answers, evidence, facts and calculations."""
-    ev = evidence(spark, sf_dir)
-    cols = lambda d: [F.expr(e).alias(n) for n, e in d.items()]
-    answers = ev.where("pos = 1").select("qid", *cols(_CASE), (F.col("qid") % 8 != 7).alias("strict"))
-    calculations = ev.where(_HAS_CALC).select("qid", F.lit("C1").alias("ref"), F.lit(1).alias("pos"), *cols(_CALC)).withColumn("fact_ids", F.filter(F.split("ids", r"\|"), lambda x: x != "")).drop("ids")
-    facts = ev.where(_HAS_FACT).select("qid", "pos", *cols(_FACT))
-    rows = ev.select("qid", "ref", "pos", "company", F.col("fiscal_year").alias("year"), "content", "source_file", F.lit(" ").alias("section"), "item")
-    return answers, rows, facts, calculations
+def enforced_cases(spark, sf_dir) -> DataFrame:
+    """A row for each question with its answer, evidence, facts and calculations, all of one pass over the evidence."""
+    ev = evidence(spark, sf_dir).withColumns({"year": F.col("fiscal_year"), "section": F.lit(" ")})
+    own = lambda d, **more: F.struct(*[F.expr(e).alias(n) for n, e in {**more, **d}.items()])
+    calculation = {**_CALC, "fact_ids": f"filter(split({_CALC['ids']}, '[|]'), x -> x <> '')", "ref": "'C1'", "pos": "1"}
+    listed = lambda columns, when, d, name: F.array_sort(F.collect_list(F.when(F.expr(when), own({c: d[c] for c in columns})))).alias(name)
+    answers = F.max(F.when(F.col("pos") == 1, own(_CASE, strict="qid % 8 <> 7"))).alias("own")
+    made = ev.groupBy("qid").agg(
+        answers, listed(enforcement.EVIDENCE, "true", {c: c for c in enforcement.EVIDENCE}, "evidence"),
+        listed(enforcement.FACT, _HAS_FACT, {"pos": "pos", **_FACT}, "facts"), listed(enforcement.CALCULATION, _HAS_CALC, calculation, "calculations"),
+    )
+    return made.select("qid", "own.*", "evidence", "facts", "calculations")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -44,6 +46,82 @@ def claims_number(line: Column) -> Column:
     return F.regexp_replace(bare, FILING_IDENTIFIER, "").rlike(r"[$€£¥]|\b\d[\d,.]*%?\b")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with the value computed once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def supporting(content: Column, year: Column) -> Column:
+    """The years that a row of evidence supports by itself: those of its text and its own."""
+    return F.array_union(F.regexp_extract_all(content, F.lit(YEAR), F.lit(1)), F.array_compact(F.array(year.cast("string"))))
+
+
+def issues(text: Column, evidence: Column, calculations: Column, facts: Column) -> Column:
+    """Issues (code, sentence) of an answer, as citation_issues states them, without repeats.
+
+    evidence: array of (ref, company, supported); calculations: array of refs; facts: array of (ref, evidence, year). All
+    of a question lies in its row, so nothing is shuffled.
+    """
+    issue = lambda when, code, sentence: F.when(when, F.struct(F.lit(code).alias("code"), sentence.alias("sentence")))
+    upper = lambda rows, name: F.transform(rows, lambda r: F.upper(r[name]))
+    none = F.array().cast("array<string>")
+
+    def read(raw: Column) -> Column:
+        refs = F.array_distinct(F.transform(F.regexp_extract_all(raw, F.lit(REFERENCE), F.lit(1)), lambda r: F.upper(r)))
+        return F.struct(raw.alias("raw"), F.trim(raw).alias("sentence"), refs.alias("refs"), F.array_distinct(F.regexp_extract_all(raw, F.lit(YEAR), F.lit(1))).alias("years"))
+
+    def of_line(x: Column, known: Column, names: Column) -> Column:
+        raw, sentence, refs = x["raw"], x["sentence"], x["refs"]
+        starts = lambda c: F.exists(refs, lambda r: r.startswith(c))
+        unknown = F.exists(refs, lambda r: ~F.array_contains(known, r))
+        grounded = starts("C") & F.forall(refs, lambda r: ~r.startswith("C") | F.array_contains(known, r))
+        derived = raw.rlike(DERIVED) & ~raw.rlike(NOT_DERIVED)
+        low = F.lower(sentence)
+        heading = low.isin("来源", "来源：", "sources") | low.startswith("sources:")
+        cited = F.filter(evidence, lambda e: F.upper(e["ref"]).startswith("E") & F.array_contains(refs, F.upper(e["ref"])))
+        # years of the facts that lie on what is cited count too
+        more = lambda e: F.transform(F.filter(facts, lambda f: F.upper(f["evidence"]) == F.upper(e["ref"])), lambda f: f["year"].cast("string"))
+        supported = F.flatten(F.array_compact(F.transform(cited, lambda e: F.array_union(e["supported"], more(e)))))
+        token = lambda c: F.upper(raw).contains(c) & F.call_function("regexp_like", raw, F.concat(F.lit(r"(?i)(?<![A-Z0-9-])\Q"), c, F.lit(r"\E(?![A-Z0-9-])")))
+        company = F.exists(names, lambda c: token(c) & ~F.array_contains(F.array_compact(upper(cited, "company")), c))
+        year = F.exists(x["years"], lambda y: ~F.array_contains(F.array_compact(supported), y))
+        return F.array_compact(F.array(
+            issue(unknown, "unknown_reference", sentence), issue(derived & ~starts("C"), "unverified_calculation", sentence),
+            issue(claims_number(raw) & ~starts("E") & ~grounded & ~heading, "uncited_numeric_claim", sentence),
+            issue(starts("E") & company, "company_mismatch", sentence), issue(starts("E") & year, "year_mismatch", sentence),
+        ))
+
+    def judged(s: Column) -> Column:
+        cites = lambda kind: F.exists(s["lines"], lambda x: F.exists(x["refs"], lambda r: r.startswith(kind) & F.array_contains(s["known"], r)))
+        whole = F.array_compact(F.array(
+            issue((F.size(evidence) > 0) & ~cites("E"), "missing_evidence", F.lit("")), issue((F.size(calculations) > 0) & ~cites("C"), "missing_calculation", F.lit("")),
+        ))
+        return F.array_distinct(F.concat(whole, F.flatten(F.transform(s["lines"], lambda x: of_line(x, s["known"], s["names"])))))
+
+    def answered(t: Column) -> Column:
+        known = F.array_compact(F.concat(upper(evidence, "ref"), F.transform(calculations, lambda c: F.upper(c)), upper(facts, "ref")))
+        names = F.filter(F.array_distinct(upper(evidence, "company")), lambda c: F.trim(c) != "")
+        lines = F.transform(F.filter(F.split(t, r"\R"), lambda x: F.trim(x) != ""), read)
+        return let(F.struct(known.alias("known"), F.coalesce(names, none).alias("names"), lines.alias("lines")), judged)
+
+    empty = F.array(F.struct(F.lit("empty_answer").alias("code"), F.lit("").alias("sentence")))
+    return let(F.coalesce(text, F.lit("")), lambda t: F.when(F.trim(t) == "", empty).otherwise(answered(t)))
+
+
+def audited(answers: DataFrame, evidence: DataFrame, calculations: DataFrame, facts: DataFrame | None = None, qid: str = "qid", text: str = "answer") -> DataFrame:
+    """(qid, issues) of each answer; see citation_issues. Evidence, calculations and facts of a question are gathered in
+    its row, each shuffled once by question: rows of evidence with the years that they support, without their text."""
+    own = evidence.select(qid, F.struct("ref", "company", supporting(F.col("content"), F.col("year")).alias("supported")).alias("_e")).groupBy(qid).agg(F.collect_list("_e").alias("_e"))
+    sums = calculations.groupBy(qid).agg(F.collect_set("ref").alias("_c"))
+    j = answers.select(qid, F.col(text).alias("_t")).join(own, qid, "left").join(sums, qid, "left")
+    if facts is not None:
+        j = j.join(facts.groupBy(qid).agg(F.collect_list(F.struct("ref", "evidence", "year")).alias("_f")), qid, "left")
+    else:
+        j = j.withColumn("_f", F.lit(None).cast("array<struct<ref:string,evidence:string,year:string>>"))
+    full = [F.coalesce(c, F.array().cast(j.schema[c].dataType)) for c in ("_e", "_c", "_f")]
+    return j.select(qid, issues(F.col("_t"), *full).alias("issues"))
+
+
 def citation_issues(answers: DataFrame, evidence: DataFrame, calculations: DataFrame, facts: DataFrame | None = None, qid: str = "qid", text: str = "answer") -> DataFrame:
     """(qid, code, sentence): issues of each answer, without repeats; a valid answer has none.
 
@@ -54,46 +132,8 @@ def citation_issues(answers: DataFrame, evidence: DataFrame, calculations: DataF
     it cites doesn't support). Lines are judged one by one. evidence: qid, ref, company, year, content; calculations:
     qid, ref; facts: qid, ref, evidence, year. Null answers count as empty.
     """
-    given = answers.select(qid, F.coalesce(text, F.lit("")).alias("t"))
-    lines = given.where(F.trim("t") != "").select(qid, F.posexplode(F.split("t", r"\R")).alias("line", "raw")).where(F.trim("raw") != "")
-    marks = F.array_distinct(F.transform(F.regexp_extract_all("raw", F.lit(REFERENCE), F.lit(1)), lambda r: F.upper(r)))
-    lines = lines.select(qid, "line", "raw", F.trim("raw").alias("sentence"), marks.alias("refs"), F.array_distinct(F.regexp_extract_all("raw", F.lit(YEAR), F.lit(1))).alias("years"))
-    each = lines.select(qid, "line", "sentence", F.explode("refs").alias("ref"))
-    known = evidence.select(qid, F.upper("ref").alias("ref")).unionByName(calculations.select(qid, F.upper("ref").alias("ref")))
-    if facts is not None:
-        known = known.unionByName(facts.select(qid, F.upper("ref").alias("ref")))
-    known = known.distinct().withColumn("known", F.lit(True))
-    judged = each.join(known, [qid, "ref"], "left").withColumn("known", F.coalesce("known", F.lit(False)))
-    issue = lambda df, code, sentence="sentence": df.select(qid, F.lit(code).alias("code"), (F.col(sentence) if sentence else F.lit("")).alias("sentence"))
-    empty = issue(given.where(F.trim("t") == ""), "empty_answer", None)
-    unknown = issue(judged.where(~F.col("known")), "unknown_reference")
-
-    cited = judged.where("known").select(qid, F.substring("ref", 1, 1).alias("kind")).distinct()
-    some = lambda has, kind: given.where(F.trim("t") != "").join(has.select(qid).distinct(), qid, "left_semi").join(cited.where(F.col("kind") == kind), qid, "left_anti")
-    no_evidence, no_calculation = issue(some(evidence, "E"), "missing_evidence", None), issue(some(calculations, "C"), "missing_calculation", None)
-
-    starts = lambda c: F.exists("refs", lambda r: r.startswith(c))
-    derived = F.col("raw").rlike(DERIVED) & ~F.col("raw").rlike(NOT_DERIVED)
-    unverified = issue(lines.where(derived & ~starts("C")), "unverified_calculation")
-    grounded = judged.where(F.col("ref").startswith("C")).groupBy(qid, "line").agg(F.bool_and("known").alias("grounded"))
-    heading = F.lower("sentence").isin("来源", "来源：", "sources") | F.lower("sentence").startswith("sources:")
-    bare = lines.join(grounded, [qid, "line"], "left").where(claims_number(F.col("raw")) & ~starts("E") & ~F.coalesce("grounded", F.lit(False)) & ~heading)
-    uncited = issue(bare, "uncited_numeric_claim")
-
-    own = evidence.select(qid, F.upper("ref").alias("ref"), F.upper("company").alias("company"), F.array_union(F.regexp_extract_all("content", F.lit(YEAR), F.lit(1)), F.array_compact(F.array(F.col("year").cast("string")))).alias("supported"))
-    if facts is not None:
-        more = facts.groupBy(qid, F.upper("evidence").alias("ref")).agg(F.collect_set(F.col("year").cast("string")).alias("more"))
-        own = own.join(more, [qid, "ref"], "left").withColumn("supported", F.array_union("supported", F.coalesce("more", F.array().cast("array<string>")))).drop("more")
-    backed = each.where(F.col("ref").startswith("E")).join(own, [qid, "ref"], "left").groupBy(qid, "line").agg(F.collect_set("company").alias("companies"), F.array_distinct(F.flatten(F.collect_list("supported"))).alias("supported"))
-    names = evidence.where(F.trim("company") != "").groupBy(qid).agg(F.collect_set(F.upper("company")).alias("names"))
-    both = lines.join(backed, [qid, "line"]).join(names, qid, "left")
-    token = lambda c: F.call_function("regexp_like", F.col("raw"), F.concat(F.lit(r"(?i)(?<![A-Z0-9-])\Q"), c, F.lit(r"\E(?![A-Z0-9-])")))
-    wrong_company = issue(both.where(F.exists("names", lambda c: token(c) & ~F.array_contains("companies", c))), "company_mismatch")
-    wrong_year = issue(both.where(F.size(F.array_except("years", "supported")) > 0), "year_mismatch")
-    out = empty
-    for x in (unknown, no_evidence, no_calculation, unverified, uncited, wrong_company, wrong_year):
-        out = out.unionByName(x)
-    return out.distinct()
+    each = audited(answers, evidence, calculations, facts, qid, text).select(qid, F.explode_outer("issues").alias("i"))
+    return each.where("i is not null").select(qid, "i.code", "i.sentence").distinct()
 
 
 def coverage_gaps(tasks: DataFrame, evidence: DataFrame, answers: DataFrame, text: str, qid: str = "qid") -> DataFrame:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .audit import YEAR, citation_issues
-from .relational import checkpointed
+from .audit import YEAR, issues, let, supporting
 
 # Faults that dropping a line mends, the question for a fiscal year's value, and the texts around fallbacks.
 SALVAGEABLE = ["uncited_numeric_claim", "company_mismatch", "year_mismatch"]
@@ -15,6 +16,10 @@ HEADS = {"facts": ("Verified facts:\n", "已核验事实：\n"), "calculations":
 BLOCKED = ("当前回答未通过引用校验，因此未输出未经证实的结论。\n\n校验问题：\n", "\n\n请重试，或在问题中补充明确的公司、财年和指标。")
 WARNING = "\n\n> 引用校验警告\n"
 MOST_ISSUES = 5
+#: Columns of what a question has, each table's first by which it is ordered.
+EVIDENCE = ["pos", "ref", "company", "year", "content", "source_file", "section", "item"]
+FACT = ["pos", "ref", "evidence", "company", "year", "metric", "raw_value", "value", "scale"]
+CALCULATION = ["pos", "ref", "type", "expression", "display", "scale", "unit", "fact_ids"]
 #: The rungs, best first. The first three fallbacks are audited again; the ledger itself, a warning and a block aren't.
 RUNGS = ["valid", "salvaged", "calculation", "question", "ledger", "warning", "blocked"]
 
@@ -41,92 +46,121 @@ def marks_of(ids: Column) -> Column:
     return F.array_join(F.transform(ids, lambda x: F.concat(F.lit("["), x, F.lit("]"))), "")
 
 
-def operand_facts(calculations: DataFrame, facts: DataFrame, qid: str = "qid") -> DataFrame:
-    """(qid, calculation, type, display, scale, unit, k, and the fact's columns) of the facts that a calculation is of,
-    in its order; ids that no fact has are left out."""
-    each = calculations.select(qid, F.col("ref").alias("calculation"), F.col("pos").alias("at"), "type", "display", "scale", "unit", F.posexplode("fact_ids").alias("k", "id"))
-    own = facts.select(qid, F.upper("ref").alias("id"), F.col("ref").alias("fact"), "evidence", "company", "year", "metric", "raw_value")
-    return each.withColumn("id", F.upper("id")).join(own, [qid, "id"])
-
-
-def calculation_answers(questions: DataFrame, evidence: DataFrame, facts: DataFrame, calculations: DataFrame, qid: str = "qid") -> DataFrame:
-    """(qid, answer): the first calculation told with its facts, those first whose company the question names first, and
-    with the sources of its evidence. questions: qid, question."""
-    first = calculations.withColumn("_n", F.row_number().over(Window.partitionBy(qid).orderBy("pos"))).where("_n = 1").drop("_n")
-    of = operand_facts(first, facts, qid).join(questions.where("trim(question) <> ''").select(qid, F.upper("question").alias("asked")), qid)
-    place = F.nullif(F.call_function("locate", F.upper("company"), F.col("asked")), F.lit(0))
-    said = F.concat("company", F.lit(" FY"), "year", F.lit(" "), F.lower("metric"), F.lit(" was "), "raw_value", F.lit(" ["), "fact", F.lit("]["), "evidence", F.lit("]"))
-    told = of.groupBy(qid, "calculation", "type", "display", "scale", "unit").agg(
-        F.array_join(listed(F.struct(F.coalesce(place, F.lit(1 << 30)), "k"), said), "; ").alias("facts"),
-        F.array_distinct(listed("k", F.col("evidence"))).alias("ids"), listed("k", F.col("company")).alias("companies"),
-    )
-    multiple = (F.lower("type") == "multiple") & (F.size("companies") == 2)
-    shown = F.when(F.lower("scale") == "unit", F.concat(F.lit(" "), "unit")).otherwise(F.concat(F.lit(" "), "scale", F.lit(" "), "unit"))
-    times = F.concat(F.get("companies", F.lit(0)), F.lit("'s value was approximately "), "display", F.lit(" times larger than "), F.get("companies", F.lit(1)), F.lit("'s"))
-    conclusion = F.when(multiple, times).otherwise(F.concat(F.lit("The "), F.replace("type", F.lit("_"), F.lit(" ")), F.lit(" was "), "display", shown))
-    files = told.select(qid, F.posexplode("ids").alias("k", "ref")).join(evidence.select(qid, "ref", "source_file"), [qid, "ref"])
-    sources = files.groupBy(qid).agg(F.array_join(listed("k", F.concat(F.lit("["), "ref", F.lit("] "), "source_file")), "\n").alias("sources"))
-    text = F.concat("facts", F.lit(". "), conclusion, F.lit(" ["), "calculation", F.lit("]"), marks_of(F.col("ids")), F.lit(".\n\nSources:\n"), F.coalesce("sources", F.lit("")))
-    return told.join(sources, qid, "left").select(qid, text.alias("answer"))
-
-
-def counted_years(calculations: DataFrame, evidence: DataFrame, qid: str = "qid") -> DataFrame:
-    """(qid, ref, pos, display, years, evidence) of each count: the years of its expression, and the first evidence whose
-    text has all of them (null if none has)."""
-    counts = calculations.where("lower(type) = 'count'").select(qid, "ref", "pos", "display", F.array_distinct(F.regexp_extract_all("expression", F.lit(YEAR), F.lit(1))).alias("years"))
-    held = counts.where(F.size("years") > 0).join(evidence.select(qid, F.col("ref").alias("of"), F.col("pos").alias("at"), "content"), qid)
-    held = held.where(F.forall("years", lambda y: F.col("content").contains(y))).groupBy(qid, "ref").agg(F.min_by("of", "at").alias("evidence"))
-    return counts.join(held, [qid, "ref"], "left")
-
-
-def question_answers(questions: DataFrame, evidence: DataFrame, facts: DataFrame, calculations: DataFrame, qid: str = "qid") -> DataFrame:
-    """(qid, answer): for a question for a fiscal year's net income and a count of years, the fact and the count."""
-    year = F.regexp_extract("question", REQUESTED_VALUE, 1)
-    low = F.lower("question")
-    asked = questions.select(qid, year.alias("asked"), low.alias("low")).where((F.col("asked") != "") & F.col("low").contains("net income"))
-    fact = facts.where(F.lower("metric").contains("net income")).join(asked, qid).where("year = asked")
-    fact = fact.withColumn("_n", F.row_number().over(Window.partitionBy(qid).orderBy("pos"))).where("_n = 1")
-    first = counted_years(calculations, evidence, qid).withColumn("_n", F.row_number().over(Window.partitionBy(qid).orderBy("pos"))).where("_n = 1 and evidence is not null")
-    count = first.select(qid, F.col("ref").alias("count"), "display", "years", F.col("evidence").alias("of"))
-    billions = F.col("low").contains("billion") & (F.lower("scale") == "million")
-    value = F.when(billions, F.concat(F.lit("$"), F.round(F.col("value") / 1000, 1).cast("decimal(30,1)").cast("string"), F.lit(" billion"))).otherwise(F.col("raw_value"))
-    ids = F.array_distinct(F.array("evidence", "of"))
-    text = F.concat("company", F.lit(" fiscal "), "asked", F.lit(" "), F.lower("metric"), F.lit(" was "), value, F.lit(" ["), F.col("ref"), F.lit("]["), "evidence", F.lit("]\nThe table covers "), "display", F.lit(" fiscal years ("), F.array_join("years", ", "), F.lit(") ["), "count", F.lit("]["), "of", F.lit("]\n\nSources:\n"))
-    both = fact.join(count, qid).select(qid, text.alias("text"), ids.alias("ids"))
-    files = both.select(qid, F.posexplode("ids").alias("k", "ref")).join(evidence.select(qid, "ref", "source_file"), [qid, "ref"])
-    sources = files.groupBy(qid).agg(F.array_join(listed("k", F.concat(F.lit("["), "ref", F.lit("] "), "source_file")), "\n").alias("sources"))
-    return both.join(sources, qid, "left").select(qid, F.rtrim(F.concat("text", F.coalesce("sources", F.lit("")))).alias("answer"))
-
-
-def ledger_answers(answers: DataFrame, evidence: DataFrame, facts: DataFrame, calculations: DataFrame, qid: str = "qid") -> DataFrame:
-    """(qid, answer): the verified facts (with calculations: theirs and totals), the calculations and the sources, headed
-    in the language of the answer that they replace. answers: qid, answer; only questions with facts have a row."""
-    used = operand_facts(calculations, facts, qid)
-    named = calculations.select(qid, F.explode("fact_ids").alias("id")).select(qid, F.upper("id").alias("id")).distinct().withColumn("used", F.lit(True))
-    some = named.select(qid).distinct().withColumn("some", F.lit(True))
-    shown = facts.withColumn("id", F.upper("ref")).join(named, [qid, "id"], "left").join(some, qid, "left").where("some is null or used or lower(metric) like 'total %'")
-    line = F.concat(F.lit("- "), "company", F.lit(" FY"), "year", F.lit(" | "), "metric", F.lit(" = "), "raw_value", F.lit(" ["), "ref", F.lit("]["), "evidence", F.lit("]\n"))
-    told = shown.groupBy(qid).agg(F.array_join(listed("pos", line), "").alias("facts"))
-
-    marks = used.groupBy(qid, F.col("calculation").alias("ref")).agg(F.array_distinct(listed("k", F.col("evidence"))).alias("ids"))
-    years = counted_years(calculations, evidence, qid).where("evidence is not null").select(qid, "ref", "pos", F.col("evidence").alias("of"))
-    c = calculations.join(marks, [qid, "ref"], "left").join(years.drop("pos"), [qid, "ref"], "left")
-    none = F.array().cast("array<string>")
-    ids = F.when(F.size(F.coalesce("ids", none)) > 0, F.col("ids")).otherwise(F.when(F.col("of").isNotNull(), F.array("of")).otherwise(none))
-    row = F.concat(F.lit("- "), "type", F.lit(": "), "expression", F.lit(" = "), "display", F.lit(" "), "scale", F.lit(" "), "unit", F.lit(" ["), "ref", F.lit("]"), marks_of(ids), F.lit("\n"))
-    sums = c.groupBy(qid).agg(F.array_join(listed("pos", row), "").alias("sums"))
+def _in_order(rows: Column, place: Callable[..., Column], line: Callable[[Column], Column]) -> Column:
+    return F.transform(F.array_sort(F.transform(rows, lambda r: F.struct(place(r).alias("p"), line(r).alias("line")))), lambda x: x["line"])
+
+
+def operand_facts(ids: Column, facts: Column) -> Column:
+    """Array of (k, f): the facts that a calculation is of, in the order of its ids; ids that no fact has are left out."""
+    return F.flatten(F.transform(ids, lambda i, k: F.transform(F.filter(facts, lambda f: F.upper(f["ref"]) == F.upper(i)), lambda f: F.struct(k.alias("k"), f.alias("f")))))
+
+
+def sources_of(ids: Column, evidence: Column) -> Column:
+    """The files of cited evidence, a line each."""
+    told = lambda e: F.concat(F.lit("["), e["ref"], F.lit("] "), e["source_file"])
+    return F.array_join(F.flatten(F.transform(ids, lambda i: F.array_sort(F.transform(F.filter(evidence, lambda e: e["ref"] == i), told)))), "\n")
+
+
+def calculation_answer(question: Column, evidence: Column, facts: Column, calculations: Column) -> Column:
+    """The first calculation told with its facts, those first whose company the question names first, and with the sources
+    of its evidence; null without any."""
+    def told(c: Column, of: Column) -> Column:
+        place = lambda o: F.struct(F.coalesce(F.nullif(F.call_function("locate", F.upper(o["f"]["company"]), F.upper(question)), F.lit(0)), F.lit(1 << 30)).alias("at"), o["k"].alias("k"))
+        said = lambda o: F.concat(o["f"]["company"], F.lit(" FY"), o["f"]["year"], F.lit(" "), F.lower(o["f"]["metric"]), F.lit(" was "), o["f"]["raw_value"], F.lit(" ["), o["f"]["ref"], F.lit("]["), o["f"]["evidence"], F.lit("]"))
+        ids = F.array_distinct(_in_order(of, lambda o: o["k"], lambda o: o["f"]["evidence"]))
+        companies = _in_order(of, lambda o: o["k"], lambda o: o["f"]["company"])
+        multiple = (F.lower(c["type"]) == "multiple") & (F.size(companies) == 2)
+        shown = F.when(F.lower(c["scale"]) == "unit", F.concat(F.lit(" "), c["unit"])).otherwise(F.concat(F.lit(" "), c["scale"], F.lit(" "), c["unit"]))
+        times = F.concat(F.get(companies, F.lit(0)), F.lit("'s value was approximately "), c["display"], F.lit(" times larger than "), F.get(companies, F.lit(1)), F.lit("'s"))
+        conclusion = F.when(multiple, times).otherwise(F.concat(F.lit("The "), F.replace(c["type"], F.lit("_"), F.lit(" ")), F.lit(" was "), c["display"], shown))
+        text = lambda i: F.concat(F.array_join(_in_order(of, place, said), "; "), F.lit(". "), conclusion, F.lit(" ["), c["ref"], F.lit("]"), marks_of(i), F.lit(".\n\nSources:\n"), sources_of(i, evidence))
+        return F.when((F.size(of) > 0) & (F.trim(question) != ""), let(ids, text))
+
+    return let(F.get(calculations, F.lit(0)), lambda c: F.when(c.isNotNull(), let(operand_facts(c["fact_ids"], facts), lambda of: told(c, of))))
 
-    cites = shown.select(qid, F.lit(0).alias("kind"), "pos", "evidence").unionByName(years.select(qid, F.lit(1).alias("kind"), "pos", F.col("of").alias("evidence")))
-    first = cites.groupBy(qid, F.col("evidence").alias("ref")).agg(F.min(F.struct("kind", "pos")).alias("at"))
-    source = F.concat(F.lit("["), "ref", F.lit("] "), "source_file", F.lit(" — "), F.when(F.trim("section") != "", F.col("section")).otherwise(F.col("item")), F.lit("\n"))
-    sources = first.join(evidence.select(qid, "ref", "source_file", "section", "item"), [qid, "ref"]).groupBy(qid).agg(F.array_join(listed("at", source), "").alias("sources"))
 
-    english = mostly_english(F.col("answer"))
+def counted(c: Column, evidence: Column) -> Column:
+    """(years, evidence) of a count: the years of its expression, and the first evidence whose text has all of them (null
+    if none has); null for other calculations."""
+    def held(years: Column) -> Column:
+        rows = F.filter(evidence, lambda e: (F.size(years) > 0) & F.forall(years, lambda y: e["content"].contains(y)))
+        return F.struct(years.alias("years"), F.get(rows, F.lit(0))["ref"].alias("evidence"))
+
+    return F.when(F.lower(c["type"]) == "count", let(F.array_distinct(F.regexp_extract_all(c["expression"], F.lit(YEAR), F.lit(1))), held))
+
+
+def question_answer(question: Column, evidence: Column, facts: Column, calculations: Column) -> Column:
+    """For a question for a fiscal year's net income and a count of years, the fact and the count; null without both."""
+    low, asked = F.lower(question), F.regexp_extract(question, REQUESTED_VALUE, 1)
+    fact = F.get(F.filter(facts, lambda f: F.lower(f["metric"]).contains("net income") & (f["year"].cast("string") == asked)), F.lit(0))
+    first = F.get(F.filter(calculations, lambda c: F.lower(c["type"]) == "count"), F.lit(0))
+
+    def told(f: Column, c: Column, n: Column) -> Column:
+        billions = low.contains("billion") & (F.lower(f["scale"]) == "million")
+        value = F.when(billions, F.concat(F.lit("$"), F.round(f["value"] / 1000, 1).cast("decimal(30,1)").cast("string"), F.lit(" billion"))).otherwise(f["raw_value"])
+        text = F.concat(f["company"], F.lit(" fiscal "), asked, F.lit(" "), F.lower(f["metric"]), F.lit(" was "), value, F.lit(" ["), f["ref"], F.lit("]["), f["evidence"], F.lit("]\nThe table covers "), c["display"], F.lit(" fiscal years ("), F.array_join(n["years"], ", "), F.lit(") ["), c["ref"], F.lit("]["), n["evidence"], F.lit("]\n\nSources:\n"))
+        return F.when(f.isNotNull() & n["evidence"].isNotNull(), F.rtrim(F.concat(text, sources_of(F.array_distinct(F.array(f["evidence"], n["evidence"])), evidence))))
+
+    both = let(first, lambda c: let(counted(c, evidence), lambda n: let(fact, lambda f: told(f, c, n))))
+    return F.when((asked != "") & low.contains("net income"), both)
+
+
+def ledger_answer(answer: Column, evidence: Column, facts: Column, calculations: Column) -> Column:
+    """The verified facts (with calculations: theirs and totals), the calculations and the sources, headed in the language
+    of the answer that they replace."""
+    none = F.array().cast("array<string>")
+    line = lambda f: F.concat(F.lit("- "), f["company"], F.lit(" FY"), f["year"], F.lit(" | "), f["metric"], F.lit(" = "), f["raw_value"], F.lit(" ["), f["ref"], F.lit("]["), f["evidence"], F.lit("]\n"))
+    named = F.flatten(F.transform(calculations, lambda c: F.transform(F.coalesce(c["fact_ids"], none), lambda i: F.upper(i))))
+    shown = let(named, lambda n: F.filter(facts, lambda f: (F.size(n) == 0) | F.array_contains(F.array_compact(n), F.upper(f["ref"])) | F.lower(f["metric"]).like("total %")))
+    counts = F.filter(F.transform(calculations, lambda c: F.struct(F.lit(1).alias("kind"), c["pos"].alias("pos"), counted(c, evidence)["evidence"].alias("ref"))), lambda x: x["ref"].isNotNull())
+
+    def row(c: Column) -> Column:
+        of = F.array_distinct(_in_order(operand_facts(c["fact_ids"], facts), lambda o: o["k"], lambda o: o["f"]["evidence"]))
+        ids = let(F.coalesce(of, none), lambda i: F.when(F.size(i) > 0, i).otherwise(F.array_compact(F.array(counted(c, evidence)["evidence"]))))
+        return F.concat(F.lit("- "), c["type"], F.lit(": "), c["expression"], F.lit(" = "), c["display"], F.lit(" "), c["scale"], F.lit(" "), c["unit"], F.lit(" ["), c["ref"], F.lit("]"), marks_of(ids), F.lit("\n"))
+
+    def text(s: Column) -> Column:
+        cites = F.concat(F.transform(s, lambda f: F.struct(F.lit(0).alias("kind"), f["pos"].alias("pos"), f["evidence"].alias("ref"))), counts)
+        source = lambda e: F.concat(F.lit("["), e["ref"], F.lit("] "), e["source_file"], F.lit(" — "), F.when(F.trim(e["section"]) != "", e["section"]).otherwise(e["item"]), F.lit("\n"))
+        files = F.flatten(F.transform(F.array_distinct(F.transform(F.array_sort(cites), lambda x: x["ref"])), lambda i: F.array_sort(F.transform(F.filter(evidence, lambda e: e["ref"] == i), source))))
+        sums = F.when(F.size(calculations) > 0, F.concat(head("calculations"), F.array_join(F.transform(calculations, row), ""))).otherwise("")
+        return F.concat(head("facts"), F.array_join(F.transform(s, line), ""), sums, head("sources"), F.array_join(files, ""))
+
+    english = mostly_english(answer)
     head = lambda k: F.when(english, HEADS[k][0]).otherwise(HEADS[k][1])
-    empty = F.lit("")
-    text = F.concat(head("facts"), F.coalesce("facts", empty), F.when(F.col("sums").isNotNull(), F.concat(head("calculations"), "sums")).otherwise(""), head("sources"), F.coalesce("sources", empty))
-    have = facts.select(qid).distinct()
-    return answers.join(have, qid).join(told, qid, "left").join(sums, qid, "left").join(sources, qid, "left").select(qid, F.regexp_replace(text, r"\s+$", "").alias("answer"))
+    return F.regexp_replace(let(shown, text), r"\s+$", "")
+
+
+def enforced_rows(rows: DataFrame, qid: str = "qid") -> DataFrame:
+    """(qid, rung, answer) of each question, whose row has all of it: answer, question, strict, and the arrays evidence,
+    facts and calculations, each of structs in order of pos with the columns that `enforced` names. Nothing is shuffled."""
+    answer, evidence, facts, calculations = F.coalesce("answer", F.lit("")), F.col("evidence"), F.col("facts"), F.col("calculations")
+    question = F.coalesce("question", F.lit(""))
+    own = F.transform(evidence, lambda e: F.struct(e["ref"].alias("ref"), e["company"].alias("company"), supporting(e["content"], e["year"]).alias("supported")))
+    rung = lambda n, text: F.struct(F.lit(n).alias("n"), text.alias("answer"))
+
+    def wrong_of(text: Column, own: Column) -> Column:
+        return issues(text, own, F.transform(calculations, lambda c: c["ref"]), facts)
+
+    def mended(a: Column, own: Column, wrong: Column) -> Column:
+        # candidates are audited as answers of their own, with the evidence of their question
+        tried = lambda n, text: let(text, lambda t: F.when((F.trim(t) != "") & (F.size(wrong_of(t, own)) == 0), rung(n, t)))
+        unsafe = F.transform(wrong, lambda w: F.trim(w["sentence"]))
+        only = F.forall(wrong, lambda w: w["code"].isin(SALVAGEABLE))
+        cut = F.when(only, let(salvaged(a, unsafe), lambda c: F.when(c != a, c)))
+        open_ = F.col("strict") & (F.size(facts) > 0)
+        told = open_ & mostly_english(a)
+        lines = F.slice(F.array_sort(F.array_distinct(F.transform(wrong, lambda w: F.concat_ws(": ", w["code"], F.nullif(w["sentence"], F.lit("")))))), 1, MOST_ISSUES)
+        details = F.array_join(F.transform(lines, lambda d: F.concat(F.lit("- "), d)), "\n")
+        return F.coalesce(
+            tried(1, cut), tried(2, F.when(told, calculation_answer(question, evidence, facts, calculations))), tried(3, F.when(told, question_answer(question, evidence, facts, calculations))),
+            F.when(open_, rung(4, ledger_answer(a, evidence, facts, calculations))),
+            F.when(~F.col("strict"), rung(5, F.concat(F.regexp_replace(a, r"\s+$", ""), F.lit(WARNING), details))),
+            F.when(F.col("strict"), rung(6, F.concat(F.lit(BLOCKED[0]), details, F.lit(BLOCKED[1])))),
+        )
+
+    best = let(answer, lambda a: let(own, lambda o: let(wrong_of(a, o), lambda w: F.when(F.size(w) == 0, rung(0, a)).otherwise(mended(a, o, w)))))
+    return rows.select(qid, best.alias("best")).select(qid, F.get(F.array(*[F.lit(r) for r in RUNGS]), F.col("best.n")).alias("rung"), F.col("best.answer").alias("answer"))
 
 
 def enforced(answers: DataFrame, evidence: DataFrame, facts: DataFrame, calculations: DataFrame, strict: Column | bool = True, qid: str = "qid") -> DataFrame:
@@ -138,34 +172,11 @@ def enforced(answers: DataFrame, evidence: DataFrame, facts: DataFrame, calculat
 
     A valid answer stays. Of an invalid one, first come its lines without the unsafe ones, if nothing but such lines is
     wrong; then, where strict and there are facts, and the answer is in English, the first calculation and the fact that
-    the question asks for; all these must be valid themselves, and are audited together in one pass. What is left gets
-    the ledger, or without facts is blocked; where not strict, it stays with a warning.
+    the question asks for; all these must be valid themselves, and are audited in their row. What is left gets the ledger,
+    or without facts is blocked; where not strict, it stays with a warning. Each table is shuffled once, by question.
     """
-    own = answers.select("*", (F.lit(strict) if isinstance(strict, bool) else strict).alias("_strict")).withColumn("answer", F.coalesce("answer", F.lit("")))
-    issues = checkpointed(citation_issues(own, evidence.select(qid, "ref", "company", "year", "content"), calculations.select(qid, "ref"), facts.select(qid, "ref", "evidence", "year"), qid))
-    wrong = issues.groupBy(qid).agg(F.collect_set("code").alias("codes"), F.collect_set(F.trim("sentence")).alias("unsafe"), F.slice(F.array_sort(F.collect_set(F.concat_ws(": ", "code", F.nullif("sentence", F.lit(""))))), 1, MOST_ISSUES).alias("details"))
-    bad = checkpointed(own.join(wrong, qid))
-    valid = own.join(wrong.select(qid), qid, "left_anti").select(qid, F.lit(0).alias("n"), "answer")
-
-    only = F.size(F.array_except("codes", F.array(*[F.lit(c) for c in SALVAGEABLE]))) == 0
-    cut = bad.where(only).select(qid, "answer", salvaged(F.col("answer"), F.col("unsafe")).alias("cut")).where("cut <> answer").select(qid, F.lit(1).alias("n"), F.col("cut").alias("answer"))
-    open_ = bad.where("_strict").join(facts.select(qid).distinct(), qid, "left_semi")
-    told = open_.where(mostly_english(F.col("answer"))).select(qid, F.coalesce("question", F.lit("")).alias("question"))
-    sums = calculation_answers(told, evidence, facts, calculations, qid).select(qid, F.lit(2).alias("n"), "answer")
-    asked = question_answers(told, evidence, facts, calculations, qid).select(qid, F.lit(3).alias("n"), "answer")
-    tried = checkpointed(cut.unionByName(sums).unionByName(asked).where("trim(answer) <> ''"))
-
-    # candidates are audited as answers of their own: each with the evidence of its question
-    own_key = F.struct(qid, "n").alias("_key")
-    keys = tried.select(qid, own_key)
-    copy = lambda df, *columns: df.join(keys, qid).select("_key", *columns)
-    again = citation_issues(tried.select(own_key, "answer"), copy(evidence, "ref", "company", "year", "content"), copy(calculations, "ref"), copy(facts, "ref", "evidence", "year"), "_key")
-    passed = tried.withColumn("_key", F.struct(qid, "n")).join(again.select("_key").distinct(), "_key", "left_anti").select(qid, "n", "answer")
-
-    ledger = ledger_answers(open_.select(qid, "answer"), evidence, facts, calculations, qid).select(qid, F.lit(4).alias("n"), "answer")
-    details = F.array_join(F.transform("details", lambda d: F.concat(F.lit("- "), d)), "\n")
-    warned = bad.where("not _strict").select(qid, F.lit(5).alias("n"), F.concat(F.regexp_replace("answer", r"\s+$", ""), F.lit(WARNING), details).alias("answer"))
-    blocked = bad.where("_strict").select(qid, F.lit(6).alias("n"), F.concat(F.lit(BLOCKED[0]), details, F.lit(BLOCKED[1])).alias("answer"))
-    all_ = valid.unionByName(passed).unionByName(ledger).unionByName(warned).unionByName(blocked)
-    best = all_.groupBy(qid).agg(F.min(F.struct("n", "answer")).alias("best"))
-    return best.select(qid, F.get(F.array(*[F.lit(r) for r in RUNGS]), F.col("best.n")).alias("rung"), F.col("best.answer").alias("answer"))
+    rows = answers.select(qid, "answer", "question", (F.lit(strict) if isinstance(strict, bool) else strict).alias("strict"))
+    for name, df, columns in (("evidence", evidence, EVIDENCE), ("facts", facts, FACT), ("calculations", calculations, CALCULATION)):
+        rows = rows.join(df.groupBy(qid).agg(F.array_sort(F.collect_list(F.struct(*columns))).alias(name)), qid, "left")
+        rows = rows.withColumn(name, F.coalesce(name, F.array().cast(rows.schema[name].dataType)))
+    return enforced_rows(rows, qid)
