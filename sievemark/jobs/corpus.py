@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import covers, lexical, relational
@@ -30,7 +31,9 @@ def sc08(spark, sf_dir):
 @query("sc10_all_terms_scan", f"WITH q AS (SELECT item_id, list_distinct({_WORDS}) AS ts FROM benchmark), k AS (SELECT item_id, len(ts) AS n, unnest(ts) AS t FROM q), {_INDEX}, h AS (SELECT item_id, doc_id, count(*) AS hits, CAST(sum(tf) AS BIGINT) AS times FROM k JOIN d USING (t) GROUP BY item_id, doc_id, n HAVING count(*) = n) SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY hits DESC, times DESC, doc_id) AS BIGINT) AS rank FROM h")
 def sc10(spark, sf_dir):
     """Documents that hold all terms of a question, ranked by how often they do."""
-    return lexical.term_scan(_docs(spark, sf_dir), table(spark, sf_dir, "benchmark"), all_terms=True).withColumn("rank", F.col("rank").cast("long"))
+    held = covers.holding(_docs(spark, sf_dir), table(spark, sf_dir, "benchmark")).select("item_id", "doc_id", F.col("n").cast("long").alias("hits"), F.size("spots").cast("long").alias("times"))
+    rank = F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("hits"), F.desc("times"), "doc_id"))
+    return held.withColumn("rank", rank.cast("long"))
 
 
 #: Distinct terms of an item in order, numbered; {0}: how many at most.
@@ -60,8 +63,7 @@ def sc10_covers(spark, sf_dir):
 @query("sc10_whole_questions", f"WITH {_ASKED.format(100000)}, {_COVERS} SELECT *, {_TOP} FROM r QUALIFY rank <= 100")
 def sc10_whole(spark, sf_dir):
     """The same for all terms of a question."""
-    asked = covers.asked_terms(table(spark, sf_dir, "benchmark"))
-    return covers.ranked(covers.all_terms(covers.positions(_docs(spark, sf_dir), asked), asked), 100)
+    return covers.ranked(covers.swept(covers.holding(_docs(spark, sf_dir), table(spark, sf_dir, "benchmark"))), 100)
 
 
 @query("sc09_phrase_scan", "SELECT item_id, doc_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY length(d.text), doc_id) AS BIGINT) AS pos FROM benchmark b JOIN documents d ON contains(lower(d.text), lower(b.text)) QUALIFY pos <= 24")
