@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import answers as A
 from ..functions import text as X
 from .ledger import FACT
-from .relational import small
+from .relational import once
 
 # What a question may take for granted, what a sentence says of combined cash, and rows that are looked for.
 PREMISE = r"(?i)net income for fiscal(?: year)?\s*(20\d{2})\s+is\s+\$?([\d,.]+)\s+(million|billion)"
@@ -106,10 +106,10 @@ def numbered(facts: DataFrame, qid: str = "qid") -> DataFrame:
     """(qid, fact_id, ref, company, fiscal_year, metric, raw_value, value, scale): facts in order, of equal ones (name of
     the metric, value, company, year) the first."""
     same = Window.partitionBy(qid, "_name", "value", F.upper("company"), "fiscal_year").orderBy("place")
-    once = facts.withColumn("_name", A.metric_name(F.col("metric"))).withColumn("_n", F.row_number().over(same)).where("_n = 1")
+    first = once(facts, _name=A.metric_name(F.col("metric"))).withColumn("_n", F.row_number().over(same)).where("_n = 1")
     number = F.concat(F.lit("F"), F.row_number().over(Window.partitionBy(qid).orderBy("place")).cast("string"))
     raw = F.col("raw_value") if "raw_value" in facts.columns else _shown(F.col("value"), F.col("scale"))
-    return once.select(qid, number.alias("fact_id"), "ref", "company", "fiscal_year", "metric", raw.alias("raw_value"), "value", "scale", "quote")
+    return first.select(qid, number.alias("fact_id"), "ref", "company", "fiscal_year", "metric", raw.alias("raw_value"), "value", "scale", "quote")
 
 
 def deterministic_facts(questions: DataFrame, evidence: DataFrame, qid: str = "qid") -> DataFrame:
@@ -124,7 +124,7 @@ def number_quote(content: Column, start: Column, length: Column) -> Column:
     """What is quoted of a text for the number at `start` (from 1): its line, as far as that reaches at most LINE
     characters on that side, else AROUND characters."""
     before = F.substring(content, F.lit(1), start - 1)
-    line_start = F.length(before) - F.length(F.regexp_extract(before, r"(?s)[^\n]*$", 0))  # 0: no line break before
+    line_start = F.length(before) - F.length(F.substring_index(before, "\n", -1))  # 0: no line break before
     a = F.when((line_start > 0) & (start - 1 - (line_start - 1) <= LINE), line_start + 1).otherwise(F.greatest(F.lit(1), start - AROUND))
     end = start + length  # the first character after the number
     line_end = F.call_function("locate", F.lit("\n"), content, end)
@@ -132,24 +132,21 @@ def number_quote(content: Column, start: Column, length: Column) -> Column:
     return F.trim(F.substring(content, a, b - a), F.lit(" \n\t\r"))
 
 
-def numbers_at(evidence: DataFrame, qid: str = "qid") -> DataFrame:
-    """(qid, ref, k, number, start, length): each number of each text as an exact decimal with its place, from 1.
-
-    A text is cut at its numbers, so that a number's place is the sum of the pieces up to it."""
-    pieces, numbers = (F.regexp_extract_all("content", F.lit(f"(?s)(.*?)({NUMBER})"), F.lit(g)) for g in (0, 2))
-    each = evidence.select(qid, "ref", F.posexplode(F.arrays_zip(pieces.alias("piece"), numbers.alias("n"))).alias("k", "x"))
-    end = F.sum(F.length("x.piece")).over(Window.partitionBy(qid, "ref").orderBy("k").rowsBetween(Window.unboundedPreceding, 0))
-    at = each.select(qid, "ref", "k", decimal_of(F.col("x.n")).alias("number"), end.cast("int").alias("end"), F.length("x.n").alias("length"))
-    return at.where("number is not null").select(qid, "ref", "k", "number", (F.col("end") - F.col("length") + 1).alias("start"), "length")
+def numbers_in(evidence: DataFrame) -> DataFrame:
+    """evidence with pieces (the text cut after each of its numbers), written (the numbers as they stand) and numbers (as
+    exact decimals): the place of a number is what the pieces up to it are long."""
+    pieces, written = (F.regexp_extract_all("content", F.lit(f"(?s)(.*?)({NUMBER})"), F.lit(g)) for g in (0, 2))
+    cut = once(evidence, pieces=pieces, written=written)
+    return once(cut, numbers=F.transform("written", decimal_of))
 
 
 def says_metric(metric: Column, value: Column, quote: Column) -> Column:
     """Whether a quote supports the value for the metric: a row with the value is named so; without such a row, the text
     names the metric."""
     rows = F.filter(F.regexp_extract_all(quote, F.lit(A.TABLE_ROW), F.lit(0)), lambda r: F.exists(F.regexp_extract_all(F.regexp_extract(r, A.TABLE_ROW, 2), F.lit(ROW_NUMBER), F.lit(0)), lambda n: decimal_of(n) == value))
-    named = F.exists(rows, lambda r: A.metrics_agree(metric, F.regexp_extract(r, A.TABLE_ROW, 1)))
+    named = lambda rs: F.exists(rs, lambda r: A.metrics_agree(metric, F.regexp_extract(r, A.TABLE_ROW, 1)))
     told = F.lower(quote).contains(A.metric_name(metric)) | A.metrics_agree(metric, quote)
-    return F.when(F.size(rows) > 0, named).otherwise(told)
+    return A.let(rows, lambda rs: F.when(F.size(rs) > 0, named(rs)).otherwise(told))
 
 
 def plan_facts(operands: DataFrame, evidence: DataFrame, qid: str = "qid") -> DataFrame:
@@ -159,18 +156,27 @@ def plan_facts(operands: DataFrame, evidence: DataFrame, qid: str = "qid") -> Da
     pos, ref, company, fiscal_year (string), content, tasks (array). An operand without a number or metric, and counts,
     give nothing. First come documents of the operand's task (all, if it names none), then others, which must be of its
     company and year, both named. The first document counts that has the operand's very number, with a quote that says
-    its metric; operands and texts meet by question and exact number, so that texts are searched once for all operands.
+    its metric. A question's operands are one row, which meets its documents by question; whether a document has an
+    operand's number is found in the row, so that rows are dealt by question once and texts are searched once for all
+    operands. What is long to compute is computed once a row.
     """
-    value = A.raw_decimal(F.col("raw_value"))
-    o = operands.where((F.upper("operator") != "COUNT") & (F.trim("metric") != "")).select(qid, "plan", F.col("pos").alias("at"), "task", F.col("company").alias("c"), F.col("year").alias("y"), "metric", "raw_value", F.col("scale").alias("proposed"), value.alias("number")).where("number is not null")
-    first = numbers_at(evidence.join(small(o.select(qid).distinct()), qid, "left_semi"), qid).withColumn("_n", F.row_number().over(Window.partitionBy(qid, "ref", "number").orderBy("k"))).where("_n = 1")
-    met = o.join(first.select(qid, "ref", "number", "start", "length"), [qid, "number"]).join(evidence, [qid, "ref"])
-    own = (F.col("task") == "") | F.array_contains("tasks", F.col("task"))
-    of = (F.col("c") == "") | (F.upper("c") == F.upper("company"))
-    met = met.where(of & (own | ((F.col("c") != "") & (F.col("y") != "") & (F.col("y") == F.col("fiscal_year")))))
-    met = met.withColumn("quote", number_quote(F.col("content"), F.col("start"), F.col("length"))).where(says_metric(F.col("metric"), F.col("number"), F.col("quote")))
-    tier = F.when(own, 0).otherwise(1)
+    o = operands.where((F.upper("operator") != "COUNT") & (F.trim("metric") != "")).select(qid, "plan", F.col("pos").alias("at"), "task", F.col("company").alias("c"), F.col("year").alias("y"), "metric", "raw_value", F.col("scale").alias("proposed"))
+    o = once(o, number=A.raw_decimal(F.col("raw_value")).cast(FACT)).where("number is not null")
+    each = o.groupBy(qid).agg(F.collect_list(F.struct(*[c for c in o.columns if c != qid])).alias("operands"))
+    docs = numbers_in(evidence.join(each, qid))
+
+    def fits(x: Column) -> Column:
+        own = (x["task"] == "") | F.array_contains("tasks", x["task"])
+        of = (x["c"] == "") | (F.upper(x["c"]) == F.upper("company"))
+        return F.array_contains("numbers", x["number"]) & of & (own | ((x["c"] != "") & (x["y"] != "") & (x["y"] == F.col("fiscal_year"))))
+
+    met = docs.withColumn("x", F.explode(F.filter("operands", fits))).select(*evidence.columns, "pieces", "written", "numbers", "x.*")
+    met = once(met, _i=F.array_position("numbers", F.col("number")).cast("int"))
+    met = once(met, _long=F.length(F.element_at("written", F.col("_i"))), _end=F.length(F.array_join(F.slice("pieces", F.lit(1), F.col("_i")), "")))
+    met = once(met.drop("pieces", "written", "numbers"), quote=number_quote(F.col("content"), F.col("_end") - F.col("_long") + 1, F.col("_long")))
+    met = once(met, _says=says_metric(F.col("metric"), F.col("number"), F.col("quote"))).where("_says")
+    tier = F.when((F.col("task") == "") | F.array_contains("tasks", F.col("task")), 0).otherwise(1)
     best = met.withColumn("_n", F.row_number().over(Window.partitionBy(qid, "plan", "at").orderBy(tier, "pos"))).where("_n = 1")
     blank = lambda a, b: F.when(F.trim(a) == "", F.col(b)).otherwise(F.col(a))
-    scale = A.scale_of_fact(F.col("raw_value"), F.col("proposed"), F.col("metric"), F.col("quote"), F.col("content"))
-    return numbered(best.select(qid, F.struct("plan", "at").alias("place"), "ref", blank("c", "company").alias("company"), blank("y", "fiscal_year").alias("fiscal_year"), "metric", "raw_value", F.col("number").alias("value"), scale.alias("scale"), "quote"), qid)
+    best = once(best.drop("scale"), scale=A.scale_of_fact(F.col("raw_value"), F.col("proposed"), F.col("metric"), F.col("quote"), F.col("content")))
+    return numbered(best.select(qid, F.struct("plan", "at").alias("place"), "ref", blank("c", "company").alias("company"), blank("y", "fiscal_year").alias("fiscal_year"), "metric", "raw_value", F.col("number").alias("value"), "scale", "quote"), qid)

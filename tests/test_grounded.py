@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from sievemark.functions import answers as A
+from sievemark.jobs import registry
 from sievemark.operators import direct, enforcement, grounded
 
 EV = "qid long, pos int, ref string, company string, fiscal_year string, content string"
@@ -112,3 +113,15 @@ def test_ages(spark):
     ev = spark.createDataFrame([(1, 1, "E1", "A", "2024", "Tim Cook, age 63, leads", "A_2024.html", "Item 10", "Officers"), (1, 2, "E2", "A", "2022", "Tim Cook (61)", "A_2022.html", "Item 10", "Officers"), (1, 3, "E3", "A", "2022", "Tim Cook 50", "x", "", ""), (1, 4, "E4", "A", "2023", "Tim Cook 17", "x", "", "")], DOC)
     q = spark.createDataFrame([(1, "By how much did the age of Tim Cook change?"), (2, "Tim Cook?")], "qid long, question string")
     assert [tuple(r) for r in direct.age_answers(q, ev).collect()] == [(1, "In FY2022, Tim Cook was 61 years old [E2]. In FY2024, Tim Cook was 63 years old [E1], an increase of 2 years from FY2022.\n\nSources:\n[E2] A_2022.html — Item 10 Officers\n[E1] A_2024.html — Item 10 Officers")]
+
+
+def test_number_quote_line_start(spark):
+    """A number right after a line break is quoted from there on, not from the text's start."""
+    d = spark.createDataFrame([("first line\n123 units\nlast", 12, 3), ("a 7 b", 3, 1)], "c string, s int, l int")
+    assert [r[0] for r in d.select(grounded.number_quote(F.col("c"), F.col("s"), F.col("l"))).collect()] == ["123 units", "a 7 b"]
+
+
+def test_shuffled_by_question(spark):
+    """Operands and documents meet by question, in one shuffle of each."""
+    plan = registry.QUERIES["lg03_plan_facts"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") <= 2
