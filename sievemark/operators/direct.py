@@ -7,9 +7,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.answers import let
 from ..functions.text import clean_line, named_entities
 from .enforcement import listed, marks_of
-from .relational import small
+from .relational import once, small
 
 # Words that make a question one for a list, the lists that descriptions name, and phrases of wording.
 COUNTS = ["how many", "count", "多少", "几个", "数量"]
@@ -28,8 +29,7 @@ def _any(text: Column, words: list[str]) -> Column:
 
 def asks_for_list(question: Column) -> Column:
     """Whether a question asks how many named things there are, not for an amount."""
-    low = F.lower(clean_line(question))
-    return _any(low, COUNTS) & _any(low, LISTS) & ~_any(low, AMOUNTS)
+    return let(F.lower(clean_line(question)), lambda low: _any(low, COUNTS) & _any(low, LISTS) & ~_any(low, AMOUNTS))
 
 
 def _quoted(phrases: Column) -> Column:
@@ -44,22 +44,25 @@ def listed_phrases(questions: DataFrame, evidence: DataFrame, qid: str = "qid")
     content, source_file, item, section. Which group a document has is found where it is read, so that only numbers and
     labels are grouped.
     """
-    asked = questions.where(asks_for_list(F.col("question"))).select(qid)
-    low = F.lower("content")
-    groups = F.array_compact(F.array(*[F.when(reduce(lambda a, b: a & b, [low.contains(p) for p in g]), i) for i, g in enumerate(PHRASE_GROUPS)]))
-    docs = evidence.where(F.trim("company") != "").join(asked, qid, "left_semi").select(qid, "pos", "ref", F.upper("company").alias("company"), "fiscal_year", "source_file", F.when(F.trim("item") == "", F.col("section")).otherwise(F.col("item")).alias("place"), groups.alias("groups"))
-    first = docs.groupBy(qid, "company").agg(F.min("pos").alias("first"), F.min(F.array_min("groups")).alias("group")).where("group is not null")
-    cited = docs.join(first, [qid, "company"]).where(F.array_contains("groups", F.col("group")))
+    asked = once(questions.select(qid, "question"), _asks=asks_for_list(F.col("question"))).where("_asks").select(qid)
+    groups = F.array_compact(F.array(*[F.when(reduce(lambda a, b: a & b, [F.col("_low").contains(p) for p in g]), i) for i, g in enumerate(PHRASE_GROUPS)]))
+    docs = once(evidence.where(F.trim("company") != "").join(asked, qid, "left_semi"), _low=F.lower("content"))
+    docs = docs.select(qid, "pos", "ref", F.upper("company").alias("company"), "fiscal_year", "source_file", F.when(F.trim("item") == "", F.col("section")).otherwise(F.col("item")).alias("place"), groups.alias("groups"))
+    source = F.concat(F.lit("["), "ref", F.lit("] "), "source_file", F.lit(" — "), "place").alias("line")
+    own = F.array_sort(F.collect_list(F.when(F.size("groups") > 0, F.struct("fiscal_year", "pos", "ref", source, "groups")))).alias("docs")
+    of = docs.groupBy(qid, "company").agg(F.min("pos").alias("first"), F.min(F.array_min("groups")).alias("group"), own).where("group is not null")
+    each = once(of, cited=F.filter("docs", lambda d: F.array_contains(d["groups"], F.col("group"))))
     names = F.array(*[F.array(*[F.lit(p) for p in g]) for g in PHRASE_GROUPS])
-    each = cited.groupBy(qid, "company", "first", "group").agg(listed(F.struct("fiscal_year", "pos"), F.col("ref")).alias("refs"))
     said = F.get(names, F.col("group"))
-    line = F.concat("company", F.lit(": "), F.size(said).cast("string"), F.lit(" distinct items — "), _quoted(said), F.lit(" "), marks_of(F.array_distinct("refs")), F.lit("\n"))
-    place = F.struct("first", "fiscal_year", "pos")
-    sources = cited.groupBy(qid, "ref").agg(F.min(F.struct(place.alias("at"), F.concat(F.lit("["), "ref", F.lit("] "), "source_file", F.lit(" — "), "place").alias("line"))).alias("s"))
-    sources = sources.groupBy(qid).agg(listed("s.at", F.col("ref")).alias("all_refs"), listed("s.at", F.col("s.line")).alias("sources"))
-    whole = each.groupBy(qid).agg(F.count("*").alias("n"), F.array_join(listed("first", line), "").alias("lines"), F.array_distinct(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("first", "group"))), lambda x: F.get(names, x["group"])))).alias("all"))
-    total = F.when(F.col("n") > 1, F.concat(F.lit("Total across all companies: "), F.size("all").cast("string"), F.lit(" distinct terms — "), _quoted(F.col("all")), F.lit(" "), marks_of(F.col("all_refs")), F.lit("\n"))).otherwise("")
-    return whole.join(sources, qid).select(qid, F.concat("lines", total, F.lit("\nSources:\n"), F.array_join("sources", "\n")).alias("answer"))
+    line = F.concat("company", F.lit(": "), F.size(said).cast("string"), F.lit(" distinct items — "), _quoted(said), F.lit(" "), marks_of(F.array_distinct("cited.ref")), F.lit("\n")).alias("line")
+    placed = F.transform("cited", lambda d: F.struct(F.col("first"), d["fiscal_year"].alias("fiscal_year"), d["pos"].alias("pos"), d["ref"].alias("ref"), d["line"].alias("line"))).alias("placed")
+    whole = each.groupBy(qid).agg(F.array_sort(F.collect_list(F.struct("first", line, "group", placed))).alias("each"))
+    whole = once(whole, placed=F.array_sort(F.flatten("each.placed")), all=F.array_distinct(F.flatten(F.transform("each.group", lambda g: F.get(names, g)))))
+    whole = once(whole, all_refs=F.array_distinct("placed.ref"))
+    # of a document under several companies the first place counts
+    sources = F.transform("all_refs", lambda r: F.get(F.col("placed.line"), F.array_position("placed.ref", r).cast("int") - 1))
+    total = F.when(F.size("each") > 1, F.concat(F.lit("Total across all companies: "), F.size("all").cast("string"), F.lit(" distinct terms — "), _quoted(F.col("all")), F.lit(" "), marks_of(F.col("all_refs")), F.lit("\n"))).otherwise("")
+    return whole.select(qid, F.concat(F.array_join("each.line", ""), total, F.lit("\nSources:\n"), F.array_join(sources, "\n")).alias("answer"))
 
 
 def ages(questions: DataFrame, evidence: DataFrame, qid: str = "qid") -> DataFrame:

@@ -125,3 +125,9 @@ def test_shuffled_by_question(spark):
     """Operands and documents meet by question, in one shuffle of each."""
     plan = registry.QUERIES["lg03_plan_facts"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") <= 2
+
+
+def test_phrases_in_one_pass(spark):
+    """Documents of a question are read and gathered once, not for each part of the answer."""
+    plan = registry.QUERIES["lg20_listed_phrases"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Window [") == 1
