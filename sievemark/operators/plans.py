@@ -6,11 +6,13 @@ operator, pos, role, task (the id that it is bound to), company, year, metric, w
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import clean_line, search_tokens
-from .relational import checkpointed, small
+from .relational import checkpointed, once, small
 
 # Patterns and words that plans are made by, and how far a year may stand from its company.
 TOKEN = r"(?<![A-Z0-9-])([A-Z]{1,5}(?:-[A-Z])?)(?![A-Z0-9-])"
@@ -30,7 +32,8 @@ FALLBACK = "retrieve_1"
 
 
 def _has(text: Column, words: list[str]) -> Column:
-    return F.exists(F.array(*[F.lit(w) for w in words]), lambda w: text.contains(w))
+    """Whether a text holds one of the words: one pattern, so that what makes the text is computed once, not for each."""
+    return text.rlike("|".join(rf"\Q{w}\E" for w in words))
 
 
 def stripped(prompt: Column) -> Column:
@@ -47,23 +50,39 @@ def years_in(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(YEAR), F.lit(0)))
 
 
-def company_mentions(prompts: DataFrame, known: DataFrame, qid: str = "qid", prompt: str = "prompt") -> DataFrame:
-    """(qid, k, company, year) of each mention of a known company: the first year within NEAR characters after it, else
-    the last within as many before it, else null.
+def _named(prompts: DataFrame, known: DataFrame, qid: str, prompt: str) -> DataFrame:
+    """(qid, company): known companies that a prompt names, each once; its tokens are joined to them by name."""
+    tokens = F.regexp_extract_all(F.coalesce(F.col(prompt), F.lit("")), F.lit("(?i)" + TOKEN), F.lit(1))
+    each = prompts.select(qid, F.explode(F.array_distinct(F.transform(tokens, F.upper))).alias("company"))
+    return each.join(small(known.select("company").distinct()), "company", "left_semi").select(qid, "company")
+
+
+def mentions(prompt: Column, named: Column) -> Column:
+    """Array of struct(k, company, year): the tokens of a prompt that are among its named companies, by their number k.
 
-    A prompt is cut at its tokens, so that a token's place is the sum of the pieces up to it; known companies are joined
-    by name. known: (company) in upper case.
+    The prompt is cut at its tokens, so that a token's place is the sum of the pieces up to it.
     """
-    text = F.coalesce(F.col(prompt), F.lit(""))
-    pieces, tokens = (F.regexp_extract_all(text, F.lit("(?is)(.*?)" + TOKEN), F.lit(g)) for g in (0, 2))
-    cut = prompts.select(qid, text.alias("t"), F.posexplode(F.arrays_zip(pieces.alias("piece"), tokens.alias("token"))).alias("k", "x"))
-    end = F.sum(F.length("x.piece")).over(Window.partitionBy(qid).orderBy("k").rowsBetween(Window.unboundedPreceding, 0))
-    at = cut.select(qid, "k", "t", F.upper("x.token").alias("company"), end.cast("int").alias("end"), F.length("x.token").alias("n"))
-    at = at.join(small(known.select("company").distinct()), "company")
-    start = F.col("end") - F.col("n")
-    after = F.nullif(F.regexp_extract(F.substring("t", F.col("end") + 1, F.lit(NEAR)), YEAR, 0), F.lit(""))
-    before = F.regexp_extract_all(F.substring("t", F.greatest(start - NEAR, F.lit(0)) + 1, F.least(start, F.lit(NEAR))), F.lit(YEAR), F.lit(0))
-    return at.select(qid, "k", "company", F.coalesce(after, F.try_element_at(before, F.lit(-1))).alias("year"))
+    text = F.coalesce(prompt, F.lit(""))
+    tokens = F.regexp_extract_all(text, F.lit("(?i)" + TOKEN), F.lit(1))
+    pieces = F.regexp_extract_all(text, F.lit("(?is)(.*?)" + TOKEN), F.lit(0))
+    own = F.filter(F.transform(tokens, lambda t, k: F.struct(k.alias("k"), F.upper(t).alias("company"), F.length(t).alias("n"))), lambda m: F.array_contains(named, m["company"]))
+    end = lambda m: F.length(F.array_join(F.slice(pieces, F.lit(1), m["k"] + 1), ""))
+
+    def year(m: Column) -> Column:
+        at = m["end"] - m["n"]
+        after = F.nullif(F.regexp_extract(F.substring(text, m["end"] + 1, F.lit(NEAR)), YEAR, 0), F.lit(""))
+        before = F.regexp_extract_all(F.substring(text, F.greatest(at - NEAR, F.lit(0)) + 1, F.least(at, F.lit(NEAR))), F.lit(YEAR), F.lit(0))
+        return F.coalesce(after, F.try_element_at(before, F.lit(-1)))
+
+    return F.transform(F.transform(own, lambda m: m.withField("end", end(m))), lambda m: F.struct(m["k"].alias("k"), m["company"].alias("company"), year(m).alias("year")))
+
+
+def company_mentions(prompts: DataFrame, known: DataFrame, qid: str = "qid", prompt: str = "prompt") -> DataFrame:
+    """(qid, k, company, year) of each mention of a known company: the first year within NEAR characters after it, else
+    the last within as many before it, else null. known: (company) in upper case."""
+    both = prompts.select(qid, F.col(prompt).alias("prompt")).unionByName(_named(prompts, known, qid, prompt), allowMissingColumns=True)
+    own = both.groupBy(qid).agg(F.max("prompt").alias("prompt"), F.collect_list("company").alias("named")).where(F.size("named") > 0)
+    return own.select(qid, F.explode(mentions(F.col("prompt"), F.col("named"))).alias("x")).select(qid, "x.*")
 
 
 def scopes(mentions: DataFrame, qid: str = "qid") -> DataFrame:
@@ -95,42 +114,53 @@ def augmented(prompts: DataFrame, tasks: DataFrame, known: DataFrame, discovered
     to the one discovered company; all retrievals to the one company that is hinted at, if it is one; the fallback task
     is replaced by a task for each scope; and each scope that no retrieval covers gets a task (with a premise of an
     amount and a change, covered ones get an anchor task as well).
+
+    What is known of a question (its prompt, tasks, companies) is dealt by question once and is one row, in which its
+    tasks are made.
     """
-    found = company_mentions(prompts, known, qid)
-    hits = found.groupBy(qid).agg(F.collect_set("company").alias("named")).join(scopes(found, qid), qid, "left")
-    seen = discovered.where("company <> ''").groupBy(qid).agg(F.sort_array(F.collect_set("company")).alias("discovered"))
-    none = F.array().cast("array<string>")
-    s = prompts.select(qid, "prompt").join(hits, qid, "left").join(seen, qid, "left")
-    s = s.withColumns({"named": F.coalesce("named", none), "discovered": F.coalesce("discovered", none), "item": requested_item(F.col("prompt")), "bare": stripped(F.col("prompt"))})
+    fields = ["pos", "id", "query", "companies", "years", "metric", "operation", "modality"]
+    scoped = tasks.select(qid, "pos", F.explode("companies").alias("c")).select(qid, "pos", F.upper(clean_line(F.col("c"))).alias("company"))
+    scoped = scoped.join(small(known.select("company").distinct()), "company", "left_semi")
+    parts = [
+        prompts.select(qid, F.struct("prompt").alias("asked")), tasks.select(qid, F.struct(*fields).alias("task")), _named(prompts, known, qid, "prompt").withColumnRenamed("company", "name"),
+        discovered.where("company <> ''").select(qid, F.col("company").alias("found")), scoped.select(qid, F.col("pos").alias("scoped")),
+    ]
+    dealt = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    s = dealt.groupBy(qid).agg(
+        F.max("asked").alias("asked"), F.sort_array(F.collect_list("task")).alias("tasks"), F.collect_set("name").alias("named"),
+        F.sort_array(F.collect_set("found")).alias("discovered"), F.collect_set("scoped").alias("scoped"),
+    ).where("asked is not null").select(qid, "asked.prompt", "tasks", "named", "discovered", "scoped")
+    stated = F.transform(F.filter(mentions(F.col("prompt"), F.col("named")), lambda m: m["year"].isNotNull()), lambda m: F.struct(m["company"].alias("company"), m["year"].alias("year")))
+    s = once(s, stated=F.when(F.size("named") > 0, F.array_distinct(stated)), item=requested_item(F.col("prompt")))
     crossed = F.flatten(F.transform("discovered", lambda c: F.transform(years_in(F.col("prompt")), lambda y: F.struct(c.alias("company"), y.alias("year")))))
-    s = s.withColumn("scopes", F.coalesce("scopes", crossed))
-    s = s.withColumn("hints", F.array_distinct(F.concat("named", "discovered", F.transform("scopes", lambda x: x["company"]))))
+    s = once(s, scopes=F.when(F.size("stated") > 0, F.col("stated")).when(F.size("discovered") > 0, crossed).otherwise(F.array().cast("array<struct<company:string,year:string>>")))
+    s = once(s, hints=F.array_distinct(F.concat("named", "discovered", F.transform("scopes", lambda x: x["company"]))), bare=F.when(F.size("scopes") > 0, stripped(F.col("prompt"))))
 
-    retrieves = F.lower("operation") == "retrieve"
-    scoped = tasks.select(qid, "pos", F.explode("companies").alias("c")).select(qid, "pos", F.upper(clean_line(F.col("c"))).alias("company"))
-    scoped = scoped.join(small(known.select("company").distinct()), "company", "left_semi").select(qid, "pos").distinct().withColumn("scoped", F.lit(True))
-    t = tasks.join(s, qid).join(scoped, [qid, "pos"], "left")
-    bound = F.when(retrieves & (F.size("discovered") == 1) & F.col("scoped").isNull(), F.col("discovered")).otherwise(F.col("companies"))
-    t = t.withColumn("companies", F.when(retrieves & (F.size("hints") == 1), F.col("hints")).otherwise(bound))
-
-    falls = t.where(retrieves & (F.col("id") == FALLBACK) & (F.size("scopes") > 0)).groupBy(qid).agg(F.lit(True).alias("falls"))
-    first = t.where(F.col("id") == FALLBACK).groupBy(qid).agg(F.min_by(F.struct("query", "metric", "modality"), "pos").alias("fallback"))
-    t = t.join(falls, qid, "left").withColumn("falls", F.coalesce("falls", F.lit(False)))
-    kept = t.where(~(F.col("falls") & retrieves & (F.col("id") == FALLBACK)))
-    covered = kept.where(retrieves).select(qid, F.explode("companies").alias("c"), "years").select(qid, F.upper("c").alias("company"), F.explode("years").alias("year")).distinct().withColumn("held", F.lit(True))
-
-    columns = [qid, "stage", "pos", "id", "query", "companies", "years", "metric", "operation", "modality"]
-    label = lambda kind, tail="": F.concat(F.lit(kind), F.lower("company"), F.lit("_"), "year", F.lit(tail))
-    each = s.join(falls, qid, "left").select(qid, "bare", "prompt", F.coalesce("falls", F.lit(False)).alias("falls"), F.posexplode("scopes").alias("pos", "x")).select(qid, "bare", "prompt", "falls", "pos", "x.company", "x.year")
-    head = F.concat("company", F.lit(" FY"), "year", F.lit(" "))
-    made = each.where("falls").join(first, qid).select(qid, F.lit(1).alias("stage"), "pos", label("retrieve_scope_").alias("id"), F.concat(head, stripped(F.col("fallback.query"))).alias("query"), F.array("company").alias("companies"), F.array("year").alias("years"), F.col("fallback.metric").alias("metric"), F.lit("retrieve").alias("operation"), F.col("fallback.modality").alias("modality"))
-    more = each.join(covered, [qid, "company", "year"], "left").withColumn("held", F.coalesce("held", F.lit(False)) | F.col("falls"))
-    more = more.where(~F.col("held") | F.col("prompt").rlike(PREMISE))
-    more = more.select(qid, F.lit(2).alias("stage"), "pos", F.when(F.col("held"), label("retrieve_explicit_", "_anchor")).otherwise(label("retrieve_explicit_")).alias("id"), F.concat(head, "bare").alias("query"), F.array("company").alias("companies"), F.array("year").alias("years"), F.lit("").alias("metric"), F.lit("retrieve").alias("operation"), F.lit("hybrid").alias("modality"))
-    out = kept.withColumn("stage", F.lit(0)).select(*columns).unionByName(made).unionByName(more).join(s.select(qid, "item"), qid)
-    place = F.row_number().over(Window.partitionBy(qid).orderBy("stage", "pos"))
+    retrieves = lambda t: F.lower(t["operation"]) == "retrieve"
+    falling = lambda t: retrieves(t) & (t["id"] == FALLBACK)
+    none = F.array().cast("array<string>")
+
+    def bound(t: Column) -> Column:
+        one = F.when(retrieves(t) & (F.size("hints") == 1), F.col("hints"))
+        return one.when(retrieves(t) & (F.size("discovered") == 1) & ~F.array_contains("scoped", t["pos"]), F.col("discovered")).otherwise(t["companies"])
+
+    s = once(s, tasks=F.transform("tasks", lambda t: F.struct(*[(bound(t) if f == "companies" else t[f]).alias(f) for f in fields])), falls=(F.size("scopes") > 0) & F.coalesce(F.exists("tasks", falling), F.lit(False)))
+    s = once(s, kept=F.filter("tasks", lambda t: ~(F.col("falls") & falling(t))), fallback=F.get(F.filter("tasks", lambda t: t["id"] == FALLBACK), F.lit(0)))
+    pairs = lambda t: F.flatten(F.transform(F.coalesce(t["companies"], none), lambda c: F.transform(F.coalesce(t["years"], none), lambda y: F.struct(F.upper(c).alias("company"), y.alias("year")))))
+    s = once(s, covered=F.flatten(F.transform(F.filter("kept", retrieves), pairs)), lead=F.when(F.col("falls"), stripped(F.col("fallback.query"))), premise=F.when(F.size("scopes") > 0, F.col("prompt").rlike(PREMISE)))
+
+    def made(x: Column, kind: str, tail: Column, query: str, metric: Column, modality: Column) -> Column:
+        values = {"id": F.concat(F.lit(kind), F.lower(x["company"]), F.lit("_"), x["year"], tail), "query": F.concat(x["company"], F.lit(" FY"), x["year"], F.lit(" "), F.col(query)), "companies": F.array(x["company"]), "years": F.array(x["year"]), "metric": metric, "operation": F.lit("retrieve"), "modality": modality}
+        return F.struct(*[values[f].alias(f) for f in fields[1:]])
+
+    held = lambda x: F.col("falls") | F.array_contains("covered", x)
+    dealt_out = F.when(F.col("falls"), F.transform("scopes", lambda x: made(x, "retrieve_scope_", F.lit(""), "lead", F.col("fallback.metric"), F.col("fallback.modality"))))
+    more = F.transform(F.filter("scopes", lambda x: ~held(x) | F.col("premise")), lambda x: made(x, "retrieve_explicit_", F.when(held(x), "_anchor").otherwise(""), "bare", F.lit(""), F.lit("hybrid")))
+    own = F.transform("kept", lambda t: F.struct(*[t[f].alias(f) for f in fields[1:]]))
+    all_ = F.concat(own, F.coalesce(dealt_out, F.filter(own, lambda t: F.lit(False))), more)
+    out = s.select(qid, "item", F.posexplode(all_).alias("i", "t")).select(qid, "item", "i", "t.*")
     query = in_item(F.col("query"), F.col("metric"), F.col("operation"), F.col("item"))
-    return out.select(qid, place.alias("pos"), "id", query.alias("query"), "companies", "years", "metric", "operation", "modality")
+    return out.select(qid, (F.col("i") + 1).alias("pos"), "id", query.alias("query"), "companies", "years", "metric", "operation", "modality")
 
 
 def covers_operand(operation: Column, companies: Column, years: Column, company: Column, year: Column) -> Column:
