@@ -142,8 +142,9 @@ def expanded_query(query: Column) -> Column:
 
 def metric_name(text: Column) -> Column:
     """One name for the usual ways to say a metric; others in lower case, without marks and footnote number."""
-    bare = F.regexp_replace(F.coalesce(text, F.lit("")), r"\s*\(\d+\)\s*$", "")
-    plain = F.trim(F.regexp_replace(F.regexp_replace(F.lower(bare), "[^a-z0-9 ]", " "), r"\s+", " "))
+    whole = F.coalesce(text, F.lit(""))
+    bare = F.when(whole.contains(")"), F.regexp_replace(whole, r"\s*\(\d+\)\s*$", "")).otherwise(whole)
+    plain = F.trim(F.regexp_replace(F.regexp_replace(F.lower(bare), "[^a-z0-9 ]", " "), " {2,}", " "))
 
     def ladder(p: Column) -> Column:
         out = p
@@ -169,17 +170,27 @@ QUOTED_NUMBER = r"[-+]?\d[\d,]*(?:\.[ \t]*\d+)?"
 TABLE_ROW = r"(?m)^\|\s*([^|]+?)\s*\|([^\r\n]+)$"
 
 
+def table_rows(text: Column) -> Column:
+    """The rows of a text's tables, as they stand; a text without a bar is not searched."""
+    return F.when(~text.contains("|"), F.array().cast("array<string>")).otherwise(F.regexp_extract_all(text, F.lit(TABLE_ROW), F.lit(0)))
+
+
+def _plain_decimal(number: Column) -> Column:
+    """The value of what QUOTED_NUMBER matches, which has commas, blanks and tabs beside its figures and sign."""
+    return F.translate(number, ", \t", "").try_cast("decimal(20,6)")
+
+
 def raw_decimal(text: Column) -> Column:
     """The first number of a text: commas and blanks dropped, negative if the whole text is in brackets; else null."""
     t = F.trim(F.coalesce(text, F.lit("")))
-    number = F.regexp_replace(F.regexp_extract(t, QUOTED_NUMBER, 0), "[^0-9+.-]", "").try_cast("decimal(20,6)")
+    number = _plain_decimal(F.regexp_extract(t, QUOTED_NUMBER, 0))
     return F.when(t.startswith("(") & t.endswith(")") & (number > 0), -number).otherwise(number)
 
 
 def has_number(text: Column, number: Column) -> Column:
     """Whether a text states this number."""
     all_ = F.regexp_extract_all(text, F.lit(QUOTED_NUMBER), F.lit(0))
-    return F.exists(all_, lambda x: F.regexp_replace(x, "[^0-9+.-]", "").try_cast("decimal(20,6)") == number)
+    return F.exists(all_, lambda x: _plain_decimal(x) == number)
 
 
 def scale_of_fact(raw: Column, proposed: Column, metric: Column, quote: Column, content: Column) -> Column:
@@ -213,10 +224,10 @@ def direct_value(metric: Column, content: Column) -> Column:
         return let(F.lower(sentence), lambda s: reduce(lambda a, b: a | b, [(name == n) & any_of(s, g) for n, g in ways]) | s.contains(name))
 
     def states(name: Column) -> Column:
-        rows = F.regexp_extract_all(content, F.lit(TABLE_ROW), F.lit(0))
-        in_row = F.exists(rows, lambda r: F.regexp_extract(r, TABLE_ROW, 2).rlike(r"\d") & names_agree(name, metric_name(F.regexp_extract(r, TABLE_ROW, 1))))
-        sentences = F.split(content, r"(?<=[.!?;])\s+|\R+")
-        told = F.exists(sentences, lambda s: says(name, s) & bare(s).rlike(r"\d"))
-        return F.when(F.size(rows) > 0, in_row).otherwise(told)
+        in_row = lambda rows: F.exists(rows, lambda r: F.regexp_extract(r, TABLE_ROW, 2).rlike(r"\d") & names_agree(name, metric_name(F.regexp_extract(r, TABLE_ROW, 1))))
+        # a text that doesn't name the metric has no sentence that does, and isn't cut into sentences
+        sentences = lambda t: F.split(t, r"(?<=[.!?;])\s+|\R+")
+        told = lambda t: says(name, t) & F.exists(sentences(t), lambda s: says(name, s) & bare(s).rlike(r"\d"))
+        return let(content, lambda t: let(table_rows(t), lambda rows: F.when(F.size(rows) > 0, in_row(rows)).otherwise(told(t))))
 
     return F.when((F.trim(metric) == "") | (F.trim(content) == ""), False).otherwise(let(metric_name(metric), states))
