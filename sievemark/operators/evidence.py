@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import answers as A
 from ..functions import text as X
+from .relational import once
 
 #: Weights of what a complete audit passage says; each group needs all its phrases.
 AUDIT_PARTS = [
@@ -115,16 +116,19 @@ def verified_facts(claims: DataFrame, evidence: DataFrame, most: int = 40, qid:
     flat = lambda c: X.clean_line(F.col(c))
     company = F.when(F.trim(F.coalesce("company", F.lit(""))) == "", F.col("_company")).otherwise(F.col("company"))
     year = F.when(F.trim(F.coalesce("fiscal_year", F.lit(""))) == "", F.col("_year")).otherwise(F.col("fiscal_year"))
-    held = (flat("quote") != "") & flat("content").contains(flat("quote")) & A.has_number(F.col("quote"), F.abs(value))
-    rows = F.filter(F.regexp_extract_all("quote", F.lit(A.TABLE_ROW), F.lit(0)), lambda r: A.has_number(F.regexp_extract(r, A.TABLE_ROW, 2), F.abs(value)))
-    named = F.when(F.size(rows) > 0, F.exists(rows, lambda r: A.metrics_agree(F.col("metric"), F.regexp_extract(r, A.TABLE_ROW, 1)))).otherwise(F.lower("quote").contains(A.metric_name(F.col("metric"))) | A.metrics_agree(F.col("metric"), F.col("quote")))
-    good = j.where((F.trim("metric") != "") & value.isNotNull() & held & named & ((F.col("_company") == "") | (F.upper(company) == F.upper("_company"))))
-    scale = A.scale_of_fact(F.col("raw_value"), F.col("scale"), F.col("metric"), F.col("quote"), F.col("content"))
-    facts = good.select(qid, "pos", "ref", company.alias("company"), year.alias("fiscal_year"), "metric", value.alias("value"), scale.alias("scale"), A.metric_name(F.col("metric")).alias("_name"))
+    # what is cheap to refuse is refused first; then the number and the name are made once, for the rows that are left
+    j = j.where((F.trim("metric") != "") & ((F.col("_company") == "") | (F.upper(company) == F.upper("_company"))) & value.isNotNull())
+    j = once(j, _value=value, _name=A.metric_name(F.col("metric")), _flat=flat("quote")).where((F.col("_flat") != "") & flat("content").contains(F.col("_flat")) & A.has_number(F.col("quote"), F.abs("_value")))
+    rows = F.filter(A.table_rows(F.col("quote")), lambda r: A.has_number(F.regexp_extract(r, A.TABLE_ROW, 2), F.abs("_value")))
+    in_row = lambda rs: F.exists(rs, lambda r: A.names_agree(F.col("_name"), A.metric_name(F.regexp_extract(r, A.TABLE_ROW, 1))))
+    told = F.lower("quote").contains(F.col("_name")) | A.names_agree(F.col("_name"), A.metric_name(F.col("quote")))
+    good = j.where(A.let(rows, lambda rs: F.when(F.size(rs) > 0, in_row(rs)).otherwise(told)))
+    good = once(good, _scale=A.scale_of_fact(F.col("raw_value"), F.col("scale"), F.col("metric"), F.col("quote"), F.col("content")))
+    facts = good.select(qid, "pos", "ref", company.alias("company"), year.alias("fiscal_year"), "metric", F.col("_value").alias("value"), F.col("_scale").alias("scale"), "_name")
     again = F.row_number().over(Window.partitionBy(qid, "_name", "value", F.upper("company"), "fiscal_year").orderBy("pos"))
-    once = facts.withColumn("_n", again).where("_n = 1").drop("_n", "_name")
+    first = facts.withColumn("_n", again).where("_n = 1").drop("_n", "_name")
     number = F.row_number().over(Window.partitionBy(qid).orderBy("pos"))
-    return once.withColumn("_f", number).where(F.col("_f") <= most).withColumn("fact_id", F.concat(F.lit("F"), F.col("_f").cast("string"))).drop("_f")
+    return first.withColumn("_f", number).where(F.col("_f") <= most).withColumn("fact_id", F.concat(F.lit("F"), F.col("_f").cast("string"))).drop("_f")
 
 
 def premise_consistent(facts: DataFrame, premises: DataFrame, qid: str = "qid", share: float = 0.08) -> DataFrame:
