@@ -33,12 +33,13 @@ def document_scale(content: Column) -> Column:
     return F.when(low.contains("in billions"), "billion").when(low.contains("in thousands"), "thousand").otherwise("million")
 
 
-def table_rows(evidence: DataFrame, qid: str = "qid") -> DataFrame:
-    """evidence with a row for each row of its tables: k (its place), label, values (its numbers in order), quote."""
-    rows = F.regexp_extract_all("content", F.lit(A.TABLE_ROW), F.lit(0))
-    each = evidence.select("*", F.posexplode(rows).alias("k", "quote"))
+def table_rows(evidence: DataFrame, qid: str = "qid", wanted: Column | None = None) -> DataFrame:
+    """evidence with a row for each row of its tables: k (its place), label, values (its numbers in order), quote. With
+    wanted, a condition on the label, numbers are read only in the rows that meet it."""
+    each = once(evidence, _rows=A.table_rows(F.col("content"))).select(*evidence.columns, F.posexplode("_rows").alias("k", "quote"))
     numbers = F.filter(F.transform(F.regexp_extract_all(F.regexp_extract("quote", A.TABLE_ROW, 2), F.lit(ROW_NUMBER), F.lit(0)), decimal_of), lambda v: v.isNotNull())
-    return each.withColumns({"label": X.clean_line(F.regexp_extract("quote", A.TABLE_ROW, 1)), "values": numbers})
+    labelled = once(each, label=X.clean_line(F.regexp_extract("quote", A.TABLE_ROW, 1)))
+    return (labelled.where(wanted) if wanted is not None else labelled).withColumn("values", numbers)
 
 
 def _shown(value: Column, scale: Column) -> Column:
@@ -56,11 +57,13 @@ def cash_facts(questions: DataFrame, evidence: DataFrame, qid: str = "qid") -> D
     asked = questions.where(low.contains("total cash") & low.contains("short-term investments")).select(qid)
     docs = evidence.join(asked, qid, "left_semi")
     which = F.array_position(F.array(*[F.lit(c) for c in CASH_ROWS]), F.lower("label")).cast("int")
-    rows = table_rows(docs, qid).withColumn("which", which).where("which > 0")
-    first = rows.withColumn("_n", F.row_number().over(Window.partitionBy(qid, "ref", "which").orderBy("k"))).where("_n = 1 and size(values) > 0")
-    told = first.select(qid, F.struct("pos", "which").alias("place"), "ref", "company", "fiscal_year", F.col("label").alias("metric"), F.get("values", F.lit(0)).alias("value"), document_scale(F.col("content")).alias("scale"), "quote")
-    said = docs.select("*", decimal_of(F.regexp_extract("content", COMBINED_CASH, 2)).alias("value")).where(F.col("content").rlike(COMBINED_CASH) & F.col("value").isNotNull())
-    said = said.select(qid, F.struct("pos", F.lit(len(CASH_ROWS) + 1).alias("which")).alias("place"), "ref", "company", "fiscal_year", F.lit(COMBINED_NAME).alias("metric"), "value", F.lower(F.regexp_extract("content", COMBINED_CASH, 3)).alias("scale"), X.clean_line(F.regexp_extract("content", COMBINED_CASH, 0)).alias("quote"))
+    rows = table_rows(docs, qid, F.lower("label").isin(CASH_ROWS)).withColumn("which", which)
+    first = once(rows.withColumn("_n", F.row_number().over(Window.partitionBy(qid, "ref", "which").orderBy("k"))).where("_n = 1"), values=F.col("values"), scale=document_scale(F.col("content"))).where("size(values) > 0")
+    told = first.select(qid, F.struct("pos", "which").alias("place"), "ref", "company", "fiscal_year", F.col("label").alias("metric"), F.get("values", F.lit(0)).alias("value"), "scale", "quote")
+    said = docs.where(F.lower("content").contains("short-term investments"))
+    said = once(said, _said=F.regexp_extract("content", COMBINED_CASH, 0)).where("_said <> ''")
+    said = once(said, _value=decimal_of(F.regexp_extract("_said", COMBINED_CASH, 2))).where("_value is not null")
+    said = said.select(qid, F.struct("pos", F.lit(len(CASH_ROWS) + 1).alias("which")).alias("place"), "ref", "company", "fiscal_year", F.lit(COMBINED_NAME).alias("metric"), F.col("_value").alias("value"), F.lower(F.regexp_extract("_said", COMBINED_CASH, 3)).alias("scale"), X.clean_line(F.col("_said")).alias("quote"))
     return told.unionByName(said)
 
 
@@ -92,9 +95,9 @@ def premise_facts(questions: DataFrame, evidence: DataFrame, qid: str = "qid") -
     """Two facts for a question that takes a net income for granted: the row of net income (none of noncontrolling
     interests) whose first value is nearest to it, within the tolerance, gives that year's and the year before's."""
     p = premises(questions, qid)
-    rows = table_rows(evidence.join(p.select(qid), qid, "left_semi"), qid).where(F.size("values") >= 2)
     income = (A.metric_name(F.col("label")) == "net income") & ~F.lower("label").contains("noncontrolling")
-    rows = rows.where(income).withColumn("scale", document_scale(F.col("content")))
+    rows = table_rows(evidence.join(p.select(qid), qid, "left_semi"), qid, income)
+    rows = once(rows, values=F.col("values"), scale=document_scale(F.col("content"))).where(F.size("values") >= 2)
     rows = rows.withColumns({"base": (F.get("values", F.lit(0)) * X.scale_factor(F.col("scale"))).cast("decimal(38,6)"), "place": F.struct("pos", "k")})
     best = nearest(rows, p, "base", "stated", qid=qid)
     both = best.select("*", F.explode(F.sequence(F.lit(0), F.lit(1))).alias("i"))
