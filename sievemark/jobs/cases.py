@@ -80,9 +80,11 @@ def _made(df: DataFrame, first: dict[str, str], second: dict[str, str]) -> DataF
 
 
 def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # numbered by the column that the rows keep, so that what groups or joins them by question needs no second shuffle
-    lines = {**_LINES, "qid": "qid", "pos": _LINES["pos"].replace("PARTITION BY l_orderkey", "PARTITION BY qid")}
-    return _made(table(spark, sf_dir, "lineitem").selectExpr("*", f"{_LINES['qid']} AS qid"), lines, _CONTENT)
+    # numbered by the column that the rows keep, so that what groups or joins them by question needs no second shuffle, and
+    # before the rest is made, so that only the table's own columns are shuffled
+    pos = _LINES["pos"].replace("PARTITION BY l_orderkey", "PARTITION BY qid")
+    numbered = table(spark, sf_dir, "lineitem").selectExpr("*", f"{_LINES['qid']} AS qid").selectExpr("*", f"{pos} AS pos")
+    return _made(numbered, {**_LINES, "qid": "qid", "pos": "pos"}, _CONTENT)
 
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
