@@ -20,8 +20,12 @@ from .shingles import Shingler
 NUM, DEN = 90, 100
 #: Shingles in one group of short lists; sets and shingles that one task joins at once.
 GROUP_TOKENS, BLOCK_SETS, BLOCK_TOKENS = 1_000_000, 1024, 1_000_000
-#: Weight of the logarithm in DivideSkip's choice of long lists, and lists that are looked into for a likely partner.
+#: Weight of the logarithm in DivideSkip's choice of long lists, and sets that may link above which the nearest is probed.
 MU, PROBES = 0.02, 16
+#: Bits of a bit map at most, and bits in a task's own maps for each shingle by which linked sets may differ.
+MOST_CELLS, FINE = 1 << 17, 16
+#: The longest list whose pairs are written down, pairs held at once, and sets of a longer list that are compared with all.
+LIST_PAIRS, BLOCK_PAIRS, LIST_PROBES = 32, 2_000_000, 4
 #: Pivots of a group that is more than one block.
 PIVOTS = 16
 #: Documents in which a task looks for frequent shingles at once, and how often one must occur there.
@@ -50,50 +54,99 @@ def overlap(a: np.ndarray, b: np.ndarray) -> int:
     return int(np.count_nonzero(b[at] == a)) if len(b) else 0
 
 
-def cell_size(num: int = NUM, den: int = DEN) -> int:
-    """Shingles in a cell of a sketch on average. Two unrelated sets of n differ by about 1.13 n / sqrt(size) in their
-    sketches, linked ones by 2 n (den - num) / (den + num) at most: cells are as small as it takes to tell them apart."""
-    return max(2, int((0.3 * (den + num) / (den - num)) ** 2)) if num < den else 1024
+def cells_of(n: int, num: int = NUM, den: int = DEN, each: int = 4) -> int:
+    """Bits in the bit map of a set of n, a power of two: `each` or more for each shingle by which linked sets may differ."""
+    return min(MOST_CELLS, max(64, 1 << max(0, each * (2 * n * (den - num) // (den + num)) - 1).bit_length()))
 
 
-def sketch(s: np.ndarray, size: int) -> np.ndarray:
-    """Shingles in each cell of the hash range, 255 at most; the more shingles, the more cells (a power of two).
+def bit_map(s: np.ndarray, cells: int) -> np.ndarray:
+    """A bit for each cell of the hash range: whether an odd number of the set's shingles is there.
 
-    The L1 distance of two sketches, the finer one folded to the other's cells, is at most the sets' difference.
+    The bits in which the maps of two sets differ, the finer one folded to the other's cells, are at most the shingles
+    in which the sets differ.
     """
-    cells = max(16, min(2048, 1 << max(0, -(-len(s) // size) - 1).bit_length()))
-    at = (s >> np.uint64(64 - cells.bit_length() + 1)).astype(np.int64)
-    return np.minimum(np.bincount(at, minlength=cells), 255).astype(np.uint8)
+    odd = np.bincount((s & np.uint64(cells - 1)).astype(np.int64), minlength=cells) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.uint64)
 
 
-class Sketches:
-    """Sizes and sketches of a group's sets, sketches of one length in one matrix."""
+def folded(maps: np.ndarray, words: int) -> np.ndarray:
+    """Bit maps, a row each, folded to so many words."""
+    while maps.shape[-1] > words:
+        half = maps.shape[-1] // 2
+        maps = maps[..., :half] ^ maps[..., half:]
+    return maps
 
-    def __init__(self, n: np.ndarray, cells: list[bytes], num: int = NUM, den: int = DEN):
+
+class BitMaps:
+    """Sizes and bit maps of a group's sets, maps of one length in one matrix."""
+
+    def __init__(self, n: np.ndarray, maps: list, num: int = NUM, den: int = DEN):
         self.num, self.den = num, den
-        self.n, self.width = n, np.array([len(c) for c in cells])
+        self.n, self.width = n, np.array([memoryview(m).nbytes // 8 for m in maps])
         self.row = np.zeros(len(n), np.int64)
         self.of: dict[int, np.ndarray] = {}
         for w in np.unique(self.width).tolist():
             own = np.flatnonzero(self.width == w)
             self.row[own] = np.arange(len(own))
-            self.of[w] = np.frombuffer(b"".join(cells[i] for i in own.tolist()), np.uint8).reshape(len(own), w)
+            self.of[w] = np.frombuffer(b"".join([maps[i] for i in own.tolist()]), np.uint64).reshape(len(own), w)
+
+    def gap(self, i: int, others: np.ndarray) -> np.ndarray:
+        """Shingles by which set i and each of the others differ at least."""
+        w, gap = int(self.width[i]), np.zeros(len(others), np.int64)
+        width = self.width[others]
+        for v in np.unique(width).tolist():
+            at, m = np.flatnonzero(width == v), min(v, w)
+            mine, theirs = folded(self.of[w][self.row[i]], m), folded(self.of[v][self.row[others[at]]], m)
+            gap[at] = np.bitwise_count(theirs ^ mine).sum(1, dtype=np.int64)
+        return gap
+
+    def sized(self, i: int, others: np.ndarray) -> np.ndarray:
+        a, b = self.n[i], self.n[others]
+        return self.den * np.minimum(a, b) >= self.num * np.maximum(a, b)
+
+    def close(self, gap: np.ndarray, both: np.ndarray) -> np.ndarray:
+        """Whether sets that differ by `gap` at least and have so many shingles together may link."""
+        return gap * (self.den + self.num) <= both * (self.den - self.num)
 
     def may_link(self, i: int, others: np.ndarray) -> np.ndarray:
-        """Which of the others set i may link with, by size and sketch; true for every pair that links."""
-        a, b = self.n[i], self.n[others]
-        fits = self.den * np.minimum(a, b) >= self.num * np.maximum(a, b)
-        near, w = np.flatnonzero(fits), int(self.width[i])
-        mine = self.of[w][self.row[i]].astype(np.int32)
-        for v in np.unique(self.width[others[near]]).tolist():
-            at = near[self.width[others[near]] == v]
-            m = min(v, w)
-            theirs = self.of[v][self.row[others[at]]].reshape(len(at), m, -1).sum(2, dtype=np.int32)
-            gap = np.abs(theirs - mine.reshape(m, -1).sum(1)).sum(1)
-            fits[at] = gap * (self.den + self.num) <= (a + b[at]) * (self.den - self.num)
+        """Which of the others set i may link with, by size and bit map; true for every pair that links."""
+        fits = self.sized(i, others)
+        near = np.flatnonzero(fits)
+        fits[near] = self.close(self.gap(i, others[near]), self.n[i] + self.n[others[near]])
+        return fits
+
+    def pairs(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Which pairs of sets of fitting sizes may link."""
+        fits, kind = np.zeros(len(a), bool), self.width[a] * (1 << 32) + self.width[b]
+        for k in np.unique(kind).tolist():
+            own, v, w = np.flatnonzero(kind == k), k >> 32, k & (1 << 32) - 1
+            step = max(1, (1 << 19) // max(v, w))
+            for i in range(0, len(own), step):
+                at = own[i : i + step]
+                x, y = folded(self.of[v][self.row[a[at]]], min(v, w)), folded(self.of[w][self.row[b[at]]], min(v, w))
+                fits[at] = self.close(np.bitwise_count(x ^ y).sum(1, dtype=np.int64), self.n[a[at]] + self.n[b[at]])
         return fits
 
 
+class Labels:
+    """Parts of 0..n-1 with a label for each member, kept in an array: the smaller part takes the larger one's label,
+    which is a member of it."""
+
+    def __init__(self, n: int):
+        self.of = np.arange(n)
+        self.members: dict[int, np.ndarray] = {}
+
+    def unite(self, i: int, others: np.ndarray) -> None:
+        for b in np.unique(self.of[others]).tolist():
+            a = int(self.of[i])
+            if a != b:
+                x, y = (self.members.pop(k, None) for k in (a, b))
+                x, y = np.array([a]) if x is None else x, np.array([b]) if y is None else y
+                keep = a if len(x) >= len(y) else b
+                self.of[y if keep == a else x] = keep
+                self.members[keep] = np.concatenate([x, y])
+
+
 # -- the exact join of a bounded number of sets
 def divide_skip(lists: list[list[int]], t: int):
     """(member, number of lists that hold it) of all members that `t` or more of the sorted lists hold, in order.
@@ -142,46 +195,56 @@ def search(sets: list[np.ndarray], forest: Forest, num: int = NUM, den: int = DE
     """Unites all linked sets by a T-occurrence search (DivideSkip) of each among those that aren't larger.
 
     A set of n needs T = need(n) shingles in common with a set that isn't larger, so it links with none unless T of its
-    inverted lists hold one. Lists hold sets by size; a set's own component is left out of its lists, as a link to it says
-    nothing new. So that large groups of near copies are one component early, the set that most of some lists hold is
-    probed first.
+    inverted lists hold one. Lists hold sets by size; what a set is searched among are the sets of other components, as a
+    link to its own says nothing new, that it may link with by size and bit map. So sets of a large group that don't link
+    aren't merged and probed pair by pair. So that large groups of near copies are one component early, the set with the
+    nearest bit map is probed first where there are many.
     """
     order = sorted((i for i in range(len(sets)) if len(sets[i])), key=lambda i: (len(sets[i]), i))
     if len(order) < 2:
         return
     size = np.array([len(sets[i]) for i in order])
-    at = np.concatenate([[0], np.cumsum(size)])
-    _, token = np.unique(np.concatenate([sets[i] for i in order]), return_inverse=True)
-    count = np.bincount(token)
-    begin = np.concatenate([[0], np.cumsum(count)])
-    lists = np.repeat(np.arange(len(order)), size)[np.argsort(token, kind="stable")]
+    known = BitMaps(size, [bit_map(sets[i], cells_of(len(sets[i]), num, den, FINE)) for i in order], num, den)
     label = np.array([forest.root(i) for i in order])
+    index = None
 
     def unite(q: int, j: int) -> None:
         a, b = int(label[q]), int(label[j])
         forest.join(order[q], order[j])
         label[(label == a) | (label == b)] = forest.root(order[q])
 
-    def members(q: int, mine: np.ndarray, t: int) -> tuple[np.ndarray, np.ndarray]:
-        """What the lists hold of sets before q that are large enough and of other components, and from which list."""
-        length = count[mine]
-        held = lists[np.repeat(begin[mine] - (np.cumsum(length) - length), length) + np.arange(length.sum())]
-        own = (held < q) & (size[held] >= t) & (label[held] != label[q])
-        return held[own], np.repeat(np.arange(len(mine)), length)[own]
+    def inverted():
+        at = np.concatenate([[0], np.cumsum(size)])
+        _, token = np.unique(np.concatenate([sets[i] for i in order]), return_inverse=True)
+        count = np.bincount(token)
+        lists = np.repeat(np.arange(len(order)), size)[np.argsort(token, kind="stable")]
+        return at, token, count, np.concatenate([[0], np.cumsum(count)]), lists
 
     for q in range(1, len(order)):
         n = int(size[q])
         t = need(n, num, den)
-        mine = token[at[q] : at[q + 1]]
-        mine = mine[count[mine] > 1]
-        if len(mine) < t:
-            continue
-        held, _ = members(q, mine[:: max(1, len(mine) // PROBES)], t)
-        if len(held):
-            j = int(np.bincount(held).argmax())
+        first = int(np.searchsorted(size, t))
+        near = first + np.flatnonzero(label[first:q] != label[q])
+        gap = known.gap(q, near)
+        may = known.close(gap, n + size[near])
+        near, gap = near[may], gap[may]
+        if len(near) > PROBES:
+            j = int(near[gap.argmin()])
             if linked(overlap(sets[order[q]], sets[order[j]]), n, int(size[j]), num, den):
                 unite(q, j)
-        held, owner = members(q, mine, t)
+                near = near[label[near] != label[q]]
+        if not len(near):
+            continue
+        index = index or inverted()
+        at, token, count, begin, lists = index
+        mine = token[at[q] : at[q + 1]]
+        mine = mine[count[mine] > 1]
+        length = count[mine]
+        held = lists[np.repeat(begin[mine] - (np.cumsum(length) - length), length) + np.arange(length.sum())]
+        among = np.zeros(len(order), bool)
+        among[near] = True
+        own = among[held]
+        held, owner = held[own], np.repeat(np.arange(len(mine)), length)[own]
         cut = np.searchsorted(owner, np.arange(len(mine) + 1))
         if np.count_nonzero(np.diff(cut)) < t:
             continue
@@ -241,11 +304,10 @@ def _order(t1: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _short_lists(docs: DataFrame, key: str, text: str, size: int, parts: int, order, num: int, den: int) -> DataFrame:
-    """For each set and group of shingles the set's rarest shingles: a row (part, name, size, sketch, shingles)."""
+    """For each set and group of shingles the set's rarest shingles: a row (part, name, size, bit map, shingles)."""
 
     def run(batches):
         known, ranks = order.value
-        cell = cell_size(num, den)
         shingler, done = Shingler(size), set()
         for batch in slices(batches):
             out: list[tuple] = []
@@ -267,7 +329,7 @@ def _short_lists(docs: DataFrame, key: str, text: str, size: int, parts: int, or
                 by = np.argsort(part, kind="stable")
                 part, rare = part[by], rare[by]
                 cut = np.flatnonzero(np.diff(part)) + 1
-                cells = sketch(s, cell).tobytes()
+                cells = bit_map(s, cells_of(len(s), num, den)).tobytes()
                 c1 = int.from_bytes(name[:8], "little", signed=True)
                 for p, r in zip(part[np.concatenate([[0], cut])].tolist(), np.split(rare, cut)):
                     out.append((p, c1, len(s), cells, r.tobytes()))
@@ -277,37 +339,94 @@ def _short_lists(docs: DataFrame, key: str, text: str, size: int, parts: int, or
 
 
 def _loose(group: pa.Table, num: int, den: int) -> pa.Table:
-    """Edges of a spanning forest of the sets of a group that share a short list and may link."""
+    """Edges of a spanning forest of the sets of a group that share a short list and may link.
+
+    Sets are numbered by size, and lists hold them so. Pairs on lists of up to LIST_PAIRS are written down, a block of
+    them at a time. On longer lists a few sets are compared with all; then each set, once, with all before it on its
+    lists that are of other parts: of a list whose largest part is its own only the rest.
+    """
     c1, first = np.unique(group.column("c1").to_numpy(), return_index=True)
     n = group.column("n").to_numpy()[first]
-    known = Sketches(n, group.column("cells").combine_chunks().take(pa.array(first)).to_pylist(), num, den)
-    rare = [np.frombuffer(x.as_py(), np.uint64) for x in group.column("rare").combine_chunks().take(pa.array(first))]
+    by = np.lexsort((c1, n))
+    c1, n, first = c1[by], n[by], pa.array(first[by])
+    known = BitMaps(n, group.column("cells").combine_chunks().take(first).to_pylist(), num, den)
+    rare = [np.frombuffer(x, np.uint64) for x in group.column("rare").combine_chunks().take(first).to_pylist()]
     owner = np.repeat(np.arange(len(rare)), [len(r) for r in rare])
     tokens = np.concatenate(rare)
-    by = np.lexsort((n[owner], tokens))
+    by = np.argsort(tokens, kind="stable")
     tokens, owner = tokens[by], owner[by]
     start = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1], [True]]))
-    forest = Forest(len(c1))
-    for a, b in zip(start[:-1].tolist(), start[1:].tolist()):
-        if b - a < 2:
-            continue
-        left = owner[a:b]
-        roots = [forest.root(i) for i in left.tolist()]
-        if len(set(roots)) == 1:
-            continue
-        # connected parts by whether two may link: each set is compared with those that no part has reached yet
-        while len(left):
-            edge, left = [int(left[0])], left[1:]
-            while edge and len(left):
-                i = edge.pop()
-                near = known.may_link(i, left)
-                for j in left[near].tolist():
-                    forest.join(i, j)
-                    edge.append(j)
-                left = left[~near]
-    root = np.array([forest.root(i) for i in range(len(c1))])
-    tied = root != np.arange(len(c1))
-    return pa.table({"a": c1[tied], "b": c1[root[tied]]})
+    length = np.diff(start)
+    parts = Labels(len(c1))
+    kind = np.repeat(length, length)
+    _tie_pairs(owner[(kind > 1) & (kind <= LIST_PAIRS)], np.repeat(np.arange(len(length)), length)[(kind > 1) & (kind <= LIST_PAIRS)], known, parts)
+    _tie_lists([owner[start[i] : start[i + 1]] for i in np.flatnonzero(length > LIST_PAIRS).tolist()], known, parts)
+    tied = parts.of != np.arange(len(c1))
+    return pa.table({"a": c1[tied], "b": c1[parts.of[tied]]})
+
+
+def _tie_pairs(owner: np.ndarray, of: np.ndarray, known: BitMaps, parts: Labels) -> None:
+    """Ties what is on one list (`of`) and may link, by how far apart sets are on their lists."""
+    at, held, k = np.arange(len(of)), [], 0
+
+    def tie() -> None:
+        pairs = np.unique(np.concatenate(held))
+        a, b = pairs // len(known.n), pairs % len(known.n)
+        near = known.pairs(a, b)
+        for i, j in zip(a[near].tolist(), b[near].tolist()):
+            if parts.of[i] != parts.of[j]:
+                parts.unite(i, np.array([j]))
+
+    for far in range(1, LIST_PAIRS):
+        at = at[at + far < len(of)]
+        at = at[of[at + far] == of[at]]
+        # a set that doesn't fit for size fits with none that is further on
+        at = at[known.den * known.n[owner[at]] >= known.num * known.n[owner[at + far]]]
+        if not len(at):
+            break
+        a, b = owner[at], owner[at + far]
+        other = parts.of[a] != parts.of[b]
+        held.append(a[other] * len(known.n) + b[other])
+        k += len(held[-1])
+        if k > BLOCK_PAIRS:
+            tie()
+            held, k = [], 0
+    if held:
+        tie()
+
+
+def _tie_lists(lists: list[np.ndarray], known: BitMaps, parts: Labels) -> None:
+    """Ties what is on one of the lists and may link: each set is compared once with each of another part."""
+    for own in lists:
+        for i in own[:: -(-len(own) // LIST_PROBES)].tolist():
+            others = own[parts.of[own] != parts.of[i]]
+            parts.unite(i, others[known.may_link(i, others)])
+    main, rest = [], []
+    for own in lists:
+        label, count = np.unique(parts.of[own], return_counts=True)
+        inside = parts.of[own] == label[count.argmax()]
+        main.append(int(own[inside][0]))
+        rest.append(own[~inside])
+    among = np.zeros(len(known.n), bool)
+    sets = np.concatenate(lists) if lists else np.zeros(0, np.int64)
+    on = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
+    by = np.argsort(sets, kind="stable")
+    sets, on = sets[by], on[by]
+    cut = np.flatnonzero(np.concatenate([[True], sets[1:] != sets[:-1], [True]])) if len(sets) else np.zeros(1, np.int64)
+    for a, b in zip(cut[:-1].tolist(), cut[1:].tolist()):
+        i = int(sets[a])
+        least = int(np.searchsorted(known.n, need(int(known.n[i]), known.num, known.den)))
+        before = []
+        for k in on[a:b].tolist():
+            own = rest[k] if parts.of[main[k]] == parts.of[i] else lists[k]
+            before.append(own[np.searchsorted(own, least) : np.searchsorted(own, i)])
+        held = np.concatenate(before)
+        held = held[parts.of[held] != parts.of[i]]
+        if len(held):
+            among[held] = True
+            others = least + np.flatnonzero(among[least:i])
+            among[held] = False
+            parts.unite(i, others[known.may_link(i, others)])
 
 
 def _join_block(size: int, with_pivots: bool, num: int, den: int):
@@ -350,8 +469,8 @@ def ngram_components(docs: DataFrame, key: str = "doc_id", text: str = "text", s
     1. Each text is named by its set; equal sets are one class, known by its smallest key. The tasks also list shingles
        that are frequent in a chunk of documents, so that all sets can be ordered by rarity alike.
     2. A set that links with another shares one of its n - need(n) + 1 rarest shingles with it. These short lists are
-       grouped by shingle; in a group, sets on one list that may link by size and sketch are loosely tied, without
-       writing down pairs. Loose components bound what must be compared, and lose no link.
+       grouped by shingle; in a group, sets on one list that may link by size and bit map are loosely tied; no pairs
+       are shuffled. Loose components bound what must be compared, and lose no link.
     3. Texts of loose components of up to `block_sets` classes and BLOCK_TOKENS shingles meet in one task, which joins them exactly. Larger ones
        are dealt into blocks; each is joined exactly with itself and with the component's pivots. What then isn't one
        component is compared block by block: those outside the largest part with all.
