@@ -32,6 +32,8 @@ PIVOTS = 16
 CHUNK_DOCS, CHUNK_COUNT = 2048, 4
 #: Shingles that are ordered by their frequency; the others come before them. Bounds what is broadcast, not the result.
 MOST_FREQUENT = 300_000
+#: Sets that are broadcast at most to be joined with their texts.
+MOST_BROADCAST = 500_000
 #: Groups of short lists at least: a set is written once for each group that it has shingles in.
 LEAST_GROUPS = 32
 
@@ -273,8 +275,7 @@ def _classes(docs: DataFrame, key: str, text: str, size: int) -> DataFrame:
 
         for batch in slices(batches):
             n, a, b, often = [], [], [], []
-            for x in raw(batch.column(1)):
-                s = shingler.set_of(x)
+            for s in shingler.sets_of(raw(batch.column(1))):
                 name = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
                 n.append(len(s))
                 a.append(int.from_bytes(name[:8], "little", signed=True))
@@ -303,6 +304,16 @@ def _order(t1: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return x[by], rank[by]
 
 
+def rarest(s: np.ndarray, k: int, known: np.ndarray, ranks: np.ndarray) -> np.ndarray:
+    """The k first shingles of a sorted set: those that aren't known as frequent in their order, then the others by rank."""
+    if not len(known):
+        return s[:k]
+    at = np.minimum(np.searchsorted(known, s), len(known) - 1)
+    frequent = known[at] == s
+    rare = s[~frequent]
+    return rare[:k] if len(rare) >= k else np.concatenate([rare, s[frequent][np.argsort(ranks[at[frequent]])[: k - len(rare)]]])
+
+
 def _short_lists(docs: DataFrame, key: str, text: str, size: int, parts: int, order, num: int, den: int) -> DataFrame:
     """For each set and group of shingles the set's rarest shingles: a row (part, name, size, bit map, shingles)."""
 
@@ -310,9 +321,8 @@ def _short_lists(docs: DataFrame, key: str, text: str, size: int, parts: int, or
         known, ranks = order.value
         shingler, done = Shingler(size), set()
         for batch in slices(batches):
-            out: list[tuple] = []
-            for k, x in zip(batch.column(0).to_pylist(), raw(batch.column(1))):
-                s = shingler.set_of(x)
+            out: tuple[list, ...] = ([], [], [], [], [])
+            for k, s in zip(batch.column(0).to_pylist(), shingler.sets_of(raw(batch.column(1)))):
                 if k is None or not len(s):
                     continue
                 name = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
@@ -320,20 +330,15 @@ def _short_lists(docs: DataFrame, key: str, text: str, size: int, parts: int, or
                     continue
                 if len(done) < 1_000_000:
                     done.add(name)
-                rank = np.full(len(s), -1, np.int64)
-                if len(known):
-                    at = np.minimum(np.searchsorted(known, s), len(known) - 1)
-                    rank = np.where(known[at] == s, ranks[at], -1)
-                rare = s[np.lexsort((s, rank))[: len(s) - need(len(s), num, den) + 1]]
+                rare = rarest(s, len(s) - need(len(s), num, den) + 1, known, ranks)
                 part = ((rare >> np.uint64(20)) % np.uint64(parts)).astype(np.int64)
                 by = np.argsort(part, kind="stable")
-                part, rare = part[by], rare[by]
-                cut = np.flatnonzero(np.diff(part)) + 1
-                cells = bit_map(s, cells_of(len(s), num, den)).tobytes()
-                c1 = int.from_bytes(name[:8], "little", signed=True)
-                for p, r in zip(part[np.concatenate([[0], cut])].tolist(), np.split(rare, cut)):
-                    out.append((p, c1, len(s), cells, r.tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate((pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary()))], names=["part", "c1", "n", "cells", "rare"])
+                part, held = part[by], rare[by].tobytes()
+                cut = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), len(part)]
+                own = (part[cut[:-1]].tolist(), int.from_bytes(name[:8], "little", signed=True), len(s), bit_map(s, cells_of(len(s), num, den)).tobytes(), [held[8 * a : 8 * b] for a, b in zip(cut, cut[1:])])
+                for column, x in zip(out, own):
+                    column.extend(x if isinstance(x, list) else [x] * (len(cut) - 1))
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary()))], names=["part", "c1", "n", "cells", "rare"])
 
     return docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("t")).mapInArrow(run, "part int, c1 long, n long, cells binary, rare binary")
 
@@ -431,8 +436,7 @@ def _tie_lists(lists: list[np.ndarray], known: BitMaps, parts: Labels) -> None:
 
 def _join_block(size: int, with_pivots: bool, num: int, den: int):
     def sets_of(df: pd.DataFrame) -> list[np.ndarray]:
-        shingler = Shingler(size)
-        return [shingler.set_of((x or "").encode()) for x in df["t"]]
+        return Shingler(size).sets_of([(x or "").encode() for x in df["t"]])
 
     def edges(ids: np.ndarray, forest: Forest) -> pd.DataFrame:
         root = [forest.root(i) for i in range(len(ids))]
@@ -505,15 +509,15 @@ def ngram_components(docs: DataFrame, key: str = "doc_id", text: str = "text", s
 
 def _with_texts(members: DataFrame, body: DataFrame, size: int) -> DataFrame:
     """Members with a text of their class. Texts are joined by key; where a key is repeated with other texts, the one
-    whose set has the class's name is taken."""
-    both = body.join(members, "id")
+    whose set has the class's name is taken. Few members are broadcast, so that no other texts are shuffled."""
+    both = body.join(F.broadcast(members) if members.count() <= MOST_BROADCAST else members, "id")
 
     def run(batches):
         shingler = Shingler(size)
         for batch in slices(batches):
             keep = []
-            for x, a, b in zip(raw(batch.column(1)), batch.column(5).to_pylist(), batch.column(6).to_pylist()):
-                name = hashlib.blake2b(shingler.set_of(x).tobytes(), digest_size=16).digest()
+            for s, a, b in zip(shingler.sets_of(raw(batch.column(1))), batch.column(5).to_pylist(), batch.column(6).to_pylist()):
+                name = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
                 keep.append(int.from_bytes(name[:8], "little", signed=True) == a and int.from_bytes(name[8:], "little", signed=True) == b)
             yield batch.select(["id", "t", "comp", "m", "block", "c1"]).filter(pa.array(keep, pa.bool_()))
 
